@@ -1,8 +1,9 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import token_store
+from cairn.llm import html_text, token_store
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
+    "op6_html_text": html_text.op6_query,
 }
 ORACLES: dict[str, str] = {}
