@@ -1,9 +1,10 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import html_text, token_store
+from cairn.llm import html_text, token_store, toxicity
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
     "op6_html_text": html_text.op6_query,
+    "op8_toxicity": toxicity.op8_query,
 }
 ORACLES: dict[str, str] = {}
