@@ -1,9 +1,10 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import html_text, resharding, token_store, toxicity
+from cairn.llm import fingerprints, html_text, resharding, token_store, toxicity
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
+    "op3_fingerprints": fingerprints.op3_query,
     "op4_reshard": resharding.op4_query,
     "op6_html_text": html_text.op6_query,
     "op8_toxicity": toxicity.op8_query,
