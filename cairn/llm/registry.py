@@ -1,6 +1,6 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import fingerprints, html_text, resharding, sentencepiece_codec, token_store, toxicity
+from cairn.llm import fingerprints, html_text, resharding, secret_scan, sentencepiece_codec, token_store, toxicity
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
@@ -9,5 +9,6 @@ QUERIES = {
     "op6_html_text": html_text.op6_query,
     "op8_toxicity": toxicity.op8_query,
     "op9_sentencepiece": sentencepiece_codec.op9_query,
+    "op10_secret_scan": secret_scan.op10_query,
 }
 ORACLES: dict[str, str] = {}
