@@ -1,6 +1,6 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import fingerprints, html_text, jaccard_join, resharding, secret_scan, sentencepiece_codec, token_store, toxicity
+from cairn.llm import decontamination, fingerprints, html_text, jaccard_join, resharding, secret_scan, sentencepiece_codec, token_store, toxicity
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_reshard": resharding.op4_query,
     "op5_jaccard_join": jaccard_join.op5_query,
     "op6_html_text": html_text.op6_query,
+    "op7_decontamination": decontamination.op7_query,
     "op8_toxicity": toxicity.op8_query,
     "op9_sentencepiece": sentencepiece_codec.op9_query,
     "op10_secret_scan": secret_scan.op10_query,
