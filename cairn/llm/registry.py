@@ -1,9 +1,10 @@
 """Queries of the numbered operators, each over its whole table, and their SQL where SQL can express them."""
 
-from cairn.llm import decontamination, fingerprints, html_text, jaccard_join, resharding, secret_scan, sentencepiece_codec, token_store, toxicity
+from cairn.llm import decontamination, fingerprints, html_text, jaccard_join, resharding, secret_scan, sentencepiece_codec, token_store, toxicity, url_lists
 
 QUERIES = {
     "op1_token_output": token_store.op1_query,
+    "op2_url_lists": url_lists.op2_query,
     "op3_fingerprints": fingerprints.op3_query,
     "op4_reshard": resharding.op4_query,
     "op5_jaccard_join": jaccard_join.op5_query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_sentencepiece": sentencepiece_codec.op9_query,
     "op10_secret_scan": secret_scan.op10_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_lists": url_lists.OP2_SQL}
