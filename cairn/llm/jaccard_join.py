@@ -109,17 +109,17 @@ REF = "coalesce(doc_id, xxhash64(text))"
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, ref (finds the row again), n, key of the set (null if empty), bottom (its least hashes), sketch."""
+    """doc_id, ref and th (they find the row again), n, key of the set (null if empty), bottom (its least hashes), sketch."""
 
     def run(it: Iterator[pa.RecordBatch]):
         for b in it:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("ref"), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[:BOTTOM].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "ref", "n", "key", "bottom", "sketch"],
+                [b.column("doc_id").cast(pa.int64()), b.column("ref"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[:BOTTOM].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "ref", "th", "n", "key", "bottom", "sketch"],
             )
 
-    return docs.select("doc_id", "text", F.expr(REF).alias("ref")).mapInArrow(run, "doc_id long, ref long, n long, key binary, bottom array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, ref long, th long, n long, key binary, bottom array<long>, sketch binary")
 
 
 def index_lists(classes: DataFrame) -> DataFrame:
@@ -293,20 +293,22 @@ def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (classes of other sets that the document's links with), ref, key."""
+    """doc_id, n_shingles, component_id, n_links (classes of other sets that the document links with), ref and th of the
+    row, first (whether it is the component's row to keep; equal rows all say so)."""
     described = materialize(describe(docs.select("doc_id", "text")), "sets")
     filled = described.where("key is not null")
-    classes = materialize(filled.groupBy("key").agg(F.min_by(F.struct("n", "bottom", "sketch"), "ref").alias("s"), F.min("ref").alias("ref"), F.min("doc_id").alias("least")).select("key", "ref", "least", "s.*"), "classes")
+    classes = materialize(filled.groupBy("key").agg(F.min_by(F.struct("n", "bottom", "sketch"), "ref").alias("s"), F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min(F.struct("ref", "th")).alias("row")).select("key", "ref", "least", "row", "s.*"), "classes")
     candidates = components(forests(index_lists(classes)), "a", "b")
     groups = candidates.withColumnRenamed("node", "key").withColumnRenamed("component", "gid").join(classes.select("key", "ref", "n"), "key")
     links = materialize(links_in_groups(docs, groups), "links")
     joined = components(links.where("a <> b"), "a", "b").withColumnRenamed("node", "key")
     counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))
-    named = classes.select("key", "least").join(joined, "key", "left").join(counts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(names, "component").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.select("key", "least", "row").join(joined, "key", "left").join(counts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("kept"))
+    of_class = named.join(names, "component").select("key", "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return described.join(of_class, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "ref", "key",
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "ref", "th",
+        (F.col("key").isNull() | (F.col("kept") == F.struct("ref", "th"))).alias("first"),
     )
 
 

@@ -158,3 +158,16 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(F.filter("found", lambda x: x.getField("kind") < 3)).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"),
     )
+
+
+def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+    """text with every span (overlapping ones as one) replaced by mark."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at, start, stop = acc.getField("at"), x.getField("start"), x.getField("stop")
+        apart = F.concat(acc.getField("out"), F.substring(text, at + 1, start - at), F.lit(mark))
+        return F.struct(F.greatest(at, stop).alias("at"), F.when(start >= at, apart).otherwise(acc.getField("out")).alias("out"))
+
+    finish = lambda acc: F.concat(acc.getField("out"), F.substring(text, acc.getField("at") + 1, F.length(text)))
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, begin, step, finish))
