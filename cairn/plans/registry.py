@@ -21,3 +21,11 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from cairn.plans import analytics, texts  # noqa: F401
+
+
+load()

@@ -57,7 +57,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application."""
+    """Make this package importable on the executors, once per application, and keep Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     if getattr(sc, "_cairn_shipped", False):
         return
