@@ -121,11 +121,11 @@ def drop_reasons(reviews: DataFrame, template_repeats: int = 3) -> DataFrame:
 
 def merge_duplicates(places: DataFrame, keys: list[str], pos: str, scalars: list[str]) -> DataFrame:
     """One row per key: the first value of each scalar, all sources in order, and of every fact its first value."""
-    rows = F.sort_array(F.collect_list(F.struct(pos, "sources", "facts")))
+    rows = F.sort_array(F.collect_list(F.struct(pos, "sources", F.map_entries("facts").alias("facts"))))
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in scalars]
     merged = places.groupBy(*keys).agg(*firsts, rows.alias("_rows"))
     sources = F.array_distinct(F.flatten(F.transform("_rows", lambda r: r.sources)))
-    entries = F.flatten(F.transform("_rows", lambda r: F.map_entries(r.facts)))
+    entries = F.flatten(F.transform("_rows", lambda r: r.facts))
     unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda x: x.getField("key") == e.getField("key")))
     return merged.select(*keys, *scalars, sources.alias("sources"), F.map_from_entries(unique).alias("facts"))
 
