@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -64,19 +66,32 @@ def records_in(df: DataFrame, column: str) -> DataFrame:
     return direct.union(deep).union(flat)
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "cp949")) -> DataFrame:
-    """A CSV with a header, in the first encoding that its bytes allow; all columns are strings."""
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "cp949")) -> DataFrame:
+    """CSV files of one header, each in the first of the encodings that its bytes allow; all columns are strings.
+
+    Spark's own reader takes few encodings, so files (registers of a few MB) are decoded whole, one task each.
+    """
+
+    def decoded(content: bytes) -> str:
+        for encoding in encodings:
+            try:
+                return content.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+        raise ValueError(f"a file of {path} is in none of {', '.join(encodings)}")
+
+    def parse(content: bytes) -> pd.DataFrame:
+        return pd.read_csv(io.StringIO(decoded(content)), dtype=str, keep_default_na=False, na_values=[""])
+
     raw = spark.read.format("binaryFile").load(path).select("content")
-    for encoding in encodings:
-        try:
-            bad = raw.where(F.try_validate_utf8("content").isNull()).limit(1).count() if encoding == "utf-8" else 0
-        except Exception as e:  # noqa: BLE001
-            raise ValueError(f"{path} can't be probed") from e
-        if not bad:
-            df = spark.read.csv(path, header=True, encoding={"cp949": "MS949"}.get(encoding, encoding), multiLine=True, escape='"')
-            first = df.columns[0]
-            return df.withColumnRenamed(first, first.lstrip("﻿"))
-    raise ValueError(f"{path} is in none of {', '.join(encodings)}")
+    names = parse(bytes(raw.first().content)).columns
+
+    def rows(it):
+        for pdf in it:
+            for content in pdf["content"]:
+                yield parse(content)[list(names)].astype(object).where(lambda x: x.notna(), None)
+
+    return raw.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
 
 
 def read_csv_positional(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -93,8 +108,6 @@ def file_with_prefix(names: list[str], prefix: str) -> str | None:
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """A sheet's rows under its header, all as strings. Needs openpyxl, which this package does not require."""
-    import pandas as pd
-
     pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
     return spark.createDataFrame(pdf.where(pdf.notna(), None))
 
