@@ -44,3 +44,48 @@ def csv_values(c: Column, allowed: list[str]) -> tuple[Column, Column]:
     """Values of a comma list, each once in order, and those that are not allowed."""
     values = F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
     return values, F.array_except(values, F.array(*map(F.lit, allowed)))
+
+
+# Keyword -> (what a wish says for it, weights of aspects). The first five are companions.
+KEYWORDS = {
+    "부모님": (r"부모님|어르신|어머니|아버지|엄마|아빠|효도", {"walking_burden": 2, "slope_stairs": 2, "rest_facilities": 2, "toilet_facilities": 1}),
+    "아이": (r"아이|아기|애들|유모차|어린이|키즈|자녀", {"family_friendly": 3, "walking_burden": 1.5, "slope_stairs": 1.5, "toilet_facilities": 1.5}),
+    "연인": (r"연인|커플|데이트|기념일|여자\s?친구|남자\s?친구|신혼", {"atmosphere": 2, "scenery": 1.5, "photo_spots": 1.5, "view_quality": 1.5}),
+    "친구": (r"친구들?(?:이랑|과|와|끼리)", {"activity_variety": 1.5, "food_quality": 1}),
+    "혼자": (r"혼자|혼행|혼밥", {"seating_comfort": 1, "noise_level": 1}),
+    "걷기 부담": (r"걷기\s?(?:힘들|싫|어렵)|많이\s?(?:못\s?)?걷|다리가?\s?아프|무릎|계단|언덕|오르막|경사", {"walking_burden": 4, "slope_stairs": 4}),
+    "경치·전망": (r"바다|오션|해변|경치|풍경|야경|전망|뷰", {"scenery": 3, "view_quality": 3}),
+    "맛": (r"맛집|맛있|음식|먹거리", {"food_quality": 3, "freshness": 1}),
+    "신선도": (r"신선|싱싱|회\b|해산물", {"freshness": 3}),
+    "사진": (r"사진|인생샷|포토", {"photo_spots": 3}),
+    "조용함": (r"조용|한적|소음|시끄", {"noise_level": 3.5}),
+    "휴식": (r"휴식|쉬고|쉴|편하게|여유", {"rest_facilities": 2, "bed_comfort": 2, "seating_comfort": 1.5}),
+    "청결": (r"깨끗|청결|위생", {"cleanliness": 3, "bathroom_quality": 1}),
+    "친절": (r"친절|서비스", {"staff_service": 2.5}),
+    "공간": (r"넓은|넓었|방\s?크기|좁", {"room_size": 2.5, "seating_comfort": 1}),
+    "조식": (r"조식|아침\s?식사", {"breakfast_quality": 3}),
+    "양": (r"양이?\s?많|푸짐|배부르", {"portion": 2.5}),
+    "분위기": (r"분위기|감성|인테리어", {"atmosphere": 2.5}),
+    "즐길 거리": (r"볼거리|즐길\s?거리|체험|할\s?거리|놀거리", {"activity_variety": 3}),
+    "화장실": (r"화장실", {"toilet_facilities": 2.5}),
+    "침구": (r"침대|침구|잠자리", {"bed_comfort": 3}),
+    "웨이팅": (r"웨이팅|기다리|대기|줄\s?서|오래\s?걸", {"waiting_time": 4, "serving_speed": 1.5}),
+    "주차": (r"주차|차\s?가지고|자차|운전", {"parking_availability": 3, "parking_experience": 3}),
+    "혼잡": (r"사람\s?많|붐비|혼잡|북적", {"waiting_time": 1, "noise_level": 1.5}),
+    "날씨": (r"날씨|비\s?오|우천|더위|추위", {"weather_sensitivity": 2.5}),
+}
+COMPANION_KEYWORDS = ["부모님", "아이", "연인", "친구", "혼자"]
+
+
+def wish_weights(text: str, only: list[str] | None = None) -> tuple[dict[str, tuple[float, list[str]]], list[str]]:
+    """(aspect -> weight and the keywords behind it, keywords that the wish says do not matter) of one request.
+
+    One request is a line of text from its user, so this runs on the driver; the weights then join as a small table.
+    """
+    states = keyword_states(text, [(pattern, k) for k, (pattern, _) in KEYWORDS.items() if only is None or k in only])
+    out: dict[str, tuple[float, list[str]]] = {}
+    for keyword, negated in states:
+        for aspect, w in KEYWORDS[keyword][1].items() if not negated else ():
+            total, behind = out.get(aspect, (0.0, []))
+            out[aspect] = (total + w, [*behind, keyword])
+    return dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))), [k for k, negated in states if negated]

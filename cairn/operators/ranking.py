@@ -100,7 +100,7 @@ def ranked(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reason(strengths: Column, cautions: Column, matched: Column) -> Column:
-    """Sentence on the two foremost strengths and cautions."""
+    """Sentence on the two foremost strengths and cautions; its wording is a fixed value."""
     good, bad = (F.array_join(F.slice(c, 1, 2), ", ") for c in (strengths, cautions))
     subject = F.when(matched, F.lit("요구사항과 관련해")).otherwise(F.lit("리뷰 전반에서"))
     return (

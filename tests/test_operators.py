@@ -54,6 +54,14 @@ def test_requirements_with_negation():
     assert requirements.keyword_states("주차 상관없어요, 근데 주차장이 넓으면", rules) == [("parking", False)]
 
 
+def test_wish_weights():
+    weights, ignored = requirements.wish_weights("부모님과 조용한 곳, 주차는 상관없어요")
+    assert list(weights)[0] == "noise_level" and weights["walking_burden"] == (2.0, ["부모님"]) and ignored == ["주차"]
+    both, _ = requirements.wish_weights("아이와 계단 없이")
+    assert both["walking_burden"] == (5.5, ["아이", "걷기 부담"])
+    assert set(requirements.wish_weights("아이와 계단 없이", requirements.COMPANION_KEYWORDS)[0]) == set(requirements.KEYWORDS["아이"][1])
+
+
 def test_salvage_and_bytes():
     whole = {"traveler_context": ["solo"], "aspects": [{"category": "a"}, {"category": "b", "x": [1, {"y": "}"}]}]}
     text = json.dumps(whole)
