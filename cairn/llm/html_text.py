@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.memory import tidied
+
 # Element names of HTML, words that mark boilerplate containers, frequent function words.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -194,7 +196,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
+from cairn.llm.memory import tidied
 from cairn.session import materialize
 
 SHINGLE = 5
@@ -119,7 +120,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "ref", "th", "n", "key", "bottom", "sketch"],
             )
 
-    return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, ref long, th long, n long, key binary, bottom array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(tidied(run), "doc_id long, ref long, th long, n long, key binary, bottom array<long>, sketch binary")
 
 
 def index_lists(classes: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def forests(lists: DataFrame) -> DataFrame:
                     b_keys.append(entries[y]["key"])
             yield pa.RecordBatch.from_arrays([pa.array(a_keys, pa.binary()), pa.array(b_keys, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def spanning_pairs(n: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
@@ -250,7 +251,7 @@ def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = (
-        rows.mapInArrow(sets, "gid binary, blocks int, key binary, tokens binary").withColumn("own", own).withColumn("p", F.explode(pairs))
+        rows.mapInArrow(tidied(sets), "gid binary, blocks int, key binary, tokens binary").withColumn("own", own).withColumn("p", F.explode(pairs))
         .select("gid", "p.i", "p.j", "own", "key", "tokens")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -289,7 +290,7 @@ def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield finish()
 
-    return sorted_.mapInArrow(join, "a binary, b binary, n_links long")
+    return sorted_.mapInArrow(tidied(join), "a binary, b binary, n_links long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -314,3 +315,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n, g, md5(array_to_string(list_sort(g), chr(10))) AS k FROM s),
+cls AS (SELECT k, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS least FROM n WHERE n > 0 GROUP BY k),
+t AS (SELECT k, n, unnest(g) AS sh FROM cls),
+p AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.sh = b.sh AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT k AS a, k AS b FROM cls UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+comp AS (SELECT r.a AS k, min(c.least) AS component_id FROM reach r JOIN cls c ON c.k = r.b GROUP BY 1),
+links AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE component_id END AS component_id, coalesce(n_links, 0) AS n_links FROM n LEFT JOIN comp USING (k) LEFT JOIN links USING (k)
+"""

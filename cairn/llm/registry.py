@@ -14,4 +14,4 @@ QUERIES = {
     "op9_sentencepiece": sentencepiece_codec.op9_query,
     "op10_secret_scan": secret_scan.op10_query,
 }
-ORACLES: dict[str, str] = {"op2_url_lists": url_lists.OP2_SQL}
+ORACLES: dict[str, str] = {"op2_url_lists": url_lists.OP2_SQL, "op5_jaccard_join": jaccard_join.OP5_SQL}
