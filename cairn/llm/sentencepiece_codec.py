@@ -19,17 +19,21 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.memory import tidied
+
 # Field numbers and enum values of the public sentencepiece_model.proto.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-#: Pieces that a worker keeps with their ids; at this many it starts afresh.
-CACHE_PIECES = 500_000
+#: Pieces of a generation that a worker keeps with their ids; the one before is kept too, and what is met again moves on.
+CACHE_PIECES = 300_000
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -135,6 +139,7 @@ class Codec:
         self.by_part = plain and self.spec.model_type == BPE and self.spec.add_dummy_prefix
         self.prefix = " " if self.spec.add_dummy_prefix else ""
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.wrong: set[str] = set()  # parts without parity
         self.lossy: set[str] = set()  # parts that do not come back
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.spec.pieces]
@@ -150,7 +155,7 @@ class Codec:
             return ["\0" + text]
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
         # as the tokenizer gets them, and as the reference does, which puts the prefix itself
         own = [self.prefix + p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in parts]
         ref = [p[1:] if p[:1] == "\0" else p for p in parts]
@@ -158,32 +163,43 @@ class Codec:
         back = self.tok.decode_batch(ids, skip_special_tokens=False)
         theirs = self.reference.encode(ref, num_threads=1)
         lone = self.tok.token_to_id(SPACE)
+        new = {}
         for p, text, mine, other, again in zip(parts, own, ids, theirs, back):
             if p == "":
                 other = [lone]
             elif p[:1] == "\n":
                 other = other[self.front - 1 :]
-            self.cache[p] = np.array(mine, dtype="<i4").tobytes()
+            new[p] = np.array(mine, dtype="<i4").tobytes()
             if mine != other:
                 self.wrong.add(p)
             if again != text:
                 self.lossy.add(p)
+        return new
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.older.clear()
+        self.wrong.clear()
+        self.lossy.clear()
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text."""
         cut = [self.parts(t or "") for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-            self.wrong.clear()
-            self.lossy.clear()
-        known = self.cache
-        if missing := list({p for c in cut for p in c if p not in known}):
-            self._learn(missing)
-        get = known.__getitem__
-        out = [(np.frombuffer(b"".join(map(get, c)), dtype="<i4"), not self.wrong or self.wrong.isdisjoint(c), not self.lossy or self.lossy.isdisjoint(c)) for c in cut]
+        found = [list(map(self.cache.get, c)) for c in cut]
+        holes = [list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
+        if missing := {c[i] for c, h in zip(cut, holes) for i in h}:
+            new = {p: self.older[p] for p in missing if p in self.older}
+            if fresh := [p for p in missing if p not in new]:
+                new |= self._learn(fresh)
+            for c, f, h in zip(cut, found, holes):
+                for i in h:
+                    f[i] = new[c[i]]
+            self.cache.update((p, x) for p, x in new.items() if p[:1] != "\0")
+            if len(self.cache) > CACHE_PIECES:
+                self.older, self.cache = self.cache, {}
+        out = [(np.frombuffer(b"".join(f), dtype="<i4"), not self.wrong or self.wrong.isdisjoint(c), not self.lossy or self.lossy.isdisjoint(c)) for c, f in zip(cut, found)]
         for p in missing:  # whole texts are not worth keeping
             if p[:1] == "\0":
-                del known[p]
                 self.wrong.discard(p)
                 self.lossy.discard(p)
         return out
@@ -225,8 +241,9 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([x for x, _, _ in got], pa.list_(pa.int32())), pa.array([p for _, p, _ in got]), pa.array([r for _, _, r in got])], names=[*b.schema.names, *OWN]
                 )
+        c.forget()  # the worker may go on with another stage's work
 
-    return docs.mapInArrow(run, f"{schema}, ids array<int>, parity boolean, round_trip boolean")
+    return docs.mapInArrow(tidied(run), f"{schema}, ids array<int>, parity boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -244,7 +261,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
                 texts = iter(c.decode([x for x in got if x is not None]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else next(texts) for x in got], pa.string())], names=[*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, f"{schema}, decoded string")
+    return rows.mapInArrow(tidied(run), f"{schema}, decoded string")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
@@ -265,7 +282,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
                     names=["doc_id", "n_ids", "n_bytes", "ids_crc32", "parity", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, round_trip boolean")
 
 
 def model_path() -> str:
