@@ -21,6 +21,8 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.memory import tidied
 from cairn.session import scratch
 
 MAGIC = b"CTOK0001"
 FOOTER = 32 + 4 + 8 + 8 + len(MAGIC)
-#: Words that a worker keeps with their ids; at this many it starts afresh.
+#: Words that a worker keeps with their ids; beyond, new ones are encoded batch by batch.
 CACHE_WORDS = 700_000
 #: The dictionary is trained on at most this many documents, and on at most this many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_192, 112 * 1024
@@ -64,7 +67,9 @@ class WordEncoder:
     def packed(self, ids) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words, and of the parts that they were split into."""
+        known, new = self.cache, {}
         simple, rest, joined = [], [], {}
         for w in words:
             if w.isalpha() and w.lower().isalpha():
@@ -73,7 +78,7 @@ class WordEncoder:
             stem = w.rstrip(".,;:!?")
             if stem and stem.isalpha() and stem.lower().isalpha():
                 joined[w] = stem
-                if stem not in self.cache:
+                if stem not in known:
                     simple.append(stem)
             else:
                 rest.append(w)
@@ -87,24 +92,25 @@ class WordEncoder:
                 continue
             raw, at = self.packed(ids), [0, *(stops * self.width).tolist()]
             for w, a, b in zip(part, at, at[1:]):
-                self.cache[w] = raw[a:b]
-        for w in rest:
-            self.cache[w] = self.packed(self.tok.encode(w, add_special_tokens=False).ids)
+                new[w] = raw[a:b]
+        for w in {*rest, *(w[len(stem) :] for w, stem in joined.items())} - new.keys():
+            new[w] = known.get(w) or self.packed(self.tok.encode(w, add_special_tokens=False).ids)
         for w, stem in joined.items():
-            tail = w[len(stem) :]
-            if tail not in self.cache:
-                self.cache[tail] = self.packed(self.tok.encode(tail, add_special_tokens=False).ids)
-            self.cache[w] = self.cache[stem] + self.cache[tail]
+            new[w] = (known.get(stem) or new[stem]) + new[w[len(stem) :]]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        known = self.cache
-        if missing := {w for p in pieces for w in p if w not in known}:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        found = [list(map(self.cache.get, p)) for p in pieces]
+        holes = [list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
+        if missing := {p[i] for p, h in zip(pieces, holes) for i in h}:
+            new = self._learn(missing)
+            for p, f, h in zip(pieces, found, holes):
+                for i in h:
+                    f[i] = new[p[i]]
+            if len(self.cache) < CACHE_WORDS:
+                self.cache.update(new)
+        return [b"".join(f) for f in found]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -146,7 +152,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
         for b in it:
             yield pa.RecordBatch.from_pydict({"ids": [x[:SAMPLE_BYTES] for x in enc.encode(_texts(b.column("text")))]}, schema=pa.schema([("ids", pa.binary())]))
 
-    return _dictionary([r.ids for r in some.mapInArrow(run, "ids binary").collect() if r.ids])
+    return _dictionary([r.ids for r in some.mapInArrow(tidied(run), "ids binary").collect() if r.ids])
 
 
 def _bounds(docs: DataFrame, files: int) -> list[int]:
@@ -217,9 +223,9 @@ def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
         names, buckets, ns, tokens = zip(*done) if done else ([], [], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(buckets, pa.int32()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64())], names=["file", "bucket", "n_docs", "n_tokens"])
 
-    coded = docs.mapInArrow(encode, "bucket int, doc_id long, n_tokens long, crc long, width int, frame binary")
+    coded = docs.mapInArrow(tidied(encode), "bucket int, doc_id long, n_tokens long, crc long, width int, frame binary")
     dealt = coded.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "crc", "n_tokens")
-    dealt.mapInArrow(write, "file string, bucket int, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
+    dealt.mapInArrow(tidied(write), "file string, bucket int, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
     return spark.read.schema("file string, bucket int, n_docs long, n_tokens long").parquet(f"{out}/manifest")
 
 
@@ -277,7 +283,7 @@ def read_token_store(spark: SparkSession, out: str) -> DataFrame:
                     )
 
     n = max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))
-    return files.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(out: str, manifest: list[str], doc_id: int) -> np.ndarray | None:
