@@ -2,7 +2,7 @@
 
 1. Every whole text becomes a set of 64-bit shingle hashes; equal sets collapse to one class.
 2. Candidates: of a set the BOTTOM least hashes are kept. Two sets with a likeness of 0.75 share NEED of them (certain
-   up to BOTTOM shingles; beyond, all but about 1e-8 of pairs do), so by the prefix principle they also share one of the
+   up to BOTTOM shingles; beyond, all but about 3e-8 of pairs do), so by the prefix principle they also share one of the
    rarest BOTTOM - NEED + 1, rarity counted over the whole table. That keeps passages that many documents share out of
    the index lists. Within a list, sorted by set size, blocks of sizes too far apart are skipped by position, the others
    compared by 128-bin sketches (cut at 0.5, over 5 standard deviations below 0.75), and only a spanning forest leaves.

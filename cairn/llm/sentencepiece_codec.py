@@ -34,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Pieces of a generation that a worker keeps with their ids; the one before is kept too, and what is met again moves on.
 CACHE_PIECES = 300_000
+#: The same where ids are a stage of a pipeline, whose workers hold what other stages left, too.
+PIPELINE_PIECES = 60_000
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -127,9 +129,11 @@ def build_tokenizer(spec: Spec):
 class Codec:
     """Encodes and decodes as the model does; the dummy prefix is written into the text before normalising."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE_PIECES):
         import sentencepiece
 
+        self.keep = keep
+
         with open(path, "rb") as f:
             self.spec = parse_model(f.read())
         self.tok = build_tokenizer(self.spec)
@@ -195,7 +199,7 @@ class Codec:
                 for i in h:
                     f[i] = new[c[i]]
             self.cache.update((p, x) for p, x in new.items() if p[:1] != "\0")
-            if len(self.cache) > CACHE_PIECES:
+            if len(self.cache) > self.keep:
                 self.older, self.cache = self.cache, {}
         out = [(np.frombuffer(b"".join(f), dtype="<i4"), not self.wrong or self.wrong.isdisjoint(c), not self.lossy or self.lossy.isdisjoint(c)) for c, f in zip(cut, found)]
         for p in missing:  # whole texts are not worth keeping
@@ -217,9 +221,10 @@ class Codec:
         return out
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, keep: int = CACHE_PIECES) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
+    _codecs[path].keep = keep
     return _codecs[path]
 
 
@@ -233,7 +238,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(it: Iterator[pa.RecordBatch]):
-        c = codec(model)
+        c = codec(model, PIPELINE_PIECES)
         for whole in it:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)

@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.memory import tidied
+
 MAX_P, MAX_U, MAX_FEATURES = 5_000, 20_000, 4_000
 FOLDS = 5
 EDGES = ".,;:!?|&%#*$\"'()[]{}<>-_=+~"
 PREFIXES = (3, 4, 5, 6, 7)
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
+#: Tasks that count the sample's features; each holds those of its share.
+SAMPLE_TASKS = 48
 STEPS, RATE, DECAY = 800, 0.05, 5e-5
 
 
@@ -124,21 +128,19 @@ def _counts(sample: DataFrame, only: set[str] | None) -> DataFrame:
         seen[""] = n
         yield pa.RecordBatch.from_pydict({"feature": list(seen), "n": list(seen.values())}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64())]))
 
-    return sample.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(tidied(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     prior = prior_of(docs, labels, column)
     if not 0 < prior < 1:
         return Model({}, -50.0 if prior == 0 else 50.0, prior)
-    sample = training_sample(docs, labels, column).persist()
+    sample = training_sample(docs, labels, column).repartition(SAMPLE_TASKS).persist()
     try:
-        p = {r.feature: r.n for r in _counts(sample.where("is_p = 1"), None).where((F.col("n") >= 3) | (F.col("feature") == "")).collect()}
-        n_p = p.pop("", 0)
+        n_p = sample.where("is_p = 1").count()
         if not n_p:
             return Model({}, -50.0, prior)
-        least = max(3, n_p // 500)
-        p = {f: n for f, n in p.items() if n >= least}
+        p = {r.feature: r.n for r in _counts(sample.where("is_p = 1"), None).where((F.col("n") >= max(3, n_p // 500)) & (F.col("feature") != "")).collect()}
         u = {r.feature: r.n for r in _counts(sample.where("is_p = 0"), set(p)).collect()}
         n_u = u.pop("", 0)
         gain = {f: (n / n_p - u.get(f, 0) / max(1, n_u)) / np.sqrt((n + u.get(f, 0)) / (n_p + n_u) / n_p) for f, n in p.items()}
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
                 out = [np.array(sorted(index[f] for f in document_features(t) if f in index), dtype="<u2").tobytes() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("is_p"), pa.array(out, pa.binary())], names=["is_p", "hits"])
 
-        got = sorted((r.is_p, bytes(r.hits)) for r in sample.select("is_p", "text").mapInArrow(rows, "is_p int, hits binary").collect())
+        got = sorted((r.is_p, bytes(r.hits)) for r in sample.select("is_p", "text").mapInArrow(tidied(rows), "is_p int, hits binary").collect())
     finally:
         sample.unpersist()
     weights, bias = nnpu([np.frombuffer(h, "<u2") for y, h in got if y], [np.frombuffer(h, "<u2") for y, h in got if not y], len(chosen), prior)
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(tidied(run), f"{schema}, score double, predicted int")
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

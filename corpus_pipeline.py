@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, jaccard_join, secret_scan, sentencepiece_codec, toxicity
-from cairn.session import materialize, table
+from cairn.llm.memory import give_back
+from cairn.session import materialize, ship, table
 
 #: Rows up to which a list of documents to drop is broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -28,8 +29,15 @@ def _without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
     return _marked(docs).join(dropped, on, "left_anti").select(*docs.columns)
 
 
+def _begin(spark: SparkSession) -> None:
+    """What the driver still holds of the stage before goes first."""
+    ship(spark)
+    give_back()
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
+    _begin(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.where("predicted = 0").select(*docs.columns)
@@ -37,6 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of every connected group of 75 % alike ones."""
+    _begin(spark)
     joined = materialize(jaccard_join.jaccard_join(docs).select(F.col("ref").alias("_ref"), F.col("th").alias("_th"), "first", "n_shingles"), "groups")
     kept = _without(docs, joined.where("not first").select("_ref", "_th").distinct(), ["_ref", "_th"])
     repeated = joined.where("first and n_shingles > 0").groupBy("_ref", "_th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_ref", "_th")
@@ -48,6 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _begin(spark)
     rows = _marked(docs).select(F.col("_ref").alias("doc_id"), "text")
     leaks = materialize(decontamination.find_leaks(rows, table(spark, sf_dir, "benchmark")), "leaks")
     return _without(docs, leaks.select(F.col("doc_id").alias("_ref")).distinct(), ["_ref"])
@@ -55,6 +65,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the secrets in its text replaced; n_chars follows the text."""
+    _begin(spark)
     ratios = secret_scan.train(secret_scan.default_samples(docs))
     clean = secret_scan.redact(F.col("text"), F.col("found"))
     out = secret_scan.scan(docs, ratios).withColumn("text", F.when(F.col("text").isNotNull(), clean))
@@ -65,6 +76,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its SentencePiece ids."""
+    _begin(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
 
 
