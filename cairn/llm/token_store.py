@@ -10,14 +10,20 @@ A frame holds one document's ids, `width` bytes each (2 where the vocabulary all
 short document is read by two small seeks (footer with index, then its frame). The dictionary lies beside the files as
 `dict-<sha256>.zdict`; a reader refuses frames whose footer names another one.
 
-Edge cases: null text counts as empty (only the end id is stored); a null doc_id sorts first; repeated doc_ids are all
-kept, in the order of their token checksum; an empty table gives no file and no row; further columns are ignored.
-Tasks write under a name of their own and rename, so a task that runs twice leaves the same single file.
+The table is dealt to at most MAX_RANGES ranges of doc_id, one task each, and a task begins a new file every
+DOCS_A_FILE documents; where one doc_id (or null) fills several ranges, a hash of the text deals its rows among them.
+
+Edge cases: null text counts as empty (only the end id is stored); strings of added tokens in a text are these tokens, as
+the library has it; a null doc_id sorts first; repeated doc_ids are all kept, in an order of their range, then their
+token checksum; an empty table gives no file and no row; further columns are ignored.
+Tasks write under a name of their own and rename, so a task that runs twice leaves the same files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,33 +46,68 @@ FOOTER = 32 + 4 + 8 + 8 + len(MAGIC)
 CACHE_WORDS = 700_000
 #: The dictionary is trained on at most this many documents, and on at most this many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_192, 112 * 1024
-DOCS_A_FILE = 12_288
+DOCS_A_FILE, MAX_RANGES = 12_288, 32_768
+#: Normalisers that work character by character or on neighbours within a word, and pre-tokenizers that split at white space.
+LOCAL_NORMALISERS = frozenset({"NFC", "NFD", "Lowercase", "StripAccents"})
+SPLITTERS = frozenset({"WhitespaceSplit", "Whitespace", "BertPreTokenizer"})
+#: Patterns of a Split pre-tokenizer, none of whose matches can hold white space, that drop all between the matches.
+SPLIT_PATTERNS = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
+
+MANIFEST = "file string, bucket long, number long, n_docs long, n_tokens long, first_id long, last_id long"
+NULL_ID = -(1 << 63)
+
+_encoders: dict[str, "WordEncoder"] = {}
 
-_encoders: dict[tuple, "WordEncoder"] = {}
+
+def splits_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer (as parsed JSON) is known to drop white space and never to merge across it."""
+    normaliser = tokenizer.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    for n in normaliser.get("normalizers", [normaliser]):
+        spaces = n["type"] == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " "
+        if n["type"] not in LOCAL_NORMALISERS and not spaces:
+            return False
+    splitter = tokenizer.get("pre_tokenizer") or {"type": None}
+    first = (splitter.get("pretokenizers") or [splitter])[0]
+    if first["type"] == "Split":
+        return first["pattern"].get("Regex") in SPLIT_PATTERNS and first["behavior"] == "Removed" and first["invert"]
+    return first["type"] in SPLITTERS
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, computed once per distinct space-separated piece.
 
-    Valid where the tokenizer drops white space and never merges across it (the pre-tokenizer splits there). Letters
-    followed by one run of ASCII punctuation are looked up as two pieces, which that pre-tokenizer also separates.
+    That is done where the tokenizer's settings say that it splits at white space (splits_at_spaces), and for texts
+    without an added token (as `<|endoftext|>`); the library gets the others whole. Letters followed by one run of ASCII
+    punctuation are looked up as two pieces, where the pre-tokenizer separates these too.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        added = settings.get("added_tokens") or []
+        self.added = frozenset(t["id"] for t in added)
+        # an added token of letters might be met where pieces are joined or cut
+        self.by_word = splits_at_spaces(settings) and not any(not t["content"].strip() or t["content"].split() != [t["content"]] or t["content"].isalpha() for t in added)
+        splitter = settings.get("pre_tokenizer") or {}
+        first = (splitter.get("pretokenizers") or [splitter])[0]
+        self.by_stem = first.get("type") in ("Split", "Whitespace", "BertPreTokenizer") and not any(re.fullmatch(r"[^\W\d_]*[.,;:!?]*", t["content"]) for t in added)
         vocab = self.tok.get_vocab()
         self.width = 2 if max(vocab.values(), default=0) < 1 << 16 else 4
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
         self.cache: dict[str, bytes] = {"": b""}
+        self.with_added: set[str] = set()  # pieces that hold an added token: the few texts with one are encoded whole
 
     def packed(self, ids) -> bytes:
         return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of the words, and of the parts that they were split into."""
         known, new = self.cache, {}
@@ -75,7 +116,7 @@ class WordEncoder:
             if w.isalpha() and w.lower().isalpha():
                 simple.append(w)
                 continue
-            stem = w.rstrip(".,;:!?")
+            stem = w.rstrip(".,;:!?") if self.by_stem else ""
             if stem and stem.isalpha() and stem.lower().isalpha():
                 joined[w] = stem
                 if stem not in known:
@@ -94,12 +135,21 @@ class WordEncoder:
             for w, a, b in zip(part, at, at[1:]):
                 new[w] = raw[a:b]
         for w in {*rest, *(w[len(stem) :] for w, stem in joined.items())} - new.keys():
-            new[w] = known.get(w) or self.packed(self.tok.encode(w, add_special_tokens=False).ids)
+            if (had := known.get(w)) is None:
+                ids = self.tok.encode(w, add_special_tokens=False).ids
+                had = self.packed(ids)
+                if not self.added.isdisjoint(ids):
+                    self.with_added.add(w)
+            new[w] = had
         for w, stem in joined.items():
             new[w] = (known.get(stem) or new[stem]) + new[w[len(stem) :]]
+            if w[len(stem) :] in self.with_added:
+                self.with_added.add(w)
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         found = [list(map(self.cache.get, p)) for p in pieces]
         holes = [list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
@@ -110,7 +160,12 @@ class WordEncoder:
                     f[i] = new[p[i]]
             if len(self.cache) < CACHE_WORDS:
                 self.cache.update(new)
-        return [b"".join(f) for f in found]
+        if not self.with_added:
+            return [b"".join(f) for f in found]
+        out = [b"".join(f) if self.with_added.isdisjoint(p) else self.whole(t) for t, p, f in zip(texts, pieces, found)]
+        if len(self.with_added) > 10_000:  # what is not kept is learnt anew
+            self.with_added &= self.cache.keys()
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -155,25 +210,33 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     return _dictionary([r.ids for r in some.mapInArrow(tidied(run), "ids binary").collect() if r.ids])
 
 
-def _bounds(docs: DataFrame, files: int) -> list[int]:
-    """Inner bounds of doc_id that cut the table into about `files` equal ranges."""
-    if files < 2:
+def _bounds(docs: DataFrame, ranges: int) -> list[int]:
+    """Inner bounds of doc_id that cut the table into about `ranges` equal ranges; a doc_id that fills several repeats."""
+    if ranges < 2:
         return []
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files)
-    return sorted({int(c) for c in cuts})
+    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("i"))
+    return sorted(int(c) for c in ids.approxQuantile("i", [i / ranges for i in range(1, ranges)], 0.1 / ranges))
 
 
-def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, docs_a_file: int = DOCS_A_FILE) -> DataFrame:
+def _range_of(ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> np.ndarray:
+    """The range of each document; a checksum of the text deals those of a doc_id that several bounds name."""
+    first, last = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    for k in np.flatnonzero(last - first > 1).tolist():
+        first[k] += zlib.crc32(texts[k].encode("utf-8", "surrogatepass")) % int(last[k] - first[k] + 1)
+    return first.astype(np.int32)
+
+
+def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, docs_a_file: int = DOCS_A_FILE, max_ranges: int = MAX_RANGES) -> DataFrame:
     """Encode `docs` (doc_id, text), write the files under `out` and return the manifest, one row per file."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = train_dictionary(docs, tokenizer_path)
     digest = hashlib.sha256(raw).hexdigest()
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dict-{digest}.zdict") as f:
         f.write(raw)
-    bounds = np.array(_bounds(docs, -(-docs.count() // docs_a_file)), dtype=np.int64)
+    bounds = np.array(_bounds(docs, min(max_ranges, -(-docs.count() // docs_a_file))), dtype=np.int64)
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("width", pa.int32()), ("frame", pa.binary())])
 
     def encode(it):
@@ -181,35 +244,35 @@ def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
         zip_ = zstandard.ZstdCompressor(level=3, dict_data=_as_dict(raw))
         end = enc.packed([end_id])
         for b in _batches(it):
-            ids = [x + end for x in enc.encode(_texts(b.column("text")))]
-            doc = b.column("doc_id").cast(pa.int64())
-            bucket = np.searchsorted(bounds, np.asarray(doc.fill_null(np.iinfo(np.int64).min)), side="left").astype(np.int32)
+            texts = _texts(b.column("text"))
+            ids = [x + end for x in enc.encode(texts)]
+            doc = b.column("doc_id")
+            bucket = _range_of(np.asarray(doc.fill_null(NULL_ID)), texts, bounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket), doc, pa.array([len(x) // enc.width for x in ids]), pa.array([zlib.crc32(x) for x in ids]), pa.array([enc.width] * len(ids), pa.int32()), pa.array([zip_.compress(x) for x in ids], pa.binary())],
                 schema=schema,
             )
 
     def write(it):
-        done = []
-        state = None
+        fs, root = pafs.FileSystem.from_uri(out)
+        done, state, bucket = [], None, None
 
         def close():
             name, tmp, sink, ids, known, counts, offsets, width = state
-            n = len(ids)
-            index = offsets[-1]
             sink.write(np.array(ids, dtype="<i8").tobytes() + np.array(known, dtype="u1").tobytes() + np.array(counts, dtype="<u4").tobytes() + np.array(offsets, dtype="<u8").tobytes())
-            sink.write(bytes.fromhex(digest) + np.array([width], dtype="<u4").tobytes() + np.array([index, n], dtype="<u8").tobytes() + MAGIC)
+            sink.write(bytes.fromhex(digest) + np.array([width], dtype="<u4").tobytes() + np.array([offsets[-1], len(ids)], dtype="<u8").tobytes() + MAGIC)
             sink.close()
             fs.move(tmp, f"{root}/{name}")
-            done.append((name, int(name[5:13]), n, int(sum(counts))))
+            some = [i for i, k in zip(ids, known) if k]  # in order
+            done.append((name, bucket, number, len(ids), int(sum(counts)), some[0] if some else None, some[-1] if some else None))
 
-        fs, root = pafs.FileSystem.from_uri(out)
         for b in it:
-            for bucket, doc, count, width, frame in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "n_tokens", "width", "frame"))):
-                name = f"part-{bucket:08d}.tok"
-                if state is None or state[0] != name:
+            for k, doc, count, width, frame in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "n_tokens", "width", "frame"))):
+                if state is None or k != bucket or len(state[3]) >= docs_a_file:
                     if state is not None:
                         close()
+                    bucket, number = k, number + 1 if k == bucket else 0
+                    name = f"part-{k:06d}-{number:06d}.tok"
                     tmp = f"{root}/.{name}.{uuid.uuid4().hex}"
                     state = (name, tmp, fs.open_output_stream(tmp), [], [], [], [len(MAGIC)], width)
                     state[2].write(MAGIC)
@@ -220,13 +283,13 @@ def write_token_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
                 state[6].append(state[6][-1] + len(frame))
         if state is not None:
             close()
-        names, buckets, ns, tokens = zip(*done) if done else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(buckets, pa.int32()), pa.array(ns, pa.int64()), pa.array(tokens, pa.int64())], names=["file", "bucket", "n_docs", "n_tokens"])
+        cols = list(zip(*done)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["file", "bucket", "number", "n_docs", "n_tokens", "first_id", "last_id"])
 
     coded = docs.mapInArrow(tidied(encode), "bucket int, doc_id long, n_tokens long, crc long, width int, frame binary")
     dealt = coded.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "crc", "n_tokens")
-    dealt.mapInArrow(tidied(write), "file string, bucket int, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
-    return spark.read.schema("file string, bucket int, n_docs long, n_tokens long").parquet(f"{out}/manifest")
+    dealt.mapInArrow(tidied(write), MANIFEST).write.parquet(f"{out}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 class Reader:
@@ -264,9 +327,10 @@ class Reader:
 
 def read_token_store(spark: SparkSession, out: str) -> DataFrame:
     """Every document of the store: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32."""
-    manifest = spark.read.schema("file string, bucket int, n_docs long, n_tokens long").parquet(f"{out}/manifest")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens")).select("bucket", before(Window.orderBy("bucket")).alias("of_range"))  # MAX_RANGES rows at most
+    files = manifest.withColumn("of_file", before(Window.partitionBy("bucket").orderBy("number"))).join(F.broadcast(ranges), "bucket").withColumn("base", F.col("of_range") + F.col("of_file"))
 
     def read(it):
         fs, root = pafs.FileSystem.from_uri(out)
@@ -286,10 +350,11 @@ def read_token_store(spark: SparkSession, out: str) -> DataFrame:
     return files.repartition(n).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def fetch(out: str, manifest: list[str], doc_id: int) -> np.ndarray | None:
-    """The ids of one document, by the indexes of the named files; None where no file has it."""
+def fetch(spark: SparkSession, out: str, doc_id: int) -> np.ndarray | None:
+    """The ids of one document, by the manifest and the index of its file; None where no file has it."""
+    named = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
     fs, root = pafs.FileSystem.from_uri(out)
-    for name in manifest:
+    for name in [r.file for r in named.orderBy("bucket", "number").limit(1).collect()]:
         r = Reader(fs, root, name)
         if len(at := np.flatnonzero((r.doc_id == doc_id) & r.known)):
             return next(r.ids(int(at[0])))
