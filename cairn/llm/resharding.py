@@ -3,17 +3,21 @@
 Rows live in old shards; every old shard is cut into blocks by a hash of the text, so equal texts share a block. From
 the bytes of each old shard and the capacities of the new ones, a minimum-cost flow (cost 0 to stay, 1 a byte to move)
 says how many bytes go from where to where; blocks are then dealt to these transfers, largest first, and move whole.
-A large block, as one of many copies, is measured and numbered in parts (a hash of doc_id); its parts stay together
-unless the block exceeds a shard's capacity, so all other groups of equal texts share a shard. Only
-shards that give or take rows are rewritten; the others keep their files.
 
-What reaches the driver is one row per block: at most old shards times BLOCKS, whatever the input.
+A block of more than LARGE of a shard's capacity is cut finer. Its large texts (there are few: their bytes bound their
+number) become units of their own, the rest is cut by another hash of the text, so every group of equal texts still moves
+as one. Only a text whose copies in an old shard exceed a whole shard is cut by a hash of doc_id.
+Only shards that give or take rows are rewritten; the others keep their files.
 
-Law `bytes`: the shards' sizes are near equal, up to about one block (a block is about 1/BLOCKS of an old shard, but
-never less than one document).
+What reaches the driver is one row per block, at most old shards times MAX_BLOCKS, and those of the large blocks' cuts.
+The number of blocks grows with the rows, so that slots are numbered within blocks of a few thousand rows.
 
-Edge cases: null text has size 1 and the crc of no bytes; null or repeated doc_ids are placed like any other; an empty
-table gives no row; columns named like the operator's own are replaced by them.
+Law `bytes`: the shards' sizes are near equal, up to about one unit (a unit is about LARGE of a shard at most, but never
+less than one group of equal texts, and that never more than a shard).
+
+Edge cases: null text has size 1 and the crc of no bytes, and counts as the empty text where groups are concerned; null or
+repeated doc_ids are placed like any other; an empty table gives no row; columns named like the operator's own are
+replaced by them.
 """
 
 from __future__ import annotations
@@ -26,20 +30,29 @@ from pyspark.sql import functions as F
 
 from cairn.session import scratch
 
-#: Blocks of an old shard; the bound of the table of blocks on the driver.
-BLOCKS = 1_024
-#: A block of more than LARGE of a shard's capacity is numbered in parts of about PART of it.
+#: Blocks of an old shard, by its rows, and the bound of the table of blocks on the driver.
+LEAST_BLOCKS, MAX_BLOCKS, ROWS_A_BLOCK = 1_024, 65_536, 4_096
+#: A block of more than LARGE of a shard's capacity is cut into units of about PART of it.
 LARGE, PART = 1 / 16, 1 / 64
 OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block", "part")
 
 
+@dataclass
+class Cuts:
+    """How an old shard is cut: blocks by a hash of the text, and what is cut finer."""
+
+    blocks: int
+    texts: dict[tuple[int, int, int], int]  # (old shard, block, text hash) of large texts -> pieces by doc_id, 1 if whole
+    parts: dict[tuple[int, int], int]  # (old shard, block) -> parts by another hash of the text
+
+
 @dataclass
 class Plan:
     capacity: list[int]
     flow: np.ndarray  # bytes from old shard to new
     target: dict[tuple[int, int, int], int]  # (old shard, block, part) -> new shard
-    base: dict[tuple[int, int, int], int]  # first slot of the block in its new shard
-    parts: dict[tuple[int, int], int]  # blocks that are cut, and into how many parts
+    base: dict[tuple[int, int, int], int]  # first slot of the unit in its new shard
+    cuts: Cuts
     moved: int
 
     def affected(self) -> list[int]:
@@ -96,53 +109,69 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def place_in_blocks(docs: DataFrame, old_shard: Column, parts: dict[tuple[int, int], int] | None = None) -> DataFrame:
-    """docs with size, old_shard, block and part."""
-    cut = [F.when((F.col("old_shard") == o) & (F.col("block") == b), F.pmod(F.xxhash64("doc_id", "text"), F.lit(k))) for (o, b), k in sorted((parts or {}).items())]
-    return (
+def place_in_blocks(docs: DataFrame, old_shard: Column, cuts: Cuts) -> DataFrame:
+    """docs with size, old_shard, block and part: 0 in whole blocks, else a part of the block or a piece of a large text."""
+    placed = (
         docs.select(*[c for c in docs.columns if c not in OWN])
         .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
         .withColumn("old_shard", old_shard.cast("int"))
-        .withColumn("block", F.pmod(F.shiftrightunsigned(text_hash(), 24), F.lit(BLOCKS)).cast("int"))
-        .withColumn("part", F.coalesce(*cut, F.lit(0)).cast("int") if cut else F.lit(0))
+        .withColumn("block", F.pmod(F.shiftrightunsigned(text_hash(), 24), F.lit(cuts.blocks)).cast("int"))
     )
+    part = F.lit(0)
+    for (o, b), k in sorted(cuts.parts.items()):  # few: each is LARGE of a shard
+        first, inner = 1 + k, F.pmod(F.xxhash64(text_hash()), F.lit(k)) + 1
+        for (ot, bt, h), pieces in sorted(cuts.texts.items()):
+            if (ot, bt) == (o, b):
+                inner = F.when(text_hash() == h, F.lit(first) + (F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)) if pieces > 1 else 0)).otherwise(inner)
+                first += pieces
+        part = F.when((F.col("old_shard") == o) & (F.col("block") == b), inner).otherwise(part)
+    return placed.withColumn("part", part.cast("int"))
 
 
 def _measure(placed: DataFrame) -> list[tuple[int, int, int, int, int]]:
     return [tuple(r) for r in placed.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("old_shard", "block", "part").collect()]
 
 
+def blocks_for(rows: int, old_shards: int) -> int:
+    blocks = LEAST_BLOCKS
+    while blocks < MAX_BLOCKS and rows > blocks * old_shards * ROWS_A_BLOCK:
+        blocks *= 2
+    return blocks
+
+
 def plan_transfers(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int) -> Plan:
     """The transfers that make the sizes of the new shards near equal and move the fewest bytes."""
-    rows = _measure(place_in_blocks(docs, old_shard))
+    cuts = Cuts(blocks_for(docs.count(), old_shards), {}, {})
+    placed = place_in_blocks(docs, old_shard, cuts)
+    rows = _measure(placed)
     total = sum(r[3] for r in rows)
     capacity = [total // new_shards + (i < total % new_shards) for i in range(new_shards)]
     most = max(capacity, default=0)
-    parts = {(o, b): int(-(-size // max(1, int(most * PART)))) for o, b, _, size, n in rows if size > most * LARGE and n > 1}
-    if parts:
-        rows = _measure(place_in_blocks(docs, old_shard, parts))
+    piece = max(1, int(most * PART))
+    large = {(o, b): size for o, b, _, size, n in rows if size > most * LARGE and n > 1}
+    if large:
+        in_large = F.concat_ws(":", "old_shard", "block").isin([f"{o}:{b}" for o, b in sorted(large)])
+        texts = placed.where(in_large).groupBy("old_shard", "block", text_hash().alias("h")).agg(F.sum("size").alias("size")).where(F.col("size") > piece)
+        for o, b, h, size in (tuple(r) for r in texts.collect()):  # no more than old shards' bytes over a piece's
+            cuts.texts[o, b, h] = -(-size // piece) if size > most else 1
+            large[o, b] -= size
+        cuts.parts.update({k: max(1, -(-rest // piece)) for k, rest in large.items()})
+        rows = _measure(place_in_blocks(docs, old_shard, cuts))
     supply = [sum(r[3] for r in rows if r[0] == o) for o in range(old_shards)]
     cost = np.ones((old_shards, new_shards)) - np.eye(old_shards, new_shards)
     flow = min_cost_flow(supply, capacity, cost)
-    whole: dict[tuple[int, int], int] = {}
-    for o, b, _, size, _ in rows:
-        whole[o, b] = whole.get((o, b), 0) + size
-    units: dict[tuple, list[tuple[int, int, int]]] = {}  # what moves as one: a block, or a part of one that no shard can hold
-    for o, b, p, _, _ in rows:
-        units.setdefault((o, b, p if whole[o, b] > most else -1), []).append((o, b, p))
-    weight = {u: whole[u[:2]] if u[2] < 0 else next(r[3] for r in rows if r[:3] == u) for u in units}
+    weight = {r[:3]: r[3] for r in rows}  # units, which move whole
     owed = flow.astype(np.float64)
-    goes = {}
-    for u in sorted(units, key=lambda u: (-weight[u], u)):
-        goes[u] = int(owed[u[0]].argmax())
-        owed[u[0], goes[u]] -= weight[u]
-    _even_out(weight, goes, capacity)
-    target = {k: goes[u] for u, ks in units.items() for k in ks}
+    target = {}
+    for u in sorted(weight, key=lambda u: (-weight[u], u)):
+        target[u] = int(owed[u[0]].argmax())
+        owed[u[0], target[u]] -= weight[u]
+    _even_out(weight, target, capacity)
     base, next_slot = {}, [0] * new_shards
     for o, b, p, _, n in sorted(rows):
         base[o, b, p] = next_slot[target[o, b, p]]
         next_slot[target[o, b, p]] += n
-    return Plan(capacity, flow, target, base, parts, sum(r[3] for r in rows if target[r[:3]] != r[0]))
+    return Plan(capacity, flow, target, base, cuts, sum(r[3] for r in rows if target[r[:3]] != r[0]))
 
 
 def _even_out(weight: dict, goes: dict, capacity: list[int]) -> None:
@@ -152,7 +181,7 @@ def _even_out(weight: dict, goes: dict, capacity: list[int]) -> None:
     for u, n in goes.items():
         over[n] += weight[u]
         held[n].append(u)
-    for _ in range(4 * len(capacity)):
+    for _ in range(64 * len(capacity)):
         a, b = int(np.argmax(over)), int(np.argmin(over))
         want = min(over[a], -over[b])
         fit = [u for u in held[a] if 0 < weight[u] <= want]
@@ -175,7 +204,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     spark = docs.sparkSession
     plan = plan_transfers(docs, old_shard, old_shards, new_shards)
     where = spark.createDataFrame([(*k, n, plan.base[k]) for k, n in plan.target.items()], "old_shard int, block int, part int, shard int, base long")
-    placed = place_in_blocks(docs, old_shard, plan.parts).join(F.broadcast(where), ["old_shard", "block", "part"])  # old_shards * BLOCKS rows and few parts
+    placed = place_in_blocks(docs, old_shard, plan.cuts).join(F.broadcast(where), ["old_shard", "block", "part"])  # old shards times MAX_BLOCKS rows and few cuts
     affected = plan.affected() if in_place else list(range(new_shards))
     placed.where(F.col("shard").isin(affected)).write.partitionBy("shard").parquet(out)
     schema = placed.schema
@@ -186,7 +215,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
 
 def with_slots(stored: DataFrame) -> DataFrame:
-    """The place of each row in its shard: blocks one after the other, rows of a block by doc_id."""
+    """The place of each row in its shard: units one after the other, rows of a unit by doc_id."""
     light = stored.select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "old_shard", "block", "part", "base",
     )

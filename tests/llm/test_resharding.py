@@ -55,11 +55,47 @@ def test_hot_group_nulls_and_clashing_columns(spark):
     stored, plan = resharding.reshard(docs, F.pmod(resharding.text_hash(), F.lit(3)), 3, 5, out)
     got = resharding.with_slots(stored).collect()
     check(rows, got, 5)
-    assert plan.parts
+    assert plan.cuts.texts
     empty, _ = resharding.reshard(docs.limit(0), F.lit(0), 3, 5, scratch(spark, "s"))
     assert resharding.with_slots(empty).collect() == []
 
 
+def homes_of(rows, got):
+    """The shards of every text, by crc (small tables: no two texts share one)."""
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    return {t: homes[zlib.crc32((t or "").encode())] for _, t in rows}
+
+
+def test_small_groups_beside_a_hot_one_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(resharding, "LEAST_BLOCKS", 2)  # all small groups share a block with a large text
+    rng = np.random.default_rng(5)
+    texts = ["hot " * 20] * 4000 + ["large " * 30] * 120 + [f"group {k} " * int(rng.integers(1, 9)) for k in range(150) for _ in range(20)] + [None] * 30 + [""] * 30
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stored, plan = resharding.reshard(docs, F.pmod(resharding.text_hash(), F.lit(3)), 3, 8, scratch(spark, "s"))
+    got = resharding.with_slots(stored).collect()
+    check(rows, got, 8)
+    homes = homes_of(rows, got)
+    assert len(homes["hot " * 20]) > 2 and all(len(h) == 1 for t, h in homes.items() if not (t or "").startswith("hot")) and homes[None] == homes[""]
+    sizes = [sum(r.size for r in got if r.shard == n) for n in range(8)]
+    assert max(sizes) / min(sizes) < 1.1, sizes
+
+
+def test_twenty_copies_beside_a_hot_group(spark):
+    rows = [(i, "hot text of many copies") for i in range(2000)] + [(5000 + i, f"twenty copies {i % 5}") for i in range(100)]
+    stored, _ = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0), 1, 10, scratch(spark, "s"))
+    got = resharding.with_slots(stored).collect()
+    check(rows, got, 10)
+    homes = homes_of(rows, got)
+    assert all(len(homes[f"twenty copies {k}"]) == 1 for k in range(5)) and len(homes["hot text of many copies"]) > 5
+
+
+def test_blocks_grow_with_the_rows():
+    assert resharding.blocks_for(10**5, 12) == resharding.LEAST_BLOCKS and resharding.blocks_for(10**9, 12) == 32768 and resharding.blocks_for(10**12, 12) == resharding.MAX_BLOCKS
+
+
 def test_only_affected_shards_are_rewritten(spark, tmp_path):
     # shards 0 and 1 hold many rows, 2 and 3 their share: those keep their files
     rows = [(i, f"text number {i:06d}", n) for n, count in enumerate([500, 300, 400, 400]) for i in range(10_000 * n, 10_000 * n + count)]
