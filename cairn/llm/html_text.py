@@ -1,14 +1,20 @@
 """Operator 6, main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides each block by where it stands (navigation, footer,
-form, advert, comment containers are boilerplate), its link density, its length and its stop-word density. Pass two
-gives every ambiguous short block the label of its nearest decided neighbours. Where a page marks its article
-(`article`, `main` or those roles), blocks inside that are not link lists count as decided by their container, however
-short, and blocks outside do not count; a page without such a mark is decided by the densities alone.
-
-Edge cases: null or empty html gives an empty text; unclosed tags, comments and scripts run to the end of the page;
-repeated rows each get their own result; an empty table gives no row; further columns of the input are kept out of the
-result, save url. White space is what Python's str.split() splits at, character references are those of HTML 5.
+A page is cut into blocks at block-level tags. Pass one scores each block: stop-word density, length and link density
+speak for or against it, a mark of the article (`article`, `main`, those roles) around it is worth one point, a class or
+id name that hints at boilerplate costs one. A block with enough points is good, one with too few bad, a short one mostly
+open. Pass two gives every open block the label of its nearest decided neighbour, where leaving a container counts as
+distance; two sweeps do that. Menus, footers, asides, forms and containers named as such are decided as they stand.
+
+Marks of articles are believed as far as the densities bear them out: teasers with a fraction of the largest one's text
+are not the article, and a mark is ignored where the text found by densities outside is far longer. Where it is believed,
+blocks outside are bad, and open blocks inside hear only neighbours inside, and count as good if none is decided. Stop words
+are English, German, French and Spanish ones; on pages that hardly have any, long blocks with few links count as text.
+
+Edge cases: null or empty html gives an empty text; unclosed comments and scripts run to the end of the page; a tag with
+an unclosed quote ends at its first `>`; repeated rows each get their own result; an empty table gives no row; further
+columns of the input are kept out of the result, save url. White space is what Python's str.split() splits at, character
+references are those of HTML 5.
 """
 
 from __future__ import annotations
@@ -31,13 +37,17 @@ BLOCK_TAGS = frozenset(
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table tbody td tr ul li p span a button select svg object iframe canvas video audio map noscript label".split())
 RAW_TAGS = ("script", "style", "textarea", "template", "noscript", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog select button fieldset object canvas video audio map".split())
-BOILERPLATE_WORDS = frozenset(
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of containers that are boilerplate where the whole name says so, alone or with words of place and form.
+BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners promo promos promoted promotion sponsor sponsored sponsors "
-    "nav navbar navigation navi menu menus breadcrumb breadcrumbs crumb crumbs pager pagination paging toolbar topbar masthead footer foot colophon copyright "
-    "sidebar sidebars rail widget widgets cookie cookies consent gdpr ccpa notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login signin register paywall "
-    "share sharing social follow related recommended recommendations trending comment comments commentlist commenters reply replies respond disqus discussion "
-    "search skip skiplink toc legal disclaimer".split()
+    "nav navbar navigation navi menu menus breadcrumb breadcrumbs pager pagination toolbar topbar masthead footer colophon copyright "
+    "sidebar sidebars cookie cookies consent gdpr ccpa notice notices popup modal overlay newsletter subscribe subscription signup login signin paywall "
+    "share sharing social related recommended recommendations comment comments commentlist commenters replies respond disqus skiplink".split()
 )
+PLACE_WORDS = frozenset("area bar bottom box block body button buttons col column container content group header icon icons inner item items left link links list main outer page panel post right row section site slot the title top unit widget widgets wrap wrapper".split())
+#: Words that only cost a point where they are part of another name.
+HINTS = BOILERPLATE_NAMES | frozenset("crumb crumbs paging foot rail widget widgets alert alerts register follow trending reply discussion search skip toc legal disclaimer".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he i this are or his from at which but have an they you were her she there been one all we their has would when if so no "
@@ -45,10 +55,21 @@ STOP_WORDS = frozenset(
     "le la les de des du et en un une que qui dans pour sur est pas par au aux avec ce il elle se ne plus son sa ses ou mais nous vous on leur cette sont ont été "
     "el los las del y que se por un una con no para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos es".split()
 )
-#: Thresholds of pass one, in characters and shares.
-SHORT, STOPS_GOOD, STOPS_NEAR, LINKS_MOST, LINKS_IN_ARTICLE = 70, 0.30, 0.12, 0.34, 0.66
+EDGES = ".,;:!?|&%#*$\"'()[]{}<>-_=+~/\\…“”„«»’"
+#: Thresholds of pass one, in characters and shares; below NO_STOPS a long block, or a page, hardly has stop words.
+SHORT, STOPS_GOOD, STOPS_NEAR, NO_STOPS, LINKS_MOST, LINKS_IN_ARTICLE = 70, 0.20, 0.08, 0.03, 0.34, 0.66
+#: Points from which a block is good, and up to which it is bad.
+GOOD, BAD = 2, -1
+#: Distance of leaving or entering a container in pass two, and of a heading to what comes before it.
+BOUNDARY, BEFORE_HEADING = 2, 3
+#: An article of less than this share of the largest one's text is a teaser; marks with less than the other of the text outside are ignored.
+TEASER, BELIEVED = 0.2, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+# a tag: with quoted values without `<`; with any quoted values that something proper follows; or up to the first `>`
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:([^>\"']*(?:(?:\"[^\"<]*\"|'[^'<]*')[^>\"']*)*)>|([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')(?=[\s/>])[^>\"']*)*)>|([^>]*)>)|<[!?/][^>]*>",
+    re.S,
+)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -57,39 +78,49 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Block:
     text: str
     linked: int
-    boilerplate: bool
-    in_article: bool
+    boilerplate: bool  # by the container that it stands in
+    hints: int  # names of containers around it that cost a point
+    article: int  # number of the marked article that it stands in, 0 outside
+    heading: bool = False
+    listed: bool = False
+    gap: int = 0  # containers left and entered since the block before
     label: str = field(default="")
+    why: str = field(default="")  # container, density or neighbour
 
 
-def _hints(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is a boilerplate container, and whether it marks the article."""
+def _hints(tag: str, attrs: str) -> tuple[bool, int, bool]:
+    """Whether the element is a boilerplate container, the points that its names cost, and whether it marks an article."""
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
     role = found.get("role", "")
     article = tag in ("article", "main") or role in ("article", "main") or found.get("itemprop") == "articlebody"
     bad = tag in BOILERPLATE_TAGS or bool(set(role.split()) & BOILERPLATE_ROLES) or "hidden" in found or found.get("aria-hidden") == "true"
-    if not bad and tag not in ("html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
+    hint = 0
+    if not bad and tag not in ("html", "body", "article", "main", "p", *HEADINGS):
         for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-            parts = [x for x in _SPLIT.split(name) if x]
-            # `with-sidebar` and the like describe a layout that has one, they are not one
-            if parts and not set(parts) & {"with", "has", "no", "without"} and (parts[0] in BOILERPLATE_WORDS or parts[-1] in BOILERPLATE_WORDS):
-                bad = True
-    return bad, article
+            parts = {x for x in _SPLIT.split(name) if x and not x.isdigit()}
+            if not parts & HINTS or parts & {"with", "has", "no", "without"}:  # `with-sidebar` describes a layout that has one
+                continue
+            bad = bad or bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | PLACE_WORDS
+            hint = 1
+    return bad, hint, article
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, in article: each with what encloses it
+    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, hints, article: each with what encloses it
     parts: list[str] = []
-    linked = links = breaks = 0
-    bad = article = False
+    linked = links = breaks = gap = articles = 0
+    outside = (False, 0, 0)
+    now = outside  # boilerplate, hints, article
+    inside = ""  # the block-level tag that the text is in
 
     def close():
-        nonlocal linked, breaks
+        nonlocal linked, breaks, gap
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), bad, article))
+            out.append(Block(text, min(linked, len(text)), *now, inside in HEADINGS, inside in ("li", "td", "dd", "dt"), gap))
+            gap = 0
         parts.clear()
         linked = breaks = 0
 
@@ -117,8 +148,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             close()
+            inside = "" if m[1] else tag
         if not m[1]:
+            attrs = m[3] if m[3] is not None else m[4] if m[4] is not None else m[5]
+            closed = attrs.endswith("/")
             if tag in RAW_TAGS:
+                if closed and tag in ("svg", "math"):
+                    continue
                 low = low or page.lower()
                 end = low.find(f"</{tag}", at)
                 if end < 0:
@@ -127,59 +163,103 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag == "a":
                 links = 1
-            if tag in CONTAINERS and not m[3].endswith("/") and not (tag in ("p", "li", "td", "tr", "a", "span") and not m[3].strip()):
-                b, a = _hints(tag, m[3])
-                if tag == "header" and not article:
-                    b = True
+            if tag in CONTAINERS and not closed and not (tag in ("p", "li", "td", "tr", "a", "span") and not attrs.strip()):
+                bad, hint, article = _hints(tag, attrs)
+                if tag == "header" and not now[2]:
+                    bad = True
+                around = stack[-1][1:] if stack else outside
                 if tag in ("p", "li", "td", "tr"):  # their end tags may be left out
                     while stack and stack[-1][0] == tag:
                         stack.pop()
-                    if not b:
-                        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    around = stack[-1][1:] if stack else outside
+                    if not bad and not hint:
+                        now = around
                         continue
-                stack.append((tag, bad := (stack[-1][1] if stack else False) or b, article := (stack[-1][2] if stack else False) or a))
+                elif tag not in ("a", "span"):
+                    gap += 1
+                if article and around[2]:
+                    hint, article = hint + (tag == "article"), tag == "article" and any(t[0] == "main" for t in stack) and not any(t[0] == "article" for t in stack)
+                    hint -= article  # an article in an article may be a reader's comment, one in `main` is the article
+                articles += article
+                now = (around[0] or bad, around[1] + hint, articles if article else around[2])
+                stack.append((tag, *now))
         else:
             if tag == "a":
                 links = 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    gap += sum(t[0] not in ("p", "li", "td", "tr", "a", "span") for t in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] in ("article", "main", "body") and tag in ("p", "a", "span", "li"):
                     break
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            now = stack[-1][1:] if stack else outside
     close()
     return out
 
 
+def _stops(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(EDGES) in STOP_WORDS for w in words), len(words)
+
+
 def classify(blocks: list[Block]) -> None:
     """Set the label of every block to good or bad."""
-    marked = any(b.in_article and not b.boilerplate for b in blocks)
-    for b in blocks:
-        links = b.linked / len(b.text)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if b.boilerplate or marked and not b.in_article:
-            b.label = "bad"
-        elif marked:
-            b.label = "good" if links <= LINKS_IN_ARTICLE or len(b.text) > 4 * SHORT else "short"
-        elif links > LINKS_MOST or "©" in b.text:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = "short"
-        else:
-            b.label = "good" if stops >= STOPS_GOOD else "near" if stops >= STOPS_NEAR else "bad"
-    first = [b.label for b in blocks]
-    decided = [i for i, x in enumerate(first) if x in ("good", "bad")]
-    for i, b in enumerate(blocks):
-        if first[i] in ("good", "bad"):
+    stops = [_stops(b.text) for b in blocks]
+    of_page = [(n, m) for b, (n, m) in zip(blocks, stops) if not b.boilerplate and len(b.text) >= SHORT]
+    telling = sum(n for n, _ in of_page) >= NO_STOPS * sum(m for _, m in of_page)
+
+    def points(b: Block, share: float) -> int:
+        """What length, links and stop words say."""
+        dense = b.linked / len(b.text)
+        if dense > (LINKS_IN_ARTICLE if b.article else LINKS_MOST):
+            return -3 if b.listed or not b.article else 0
+        if len(b.text) < SHORT:
+            return 0
+        if not telling or share >= STOPS_GOOD:
+            return 2
+        return 1 if share >= STOPS_NEAR else 0 if share >= NO_STOPS else -1
+
+    own = [-4 if b.boilerplate else points(b, n / m) - min(b.hints, 2) - 3 * (not b.article and b.text.lower().startswith(("©", "copyright "))) for b, (n, m) in zip(blocks, stops)]
+    size: dict[int, int] = {}  # text of each marked article, and of what densities find outside
+    for b, p in zip(blocks, own):
+        if not b.boilerplate and (b.article or p >= GOOD):
+            size[b.article] = size.get(b.article, 0) + len(b.text)
+    away = size.pop(0, 0)
+    marked = {k for k, n in size.items() if n >= TEASER * max(size.values()) and max(size.values()) >= BELIEVED * away}
+    for b, p in zip(blocks, own):
+        if b.boilerplate or marked and b.article not in marked:
+            b.label, b.why = "bad", "container"
+            continue
+        p += b.article in marked
+        b.label, b.why = "good" if p >= GOOD else "bad" if p <= BAD else "", "density"
+    left, right = _nearest(blocks, range(len(blocks))), _nearest(blocks, range(len(blocks) - 1, -1, -1))
+    for b, (n, x), (m, y) in zip(blocks, left, right):
+        if b.label:
             continue
-        left = max((j for j in decided if j < i), default=None)
-        right = min((j for j in decided if j > i), default=None)
-        near = [first[j] for j in (left, right) if j is not None]
-        if len(set(near)) == 2 and first[i] == "short" and i - left != right - i:
-            near = [first[left if i - left < right - i else right]]
-        b.label = "good" if "good" in near or not near and first[i] == "near" else "bad"
+        n += BEFORE_HEADING * b.heading
+        b.why = "neighbour"
+        found = {x, y} - {""} if n == m else {x if n < m else y} - {""}
+        b.label = "good" if "good" in found or not found and b.article in marked else "bad"
+
+
+def _nearest(blocks: list[Block], order: range) -> list[tuple[float, str]]:
+    """Distance and label of the decided block before each one, in the order of the sweep; in an article, of one by densities inside."""
+    out: list[tuple[float, str]] = [(float("inf"), "")] * len(blocks)
+    away, label, article = float("inf"), "", None
+    last = None
+    for i in order:
+        b = blocks[i]
+        if last is not None:
+            away += 1 + BOUNDARY * blocks[max(i, last)].gap
+        last = i
+        if b.article != article:
+            article = b.article
+            away, label = (float("inf"), "") if article else (away, label)
+        out[i] = (away, label)
+        if b.label and not (article and b.why == "container"):
+            away, label = 0.0, b.label
+    return out
 
 
 def main_text(page: str | None) -> str:

@@ -35,6 +35,86 @@ def test_odd_input():
     assert main_text('<article class="post with-sidebar"><p>kept</p></article>') == "kept"
 
 
+LONG = "This is the story of a man and the sea that he was to cross with the boat of his father, and it was not the last of them."
+POOR = "Zorblat mendrivel quastony perwindle axmoor tilvane brocket sundrily vextable arnolith, dresk umbrial cantover plissade."
+
+
+def test_names_and_signs_only_lower_a_block():
+    for name in ('class="legal-news"', 'id="search-engines"', 'class="follow-up"', 'class="notice-period"', 'id="related-work-in-the-field"'):
+        assert main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} x</p></div></article>") == f"{LONG}\n{LONG} x", name
+    for name in ('class="cookie-notice"', 'id="comments"', 'class="ad"', 'class="share-buttons top"', 'class="footer-links"', 'role="complementary"'):
+        assert main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} x</p></div></article>") == LONG, name
+    assert main_text(f"<article><p>{LONG}</p><p>The mark © is of 1909.</p><p>© sign first</p></article>") == f"{LONG}\nThe mark © is of 1909.\n© sign first"
+    assert main_text(f"<body><p>{LONG}</p><div>© 2024 {LONG}</div></body>") == LONG
+    # a hinted block needs stop words of its own where no neighbour speaks for it
+    assert main_text(f'<body><div><a href=x>Home</a></div><div class="follow-up"><p>{POOR}</p></div><div><div><p>{LONG}</p></div></div></body>') == LONG
+
+
+def test_malformed_tags():
+    assert main_text('<article><p>one <a title="x>link</a> two</p><p class="y">three</p></article>') == "one link two\nthree"
+    assert main_text("<article><p title=don't>one</p><p title='it'>two</p></article>") == "one\ntwo"
+    assert main_text('<article><p title="a > b" data-x="<i>">one</p><img alt="5 > 3">two</article>') == "one\ntwo"
+    assert main_text("<article><svg/>one<svg><path d='M'/></svg> two</article>") == "one two"
+    assert main_text("<article>" + "<p title=\"x>word</p>" * 5000 + "</article>").count("\n") == 4999
+
+
+def test_teasers_and_marks_that_are_not_believed():
+    teaser = '<article><h2><a href="x">Another story</a></h2><p>In short.</p></article>'
+    assert main_text(f"<main><article><h1>Head</h1><p>{LONG}</p></article></main>{teaser}{teaser}") == f"Head\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</p></article><article><p>{LONG} y</p></article>") == f"{LONG}\n{LONG} y"
+    assert main_text(f"<article></article><div>{LONG}</div>") == LONG
+    assert main_text(f"<article><p>Sh is.</p></article><div>{LONG} {LONG}</div><div>{LONG}</div>") == f"{LONG} {LONG}\n{LONG}"
+
+
+def test_other_languages_go_by_length():
+    finnish = "Mies lähti aamulla merelle isänsä veneellä eikä palannut enää koskaan kotiin, vaikka kaikki odottivat häntä rannalla."
+    assert main_text(f"<body><div><a href=a>Etusivu</a> <a href=b>Uutiset</a></div><p>{finnish}</p><p>Lyhyt.</p><p>{finnish}</p></body>") == f"{finnish}\nLyhyt.\n{finnish}"
+
+
+def pages_with_article(spark, sf):
+    import html
+
+    for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body.replace("<br>", " "))]
+        yield r.html, "\n".join(x for x in want if x)
+
+
+def test_the_two_passes_find_articles_that_nothing_marks(spark, monkeypatch):
+    rows = [(h.replace("<article>", "<div>").replace("</article>", "</div>"), want) for h, want in pages_with_article(spark, "sf0.01")]
+    right = sum(main_text(h) == want for h, want in rows)
+    assert right >= 0.9 * len(rows), right
+    why = [b.why for h, _ in pages_with_article(spark, "sf0.01") for b in classified(h) if b.label == "good"]
+    assert set(why) == {"density", "neighbour"} and why.count("density") > 0.5 * len(why)
+    page = f"<body><div>{LONG}</div><div>x</div><div><div>{POOR}</div></div></body>"
+    before = main_text(page)
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert before != main_text(page)
+
+
+def classified(page):
+    blocks = html_text.blocks_of(page)
+    html_text.classify(blocks)
+    return blocks
+
+
+def test_nearest_decided_neighbours_by_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        blocks = [html_text.Block(rng.choice(["short", LONG, POOR]), rng.choice([0, 0, 3, 80]), rng.random() < 0.1, 0, 0, rng.random() < 0.2, False, rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 15))]
+        html_text.classify(blocks)
+        first = [b.label if b.why != "neighbour" else "" for b in blocks]
+        for i, b in enumerate(blocks):
+            if first[i]:
+                continue
+            far = lambda j: abs(i - j) + html_text.BOUNDARY * sum(x.gap for x in blocks[min(i, j) + 1 : max(i, j) + 1]) + html_text.BEFORE_HEADING * (b.heading and j < i)  # noqa: B023, E731
+            decided = [(far(j), first[j]) for j in range(len(blocks)) if first[j]]
+            near = {x for d, x in decided if d == min(decided)[0]} or {"bad"}
+            assert b.label == ("good" if "good" in near else "bad")
+
+
 def test_all_pages_keep_their_article(spark):
     d = "/root/testdata/sf0.01"
     import html
