@@ -6,8 +6,12 @@ tokenizers.Tokenizer. Texts are encoded piece of white space by piece: where the
 after a space or holds a line feed, and the normaliser is the identity, no merge crosses these places, so each distinct
 piece is encoded once, in multithreaded batches, and its ids are reused; other models get whole texts.
 
+Control, unused and byte pieces never match text, whatever their names; user-defined ones are cut out first; what the
+vocabulary does not have is spelled in byte pieces here.
+
 Parity: every distinct piece (or whole text) is also encoded by the sentencepiece library when first met, and decoded
-again; `parity` and `round_trip` say for each document whether all of it agreed.
+again; whole documents are compared as well where a checksum of the text says so, one in AUDIT. `parity` and `round_trip`
+say for each document whether all of it agreed. Where it did not, the ids are those of the sentencepiece library.
 
 Edge cases: null text counts as empty and has no ids; a null id array decodes to null; repeated rows are encoded alike;
 an empty table gives no row; columns named like the operator's own are replaced.
@@ -34,6 +38,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Pieces of a generation that a worker keeps with their ids; the one before is kept too, and what is met again moves on.
 CACHE_PIECES = 300_000
+#: One document in so many is compared with the reference as a whole, too.
+AUDIT = 32
 #: The same where ids are a stage of a pipeline, whose workers hold what other stages left, too.
 PIPELINE_PIECES = 60_000
 
@@ -105,13 +111,14 @@ def merges_of(spec: Spec) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(spec: Spec):
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
     if spec.model_type == BPE:
         model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges_of(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
     elif spec.model_type == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback)
+        # pieces that only ids name get names that no text has; unknown text is spelled in bytes by Codec
+        model = models.Unigram([(p if kind in (NORMAL, USER_DEFINED) else f"\uffff{i}\uffff", s) for i, (p, s, kind) in enumerate(spec.pieces)], unk_id=unknown, byte_fallback=False)
     else:
         raise ValueError(f"model type {spec.model_type} is not supported")
     tok = Tokenizer(model)
@@ -122,6 +129,8 @@ def build_tokenizer(spec: Spec):
         steps.append(normalizers.Replace(" ", SPACE))
     if steps:
         tok.normalizer = normalizers.Sequence(steps)
+    if own := [p for p, _, kind in spec.pieces if kind == USER_DEFINED]:
+        tok.add_tokens([AddedToken(p, normalized=False, special=False) for p in own])
     tok.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
     return tok
 
@@ -146,7 +155,11 @@ class Codec:
         self.older: dict[str, bytes] = {}
         self.wrong: set[str] = set()  # parts without parity
         self.lossy: set[str] = set()  # parts that do not come back
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.spec.pieces]
+        said = {CONTROL: lambda p: b"", UNKNOWN: lambda p: " \u2047 ".encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
+        self.bytes_of = [said.get(kind, lambda p: p.replace(SPACE, " ").encode())(p) for p, _, kind in self.spec.pieces]
+        byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.spec.pieces) if kind == BYTE}
+        self.unknown = next((i for i, p in enumerate(self.spec.pieces) if p[2] == UNKNOWN), 0)
+        self.spelled = [byte_ids[k] for k in range(256)] if self.spec.byte_fallback and self.spec.model_type == UNIGRAM and len(byte_ids) == 256 else None
         # what comes before a part that no space leads: a line feed; the reference gets it so, and its ids are cut off
         self.front = len(self.reference.encode("\n", num_threads=1)) if self.by_part else 0
 
@@ -163,23 +176,31 @@ class Codec:
         # as the tokenizer gets them, and as the reference does, which puts the prefix itself
         own = [self.prefix + p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in parts]
         ref = [p[1:] if p[:1] == "\0" else p for p in parts]
-        ids = [e.ids for e in self.tok.encode_batch_fast(own, add_special_tokens=False)]
-        back = self.tok.decode_batch(ids, skip_special_tokens=False)
+        batch = self.tok.encode_batch if self.spelled else self.tok.encode_batch_fast  # the fast one leaves out the tokens' texts
+        ids = [self._ids(e) for e in batch(own, add_special_tokens=False)]
         theirs = self.reference.encode(ref, num_threads=1)
         lone = self.tok.token_to_id(SPACE)
         new = {}
-        for p, text, mine, other, again in zip(parts, own, ids, theirs, back):
+        for p, text, mine, other in zip(parts, own, ids, theirs):
             if p == "":
                 other = [lone]
             elif p[:1] == "\n":
                 other = other[self.front - 1 :]
-            new[p] = np.array(mine, dtype="<i4").tobytes()
+            new[p] = np.array(other, dtype="<i4").tobytes()
             if mine != other:
                 self.wrong.add(p)
-            if again != text:
+            if self._text(other) != text:
                 self.lossy.add(p)
         return new
 
+    def _ids(self, encoding) -> list[int]:
+        if self.spelled is None or self.unknown not in encoding.ids:
+            return encoding.ids
+        out = []
+        for i, token in zip(encoding.ids, encoding.tokens):
+            out += [i] if i != self.unknown else [self.spelled[x] for x in token.encode()]
+        return out
+
     def forget(self) -> None:
         self.cache.clear()
         self.older.clear()
@@ -202,23 +223,26 @@ class Codec:
             if len(self.cache) > self.keep:
                 self.older, self.cache = self.cache, {}
         out = [(np.frombuffer(b"".join(f), dtype="<i4"), not self.wrong or self.wrong.isdisjoint(c), not self.lossy or self.lossy.isdisjoint(c)) for c, f in zip(cut, found)]
+        heard = [k for k, (t, c) in enumerate(zip(texts, cut)) if c and c[0][:1] != "\0" and zlib.crc32(t.encode()) % AUDIT == 0]
+        for k, other in zip(heard, self.reference.encode([texts[k] for k in heard], num_threads=1) if heard else []):
+            if out[k][0].tolist() != other:
+                out[k] = (np.array(other, dtype="<i4"), False, out[k][2])
         for p in missing:  # whole texts are not worth keeping
             if p[:1] == "\0":
                 self.wrong.discard(p)
                 self.lossy.discard(p)
         return out
 
+    def _text(self, ids: list[int]) -> str:
+        """What the ids spell, with the prefix; bytes that are not UTF-8 are left to the tokenizer's own decoder."""
+        try:
+            return b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.tok.decoder.decode([self.spec.pieces[i][0] for i in ids])
+
     def decode(self, rows: list) -> list[str]:
-        """Texts of id sequences; bytes that are not UTF-8 are left to the tokenizer's own decoder."""
-        get = self.bytes_of.__getitem__
-        out = []
-        for ids in rows:
-            ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
-            try:
-                out.append(b"".join(map(get, ids)).decode().removeprefix(self.prefix))
-            except (UnicodeDecodeError, IndexError):
-                out.append(self.tok.decode(ids, skip_special_tokens=False).removeprefix(self.prefix))
-        return out
+        """Texts of id sequences."""
+        return [self._text(ids.tolist() if isinstance(ids, np.ndarray) else ids).removeprefix(self.prefix) for ids in rows]
 
 
 def codec(path: str, keep: int = CACHE_PIECES) -> Codec:

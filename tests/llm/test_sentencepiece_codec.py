@@ -54,6 +54,46 @@ def message(number, payload):
     return varint(number << 3 | 2) + varint(len(payload)) + payload
 
 
+def model_file(pieces, trainer, normaliser=b"\x18\x01\x20\x00\x28\x01"):
+    import struct
+    import tempfile
+
+    f = tempfile.NamedTemporaryFile(suffix=".model")
+    f.write(b"".join(message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces) + message(2, trainer) + message(3, normaliser))
+    f.flush()
+    return f
+
+
+def test_control_and_byte_pieces_never_match_text():
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
+    pieces += [("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("s", -2.6, 1), ("<", -6.0, 1), (">", -6.1, 1), ("ab", -2.2, 1), ("▁a", -4.0, 1), ("<<", -7.0, 5), ("0", -5.0, 1), ("x", -5.0, 1), ("[m]", 0.0, 4)]
+    with model_file(pieces, b"\x18\x01\x98\x02\x01") as f:
+        ref, c = sentencepiece.SentencePieceProcessor(model_file=f.name), S.Codec(f.name)
+        for text in ("a<s>b", "<s>", "</s> a", "a<0x00>b", "é a", "漢字ab👍", "a[m]b", "a<unk>b", "x\n"):
+            (ids, parity, trip), = c.encode([text])
+            assert ids.tolist() == ref.encode(text) and parity and trip, text
+            assert c.decode([ids])[0] == ref.decode(ids.tolist()) == text
+        assert c.encode(["\uffff0\uffff"])[0][0].tolist() == ref.encode("\uffff0\uffff")  # the name that stands in for a piece
+
+
+def test_reference_ids_where_parity_is_broken():
+    pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -2.2, 1)]
+    with model_file(pieces, b"\x18\x01") as f:
+        ref, c = sentencepiece.SentencePieceProcessor(model_file=f.name), S.Codec(f.name)
+        c.tok = S.build_tokenizer(S.parse_model(b"".join(message(1, message(1, p.encode()) + b"\x18" + bytes([k])) for p, _, k in [*pieces[:4], ("zz", 0, 1)]) + message(2, b"\x18\x01")))
+        (ids, parity, _), = c.encode(["ab"])
+        assert ids.tolist() == ref.encode("ab") and not parity
+
+
+def test_whole_documents_are_compared(monkeypatch):
+    monkeypatch.setattr(S, "AUDIT", 1)
+    c = S.Codec(PATH)
+    assert c.encode(["two words here"])[0][1]
+    c.cache["words"] = c.cache["two"]
+    (ids, parity, _), = c.encode(["two words here"])
+    assert ids.tolist() == REF.encode("two words here") and not parity
+
+
 def test_unigram_model_is_rebuilt():
     import struct
 
