@@ -6,8 +6,11 @@ against it instead (Kiryo et al., 2017). Features are the presence of a word, of
 two or more different words with those first letters; they are chosen among those enriched in P against U, of prefixes
 with the same support the longest, and the model is linear over them.
 
-The fit reads a bounded sample: at most MAX_P toxic and MAX_U other documents of the training folds, whole texts,
-picked by a hash of doc_id, and at most MAX_FEATURES features. Scoring reads every document, and nothing but its text.
+U is drawn from all documents of the training folds, confirmed ones among them, so that pi, the share of toxic ones among
+the labelled, is its share of positives, too. The fit reads a bounded sample: at most MAX_P toxic documents and MAX_U of
+all, whole texts, picked by hashes of doc_id, and at most MAX_FEATURES features, the most enriched ones (features beyond
+that, and such as fewer than three toxic documents of the sample have, weigh nothing). Scoring reads every document, and
+nothing but its text.
 
 Edge cases: null text counts as empty and gets the score of a text without features; rows without a label, or with a
 null doc_id, are never training examples; repeated rows are scored alike, and count once in the fit; without a toxic
@@ -98,14 +101,14 @@ def fold(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
-    """text and toxic (1 for P, 0 for U) of the bounded sample, without the held-out fold."""
+    """text and is_p (1 for P, 0 for U; a document may be in both) of the bounded sample, without the held-out fold."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("y"))
     ids = docs.where(F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).select("doc_id").join(known, "doc_id", "left")
     ids = ids.select("doc_id", F.coalesce(F.col("y") == 1, F.lit(False)).cast("int").alias("is_p"))
     toxic = ids.where("is_p = 1").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_P)
-    other = ids.where("is_p = 0").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_U)
-    picked = F.broadcast(toxic.union(other))  # MAX_P + MAX_U pairs of numbers at most
-    return docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("text", "is_p")
+    every = ids.select("doc_id", F.lit(0).alias("is_p")).distinct().orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(MAX_U)
+    picked = F.broadcast(toxic.union(every))  # MAX_P + MAX_U pairs of numbers at most
+    return docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "is_p").agg(F.min("text").alias("text")).select("text", "is_p")
 
 
 def prior_of(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> float:

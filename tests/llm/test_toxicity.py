@@ -28,6 +28,30 @@ def test_risk_is_non_negative_and_separates():
     assert w[0] + b > 0 > b + w[1:].max()
 
 
+def test_unlabelled_sample_is_of_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(7, "text 7")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.training_sample(docs, labels).collect()
+    train = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(r.text for r in got if r.is_p) == sorted(f"text {i}" for i in train if i % 4 == 0)
+    assert sorted(r.text for r in got if not r.is_p) == sorted(f"text {i}" for i in train)
+
+
+def test_risk_by_brute_force():
+    """Weights of two tiny samples against a grid search over the non-negative risk."""
+    p, u = [np.array([0])] * 3, [np.array([0])] * 3 + [np.array([], dtype=int)] * 7
+    prior = 0.3
+
+    def risk(w, b):
+        s = lambda z: 1 / (1 + np.exp(-z))
+        zp, zu = w + b, np.array([w + b] * 3 + [b] * 7)
+        return prior * (1 - s(zp)) + max(0.0, s(zu).mean() - prior * s(zp))
+
+    w, b = toxicity.nnpu(p, u, 1, prior)
+    grid = min(risk(x, y) for x in np.linspace(-20, 20, 81) for y in np.linspace(-20, 20, 81))
+    assert risk(w[0], b) <= grid + 0.02 and w[0] + b > 0 > b
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, score string, toxic int"
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
