@@ -8,14 +8,31 @@ from pyspark.sql import functions as F
 from cairn.session import materialize
 
 
+#: Nodes up to which they are broadcast; beyond, those of more than HUB neighbours are (there are few), and the rest is shuffled.
+BROADCAST_ROWS, HUB = 200_000, 100_000
+
+
+def _met(near: DataFrame, least: DataFrame) -> DataFrame:
+    """near with m, the least node that u sees; no task gets all neighbours of a hub."""
+    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return near.join(F.broadcast(least.select("u", "m")), "u")
+    least = materialize(least, "least")
+    hubs = least.where(F.col("degree") > HUB).select("u", F.col("m").alias("of_hub"))
+    if hubs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # more than 2e10 edges
+        return near.join(least.select("u", "m"), "u")
+    marked = near.join(F.broadcast(hubs), "u", "left")
+    others = marked.where("of_hub is null").join(least.where(F.col("degree") <= HUB).select("u", "m"), "u").select("u", "v", "m")
+    return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).union(others)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node points its neighbours (those above it, or those below) at the least node it sees."""
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    joined = _met(near, least)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

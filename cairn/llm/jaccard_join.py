@@ -1,12 +1,14 @@
 """Operator 5, Jaccard join of documents' sets of five-word shingles (75 % or more), and its connected groups.
 
 1. Every whole text becomes a set of 64-bit shingle hashes; equal sets collapse to one class.
-2. Candidates: of a set the BOTTOM least hashes are kept. Two sets with a likeness of 0.75 share NEED of them (certain
-   up to BOTTOM shingles; beyond, all but about 3e-8 of pairs do), so by the prefix principle they also share one of the
-   rarest BOTTOM - NEED + 1, rarity counted over the whole table. That keeps passages that many documents share out of
-   the index lists. Within a list, sorted by set size, blocks of sizes too far apart are skipped by position, the others
-   compared by 128-bin sketches (cut at 0.5, over 5 standard deviations below 0.75), and only a spanning forest leaves.
-3. The forests' connected groups are joined exactly, each in one task, or block against block where a group is large:
+2. Candidates, without loss: put all shingles in one order; of two sets that link, each has its first common shingle
+   among the first n - ceil(0.75 n) + 1 of its own (the prefix principle). The order is: shingles that a sample finds
+   frequent come last, then the lower half of the hash range comes before the upper, then the rarer ones before the more
+   frequent. So a set need send only its lower half, mostly, to be counted, and a shingle that only one set sends
+   fills a place of the prefix without leading anywhere: sets with enough text of their own have no candidate at all,
+   whatever passages they share with others. Index lists hold the prefixes, in bands of set size; only neighbouring
+   bands can link, and what leaves a list is a star to its least set, first of what a task holds, then of all.
+3. The stars' connected groups are joined exactly, each in one task, or block against block where a group is large:
    inverted lists of its shingles, ordered by set size, give a set's overlap with all others; lists are entered at the
    position of the first set large enough and left at the last one small enough. For a set much like the one before it
    the overlaps are not counted again but derived: the lists of shingles that it lacks are subtracted, those that it
@@ -33,10 +35,17 @@ from cairn.session import materialize
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-BOTTOM, NEED = 32, 10
-BINS, CUT = 128, 0.5
-#: Entries of an index list, and shingles of a group, that one task holds at a time; larger ones are joined block by block.
-LIST_BLOCK, GROUP_BLOCK = 2_048, 1_500_000
+#: The sample whose frequent shingles (of FREQUENT different sets in it) come last in the order, and a bound of their number.
+#: They are a matter of speed: any order gives the same links.
+SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 5_000, 3, 200_000
+#: Shingles that one task counts at a time, and that it gathers before it sends them.
+BUCKET_TOKENS, FLUSH_TOKENS, MAX_PARTS = 1_000_000, 500_000, 32_768
+#: Sizes of sets in one band differ by less than this factor; it is a little above 1 / 0.75, so that linked sets are in the same band or the next.
+BAND = 1.34
+#: Shingles of a group that one task holds at a time; larger groups are joined block by block.
+GROUP_BLOCK = 1_500_000
+#: Keys that a task keeps to leave out copies of what it has sent; copies that still come are left out later.
+SEEN_KEYS = 300_000
 #: Rows up to which a table of ids is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -93,84 +102,214 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """One byte for each of BINS bins of the hash range: from its least hash; 0 in empty ones."""
-    bins = (tokens >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(bins) else []
-    out = np.zeros(BINS, dtype=np.uint8)
-    out[bins[first]] = (tokens[first] >> _U(20)) % _U(255) + _U(1)
-    return out.tobytes()
-
-
 def key_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def class_of(key: bytes) -> int:
+    """A short name of the key, for what is sent per shingle; two keys of one name would only be candidates of each other."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def prefix_length(n):
+    """How many of a set's first shingles hold one of any linked set's first ones."""
+    return n - -(-n * NUMERATOR // DENOMINATOR) + 1
+
+
+def band_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(BAND)).astype(np.int32)
+
+
 REF = "coalesce(doc_id, xxhash64(text))"
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, ref and th (they find the row again), n, key of the set (null if empty), bottom (its least hashes), sketch."""
+def frequent_tokens(docs: DataFrame) -> np.ndarray:
+    """Shingles that FREQUENT sets of a sample have, in order; the sample is picked by a hash of the text."""
+    step = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(step)) == 0).select("text")
+
+    def run(it: Iterator[pa.RecordBatch]):
+        seen: set[bytes] = set()
+        for b in it:
+            sets = {key_of(s): s for s in map(shingle_set, b.column("text").to_pylist()) if len(s)}
+            new = [k for k in sets if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([sets[k].astype(np.int64) for k in new], pa.list_(pa.int64()))], names=["key", "tokens"])
+
+    found = some.mapInArrow(tidied(run), "key binary, tokens array<long>").dropDuplicates(["key"]).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    rows = found.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).collect()
+    return np.sort(np.array([r.token for r in rows], dtype=np.int64))
+
+
+def _is_in(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the tokens (as signed numbers) are among some, which is in order."""
+    if not len(some):
+        return np.zeros(len(tokens), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, tokens), len(some) - 1)] == tokens
+
+
+def sent_tokens(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of a set (sorted hashes): the shingles to be counted, those of the frequent ones that are in its prefix, and how many
+    rare ones it has in the lower and in the upper half."""
+    signed = tokens.astype(np.int64)  # the upper half is negative
+    often = _is_in(signed, frequent)
+    rare, p = signed[~often], prefix_length(len(tokens))
+    low = int((rare >= 0).sum())
+    return rare[:low] if low >= p else rare, np.sort(signed[often])[: max(0, p - len(rare))], low, len(rare) - low
+
+
+def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """doc_id, ref and th (they find the row again), n, key of the set (null if empty), cls, and its rare shingles by half."""
 
     def run(it: Iterator[pa.RecordBatch]):
         for b in it:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            keys = [key_of(s) if len(s) else None for s in sets]
+            halves = [sent_tokens(s, frequent)[2:] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("ref"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[:BOTTOM].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "ref", "th", "n", "key", "bottom", "sketch"],
+                [b.column("doc_id").cast(pa.int64()), b.column("ref"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else class_of(k) for k in keys], pa.int64()), pa.array([x for x, _ in halves], pa.int64()), pa.array([x for _, x in halves], pa.int64())],
+                names=["doc_id", "ref", "th", "n", "key", "cls", "low", "high"],
             )
 
-    return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(tidied(run), "doc_id long, ref long, th long, n long, key binary, bottom array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(tidied(run), "doc_id long, ref long, th long, n long, key binary, cls long, low long, high long")
 
 
-def index_lists(classes: DataFrame) -> DataFrame:
-    """token, key, n, sketch: of every class the rarest of its least hashes that another class has too."""
-    tokens = classes.select("key", "n", F.explode("bottom").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    of_class = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # BOTTOM at most
-    kept = F.expr(f"least(n, {BOTTOM}) - least(ceil(n * {NUMERATOR} / {DENOMINATOR}), {NEED}) + 1 - (least(n, {BOTTOM}) - size(t))")
-    picked = of_class.join(classes.select("key", "n", "sketch"), "key").withColumn("kept", kept.cast("int")).where("kept > 0")
-    return picked.select("key", "n", "sketch", F.explode(F.slice("t", 1, F.col("kept"))).alias("e")).select("e.token", "e.df", "key", "n", "sketch")
+def shared_tokens(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """cls, tokens, dfs: of every class those of its sent shingles that another class sends too, and how many do; frequent
+    ones have FAR for that. A class has several rows."""
 
+    def send(it: Iterator[pa.RecordBatch]):
+        seen: set[bytes] = set()
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            count = lambda k: np.repeat(np.array([c for c, *_ in held], dtype=np.int64), [len(x[k]) for x in held])
+            tokens, often = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, dtype=np.int64) for k in (1, 2))
+            for part, owners, where, flag in ((tokens, count(1), tokens >> 20, False), (often, count(2), count(2), True)):  # frequent ones go by class: no task gets all of one
+                bucket = (where % buckets).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]))
+                if pieces:
+                    part, owners = part[order], owners[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts], pa.int32()), pa.array([part[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([flag] * len(pieces))], names=["bucket", "tokens", "owners", "often"])
+
+        for b in it:
+            for s in map(shingle_set, b.column("text").to_pylist()):
+                if not len(s) or (key := key_of(s)) in seen:
+                    continue
+                if len(seen) >= SEEN_KEYS:
+                    seen.clear()
+                seen.add(key)
+                rare, often, *_ = sent_tokens(s, frequent)
+                held.append((class_of(key), rare, often))
+                size += len(rare) + len(often)
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+    def count(it: Iterator[pa.RecordBatch]):
+        current, parts = None, []
+
+        def finish():
+            tokens, owners, often = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            order = np.lexsort((owners, tokens))
+            tokens, owners, often = tokens[order], owners[order], often[order]
+            new = np.ones(len(tokens), dtype=bool)  # copies of a class from several tasks go
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+            tokens, owners, often = tokens[new], owners[new], often[new]
+            starts = np.flatnonzero(np.diff(tokens, prepend=tokens[0] - 1 if len(tokens) else 0))
+            runs = np.diff(starts, append=len(tokens))
+            dfs = np.where(often, FAR, np.repeat(runs, runs))
+            keep = np.flatnonzero(dfs > 1)
+            keep = keep[np.argsort(owners[keep], kind="stable")]
+            owners = owners[keep]
+            cuts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, dtype=np.int64)
+            offsets = pa.array(np.append(cuts, len(owners)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(owners[cuts]), pa.ListArray.from_arrays(offsets, pa.array(tokens[keep])), pa.ListArray.from_arrays(offsets, pa.array(dfs[keep].astype(np.int32)))], names=["cls", "tokens", "dfs"])
+
+        for b in it:
+            for bucket, tokens, owners, often in zip(*(b.column(c).to_pylist() for c in ("bucket", "tokens", "owners", "often"))):
+                if bucket != current and parts:
+                    yield finish()
+                    parts = []
+                current = bucket
+                x = np.frombuffer(tokens, dtype=np.int64)
+                parts.append((x, np.frombuffer(owners, dtype=np.int64), np.full(len(x), often)))
+        if parts:
+            yield finish()
+
+    sent = docs.select("text").mapInArrow(tidied(send), "bucket int, tokens binary, owners binary, often boolean")
+    return sent.repartition(min(buckets, MAX_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(count), "cls long, tokens array<long>, dfs array<int>")
 
-def forests(lists: DataFrame) -> DataFrame:
-    """a, b: edges that span, in every index list, the sets whose sketches are alike enough."""
-    blocks = F.ceil(F.col("df") / LIST_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = lists.withColumn("blocks", blocks).withColumn("own", own).withColumn("p", F.explode(pairs)).select("token", "p.i", "p.j", "key", "n", "sketch")
-    rows = dealt.groupBy("token", "i", "j").agg(F.collect_list(F.struct("n", "key", "sketch")).alias("l")).where("size(l) > 1").select("l")
+
+#: Stands for the count of a frequent shingle.
+FAR = 2_147_483_647
+
+
+def prefix_of(tokens: np.ndarray, dfs: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
+    """Those of a class's shared shingles that are in its prefix; the ones that it shares with no other come before them."""
+    p, out = prefix_length(n), []
+    for part, size in (((dfs < FAR) & (tokens >= 0), low), ((dfs < FAR) & (tokens < 0), high)):
+        if p <= 0:
+            break
+        some = np.flatnonzero(part)
+        first = some[np.lexsort((tokens[some], dfs[some]))]
+        out.append(tokens[first[: max(0, min(p, size) - (size - len(some)))]])
+        p -= size
+    if p > 0:
+        out.append(np.sort(tokens[dfs == FAR])[:p])
+    return np.concatenate(out) if out else tokens[:0]
+
+
+def stars(tokens: np.ndarray, bands: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of index entries: distinct edges (class, least class of its list), and the lists (token, band, least class)."""
+    order = np.lexsort((owners, bands, tokens))
+    tokens, bands, owners = tokens[order], bands[order], owners[order]
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (bands[1:] != bands[:-1])
+    head = np.repeat(owners[first], np.diff(np.flatnonzero(first), append=len(tokens)))
+    edges = np.unique(np.stack([owners, head])[:, owners != head], axis=1)
+    return edges[0], edges[1], tokens[first], bands[first], owners[first]
+
+
+def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: edges that connect all classes that may link."""
+    whole = shared.groupBy("cls").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))  # no more than the class's own set
+    rows = whole.join(classes.select("cls", "n", "low", "high"), "cls")
 
     def run(it: Iterator[pa.RecordBatch]):
+        held, size = [], 0
+
+        def flush():
+            tokens = np.concatenate([x for x, *_ in held])
+            length = [len(x) for x, *_ in held]
+            a, b, token, band, least = stars(tokens, np.repeat(band_of(np.array([n for _, n, _ in held])), length), np.repeat(np.array([c for *_, c in held], dtype=np.int64), length))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32())], names=["a", "b", "token", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.nulls(len(least), pa.int64()), pa.array(token), pa.array(band, pa.int32())], names=["a", "b", "token", "band"])
+
         for b in it:
-            a_keys, b_keys = [], []
-            for entries in b.column("l").to_pylist():
-                entries.sort(key=lambda e: (e["n"], e["key"]))
-                for x, y in spanning_pairs(np.array([e["n"] for e in entries]), np.frombuffer(b"".join(e["sketch"] for e in entries), dtype=np.uint8).reshape(-1, BINS)):
-                    a_keys.append(entries[x]["key"])
-                    b_keys.append(entries[y]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(a_keys, pa.binary()), pa.array(b_keys, pa.binary())], names=["a", "b"])
-
-    return rows.mapInArrow(tidied(run), "a binary, b binary")
-
-
-def spanning_pairs(n: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the entries (sorted by n) under `sizes allow it and the sketches are alike`."""
-    label = np.arange(len(n))
-    filled = sketches > 0
-    out = []
-    for x in range(len(n) - 1):
-        last = int(np.searchsorted(n, n[x] * DENOMINATOR // NUMERATOR, side="right"))  # sets beyond it are too large
-        rest = x + 1 + np.flatnonzero(label[x + 1 : last] != label[x])
-        if not len(rest):
-            continue
-        same = ((sketches[rest] == sketches[x]) & filled[x]).sum(axis=1)
-        alike = rest[same >= CUT * (filled[rest] | filled[x]).sum(axis=1)]
-        for y in alike.tolist():
-            if label[y] != label[x]:
-                label[label == label[y]] = label[x]
-                out.append((x, y))
-    return out
+            lists = [[x.values.to_numpy()[o:e] for o, e in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])] for x in (b.column("tokens"), b.column("dfs"))]
+            for tokens, dfs, cls, n, low, high in zip(*lists, *(b.column(c).to_pylist() for c in ("cls", "n", "low", "high"))):
+                kept = prefix_of(tokens, dfs, n, low, high)
+                if len(kept):
+                    held.append((kept, n, cls))
+                    size += len(kept)
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    found = materialize(rows.mapInArrow(tidied(run), "a long, b long, token long, band int"), "stars")
+    heads = found.where("token is not null").select("a", "token", "band")  # one row a list and task
+    least = heads.groupBy("token", "band").agg(F.min("a").alias("b"))
+    above = least.select("token", (F.col("band") - 1).alias("band"), F.col("b").alias("a"))
+    edges = [found.where("token is null").select("a", "b"), heads.join(least, ["token", "band"]).select("a", "b"), least.join(above, ["token", "band"]).select("a", "b")]
+    return edges[0].unionByName(edges[1]).unionByName(edges[2]).where("a <> b").distinct()
 
 
 class Grouping:
@@ -251,7 +390,7 @@ def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = (
-        rows.mapInArrow(tidied(sets), "gid binary, blocks int, key binary, tokens binary").withColumn("own", own).withColumn("p", F.explode(pairs))
+        rows.mapInArrow(tidied(sets), "gid long, blocks int, key binary, tokens binary").withColumn("own", own).withColumn("p", F.explode(pairs))
         .select("gid", "p.i", "p.j", "own", "key", "tokens")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -296,11 +435,16 @@ def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (classes of other sets that the document links with), ref and th of the
     row, first (whether it is the component's row to keep; equal rows all say so)."""
-    described = materialize(describe(docs.select("doc_id", "text")), "sets")
+    docs = docs.select("doc_id", "text")
+    frequent = frequent_tokens(docs)
+    described = materialize(describe(docs, frequent), "sets")
     filled = described.where("key is not null")
-    classes = materialize(filled.groupBy("key").agg(F.min_by(F.struct("n", "bottom", "sketch"), "ref").alias("s"), F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min(F.struct("ref", "th")).alias("row")).select("key", "ref", "least", "row", "s.*"), "classes")
-    candidates = components(forests(index_lists(classes)), "a", "b")
-    groups = candidates.withColumnRenamed("node", "key").withColumnRenamed("component", "gid").join(classes.select("key", "ref", "n"), "key")
+    facts = [F.first(c).alias(c) for c in ("n", "cls", "low", "high")]  # the same in all rows of a key
+    classes = materialize(filled.groupBy("key").agg(*facts, F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min(F.struct("ref", "th")).alias("row")), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    shared = shared_tokens(docs, frequent, max(1, -(-int(total * 0.6) // BUCKET_TOKENS)))
+    candidates = components(candidate_edges(shared, classes), "a", "b")
+    groups = candidates.withColumnRenamed("node", "cls").withColumnRenamed("component", "gid").join(classes.select("cls", "key", "ref", "n"), "cls")
     links = materialize(links_in_groups(docs, groups), "links")
     joined = components(links.where("a <> b"), "a", "b").withColumnRenamed("node", "key")
     counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))

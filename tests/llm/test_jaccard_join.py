@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from cairn.llm import components
 from cairn.llm import jaccard_join as J
 
 
@@ -71,10 +72,59 @@ def test_whole_tables(spark):
         check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()])
 
 
-@pytest.mark.parametrize("blocks", [(2048, 1_500_000), (3, 60)])
-def test_groups_chains_and_common_passages(spark, monkeypatch, blocks):
-    monkeypatch.setattr(J, "LIST_BLOCK", blocks[0])
-    monkeypatch.setattr(J, "GROUP_BLOCK", blocks[1])
+def test_prefixes_lose_no_linked_pair():
+    """Any two linked sets share a kept shingle, in the same band or the next, whatever counts as frequent."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(4, 200)).astype(np.int64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, len(pool)), replace=False).astype(np.uint64)) for _ in range(10)]
+        sets += [np.unique(np.append(np.delete(s, rng.integers(0, len(s), len(s) // 9)), rng.integers(0, 1 << 62, len(s) // 12).astype(np.uint64))) for s in sets]
+        sets = [s for s in sets if len(s)]
+        frequent = np.sort(rng.choice(pool, rng.integers(0, len(pool)), replace=False))
+        sent = [J.sent_tokens(s, frequent) for s in sets]
+        df = {}
+        for k, (rare, *_) in enumerate(sent):
+            for t in rare.tolist():
+                df.setdefault(t, {sets[k].tobytes()}).add(sets[k].tobytes())
+        kept = []
+        for s, (rare, often, low, high) in zip(sets, sent):
+            shared = [(t, len(df[t])) for t in rare.tolist() if len(df[t]) > 1] + [(t, J.FAR) for t in often.tolist()]
+            tokens, dfs = (np.array([x[k] for x in shared], dtype=np.int64) for k in (0, 1))
+            kept.append(set(J.prefix_of(tokens, dfs, len(s), low, high).tolist()))
+            assert len(kept[-1]) <= J.prefix_length(len(s))
+        for x in range(len(sets)):
+            for y in range(x):
+                o = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * o >= 75 * (len(sets[x]) + len(sets[y]) - o) and sets[x].tobytes() != sets[y].tobytes():
+                    assert kept[x] & kept[y] and abs(int(J.band_of(len(sets[x]))) - int(J.band_of(len(sets[y])))) <= 1
+    few = [np.array([3, 4, 5], dtype=np.uint64) << np.uint64(20), np.array([1, 3, 4, 5], dtype=np.uint64) << np.uint64(20)]
+    assert set(J.sent_tokens(few[0], np.zeros(0, dtype=np.int64))[0].tolist()) & set(J.sent_tokens(few[1], np.zeros(0, dtype=np.int64))[0].tolist())
+
+
+def test_stars_connect_what_shares_a_list():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = 60
+        tokens, bands, owners = rng.integers(0, 12, n), rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 25, n)
+        a, b, token, band, least = J.stars(tokens, bands, owners)
+        group, plain = J.Grouping(25), J.Grouping(25)
+        for x, y in zip(a.tolist(), b.tolist()):
+            group.join(x, y)
+        for x in range(n):
+            for y in range(x):
+                if tokens[x] == tokens[y] and bands[x] == bands[y]:
+                    plain.join(int(owners[x]), int(owners[y]))
+        assert [group.find(x) for x in range(25)] == [plain.find(x) for x in range(25)]
+        assert sorted(zip(token.tolist(), band.tolist(), least.tolist())) == sorted((t, d, min(owners[(tokens == t) & (bands == d)].tolist())) for t, d in set(zip(tokens.tolist(), bands.tolist())))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_groups_chains_and_common_passages(spark, monkeypatch, small):
+    if small:  # many buckets and blocks, copies from several tasks, hubs that are not broadcast
+        for name, value in (("GROUP_BLOCK", 60), ("BUCKET_TOKENS", 500), ("FLUSH_TOKENS", 300), ("SEEN_KEYS", 2), ("FREQUENT", 10**6)):
+            monkeypatch.setattr(J, name, value)
+        for name, value in (("BROADCAST_ROWS", 3), ("HUB", 40)):
+            monkeypatch.setattr(components, name, value)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(50))
