@@ -42,16 +42,25 @@ class Cuts:
     """How an old shard is cut: blocks by a hash of the text, and what is cut finer."""
 
     blocks: int
-    texts: dict[tuple[int, int, int], int]  # (old shard, block, text hash) of large texts -> pieces by doc_id, 1 if whole
+    texts: dict[tuple[int, int, int], int]  # (old shard, block, text hash) of large texts -> pieces by doc_id
     parts: dict[tuple[int, int], int]  # (old shard, block) -> parts by another hash of the text
 
+    def pieces(self, o: int, b: int) -> list[tuple[int, int, int]]:
+        """(text hash, number of its first piece, pieces) of a block's large texts; the parts of the rest come before."""
+        out, first = [], 1 + self.parts[o, b]
+        for (ot, bt, h), n in sorted(self.texts.items()):
+            if (ot, bt) == (o, b):
+                out.append((h, first, n))
+                first += n
+        return out
+
 
 @dataclass
 class Plan:
     capacity: list[int]
     flow: np.ndarray  # bytes from old shard to new
     target: dict[tuple[int, int, int], int]  # (old shard, block, part) -> new shard
-    base: dict[tuple[int, int, int], int]  # first slot of the unit in its new shard
+    base: dict[tuple[int, int, int], int]  # first slot of the block, part or piece in its new shard
     cuts: Cuts
     moved: int
 
@@ -119,11 +128,9 @@ def place_in_blocks(docs: DataFrame, old_shard: Column, cuts: Cuts) -> DataFrame
     )
     part = F.lit(0)
     for (o, b), k in sorted(cuts.parts.items()):  # few: each is LARGE of a shard
-        first, inner = 1 + k, F.pmod(F.xxhash64(text_hash()), F.lit(k)) + 1
-        for (ot, bt, h), pieces in sorted(cuts.texts.items()):
-            if (ot, bt) == (o, b):
-                inner = F.when(text_hash() == h, F.lit(first) + (F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)) if pieces > 1 else 0)).otherwise(inner)
-                first += pieces
+        inner = F.pmod(F.xxhash64(text_hash()), F.lit(k)) + 1
+        for h, first, n in cuts.pieces(o, b):
+            inner = F.when(text_hash() == h, F.lit(first) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).otherwise(inner)
         part = F.when((F.col("old_shard") == o) & (F.col("block") == b), inner).otherwise(part)
     return placed.withColumn("part", part.cast("int"))
 
@@ -149,24 +156,31 @@ def plan_transfers(docs: DataFrame, old_shard: Column, old_shards: int, new_shar
     most = max(capacity, default=0)
     piece = max(1, int(most * PART))
     large = {(o, b): size for o, b, _, size, n in rows if size > most * LARGE and n > 1}
+    together: dict[tuple[int, int, int], tuple[int, int, int]] = {}  # piece -> first piece of its text, where that moves whole
     if large:
         in_large = F.concat_ws(":", "old_shard", "block").isin([f"{o}:{b}" for o, b in sorted(large)])
         texts = placed.where(in_large).groupBy("old_shard", "block", text_hash().alias("h")).agg(F.sum("size").alias("size")).where(F.col("size") > piece)
-        for o, b, h, size in (tuple(r) for r in texts.collect()):  # no more than old shards' bytes over a piece's
-            cuts.texts[o, b, h] = -(-size // piece) if size > most else 1
+        of_text = {(r.old_shard, r.block, r.h): r.size for r in texts.collect()}  # no more than all bytes over a piece's
+        for (o, b, h), size in of_text.items():
+            cuts.texts[o, b, h] = -(-size // piece)
             large[o, b] -= size
         cuts.parts.update({k: max(1, -(-rest // piece)) for k, rest in large.items()})
+        together = {(o, b, first + j): (o, b, first) for o, b in large for h, first, n in cuts.pieces(o, b) if of_text[o, b, h] <= most for j in range(n)}
         rows = _measure(place_in_blocks(docs, old_shard, cuts))
     supply = [sum(r[3] for r in rows if r[0] == o) for o in range(old_shards)]
     cost = np.ones((old_shards, new_shards)) - np.eye(old_shards, new_shards)
     flow = min_cost_flow(supply, capacity, cost)
-    weight = {r[:3]: r[3] for r in rows}  # units, which move whole
+    weight: dict[tuple[int, int, int], int] = {}  # units, which move whole
+    for r in rows:
+        u = together.get(r[:3], r[:3])
+        weight[u] = weight.get(u, 0) + r[3]
     owed = flow.astype(np.float64)
-    target = {}
+    goes = {}
     for u in sorted(weight, key=lambda u: (-weight[u], u)):
-        target[u] = int(owed[u[0]].argmax())
-        owed[u[0], target[u]] -= weight[u]
-    _even_out(weight, target, capacity)
+        goes[u] = int(owed[u[0]].argmax())
+        owed[u[0], goes[u]] -= weight[u]
+    _even_out(weight, goes, capacity)
+    target = {r[:3]: goes[together.get(r[:3], r[:3])] for r in rows}
     base, next_slot = {}, [0] * new_shards
     for o, b, p, _, n in sorted(rows):
         base[o, b, p] = next_slot[target[o, b, p]]
@@ -215,7 +229,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
 
 def with_slots(stored: DataFrame) -> DataFrame:
-    """The place of each row in its shard: units one after the other, rows of a unit by doc_id."""
+    """The place of each row in its shard: blocks, parts and pieces one after the other, rows of one by doc_id."""
     light = stored.select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "old_shard", "block", "part", "base",
     )
