@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.vocab import KEYWORDS
+
 # What a wish may say, in order of precedence; what negates it; where a clause ends.
 COMPANIONS = [("parents", "부모님|부모|어르신"), ("kids", "아이|애기|자녀"), ("couple", "연인|커플"), ("friends", "친구"), ("solo", "혼자|홀로")]
 WALKS = [("low", r"걷\S*\s*(적게|싫|힘들)|적게\s*걷|걷기\s*힘들|도보\s*적게"), ("moderate", r"걷기\s*보통|적당히\s*걷")]
@@ -24,68 +24,46 @@ def conditions(text: Column) -> Column:
     return F.struct(one(COMPANIONS).alias("with"), one(WALKS).alias("walk"), many(PRIORITIES).alias("pri"), many(AVOIDS).alias("avoid"), one(PLACES).alias("category"))
 
 
-def keyword_states(text: str, rules: list[tuple[str, str]]) -> list[tuple[str, bool]]:
-    """(keyword, negated) of the rules (pattern, keyword) that a single request matches; negated if every match is."""
-    ends = [m.end() for m in re.finditer(CLAUSE_END, text)]
+def keyword_state(text: Column, pattern: str) -> Column:
+    """Whether a wish names a keyword: null if not, true if it only says that it does not matter, false otherwise.
+
+    Every mention counts with the rest of its clause, from its end to the first end of a clause that stops behind it: such
+    a piece without a negation makes the keyword wanted.
+    """
+    rests = F.slice(F.split(text, f"(?U){pattern}", -1), 2, 1_000_000_000)  # what follows each mention, up to the next one
+    count = F.size(rests)
+    # the clause of a mention may hold later mentions: put the text behind each together again
+    matches = F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), F.lit(1))
+    behind = F.transform(F.sequence(F.lit(1), count), lambda k: F.concat(F.get(rests, k - 1), F.array_join(F.transform(F.when(k < count, F.sequence(k, count - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.get(matches, j), F.get(rests, j))), "")))
+    last = lambda k: F.right(F.get(matches, k), F.lit(1))  # noqa: E731  an end of a clause may begin in the mention's last letter
+    pieces = F.transform(behind, lambda rest, k: F.concat(last(k), rest))
+    clause = lambda x: F.regexp_extract(F.substring(x, F.lit(2), F.length(x)), f"(?sU)^(.*?(?:{CLAUSE_END}|$))", 1)
+    negated = lambda x: ~x.rlike("(?U)^(?:고\\s|는데|지만|면서)") & clause(x).rlike(f"(?U){NEGATION}")
+    return F.when(count > 0, F.forall(pieces, negated))
+
+
+def keyword_states(text: Column, only: list[str] | None = None) -> Column:
+    """array<struct<keyword, negated>> of the keywords that a wish names, in their order."""
+    some = [(k, pattern) for k, (pattern, _) in KEYWORDS.items() if only is None or k in only]
+    states = [F.struct(F.lit(k).alias("keyword"), keyword_state(text, pattern).alias("negated")) for k, pattern in some]
+    return F.filter(F.array(*states), lambda s: s.getField("negated").isNotNull())
 
-    def negated(at: int) -> bool:
-        clause = text[at : next((e for e in ends if e > at), len(text))]
-        return re.search(NEGATION, clause) is not None
 
-    states = []
-    for pattern, keyword in rules:
-        places = [m.end() for m in re.finditer(pattern, text)]
-        if places:
-            states.append((keyword, all(map(negated, places))))
-    return states
+def wish_weights(wishes: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """key, aspect, weight, keywords: what each wish asks for; weights of its keywords add up, those that do not matter are out."""
+    pairs = [F.struct(F.lit(k).alias("keyword"), F.lit(i).alias("rank"), F.lit(a).alias("aspect"), F.lit(float(w)).alias("weight")) for i, (k, (_, weights)) in enumerate(KEYWORDS.items()) for a, w in weights.items()]
+    states = wishes.select(key, F.explode(keyword_states(F.col(text), only)).alias("s")).where("not s.negated").select(key, "s.keyword")
+    table = F.broadcast(wishes.sparkSession.range(1).select(F.explode(F.array(*pairs)).alias("p")).select("p.*"))  # the fixed keywords
+    met = states.join(table, "keyword").groupBy(key, "aspect").agg(F.sum("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("k"))  # keywords of one wish
+    return met.select(key, "aspect", "weight", F.transform("k", lambda x: x.getField("keyword")).alias("keywords"))
+
+
+def ignored_keywords(text: Column) -> Column:
+    """Keywords that a wish says do not matter."""
+    return F.transform(F.filter(keyword_states(text), lambda s: s.getField("negated")), lambda s: s.getField("keyword"))
 
 
 def csv_values(c: Column, allowed: list[str]) -> tuple[Column, Column]:
     """Values of a comma list, each once in order, and those that are not allowed."""
     values = F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
     return values, F.array_except(values, F.array(*map(F.lit, allowed)))
-
-
-# Keyword -> (what a wish says for it, weights of aspects). The first five are companions.
-KEYWORDS = {
-    "부모님": (r"부모님|어르신|어머니|아버지|엄마|아빠|효도", {"walking_burden": 2, "slope_stairs": 2, "rest_facilities": 2, "toilet_facilities": 1}),
-    "아이": (r"아이|아기|애들|유모차|어린이|키즈|자녀", {"family_friendly": 3, "walking_burden": 1.5, "slope_stairs": 1.5, "toilet_facilities": 1.5}),
-    "연인": (r"연인|커플|데이트|기념일|여자\s?친구|남자\s?친구|신혼", {"atmosphere": 2, "scenery": 1.5, "photo_spots": 1.5, "view_quality": 1.5}),
-    "친구": (r"친구들?(?:이랑|과|와|끼리)", {"activity_variety": 1.5, "food_quality": 1}),
-    "혼자": (r"혼자|혼행|혼밥", {"seating_comfort": 1, "noise_level": 1}),
-    "걷기 부담": (r"걷기\s?(?:힘들|싫|어렵)|많이\s?(?:못\s?)?걷|다리가?\s?아프|무릎|계단|언덕|오르막|경사", {"walking_burden": 4, "slope_stairs": 4}),
-    "경치·전망": (r"바다|오션|해변|경치|풍경|야경|전망|뷰", {"scenery": 3, "view_quality": 3}),
-    "맛": (r"맛집|맛있|음식|먹거리", {"food_quality": 3, "freshness": 1}),
-    "신선도": (r"신선|싱싱|회\b|해산물", {"freshness": 3}),
-    "사진": (r"사진|인생샷|포토", {"photo_spots": 3}),
-    "조용함": (r"조용|한적|소음|시끄", {"noise_level": 3.5}),
-    "휴식": (r"휴식|쉬고|쉴|편하게|여유", {"rest_facilities": 2, "bed_comfort": 2, "seating_comfort": 1.5}),
-    "청결": (r"깨끗|청결|위생", {"cleanliness": 3, "bathroom_quality": 1}),
-    "친절": (r"친절|서비스", {"staff_service": 2.5}),
-    "공간": (r"넓은|넓었|방\s?크기|좁", {"room_size": 2.5, "seating_comfort": 1}),
-    "조식": (r"조식|아침\s?식사", {"breakfast_quality": 3}),
-    "양": (r"양이?\s?많|푸짐|배부르", {"portion": 2.5}),
-    "분위기": (r"분위기|감성|인테리어", {"atmosphere": 2.5}),
-    "즐길 거리": (r"볼거리|즐길\s?거리|체험|할\s?거리|놀거리", {"activity_variety": 3}),
-    "화장실": (r"화장실", {"toilet_facilities": 2.5}),
-    "침구": (r"침대|침구|잠자리", {"bed_comfort": 3}),
-    "웨이팅": (r"웨이팅|기다리|대기|줄\s?서|오래\s?걸", {"waiting_time": 4, "serving_speed": 1.5}),
-    "주차": (r"주차|차\s?가지고|자차|운전", {"parking_availability": 3, "parking_experience": 3}),
-    "혼잡": (r"사람\s?많|붐비|혼잡|북적", {"waiting_time": 1, "noise_level": 1.5}),
-    "날씨": (r"날씨|비\s?오|우천|더위|추위", {"weather_sensitivity": 2.5}),
-}
-COMPANION_KEYWORDS = ["부모님", "아이", "연인", "친구", "혼자"]
-
-
-def wish_weights(text: str, only: list[str] | None = None) -> tuple[dict[str, tuple[float, list[str]]], list[str]]:
-    """(aspect -> weight and the keywords behind it, keywords that the wish says do not matter) of one request.
-
-    One request is a line of text from its user, so this runs on the driver; the weights then join as a small table.
-    """
-    states = keyword_states(text, [(pattern, k) for k, (pattern, _) in KEYWORDS.items() if only is None or k in only])
-    out: dict[str, tuple[float, list[str]]] = {}
-    for keyword, negated in states:
-        for aspect, w in KEYWORDS[keyword][1].items() if not negated else ():
-            total, behind = out.get(aspect, (0.0, []))
-            out[aspect] = (total + w, [*behind, keyword])
-    return dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))), [k for k, negated in states if negated]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import hash_rank_key, haversine_km, name_key, road_key
+from cairn.operators.components import components
+from cairn.operators.numbering import number_by_hash, number_by_value
 from cairn.session import materialize
 
 
@@ -52,12 +54,13 @@ def cap_by_bucket(df: DataFrame, group: list[str], bucket: str, order: list[str]
 
 def cap_share(df: DataFrame, group: list[str], plain: Column, share: float, id_col: str, seed: str) -> DataFrame:
     """Plain rows up to that share of a group's rows; the others all stay."""
-    whole = Window.partitionBy(*group)
-    marked = df.withColumn("_plain", plain).withColumn("_rich", F.count_if(~F.col("_plain")).over(whole))
-    w = Window.partitionBy(*group, "_plain").orderBy(hash_rank_key(seed, F.col(id_col)), id_col)
-    most = (F.col("_rich") * share / (1 - share)).cast("int")
-    kept = marked.withColumn("_rn", F.row_number().over(w)).where(~F.col("_plain") | (F.col("_rn") <= most))
-    return kept.drop("_plain", "_rich", "_rn")
+    marked = df.withColumn("_plain", F.coalesce(plain, F.lit(False)))
+    rich = marked.where("not _plain").groupBy(*group).agg(F.count(F.lit(1)).alias("_rich"))
+    numbered = number_by_hash(marked.where("_plain"), group, hash_rank_key(seed, F.col(id_col)), id_col, "_rn")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    most = (F.coalesce("_rich", F.lit(0)) * share / (1 - share)).cast("int")
+    kept = numbered.alias("l").join(rich.alias("r"), same, "left").where(F.col("_rn") <= most).select(*[F.col(f"l.{c}") for c in df.columns])
+    return marked.where("not _plain").select(*df.columns).unionByName(kept)
 
 
 def nested_sample(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
@@ -67,26 +70,30 @@ def nested_sample(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, seed: str, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """split by quota within every stratum: the first by hash are test, the next val, the rest train."""
-    w = Window.partitionBy(*strata)
-    i = F.row_number().over(w.orderBy(hash_rank_key(seed, F.col(id_col)), id_col))
-    n = F.count(F.lit(1)).over(w)
-    t, v = F.bround(n * test).cast("int"), F.bround(n * val).cast("int")
-    return df.withColumn("split", F.when(i <= t, "test").when(i <= t + v, "val").otherwise("train"))
+    numbered = number_by_hash(df, strata, hash_rank_key(seed, F.col(id_col)), id_col, "_i", "_n")
+    t, v = F.bround(F.col("_n") * test).cast("int"), F.bround(F.col("_n") * val).cast("int")
+    return numbered.withColumn("split", F.when(F.col("_i") <= t, "test").when(F.col("_i") <= t + v, "val").otherwise("train")).drop("_i", "_n")
 
 
 def small_n_split(df: DataFrame, strata: list[str], id_col: str, seed: str) -> DataFrame:
     """As above, with at least one test and val row where a stratum has three or more rows; of two, one is test."""
-    w = Window.partitionBy(*strata)
-    i = F.row_number().over(w.orderBy(hash_rank_key(seed, F.col(id_col)), id_col)) - 1
-    n = F.count(F.lit(1)).over(w)
+    numbered = number_by_hash(df, strata, hash_rank_key(seed, F.col(id_col)), id_col, "_i", "_n")
+    i, n = F.col("_i") - 1, F.col("_n")
     t, v = F.greatest(F.lit(1), F.bround(n * 0.1).cast("int")), F.greatest(F.lit(2), F.bround(n * 0.2).cast("int"))
-    return df.withColumn("split", F.when((n >= 3) & (i < t), "test").when((n >= 3) & (i < v), "val").when((n == 2) & (i == 0), "test").otherwise("train"))
+    split = F.when((n >= 3) & (i < t), "test").when((n >= 3) & (i < v), "val").when((n == 2) & (i == 0), "test").otherwise("train")
+    return numbered.withColumn("split", split).drop("_i", "_n")
 
 
-def interleaved(df: DataFrame, group: str, order: list, group_order: Column) -> DataFrame:
-    """Round robin over the groups: all first rows, then all second ones."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", group_order)
+def interleaved(df: DataFrame, group: str, value: str, tie: str, group_order: Column) -> DataFrame:
+    """Round robin over the groups, each in the order of (value, tie): all first rows, then all second ones."""
+    return number_by_value(df, [group], value, tie, "turn").orderBy("turn", group_order)
+
+
+def round_robin(items: DataFrame, item: str, places: DataFrame, place: str, group: str, seed: str) -> DataFrame:
+    """items with a place of their group: the k-th item by seeded hash gets place k modulo their number, places in order."""
+    slots = places.groupBy(group).agg(F.sort_array(F.collect_list(place)).alias("_places"))  # the places of one group
+    numbered = number_by_hash(items, [group], hash_rank_key(seed, F.col(item)), item, "_i")
+    return numbered.join(slots, group).withColumn(place, F.get("_places", F.pmod(F.col("_i") - 1, F.size("_places")).cast("int"))).drop("_i", "_places")
 
 
 def quota_pick(df: DataFrame, quotas: dict[str, int], long_budget: int, empty_share: float, seed: str, long_chars: int = 400) -> DataFrame:
@@ -94,17 +101,15 @@ def quota_pick(df: DataFrame, quotas: dict[str, int], long_budget: int, empty_sh
 
     df has review_id, category, review, is_empty. At most bround(quota * empty_share) empty rows of a category, and
     long_budget reviews beyond long_chars over all of them; the order within a category is that of a seeded hash. The
-    budget makes this sequential over categories, so each category is cut by windows and hands on what it left.
+    budget makes this sequential over categories: each takes the first rows of a kind, and hands on what it left.
     """
     out, left = None, long_budget
+    first = lambda rows, n: rows.orderBy("_k", "review_id").limit(n)
     for category, quota in quotas.items():
-        own = df.where(F.col("category") == category).withColumn("_k", hash_rank_key(seed, F.col("review_id")))
-        w = Window.partitionBy("category").orderBy("_k", "review_id")
-        is_long = F.length("review") > long_chars
-        one = own.withColumn("_long", is_long).withColumn("_nl", F.sum(F.col("_long").cast("int")).over(w)).where(~F.col("_long") | (F.col("_nl") <= left))
-        two = one.withColumn("_ne", F.sum(F.col("is_empty").cast("int")).over(w)).where(~F.col("is_empty") | (F.col("_ne") <= int(round(quota * empty_share))))
-        picked = two.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota)
-        picked = materialize(picked.select(*df.columns, "_long"), "quota")
+        own = df.where(F.col("category") == category).withColumn("_k", hash_rank_key(seed, F.col("review_id"))).withColumn("_long", F.coalesce(F.length("review") > long_chars, F.lit(False)))
+        one = own.where("not _long").unionByName(first(own.where("_long"), left))
+        two = one.where("not is_empty").unionByName(first(one.where("is_empty"), int(round(quota * empty_share))))
+        picked = materialize(first(two, quota).select(*df.columns, "_long"), "quota")  # a quota's rows
         left -= picked.where("_long").count()
         out = picked if out is None else out.union(picked)
     return out.drop("_long")
@@ -120,14 +125,22 @@ def drop_reasons(reviews: DataFrame, template_repeats: int = 3) -> DataFrame:
 
 
 def merge_duplicates(places: DataFrame, keys: list[str], pos: str, scalars: list[str]) -> DataFrame:
-    """One row per key: the first value of each scalar, all sources in order, and of every fact its first value."""
-    rows = F.sort_array(F.collect_list(F.struct(pos, "sources", F.map_entries("facts").alias("facts"))))
+    """One row per key: the first value of each scalar, all sources in order, and of every fact its first value.
+
+    Sources and facts are reduced to distinct ones, with where they first stand, before a key's are gathered.
+    """
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in scalars]
-    merged = places.groupBy(*keys).agg(*firsts, rows.alias("_rows"))
-    sources = F.array_distinct(F.flatten(F.transform("_rows", lambda r: r.sources)))
-    entries = F.flatten(F.transform("_rows", lambda r: r.facts))
-    unique = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda x: x.getField("key") == e.getField("key")))
-    return merged.select(*keys, *scalars, sources.alias("sources"), F.map_from_entries(unique).alias("facts"))
+    merged = places.groupBy(*keys).agg(*firsts)
+    sources = places.select(*keys, pos, F.posexplode("sources").alias("_i", "_s")).groupBy(*keys, "_s").agg(F.min(F.struct(pos, "_i")).alias("_at"))
+    sources = sources.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_s"))), lambda x: x.getField("_s")).alias("sources"))
+    facts = places.select(*keys, pos, F.explode("facts").alias("_f", "_v")).groupBy(*keys, "_f").agg(F.min_by("_v", pos).alias("_v"), F.min(pos).alias("_at"))
+    facts = facts.groupBy(*keys).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_f", "_v"))), lambda x: F.struct(x.getField("_f"), x.getField("_v")))).alias("facts"))
+    for more, name in ((sources, "sources"), (facts, "facts")):
+        kind = places.schema[name].dataType.simpleString()
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+        empty = F.array() if name == "sources" else F.create_map()
+        merged = merged.alias("l").join(more.alias("r"), same, "left").select("l.*", F.coalesce(F.col(f"r.{name}"), empty.cast(kind)).alias(name))
+    return merged
 
 
 def entity_edges(places: DataFrame) -> DataFrame:
@@ -140,19 +153,9 @@ def entity_edges(places: DataFrame) -> DataFrame:
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """node, group (the least node reachable): labels spread along edges and then jump to their label's label."""
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = materialize(nodes.select(F.col(node).alias("n"), F.col(node).alias("g")).distinct(), "labels")
-    while True:
-        heard = both.join(labels, both.v == labels.n).groupBy("u").agg(F.min("g").alias("m"))
-        near = labels.join(heard, labels.n == heard.u, "left").select("n", F.least("g", F.coalesce("m", "g")).alias("g"))
-        near = materialize(near, "labels")
-        jumped = near.alias("x").join(near.select(F.col("n").alias("k"), F.col("g").alias("gg")).alias("y"), F.col("x.g") == F.col("y.k")).select("n", F.col("gg").alias("g"))
-        jumped = materialize(jumped, "labels")
-        changed = jumped.join(labels.withColumnRenamed("g", "old"), "n").where("g <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels.select(F.col("n").alias(node), F.col("g").alias("group"))
+    """node, group (the least node reachable)."""
+    found = components(edges, "a", "b").select(F.col("node").alias(node), F.col("component").alias("group"))
+    return nodes.select(node).distinct().join(found, node, "left").select(node, F.coalesce("group", node).alias("group"))
 
 
 def split_places(places: DataFrame, existing: DataFrame, seed: str) -> DataFrame:
@@ -190,3 +193,22 @@ def nearest_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
 def shortest_evidence(aspects: DataFrame, record: str) -> DataFrame:
     """Of the aspects of a record that agree in category, attribute and sentiment, the one of the shortest evidence."""
     return first_wins(aspects, [record, "category", "attribute", "sentiment"], [F.length("evidence"), "pos"])
+
+
+def texts_holding(texts: DataFrame, items: DataFrame, item_id: str, item: str) -> DataFrame:
+    """texts with the item_id of every item that they hold word for word.
+
+    A word that is neither an item's first nor its last stands between spaces in a text that holds it: the longest such
+    word finds the texts to look into. Items without one (two words or fewer) meet all texts, few at a time.
+    """
+    words = F.split(F.col(item), " ")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1).getField("w")
+    keyed = items.select(item_id, item, F.when(F.size(inner) > 0, longest).alias("_key")).where(F.col(item).isNotNull())
+    numbered = texts.withColumn("_row", F.struct(*texts.columns))
+    found = numbered.select("_row", F.col("text").alias("_t"), F.explode(F.array_distinct(F.split("text", " "))).alias("_key")).join(keyed.where("_key is not null"), "_key").where(F.contains("_t", F.col(item))).select("_row.*", item_id)
+    rest = keyed.where("_key is null").select(item_id, item).collect() if keyed.where("_key is null").limit(1).count() else []  # short strings, a list that a person keeps
+    for lo in range(0, len(rest), 200):
+        hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(r[item])), F.lit(r[item_id])) for r in rest[lo : lo + 200]]))
+        found = found.union(texts.select("*", F.explode(hits).alias(item_id)))
+    return found

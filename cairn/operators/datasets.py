@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import py_strip
 from cairn.operators import curation, labels, ranking
+from cairn.operators.numbering import number_by_value
 
 
 def route_splits(records: DataFrame, splits: DataFrame, keep: tuple[str, ...] = ("train", "val")) -> DataFrame:
@@ -46,14 +47,14 @@ def select_reviews(rows: DataFrame, bucket: Column, per_place: int, plain_share:
     return curation.cap_share(capped, ["category"], F.col("bucket") == "plain", plain_share, "pos", seed)
 
 
-def length_batches(rows: DataFrame, text: str, size: int, order: list[str]) -> DataFrame:
-    """rows with the number of their batch of like lengths, within partitions of the text's length class.
+def length_batches(rows: DataFrame, text: str, size: int, tie: str) -> DataFrame:
+    """rows with the number of their batch of like lengths, within the text's length class.
 
-    Classes of twice the length each keep batches alike in length, and no task sorts the whole table.
+    Classes of twice the length each keep batches alike in length.
     """
     level = F.floor(F.log2(F.length(text) + 1)).cast("int")
-    w = Window.partitionBy("level").orderBy(F.length(text), *order)
-    return rows.withColumn("level", level).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    numbered = number_by_value(rows.withColumn("_length", F.length(text)).withColumn("level", level), ["level"], "_length", tie, "_i")
+    return numbered.withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("long")).drop("_i", "_length")
 
 
 def sft_example(system: str, review: Column, label: Column) -> Column:

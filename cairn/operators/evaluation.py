@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import overlaps
+from cairn.operators.numbering import paired
 
 
 def multiset_counts(gold: DataFrame, predicted: DataFrame, record: str, keys: list[str]) -> DataFrame:
@@ -111,23 +112,27 @@ def model_pairs(outputs: DataFrame, record: str, ordinal: str) -> DataFrame:
 
 def cross_minus_done(left: DataFrame, right: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Combinations of left and of a short list (models) that are not done yet."""
-    return left.crossJoin(F.broadcast(right)).join(done.select(*on), on, "left_anti")
+    return paired(left, right).join(done.select(*on), on, "left_anti")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, tie: list[str]) -> DataFrame:
-    """The value at index round-half-even(share * (n - 1)) of each group."""
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """The value at index round-half-even(share * (n - 1)) of each group; equal values are counted, not gathered."""
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys)
-    i = F.row_number().over(w.orderBy(value, *tie)) - 1
-    return df.withColumn("_i", i).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_i") == F.bround((F.col("_n") - 1) * share).cast("int")).select(*keys, F.col(value).alias(f"p{round(share * 100)}"))
+    upto = F.sum("_n").over(w.orderBy(value))
+    index = F.bround((F.sum("_n").over(w) - 1) * share).cast("long")
+    return counted.withColumn("_upto", upto).withColumn("_i", index).where((F.col("_i") < F.col("_upto")) & (F.col("_i") >= F.col("_upto") - F.col("_n"))).select(*keys, F.col(value).alias(f"p{round(share * 100)}"))
 
 
 def latency_stats(rows: DataFrame, keys: list[str], order: list[str], warmup: int) -> DataFrame:
-    """Requests, mean, p50, p95, min, max by key, without the first warmup rows."""
+    """Requests, mean, p50, p95, min, max by key, without the first warmup rows; order tells a key's rows apart."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    kept = rows.withColumn("_o", F.row_number().over(w)).where(F.col("_o") > warmup).drop("_o")
+    first = rows.withColumn("_o", F.row_number().over(w)).where(F.col("_o") <= warmup)  # the first of each task go on, no more
+    until = first.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_until"))
+    kept = rows.join(until, keys, "left").where(F.col("_until").isNull() | (F.struct(*order) > F.col("_until"))).drop("_until")
     base = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.bround(F.sum(F.col("latency").cast("decimal(20,6)")).cast("double") / F.count(F.lit(1)), 4).alias("mean"), F.min("latency").alias("min"), F.max("latency").alias("max"))
     for share in (0.5, 0.95):
-        base = base.join(nearest_rank(kept, keys, "latency", share, order), keys)
+        base = base.join(nearest_rank(kept, keys, "latency", share), keys)
     return base
 
 

@@ -20,7 +20,7 @@ LABEL = f"traveler_context array<string>, aspects array<struct<{ASPECT.replace('
 
 def vocabulary(spark: SparkSession) -> DataFrame:
     """category, aspect, attribute: every allowed combination."""
-    rows = [(c, a, v) for c, aspects in vocab.ATTRIBUTES.items() for a, values in aspects.items() for v in values.split()]
+    rows = [(c, a, v) for c, aspects in vocab.ATTRIBUTES.items() for a, values in aspects.items() for v in values]
     return spark.createDataFrame(rows, "category string, aspect string, attribute string")
 
 
@@ -182,18 +182,75 @@ def with_decoded_bytes(df: DataFrame, column: str, out: str) -> DataFrame:
     return _by_row(df, column, out, decode_bytes)
 
 
-def map_rows(df: DataFrame, client, columns: list[str], out: str) -> DataFrame:
-    """df with out = client(dict of columns): a row-wise external call, as a model; a failure gives null."""
+def map_rows(df: DataFrame, client, columns: list[str], out: str, attempts: int = 1, accept=None) -> DataFrame:
+    """df with out = client(dict of columns): a row-wise external call, as of a model.
+
+    A failure, or an answer that accept refuses (broken text, say), is tried again up to `attempts` times; then out is
+    null and `<out>_error` says why.
+    """
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
+    def call(row: dict) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(attempts):
+            try:
+                got = client(row)
+            except Exception as e:  # noqa: BLE001  the client is foreign code; its failure is a row's failure
+                error = f"{type(e).__name__}: {e}"
+                continue
+            if accept is None or accept(got):
+                return got, None
+            error = "refused"
+        return None, error
+
     def run(it: Iterator[pd.DataFrame]):
         for pdf in it:
-            got = []
-            for row in pdf[columns].to_dict("records"):
-                try:
-                    got.append(client(row))
-                except Exception:  # noqa: BLE001  the client is foreign code; its failure is a row's failure
-                    got.append(None)
-            yield pdf.assign(**{out: got})
-
-    return df.mapInPandas(run, f"{kind}, `{out}` string")
+            got = [call(row) for row in pdf[columns].to_dict("records")]
+            yield pdf.assign(**{out: [g for g, _ in got], f"{out}_error": [e for _, e in got]})
+
+    return df.mapInPandas(run, f"{kind}, `{out}` string, `{out}_error` string")
+
+
+def gold_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
+    """review_id, problems of Gold records (review_id, category, review, traveler_context, aspects): every rule that is broken, each once, in order.
+
+    Gold has known contexts, no aspect twice with different sentiments, and evidence word for word from the review.
+    """
+    whole = records.select("review_id", F.col("category").alias("kind"), "review", "traveler_context", F.posexplode_outer("aspects").alias("pos", "a"))
+    rows = whole.where("a is not null").select("review_id", "kind", "review", "pos", "a.*")
+    each = aspect_problem(rows, vocabulary_).where("problem is not null").select("review_id", "problem")
+    split = rows.groupBy("review_id", "category", "attribute").agg(F.countDistinct("sentiment").alias("n")).where("n > 1").select("review_id", F.lit("conflicting sentiments").alias("problem"))
+    known = F.forall(F.coalesce("traveler_context", F.array().cast("array<string>")), lambda c: c.isin(vocab.TRAVELER_CONTEXTS))
+    context = records.where(~known).select("review_id", F.lit("unknown context").alias("problem"))
+    found = each.union(split).union(context).groupBy("review_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
+    return records.select("review_id").join(found, "review_id", "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+
+
+def draft_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
+    """The same for drafts: evidence also has to be on its aspect's topic, and an aspect may not stand twice."""
+    rows = records.select("review_id", F.col("category").alias("kind"), "review", F.posexplode("aspects").alias("pos", "a")).select("review_id", "kind", "review", "pos", "a.*")
+    each = aspect_problem(rows, vocabulary_, topic=True).where("problem is not null").select("review_id", "problem")
+    twice = rows.groupBy("review_id", "category", "attribute", "sentiment").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("review_id", F.lit("repeated").alias("problem"))
+    found = each.union(twice).groupBy("review_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
+    return records.select("review_id").join(found, "review_id", "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+
+
+def vocabulary_problems(vocabulary_: DataFrame, topics: list[str]) -> DataFrame:
+    """problem, name: aspects with fewer than two attributes, attributes with unusual letters, topics of no aspect."""
+    sizes = vocabulary_.groupBy("category", "aspect").agg(F.countDistinct("attribute").alias("n"))
+    few = sizes.where("n < 2").select(F.lit("too few attributes").alias("problem"), F.concat_ws("/", "category", "aspect").alias("name"))
+    odd = vocabulary_.where(~F.col("attribute").rlike("^[a-z]+(_[a-z]+)*$")).select(F.lit("odd name").alias("problem"), F.concat_ws("/", "category", "aspect", "attribute").alias("name"))
+    rules = vocabulary_.sparkSession.createDataFrame([(t,) for t in topics], "aspect string")
+    loose = rules.join(vocabulary_.select("aspect").distinct(), "aspect", "left_anti").select(F.lit("topic of no aspect").alias("problem"), F.col("aspect").alias("name"))
+    return few.union(odd).union(loose).distinct()
+
+
+def label_schema(vocabulary_: DataFrame) -> DataFrame:
+    """category, schema: the JSON schema of a category's label, made from the vocabulary."""
+    string = F.lit("string")
+    of_aspect = vocabulary_.groupBy("category", "aspect").agg(F.sort_array(F.collect_set("attribute")).alias("allowed"))
+    aspect = F.struct(F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.col("aspect").alias("const")).alias("category"), F.struct(string.alias("type"), F.col("allowed").alias("enum")).alias("attribute"), F.struct(string.alias("type"), F.array(*map(F.lit, vocab.SENTIMENTS)).alias("enum")).alias("sentiment"), F.struct(string.alias("type"), F.lit(1).alias("minLength")).alias("evidence")).alias("properties"), F.array(*map(F.lit, ("category", "attribute", "sentiment", "evidence"))).alias("required")).alias("one"))
+    lists = of_aspect.select("category", "aspect", aspect.getField("one").alias("one")).groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("aspect", "one"))), lambda x: x.getField("one")).alias("any"))
+    contexts = F.struct(F.lit("array").alias("type"), F.struct(string.alias("type"), F.array(*map(F.lit, vocab.TRAVELER_CONTEXTS)).alias("enum")).alias("items"))
+    whole = F.struct(F.lit("object").alias("type"), F.struct(contexts.alias("traveler_context"), F.struct(F.lit("array").alias("type"), F.struct(F.col("any").alias("anyOf")).alias("items")).alias("aspects")).alias("properties"), F.array(F.lit("traveler_context"), F.lit("aspects")).alias("required"))
+    return lists.select("category", F.to_json(whole).alias("schema"))

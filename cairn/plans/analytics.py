@@ -59,10 +59,10 @@ def place_review_counts(spark, d):
     return totals(spark, d)
 
 
-@query("place_counts_with_zero", "SELECT p_partkey AS place_id, p_brand AS brand, count(l_orderkey) AS reviews FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 45 GROUP BY ALL")
+@query("place_counts_with_zero", "SELECT p_partkey AS place_id, p_brand AS brand, count(l_orderkey) AS reviews FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL")
 def place_counts_with_zero(spark, d):
-    few = table(spark, d, "lineitem").where("l_quantity > 45").selectExpr("l_partkey AS place_id", "l_orderkey AS review_id")
-    return profile.counts_with_zero(table(spark, d, "part").selectExpr("p_partkey AS place_id", "p_brand AS brand"), few, ["brand"])
+    reviews = table(spark, d, "lineitem").selectExpr("l_partkey AS place_id", "l_orderkey AS review_id")
+    return profile.counts_with_zero(table(spark, d, "part").selectExpr("p_partkey AS place_id", "p_brand AS brand"), reviews, ["brand"])
 
 
 @query("sentiment_counts", star.sql("SELECT place_id, aspect, sentiment, count(*) AS n FROM annotated GROUP BY ALL"))

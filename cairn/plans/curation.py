@@ -75,7 +75,7 @@ def small_n_split(spark, d):
 @query("interleave_round_robin", "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS turn FROM documents")
 def interleave_round_robin(spark, d):
     order = F.array_position(F.array(*map(F.lit, ["en", "de", "fr", "es"])), F.col("lang"))
-    return C.interleaved(docs(spark, d), "lang", ["n_chars", "doc_id"], order).select("doc_id", "lang", F.col("turn").cast("long").alias("turn"))
+    return C.interleaved(docs(spark, d), "lang", "n_chars", "doc_id", order).select("doc_id", "lang", F.col("turn").cast("long").alias("turn"))
 
 
 @query("quota_pick")

@@ -57,7 +57,7 @@ def labels_by_name(spark, d):
 
 @query("length_batches", "SELECT doc_id, level, (row_number() OVER (PARTITION BY level ORDER BY length(text), doc_id) - 1) // 16 AS batch FROM (SELECT *, CAST(floor(log2(length(text) + 1)) AS INT) AS level FROM documents)")
 def length_batches(spark, d):
-    return datasets.length_batches(table(spark, d, "documents"), "text", 16, ["doc_id"]).select("doc_id", "level", "batch")
+    return datasets.length_batches(table(spark, d, "documents"), "text", 16, "doc_id").select("doc_id", "level", "batch")
 
 
 @query("sft_examples", "SELECT conv_id, turn, 'label the review' AS system, text AS review, '{\"role\":\"' || role || '\"}' AS completion FROM conversations")

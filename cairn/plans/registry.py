@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from cairn.plans import analytics, curation, datasets, scoring, sources, texts  # noqa: F401
+    from cairn.plans import analytics, curation, datasets, records, scoring, sources, texts  # noqa: F401
 
 
 load()

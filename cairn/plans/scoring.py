@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import char_iou, overlaps
+from cairn.operators import curation
 from cairn.operators import evaluation as E
 from cairn.operators.curation import pending
 from cairn.plans.registry import query
@@ -170,9 +171,8 @@ def failure_runs(spark, d):
 
 @query("benchmark_in_source", "SELECT item_id, count(*) FILTER (contains(d.text, b.text)) AS documents FROM benchmark b, documents d GROUP BY 1")
 def benchmark_in_source(spark, d):
-    """How many documents hold an item's text word for word; the items (a fixed list) meet the documents in one pass."""
+    """How many documents hold an item's text word for word."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    words = [(r.item_id, r.item) for r in items.collect()]
-    hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in words])) if words else F.array().cast("array<bigint>")
-    found = table(spark, d, "documents").select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
-    return items.select("item_id").join(found, "item_id", "left").na.fill(0, ["documents"])
+    found = curation.texts_holding(table(spark, d, "documents").select("doc_id", "text"), items, "item_id", "item")
+    counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return items.select("item_id").join(counts, "item_id", "left").na.fill(0, ["documents"])

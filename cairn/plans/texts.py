@@ -18,10 +18,10 @@ def html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", X.clean(F.col("html")).alias("text"))
 
 
-@query("dedup_key", r"SELECT doc_id, lang AS category, lower(regexp_replace(substr(text, 1, 200), '[\s()\[\]·,.\-]', '', 'g')) AS name_key, lower(regexp_replace(regexp_replace(text, '[,(](.|\n)*$', ''), '[\s()\[\]·,.\-]', '', 'g')) AS head_key FROM documents")
+@query("dedup_key", r"SELECT doc_id, lang AS category, lower(regexp_replace(text, '[\s()\[\]·,.\-]', '', 'g')) AS name_key, lower(regexp_replace(regexp_replace(text, '[,(](.|\n)*$', ''), '[\s()\[\]·,.\-]', '', 'g')) AS head_key FROM documents")
 def dedup_key(spark, d):
     """Key of a place: category, normalised name, normalised head of the address."""
-    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"), X.normalize_name(F.substring("text", 1, 200)).alias("name_key"), X.normalize_name(X.address_head(F.col("text"))).alias("head_key"))
+    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"), X.normalize_name(F.col("text")).alias("name_key"), X.normalize_name(X.address_head(F.col("text"))).alias("head_key"))
 
 
 ADDRESS = "CASE WHEN c_custkey % 5 = 0 THEN '부산광역시 수영구 광안동' ELSE '부산광역시 해운대구 센텀' || (c_custkey % 40) || '로 ' || (c_custkey % 7) || '번길 ' || (c_custkey % 90 + 1) || ' (우동, 옆)' END"

@@ -37,12 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder stands in for it.
+    Only where that setting is absent and all runs on one machine, as in tests, a temporary folder stands in for it; a
+    cluster without the setting is an error, as its executors see no folder of the driver.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cairn/{name}-{uuid.uuid4().hex[:12]}"
@@ -53,12 +56,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cairn_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application, and keep Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Make this package importable on the executors, once per application, and keep Arrow batches of long texts small.
+
+    Results are lazy, so the size of batches must last as long as the session; a size that the session chose itself stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     if getattr(sc, "_cairn_shipped", False):
         return

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cairn.operators.numbering import paired
+from cairn.streaming.logs import append_new
+
 PAGE_ROWS, MAX_PAGES = 100, 20
 
 
@@ -17,28 +21,68 @@ class PagedRequest(InputPartition):
         self.request = request
 
 
+class Truncated(Exception):
+    """A source has more items than the pages that may be fetched hold."""
+
+
+class Unavailable(Exception):
+    """A source failed several times in a row."""
+
+
+def items_of(got: dict) -> list:
+    """The items of a response; an empty string, null or no field means none, a single object is one item."""
+    items = got.get("items") or []
+    return [items] if isinstance(items, dict) else list(items)
+
+
+def scrubbed(message: str, secrets: list[str]) -> str:
+    """A service's message without keys and long tokens: what follows `serviceKey=` and the like, and the given secrets."""
+    for s in filter(None, secrets):
+        message = message.replace(s, "***")
+    return re.sub(r"(?i)((?:service|api|access)_?(?:key|token)=)[^&\s\"'<>]+", r"\1***", message)
+
+
 class PagedReader(DataSourceReader):
-    """One partition per request; pages are fetched until one is empty or the total is reached."""
+    """One partition per request; pages are fetched until the total is reached or a page is empty.
+
+    More items than max_pages hold are an error, never cut off. A failing page is tried again, up to `failures` times in
+    a row; then the request fails (the breaker), with a message without keys.
+    """
 
-    def __init__(self, fetch: Callable[[dict, int], dict], requests: list[dict]):
-        self.fetch, self.requests = fetch, requests
+    def __init__(self, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int, failures: int):
+        self.fetch, self.requests, self.max_pages, self.failures = fetch, requests, max_pages, failures
 
     def partitions(self):
         return [PagedRequest(r) for r in self.requests]
 
+    def page(self, request: dict, page: int) -> dict:
+        said = []
+        for _ in range(self.failures):
+            try:
+                return self.fetch(request, page)
+            except Exception as e:  # noqa: BLE001  fetch is foreign code
+                said.append(scrubbed(str(e), [str(v) for k, v in request.items() if "key" in k.lower()]))
+        raise Unavailable(f"page {page} failed {self.failures} times: {said[-1]}")
+
     def read(self, partition):
         key = json.dumps(partition.request, sort_keys=True, ensure_ascii=False)
-        for page in range(1, MAX_PAGES + 1):
-            got = self.fetch(partition.request, page)
-            items = got.get("items") or []
+        seen = 0
+        for page in range(1, self.max_pages + 1):
+            got = self.page(partition.request, page)
+            items = items_of(got)
+            seen += len(items)
             for item in items:
                 yield key, page, json.dumps(item, ensure_ascii=False, sort_keys=True)
-            if not items or page * PAGE_ROWS >= got.get("total", 0):
+            if not items or page * PAGE_ROWS >= (got.get("total") or 0):
                 return
+        raise Truncated(f"{key}: {got.get('total')} items, of which {self.max_pages} pages hold {seen}")
+
 
+def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int = MAX_PAGES, failures: int = 1) -> DataFrame:
+    """request, page, item (JSON) of every request; fetch(request, page) returns {"items": [...], "total": n}.
 
-def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: list[dict]) -> DataFrame:
-    """request, page, item (JSON) of every request; fetch(request, page) returns {"items": [...], "total": n}."""
+    With max_pages 1 it is a single-shot source: an answer that does not hold all its items is an error.
+    """
 
     class Paged(DataSource):
         @classmethod
@@ -49,19 +93,35 @@ def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: lis
             return "request string, page int, item string"
 
         def reader(self, schema):
-            return PagedReader(fetch, requests)
+            return PagedReader(fetch, requests, max_pages, failures)
 
     spark.dataSource.register(Paged)
     return spark.read.format("cairn_paged").load()
 
 
 def pages_needed(total) -> F.Column:
-    return F.least(F.lit(MAX_PAGES), F.greatest(F.lit(1), F.ceil(total / PAGE_ROWS)))
+    """Calls that a request of so many items takes."""
+    return F.greatest(F.lit(1), F.ceil(total / PAGE_ROWS))
 
 
 def planned_calls(left: DataFrame, right: DataFrame, cached: DataFrame, on: list[str]) -> DataFrame:
     """Requests of all combinations of two short lists that the cache does not hold."""
-    return left.crossJoin(F.broadcast(right)).join(cached.select(*on).distinct(), on, "left_anti")
+    return paired(left, right).join(cached.select(*on).distinct(), on, "left_anti")
+
+
+def write_cache(responses: DataFrame, path: str) -> int:
+    """Append the responses (request, page, item) of requests that the cache does not hold yet; how many rows came."""
+    return append_new(responses, path, "request")
+
+
+def search_steps(places: DataFrame, searched: DataFrame, found: DataFrame, budget: int) -> DataFrame:
+    """The next step of every place of a search for it: `fetch` where a search has a match, `search` where none was made
+    (the first by place_id that the budget of calls allows; the rest `wait`), `done` where it had none."""
+    matched = found.groupBy("place_id").agg(F.min_by("found_id", F.struct("km", "found_id")).alias("found_id"))
+    known = places.select("place_id").join(searched.select("place_id").distinct().withColumn("_s", F.lit(True)), "place_id", "left").join(matched, "place_id", "left")
+    new = within_budget(known.where("_s is null"), ["place_id"], budget).select("place_id").withColumn("_now", F.lit(True))
+    step = F.when(F.col("found_id").isNotNull(), "fetch").when(F.col("_s"), "done").when(F.col("_now"), "search").otherwise("wait")
+    return known.join(new, "place_id", "left").select("place_id", "found_id", step.alias("step"))
 
 
 def within_budget(requests: DataFrame, order: list[str], budget: int) -> DataFrame:

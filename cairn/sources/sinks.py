@@ -34,3 +34,15 @@ def fixed_lines(df: DataFrame, column: str, fixed: str) -> DataFrame:
     """How many rows a fix changes, and how many broken tokens remain."""
     tokens = F.size(F.regexp_extract_all(F.col(fixed), F.lit("(<0x[0-9A-F]{2}>)"), F.lit(1)))
     return df.agg(F.count_if(~F.col(column).eqNullSafe(F.col(fixed))).alias("changed"), F.coalesce(F.sum(tokens), F.lit(0)).alias("left_over"))
+
+
+def rewrite_fixed(df: DataFrame, column: str, fixed: str, backup: str, path: str) -> DataFrame:
+    """Keep the rows as they were under backup, write them with the fix under path, and return the counts of fixed_lines.
+
+    Where nothing changes nothing is written.
+    """
+    counts = fixed_lines(df, column, fixed)
+    if counts.first().changed:
+        write_jsonl(df.drop(fixed), backup)
+        write_jsonl(df.withColumn(column, F.col(fixed)).drop(fixed), path)
+    return counts

@@ -7,39 +7,58 @@ CATEGORIES = ["hotel", "restaurant", "attraction"]
 # category -> aspect -> allowed attributes
 ATTRIBUTES = {
     "hotel": {
-        "cleanliness": "clean average dirty", "noise_level": "quiet moderate noisy", "bed_comfort": "comfortable average uncomfortable", "room_size": "spacious average cramped",
-        "bathroom_quality": "good average poor", "view_quality": "good average poor", "breakfast_quality": "good average poor", "room_condition": "well_kept average worn",
-        "staff_service": "friendly average unfriendly", "amenities": "available unavailable", "parking_availability": "available limited unavailable", "parking_experience": "easy average difficult",
+        "cleanliness": ["clean", "average", "dirty"], "noise_level": ["quiet", "moderate", "noisy"], "bed_comfort": ["comfortable", "average", "uncomfortable"], "room_size": ["spacious", "average", "cramped"],
+        "bathroom_quality": ["good", "average", "poor"], "view_quality": ["good", "average", "poor"], "breakfast_quality": ["good", "average", "poor"], "room_condition": ["well_kept", "average", "worn"],
+        "staff_service": ["friendly", "average", "unfriendly"], "amenities": ["available", "unavailable"], "parking_availability": ["available", "limited", "unavailable"], "parking_experience": ["easy", "average", "difficult"],
     },
     "restaurant": {
-        "food_quality": "good average poor", "atmosphere": "good average poor", "freshness": "fresh average not_fresh", "portion": "large normal small", "waiting_time": "none short long",
-        "serving_speed": "fast average slow", "seating_comfort": "comfortable average uncomfortable", "family_friendly": "suitable unsuitable", "staff_service": "friendly average unfriendly",
-        "cleanliness": "clean average dirty", "noise_level": "quiet moderate noisy", "parking_availability": "available limited unavailable", "parking_experience": "easy average difficult",
+        "food_quality": ["good", "average", "poor"], "atmosphere": ["good", "average", "poor"], "freshness": ["fresh", "average", "not_fresh"], "portion": ["large", "normal", "small"], "waiting_time": ["none", "short", "long"],
+        "serving_speed": ["fast", "average", "slow"], "seating_comfort": ["comfortable", "average", "uncomfortable"], "family_friendly": ["suitable", "unsuitable"], "staff_service": ["friendly", "average", "unfriendly"],
+        "cleanliness": ["clean", "average", "dirty"], "noise_level": ["quiet", "moderate", "noisy"], "parking_availability": ["available", "limited", "unavailable"], "parking_experience": ["easy", "average", "difficult"],
     },
     "attraction": {
-        "scenery": "sea mountain city river night_view", "photo_spots": "good average poor", "walking_burden": "low medium high", "slope_stairs": "low medium high",
-        "activity_variety": "many average few", "stay_duration": "short medium long", "rest_facilities": "sufficient lacking", "toilet_facilities": "sufficient lacking",
-        "weather_sensitivity": "high low", "parking_availability": "available limited unavailable", "parking_experience": "easy average difficult",
+        "scenery": ["sea", "mountain", "city", "river", "night_view"], "photo_spots": ["good", "average", "poor"], "walking_burden": ["low", "medium", "high"], "slope_stairs": ["low", "medium", "high"],
+        "activity_variety": ["many", "average", "few"], "stay_duration": ["short", "medium", "long"], "rest_facilities": ["sufficient", "lacking"], "toilet_facilities": ["sufficient", "lacking"],
+        "weather_sensitivity": ["high", "low"], "parking_availability": ["available", "limited", "unavailable"], "parking_experience": ["easy", "average", "difficult"],
     },
 }
 
-# condition -> rule -> weights; two conditions that name one rule count it once
-RULE_WEIGHTS = {
-    "parents": {"walking_burden": 2.0, "slope_stairs": 2.0, "rest_facilities": 2.0, "toilet_facilities": 1.0},
-    "kids": {"family_friendly": 3.0, "walking_burden": 1.5, "slope_stairs": 1.5, "toilet_facilities": 1.5},
-    "couple": {"atmosphere": 2.0, "scenery": 1.5, "photo_spots": 1.5, "view_quality": 1.5},
-    "friends": {"activity_variety": 1.5, "food_quality": 1.0},
-    "solo": {"seating_comfort": 1.0, "noise_level": 1.0},
-    "walking": {"walking_burden": 4.0, "slope_stairs": 4.0},
-    "sea": {"scenery": 3.0, "view_quality": 3.0},
-    "food": {"food_quality": 3.0, "freshness": 1.0},
-    "photo": {"photo_spots": 3.0},
-    "rest": {"rest_facilities": 2.0, "bed_comfort": 2.0, "seating_comfort": 1.5},
-    "quiet": {"noise_level": 3.5},
-    "waiting": {"waiting_time": 4.0, "serving_speed": 1.5},
-    "parking": {"parking_availability": 3.0, "parking_experience": 3.0},
-    "crowd": {"waiting_time": 1.0, "noise_level": 1.5},
+# Keyword -> (what a wish says for it, weights of aspects). The first five are companions.
+KEYWORDS = {
+    "부모님": (r"부모님|어르신|어머니|아버지|엄마|아빠|효도", {"walking_burden": 2, "slope_stairs": 2, "rest_facilities": 2, "toilet_facilities": 1}),
+    "아이": (r"아이|아기|애들|유모차|어린이|키즈|자녀", {"family_friendly": 3, "walking_burden": 1.5, "slope_stairs": 1.5, "toilet_facilities": 1.5}),
+    "연인": (r"연인|커플|데이트|기념일|여자\s?친구|남자\s?친구|신혼", {"atmosphere": 2, "scenery": 1.5, "photo_spots": 1.5, "view_quality": 1.5}),
+    "친구": (r"친구들?(?:이랑|과|와|끼리)", {"activity_variety": 1.5, "food_quality": 1}),
+    "혼자": (r"혼자|혼행|혼밥", {"seating_comfort": 1, "noise_level": 1}),
+    "걷기 부담": (r"걷기\s?(?:힘들|싫|어렵)|많이\s?(?:못\s?)?걷|다리가?\s?아프|무릎|계단|언덕|오르막|경사", {"walking_burden": 4, "slope_stairs": 4}),
+    "경치·전망": (r"바다|오션|해변|경치|풍경|야경|전망|뷰", {"scenery": 3, "view_quality": 3}),
+    "맛": (r"맛집|맛있|음식|먹거리", {"food_quality": 3, "freshness": 1}),
+    "신선도": (r"신선|싱싱|회\b|해산물", {"freshness": 3}),
+    "사진": (r"사진|인생샷|포토", {"photo_spots": 3}),
+    "조용함": (r"조용|한적|소음|시끄", {"noise_level": 3.5}),
+    "휴식": (r"휴식|쉬고|쉴|편하게|여유", {"rest_facilities": 2, "bed_comfort": 2, "seating_comfort": 1.5}),
+    "청결": (r"깨끗|청결|위생", {"cleanliness": 3, "bathroom_quality": 1}),
+    "친절": (r"친절|서비스", {"staff_service": 2.5}),
+    "공간": (r"넓은|넓었|방\s?크기|좁", {"room_size": 2.5, "seating_comfort": 1}),
+    "조식": (r"조식|아침\s?식사", {"breakfast_quality": 3}),
+    "양": (r"양이?\s?많|푸짐|배부르", {"portion": 2.5}),
+    "분위기": (r"분위기|감성|인테리어", {"atmosphere": 2.5}),
+    "즐길 거리": (r"볼거리|즐길\s?거리|체험|할\s?거리|놀거리", {"activity_variety": 3}),
+    "화장실": (r"화장실", {"toilet_facilities": 2.5}),
+    "침구": (r"침대|침구|잠자리", {"bed_comfort": 3}),
+    "웨이팅": (r"웨이팅|기다리|대기|줄\s?서|오래\s?걸", {"waiting_time": 4, "serving_speed": 1.5}),
+    "주차": (r"주차|차\s?가지고|자차|운전", {"parking_availability": 3, "parking_experience": 3}),
+    "혼잡": (r"사람\s?많|붐비|혼잡|북적", {"waiting_time": 1, "noise_level": 1.5}),
+    "날씨": (r"날씨|비\s?오|우천|더위|추위", {"weather_sensitivity": 2.5}),
 }
+COMPANION_KEYWORDS = ["부모님", "아이", "연인", "친구", "혼자"]
+
+# rule of a condition -> keyword whose weights it has; two conditions that name one rule count it once
+RULE_KEYWORDS = {
+    "parents": "부모님", "kids": "아이", "couple": "연인", "friends": "친구", "solo": "혼자", "walking": "걷기 부담", "sea": "경치·전망", "food": "맛", "photo": "사진", "rest": "휴식",
+    "quiet": "조용함", "waiting": "웨이팅", "parking": "주차", "crowd": "혼잡",
+}
+RULE_WEIGHTS = {rule: {aspect: float(w) for aspect, w in KEYWORDS[k][1].items()} for rule, k in RULE_KEYWORDS.items()}
 CONDITION_RULES = {
     "with": {"parents": "parents", "kids": "kids", "couple": "couple", "friends": "friends", "solo": "solo"},
     "walk": {"low": "walking"},

@@ -1,7 +1,9 @@
 """Golden values and rules that SQL does not express."""
 
+import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn import vocab
 from cairn.functions import exprs as X
 from cairn.functions import requirements
-from cairn.operators import curation, evaluation, labels, ranking
+from cairn.operators import curation, evaluation, labels, numbering, ranking
 from cairn.sources import files, rest, sinks
 from cairn.streaming import logs
 
@@ -47,19 +49,34 @@ def test_goodness(spark):
         assert r.goodness == r.want
 
 
-def test_requirements_with_negation():
-    rules = [("웨이팅|대기", "waiting"), ("주차", "parking"), ("조용", "quiet")]
-    assert requirements.keyword_states("주차는 필요 없고 조용한 곳", rules) == [("parking", True), ("quiet", False)]
-    assert requirements.keyword_states("웨이팅 없는 곳", rules) == [("waiting", False)]
-    assert requirements.keyword_states("주차 상관없어요, 근데 주차장이 넓으면", rules) == [("parking", False)]
+def keyword_states(text):
+    """The rule, plainly: a mention is negated where the rest of its clause says so, a keyword where every mention is."""
+    ends = [m.end() for m in re.finditer(requirements.CLAUSE_END, text)]
+    out = []
+    for keyword, (pattern, _) in vocab.KEYWORDS.items():
+        places = [m.end() for m in re.finditer(pattern, text)]
+        if places:
+            out.append((keyword, all(re.search(requirements.NEGATION, text[at : next((e for e in ends if e > at), len(text))]) is not None for at in places)))
+    return out
 
 
-def test_wish_weights():
-    weights, ignored = requirements.wish_weights("부모님과 조용한 곳, 주차는 상관없어요")
-    assert list(weights)[0] == "noise_level" and weights["walking_burden"] == (2.0, ["부모님"]) and ignored == ["주차"]
-    both, _ = requirements.wish_weights("아이와 계단 없이")
-    assert both["walking_burden"] == (5.5, ["아이", "걷기 부담"])
-    assert set(requirements.wish_weights("아이와 계단 없이", requirements.COMPANION_KEYWORDS)[0]) == set(requirements.KEYWORDS["아이"][1])
+def test_keyword_states(spark):
+    rng = random.Random(4)
+    pieces = ["주차는", "주차", "필요 없고", "조용한 곳", "웨이팅", "상관없어요,", "근데", "바다", "보고", "쉬고", "싶은데", "신경 안 써도 돼요.", "아이", "지만", "중요하지 않아", "맛집", "빼도 돼", "\n", "회", "사진 찍지만", "면서"]
+    texts = ["주차는 필요 없고 조용한 곳", "웨이팅 없는 곳", "주차 상관없어요, 근데 주차장이 넓으면", "", None] + [rng.choice(["", " "]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", requirements.keyword_states(F.col("t")).alias("s"), requirements.ignored_keywords(F.col("t")).alias("x")).collect()
+    for r in got:
+        want = keyword_states(r.t or "")
+        assert [tuple(x) for x in r.s] == want and r.x == [k for k, n in want if n], r.t
+
+
+def test_wish_weights(spark):
+    wishes = spark.createDataFrame([(1, "부모님과 조용한 곳, 주차는 상관없어요"), (2, "아이와 계단 없이"), (3, "아무거나"), (4, None)], "id int, wish string")
+    got = {(r.id, r.aspect): (r.weight, r.keywords) for r in requirements.wish_weights(wishes, "id", "wish").collect()}
+    assert got[1, "noise_level"] == (3.5, ["조용함"]) and got[1, "walking_burden"] == (2.0, ["부모님"]) and (1, "parking_availability") not in got
+    assert got[2, "walking_burden"] == (5.5, ["아이", "걷기 부담"]) and {i for i, _ in got} == {1, 2}
+    only = requirements.wish_weights(wishes.where("id = 2"), "id", "wish", vocab.COMPANION_KEYWORDS).collect()
+    assert {r.aspect for r in only} == set(vocab.KEYWORDS["아이"][1])
 
 
 def test_salvage_and_bytes():
@@ -151,7 +168,9 @@ def test_labels(spark):
     aspects = spark.createDataFrame([("r", "hotel", 0, "cleanliness", "clean", "positive", "방이 정말 깨끗해요.", "방이 정말 깨끗해요. 깨끗해요"), ("r", "hotel", 1, "cleanliness", "clean", "positive", "깨끗해요", "방이 정말 깨끗해요. 깨끗해요"), ("r", "hotel", 2, "room_condition", "worn", "negative", "얼룩이 많음", "얼룩이 많음")], "record string, kind string, pos int, category string, attribute string, sentiment string, evidence string, review string")
     assert [(r.category, r.attribute, r.evidence) for r in labels.clean_split(aspects).orderBy("pos").collect()] == [("cleanliness", "clean", "깨끗해요"), ("cleanliness", "dirty", "얼룩이 많음")]
     called = labels.map_rows(spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string"), lambda r: r["t"].upper() if r["i"] == 1 else 1 / 0, ["i", "t"], "out")
-    assert [r.out for r in called.orderBy("i").collect()] == ["A", None]
+    assert [(r.out, r.out_error) for r in called.orderBy("i").collect()] == [("A", None), (None, "ZeroDivisionError: division by zero")]
+    again = labels.map_rows(spark.createDataFrame([(1, "a")], "i int, t string"), lambda r: "<0xE2>", ["t"], "out", 2, lambda x: "<0x" not in x).first()
+    assert (again.out, again.out_error) == (None, "refused")
 
 
 def test_files(spark, tmp_path):
@@ -185,10 +204,48 @@ def fetch_pages(request, page):
     return {"items": [{"id": k} for k in range((page - 1) * 100, min(page * 100, total))], "total": total}
 
 
+def failing(request, page):
+    raise OSError(f"no answer to serviceKey={request['apiKey']}&x=1")
+
+
+def test_numbering_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice("ab") if k % 7 else None, rng.choice([5, 5, 5, None, *range(60)])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = {r.id: (r.i, r.n) for r in numbering.number_by_value(df, ["g"], "v", "id", "i", "n").collect()}
+    for g in ("a", "b", None):
+        ids = [k for k, _, v in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))]
+        assert [got[k] for k in ids] == [(i + 1, len(ids)) for i in range(len(ids))]
+    got = {r.id: r.i for r in numbering.number_by_hash(df, ["g"], F.sha2(F.col("id").cast("string"), 256), "id", "i").collect()}
+    for g in ("a", "b", None):
+        ids = sorted((r[0] for r in rows if r[1] == g), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
+        assert [got[k] for k in ids] == list(range(1, len(ids) + 1))
+    with pytest.raises(ValueError):
+        numbering.paired(df, df, most=10)
+
+
+def test_nearest_rank_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("xyz"), rng.randrange(12) / 4) for _ in range(200)]
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r[0]: r[1] for r in evaluation.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", share).collect()}
+        for k in "xyz":
+            v = sorted(x for q, x in rows if q == k)
+            assert got[k] == v[round(share * (len(v) - 1))]
+
+
 def test_paged_source_and_logs(spark, tmp_path):
     df = rest.paged(spark, fetch_pages, [{"n": 250}, {"n": 0}, {"n": 5000}])
-    assert {json.loads(r.request)["n"]: r.n for r in df.groupBy("request").agg(F.count(F.lit(1)).alias("n")).collect()} == {250: 250, 5000: 2000}
-    assert [r.p for r in spark.createDataFrame([(0,), (100,), (101,), (9999,)], "t int").select(rest.pages_needed(F.col("t")).alias("p")).collect()] == [1, 1, 2, 20]
+    with pytest.raises(Exception, match="5000 items, of which 20 pages hold 2000"):
+        df.collect()
+    whole = rest.paged(spark, fetch_pages, [{"n": 250}, {"n": 0}, {"n": 5000}], max_pages=50)
+    assert {json.loads(r.request)["n"]: r.n for r in whole.groupBy("request").agg(F.count(F.lit(1)).alias("n")).collect()} == {250: 250, 5000: 5000}
+    with pytest.raises(Exception, match="101 items"):  # a single-shot source
+        rest.paged(spark, fetch_pages, [{"n": 101}], max_pages=1).collect()
+    with pytest.raises(Exception, match="page 1 failed 3 times: no answer to serviceKey=\\*\\*\\*&x=1"):
+        rest.paged(spark, failing, [{"apiKey": "s3cret", "n": 1}], failures=3).collect()
+    assert rest.items_of({"items": ""}) == rest.items_of({}) == [] and rest.items_of({"items": {"a": 1}}) == [{"a": 1}]
+    assert [r.p for r in spark.createDataFrame([(0,), (100,), (101,), (9999,)], "t int").select(rest.pages_needed(F.col("t")).alias("p")).collect()] == [1, 1, 2, 100]
     path = str(tmp_path / "log")
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     assert [logs.append_new(rows, path, "id"), logs.append_new(rows.union(spark.createDataFrame([(3, "c")], rows.schema)), path, "id"), logs.append_new(rows, path, "id")] == [2, 1, 0]
