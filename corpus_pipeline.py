@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents. run()
 writes every stage as Parquet in the shared scratch folder and reads it back as the next one's input, so a lost executor
-costs tasks of one stage. Null texts pass every filter; repeated rows are judged alike, and of equal documents the
-Jaccard stage keeps one.
+costs tasks of one stage; the input of a stage is deleted once its result stands.
+
+Null texts count as empty and pass every filter. Repeated rows are judged alike; of rows of equal or near-equal texts the
+Jaccard stage keeps one. Rows are told apart by doc_id (or, where that is null, a hash of the text) and a hash of the
+text, so a clean row stays where another row of its doc_id goes. Very long texts are read whole; ties go to the least
+doc_id. An empty table stays empty. Further columns are kept, whatever their names, save those named like what the last
+stage adds (ids, parity, round_trip), which it replaces, and the names _ref and _th.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, jaccard_join, secret_scan, sentencepiece_codec, toxicity
 from cairn.llm.memory import give_back
-from cairn.session import materialize, ship, table
+from cairn.session import discard, materialize, ship, table
 
 #: Rows up to which a list of documents to drop is broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -36,7 +41,7 @@ def _begin(spark: SparkSession) -> None:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones among them, does not reject. Without labels, all stay."""
     _begin(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
@@ -44,7 +49,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of every connected group of 75 % alike ones."""
+    """One document, that of the least doc_id, of every connected group of 75 % alike ones; all without a word stay."""
     _begin(spark)
     joined = materialize(jaccard_join.jaccard_join(docs).select(F.col("ref").alias("_ref"), F.col("th").alias("_th"), "first", "n_shingles"), "groups")
     kept = _without(docs, joined.where("not first").select("_ref", "_th").distinct(), ["_ref", "_th"])
@@ -56,15 +61,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows without a passage of the benchmark; an empty benchmark drops none."""
     _begin(spark)
-    rows = _marked(docs).select(F.col("_ref").alias("doc_id"), "text")
-    leaks = materialize(decontamination.find_leaks(rows, table(spark, sf_dir, "benchmark")), "leaks")
-    return _without(docs, leaks.select(F.col("doc_id").alias("_ref")).distinct(), ["_ref"])
+    row = F.xxhash64("_ref", "_th")
+    rows = _marked(docs).select(row.alias("doc_id"), "text")
+    leaks = materialize(decontamination.find_leaks(rows, table(spark, sf_dir, "benchmark"), decontamination.PIPELINE_WORDS).select("doc_id").distinct(), "leaks")
+    leaking = leaks.withColumnRenamed("doc_id", "_row")
+    leaking = F.broadcast(leaking) if leaking.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else leaking
+    return _marked(docs).withColumn("_row", row).join(leaking, "_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced; n_chars follows the text."""
+    """Every document, with the secrets in its text replaced; n_chars, where there is one, follows the text."""
     _begin(spark)
     ratios = secret_scan.train(secret_scan.default_samples(docs))
     clean = secret_scan.redact(F.col("text"), F.col("found"))
@@ -75,7 +83,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its SentencePiece ids."""
+    """Every document with its SentencePiece ids (none for a null text)."""
     _begin(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
 
@@ -92,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
