@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.components import components
 from cairn.llm.memory import tidied
-from cairn.session import materialize
+from cairn.operators.components import components
+from cairn.session import discard, materialize
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -275,8 +275,8 @@ def stars(tokens: np.ndarray, bands: np.ndarray, owners: np.ndarray) -> tuple[np
     return edges[0], edges[1], tokens[first], bands[first], owners[first]
 
 
-def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: edges that connect all classes that may link."""
+def candidates_of(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component: the connected groups of all classes that may link."""
     whole = shared.groupBy("cls").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))  # no more than the class's own set
     rows = whole.join(classes.select("cls", "n", "low", "high"), "cls")
 
@@ -309,7 +309,9 @@ def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
     least = heads.groupBy("token", "band").agg(F.min("a").alias("b"))
     above = least.select("token", (F.col("band") - 1).alias("band"), F.col("b").alias("a"))
     edges = [found.where("token is null").select("a", "b"), heads.join(least, ["token", "band"]).select("a", "b"), least.join(above, ["token", "band"]).select("a", "b")]
-    return edges[0].unionByName(edges[1]).unionByName(edges[2]).where("a <> b").distinct()
+    out = components(edges[0].unionByName(edges[1]).unionByName(edges[2]), "a", "b")
+    discard(found)
+    return out
 
 
 class Grouping:
@@ -443,7 +445,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = materialize(filled.groupBy("key").agg(*facts, F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min(F.struct("ref", "th")).alias("row")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     shared = shared_tokens(docs, frequent, max(1, -(-int(total * 0.6) // BUCKET_TOKENS)))
-    candidates = components(candidate_edges(shared, classes), "a", "b")
+    candidates = candidates_of(shared, classes)
     groups = candidates.withColumnRenamed("node", "cls").withColumnRenamed("component", "gid").join(classes.select("cls", "key", "ref", "n"), "cls")
     links = materialize(links_in_groups(docs, groups), "links")
     joined = components(links.where("a <> b"), "a", "b").withColumnRenamed("node", "key")

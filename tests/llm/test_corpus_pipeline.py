@@ -53,5 +53,14 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).collect() == []
 
 
+def test_a_clean_row_stays_beside_a_leaking_one(spark, tmp_path):
+    item = "which of the nine rivers of the old kingdom of varn flows north past the tower of salt"
+    rows = [(1, f"some words before {item} and after"), (1, "a clean text of the same id with nothing to hide"), (None, item), (None, "another clean text"), (2, None)]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, d).collect()))) == sorted(map(str, (rows[1], rows[3], rows[4])))
+
+
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "decontamination", "secrets", "sentencepiece"]

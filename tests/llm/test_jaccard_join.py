@@ -4,8 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from cairn.llm import components
 from cairn.llm import jaccard_join as J
+from cairn.operators import components
 
 
 def shingles(text):
