@@ -5,9 +5,13 @@ Dated list events (add, remove) become validity intervals [valid_from, valid_to)
 with every directory of its path; entries active at the time of the fetch count. The most specific active entry decides
 (path over host over domain, then the longer key, then allow over block, then key and start).
 
-Equal captures are pre-aggregated before the lookup, so repeated rows, however many, cost one; they are spelled out
-again in the end. The interval table is broadcast only up to BROADCAST_ROWS rows; beyond, both sides are shuffled on the
-key and a salt (a host with a third of all captures meets SALT copies of its few intervals).
+The lookup is an as-of join of what differs: every key and time that captures have, once, is merged with the starts of
+the key's intervals in order of time, and takes the last start before it, active unless its end has come. The merge runs
+within spans of SPAN_DAYS; an interval that goes on is entered at the beginning of each span in which its key is asked
+for. So neither a host with a third of all captures nor a key with many intervals multiplies rows or fills one task.
+What was found goes back to the captures by key and time. Equal captures are looked up once and spelled out again in the
+end. Sides are broadcast only up to BROADCAST_ROWS rows; beyond, keys of more than HOT_ROWS rows, which are few, are
+broadcast and the rest is shuffled.
 
 Edge cases: a url that is null or has no host, or a capture without a time, matches nothing and is not blocked; events
 without list, kind, key, action or time are left out; on one day, remove comes after add; repeated events count once; an
@@ -19,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-SALT = 16
+BROADCAST_ROWS, HOT_ROWS = 100_000, 1_000_000
+SPAN_DAYS = 32
 KINDS = ("domain", "host", "path")  # by rising specificity
 
 
@@ -46,7 +50,37 @@ def intervals(events: DataFrame) -> DataFrame:
     events = events.select("list", "kind", "key", "action", "day").dropna().distinct()
     w = Window.partitionBy("list", "kind", "key").orderBy("day", "action")
     changes = events.withColumn("before", F.lag("action").over(w)).where(F.col("action") != F.coalesce("before", F.lit("remove")))
-    return changes.withColumn("valid_to", F.lead("day").over(w)).where("action = 'add'").select("list", "kind", "key", F.col("day").alias("valid_from"), "valid_to")
+    spans = changes.withColumn("valid_to", F.lead("day").over(w)).where("action = 'add' AND (valid_to IS NULL OR valid_to > day)")
+    return spans.select("list", "kind", "key", F.col("day").alias("valid_from"), "valid_to")
+
+
+def span_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day.cast("date")) / SPAN_DAYS).cast("int")
+
+
+def _met(many: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """many joined with few, of which a key has few rows: no task gets all rows of a frequent key of many."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), on, how)
+    hot = F.broadcast(many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on))  # the rows of many over HOT_ROWS at most
+    often = many.join(hot, on, "left_semi").join(F.broadcast(few.join(hot, on, "left_semi")), on, how)
+    return often.unionByName(many.join(hot, on, "left_anti").join(few, on, how))
+
+
+def active_entries(times: DataFrame, listed: DataFrame) -> DataFrame:
+    """kind, key, fetched, list, since: for distinct keys and times the interval of each list that is active then, as of that time."""
+    key = ["kind", "key", "span"]
+    times = times.withColumn("span", span_of(F.col("fetched")))
+    first = F.date_from_unix_date(F.col("span") * SPAN_DAYS)
+    asked = times.select(*key).distinct()
+    here = (F.col("valid_from") < F.date_add(first, SPAN_DAYS)) & (F.col("valid_to").isNull() | (F.col("valid_to") > first))
+    none = F.lit(None)
+    starts = _met(asked, listed, ["kind", "key"], "inner").where(here).select("list", *key, F.greatest("valid_from", first).alias("at"), F.lit(0).alias("late"), F.struct("valid_from", "valid_to").alias("s"), none.cast(times.schema["fetched"].dataType).alias("fetched"))
+    kind = starts.schema["s"].dataType
+    points = _met(times, starts.select("list", *key).distinct(), key, "inner").select("list", *key, F.col("fetched").alias("at"), F.lit(1).alias("late"), none.cast(kind).alias("s"), "fetched")
+    w = Window.partitionBy("list", *key).orderBy("at", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.unionByName(points).withColumn("s", F.last("s", ignorenulls=True).over(w)).where("late = 1")
+    return found.where("s.valid_from <= fetched AND (s.valid_to IS NULL OR fetched < s.valid_to)").select("kind", "key", "fetched", "list", F.col("s.valid_from").alias("since"))
 
 
 def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
@@ -55,14 +89,10 @@ def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
     row = ["page_id", "url", "fetched"]
     once = captures.select(*row).groupBy(*row).agg(F.count(F.lit(1)).alias("copies"))
     keyed = once.withColumn("k", F.explode_outer(keys_of(F.col("url")))).select(*row, "copies", "k.kind", "k.key")
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = keyed.join(F.broadcast(listed), ["kind", "key"], "left")
-    else:
-        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(*row), F.lit(SALT)).cast("int"))
-        met = salted.join(listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["kind", "key", "salt"], "left")
-    active = (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
+    active = active_entries(keyed.where("kind IS NOT NULL AND fetched IS NOT NULL").select("kind", "key", "fetched").distinct(), listed)
+    met = _met(keyed, active, ["kind", "key", "fetched"], "left")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    entry = F.when(active, F.struct(rank.alias("rank"), F.length("key").alias("len"), (F.col("list") == "allow").cast("int").alias("allow"), F.col("key").alias("key"), F.col("valid_from").alias("since"), F.col("kind").alias("kind")))
+    entry = F.when(F.col("list").isNotNull(), F.struct(rank.alias("rank"), F.length("key").alias("len"), (F.col("list") == "allow").cast("int").alias("allow"), F.col("key").alias("key"), F.col("since").alias("since"), F.col("kind").alias("kind")))
     decided = met.groupBy(*row).agg(F.first("copies").alias("copies"), F.count(entry).alias("n_active"), F.max(entry).alias("top"))
     return decided.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         *row, F.coalesce(F.col("top.allow") == 0, F.lit(False)).alias("blocked"), "n_active", F.concat("top.kind", F.lit(":"), "top.key").alias("rule"), F.col("top.since").alias("active_since"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -37,6 +38,7 @@ CASES = [
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_intervals_specificity_and_odd_rows(spark, monkeypatch, most):
     monkeypatch.setattr(url_lists, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(url_lists, "HOT_ROWS", 1)
     events = spark.createDataFrame(EVENTS, "list string, kind string, key string, action string, day date")
     rows = [(i, u, None if n is None else day(n), "c", i) for i, (u, n, _) in enumerate(CASES)]
     rows += [rows[0]] * 3 + [(None, CASES[0][0], day(10), None, None)]
@@ -49,6 +51,25 @@ def test_intervals_specificity_and_odd_rows(spark, monkeypatch, most):
     assert not any(r.blocked or r.n_active for r in url_lists.filter_urls(captures, events.limit(0)).collect())
 
 
+@pytest.mark.parametrize("span", [3, 400])
+def test_as_of_by_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(url_lists, "SPAN_DAYS", span)
+    rng = random.Random(span)
+    events = [(rng.choice(["block", "allow", "other"]), "host", rng.choice(["a", "b", "c"]), rng.choice(["add", "add", "remove"]), day(rng.randrange(300))) for _ in range(400)]
+    times = [("host", k, day(rng.randrange(-20, 330))) for k in "abcd" for _ in range(60)]
+    listed = url_lists.intervals(spark.createDataFrame(events, "list string, kind string, key string, action string, day date"))
+    got = url_lists.active_entries(spark.createDataFrame(sorted(set(times)), "kind string, key string, fetched date"), listed)
+    want = set()
+    for name in ("block", "allow", "other"):
+        for _, k, t in set(times):
+            since = None
+            for _, _, _, action, at in sorted((e for e in set(events) if e[0] == name and e[2] == k and e[4] <= t), key=lambda e: (e[4], e[3])):
+                since = (since or at) if action == "add" else None
+            if since:
+                want.add(("host", k, t, name, since))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
 def test_no_python_in_the_plan(spark):
     plan = url_lists.op2_query(spark, D)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
