@@ -26,7 +26,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{24,}"
 ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
 #: Runs that the models judge, their least length, and the mean log-likelihood ratio a character that makes a finding.
-RUN_LEAST = 20
+RUN_LEAST = 16
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST
 THRESHOLD = 0.5
 KINDS = ("assign", "access", "hex", "random")
@@ -41,25 +41,49 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def before(values: Column, merge, start) -> Column:
+    """For each of an array of numbers what merge makes of all before it, from start.
+
+    A list grows by copying, so it is built in blocks of about the square root of its length: what comes before each block
+    first, then within each.
+    """
+
+    def run(x: Column, begin: Column) -> Column:
+        empty = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, v: F.struct(merge(acc.getField("at"), v).alias("at"), F.concat(acc.getField("out"), F.array(acc.getField("at"))).alias("out"))
+        return F.aggregate(x, empty, step, lambda acc: acc.getField("out"))
+
+    def blocks(v: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda j: F.slice(v, j * size + 1, size))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(cut, within))
+
+    def within(parts: Column) -> Column:
+        tops = run(F.transform(parts, lambda x: F.aggregate(x, start, merge)), start)
+        return let(tops, lambda t: F.flatten(F.transform(parts, lambda x, j: run(x, F.get(t, j)))))
+
+    return let(values, blocks)
+
+
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, stop, word>> of the pattern's leftmost non-overlapping matches, in code points.
 
-    What lies between the matches is split off; the running sum of both lengths gives the offsets.
+    What lies between the matches is split off; the sums of both lengths give the offsets.
     """
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,word:string>>")
 
     def walk(pair: Column) -> Column:
         words, gaps = pair.getField("w"), pair.getField("g")
+        at = before(F.transform(words, lambda w, i: F.length(F.get(gaps, i)) + F.length(w)), lambda a, b: a + b, F.lit(0))
+
+        def spans(at: Column) -> Column:
+            def one(w: Column, i: Column) -> Column:
+                start = F.get(at, i) + F.length(F.get(gaps, i))
+                return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(w)).alias("stop"), w.alias("word"))
 
-        def step(acc: Column, i: Column) -> Column:
-            word = F.get(words, i)
-            start = acc.getField("at") + F.length(F.get(gaps, i))
-            stop = start + F.length(word)
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), word.alias("word"))
-            return F.struct(stop.alias("at"), F.concat(acc.getField("out"), F.array(one)).alias("out"))
+            return F.transform(words, one)
 
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), begin, step, lambda acc: acc.getField("out"))
+        return let(at, spans)
 
     found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"), F.split(text, pattern, -1).alias("g")), walk)
     if keep is not None:
@@ -162,12 +186,16 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """text with every span (overlapping ones as one) replaced by mark."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at, start, stop = acc.getField("at"), x.getField("start"), x.getField("stop")
-        apart = F.concat(acc.getField("out"), F.substring(text, at + 1, start - at), F.lit(mark))
-        return F.struct(F.greatest(at, stop).alias("at"), F.when(start >= at, apart).otherwise(acc.getField("out")).alias("out"))
+    def cut(reached: Column) -> Column:
+        """reached: up to where the spans before each one go."""
+
+        def piece(x: Column, i: Column) -> Column:
+            at, start = F.get(reached, i), x.getField("start")
+            return F.when(start >= at, F.concat(F.substring(text, at + 1, start - at), F.lit(mark))).otherwise("")
+
+        end = F.array_max(F.transform(found, lambda x: x.getField("stop")))
+        return F.concat(F.array_join(F.transform(found, piece), ""), F.substring(text, end + 1, F.length(text)))
 
-    finish = lambda acc: F.concat(acc.getField("out"), F.substring(text, acc.getField("at") + 1, F.length(text)))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, begin, step, finish))
+    stops = F.transform(found, lambda x: x.getField("stop"))
+    return F.when(F.size(found) == 0, text).otherwise(let(before(stops, lambda a, b: F.greatest(a, b), F.lit(0)), cut))
