@@ -310,15 +310,14 @@ def csv_positional(spark, d):
     return files.read_csv_positional(spark, path, ["id", "title"])
 
 
-def counted_pages(request: dict, page: int) -> dict:
-    """A source of `total` items in pages."""
-    low = (page - 1) * rest.PAGE_ROWS
-    return {"items": [{"id": request["area"] * 1000 + k} for k in range(low, min(low + rest.PAGE_ROWS, request["total"]))], "total": request["total"]}
-
-
 @query("paged_items", "SELECT n_nationkey AS area, CAST(n_nationkey * 13 AS BIGINT) AS items, CAST(greatest(1, ceil(n_nationkey * 13 / 100)) AS BIGINT) AS calls FROM nation WHERE n_nationkey > 0")
 def paged_items(spark, d):
     """Items of every area through the paged source, and the calls that they take."""
+    rows = rest.PAGE_ROWS
+
+    def counted_pages(request: dict, page: int) -> dict:  # a source of `total` items in pages
+        return {"items": [{"id": request["area"] * 1000 + k} for k in range((page - 1) * rows, min(page * rows, request["total"]))], "total": request["total"]}
+
     areas = [r.n_nationkey for r in table(spark, d, "nation").select("n_nationkey").collect()]  # a fixed dimension
     got = rest.paged(spark, counted_pages, [{"area": a, "total": a * 13} for a in areas])
     per = got.groupBy(F.get_json_object("request", "$.area").cast("int").alias("area")).agg(F.count(F.lit(1)).alias("items"))

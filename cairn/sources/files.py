@@ -83,8 +83,13 @@ def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-
     def parse(content: bytes) -> pd.DataFrame:
         return pd.read_csv(io.StringIO(decoded(content)), dtype=str, keep_default_na=False, na_values=[""])
 
+    def header(it):
+        for pdf in it:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"name": list(pd.read_csv(io.StringIO(decoded(content)), dtype=str, nrows=0).columns)})
+
     raw = spark.read.format("binaryFile").load(path).select("content")
-    names = parse(bytes(raw.first().content)).columns
+    names = [r.name for r in raw.limit(1).mapInPandas(header, "name string").collect()]
 
     def rows(it):
         for pdf in it:
@@ -107,7 +112,10 @@ def file_with_prefix(names: list[str], prefix: str) -> str | None:
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet's rows under its header, all as strings. Needs openpyxl, which this package does not require."""
+    """A sheet's rows under its header, all as strings; read whole on the driver, as one workbook of a person's size is.
+
+    Needs openpyxl, which this package does not require.
+    """
     pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
     return spark.createDataFrame(pdf.where(pdf.notna(), None))
 
