@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from cairn.session import discard, materialize
 
-
 #: Nodes up to which they are broadcast; beyond, those of more than HUB neighbours are (there are few), and the rest is shuffled.
 BROADCAST_ROWS, HUB = 200_000, 100_000
 
 
-def _met(near: DataFrame, least: DataFrame) -> DataFrame:
-    """near with m, the least node that u sees; no task gets all neighbours of a hub."""
-    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def _met(near: DataFrame, least: DataFrame, small: bool, tables: list[DataFrame]) -> DataFrame:
+    """near with m, the least node that u sees; no task gets all neighbours of a hub. small: least may be broadcast.
+
+    What it writes, it adds to tables.
+    """
+    if small:
         return near.join(F.broadcast(least.select("u", "m")), "u")
     least = materialize(least, "least")
+    tables.append(least)
     hubs = least.where(F.col("degree") > HUB).select("u", F.col("m").alias("of_hub"))
     if hubs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # more than 2e10 edges
         return near.join(least.select("u", "m"), "u")
@@ -25,14 +28,14 @@ def _met(near: DataFrame, least: DataFrame) -> DataFrame:
     return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).union(others)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, small: bool, tables: list[DataFrame]) -> DataFrame:
     """Every node points its neighbours (those above it, or those below) at the least node it sees."""
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-    joined = _met(near, least)
+    joined = _met(near, least, small, tables)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -50,8 +53,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     print_of = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = print_of(edges)
     while True:
-        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
-        discard(before)
+        small = 2 * seen[0] <= BROADCAST_ROWS  # nodes that edges have; a round makes no more edges than that
+        tables = [edges]
+        edges = materialize(_star(_star(edges, True, small, tables), False, small, tables), "edges")
+        for t in tables:
+            discard(t)
         now = print_of(edges)
         if now == seen:
             break
