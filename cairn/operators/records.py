@@ -1,4 +1,4 @@
-"""Mappers from source records to rows, small parsers, and plans of generated reviews (PF14, PF28, F10, F11, F34, X1, X2, X7, X9, X11-X13, X22)."""
+"""Mappers from source records to rows, small parsers, and plans of generated reviews (PF14-PF16, PF28, F10, F11, F34, X1, X2, X7, X9, X11-X13, X22, X24, V8)."""
 
 from __future__ import annotations
 
@@ -115,3 +115,33 @@ def candidate_categories(rows: DataFrame, name: str, label: str, pos: str, words
     """rows with `category`: what their own label, else the first label of their name, says; null where neither does."""
     known = rows.join(first_labels(rows, name, label, pos), name, "left")
     return known.withColumn("_label", F.coalesce(F.nullif(F.col(label), F.lit("")), "known_label")).withColumn("category", words).drop("_label", "known_label")
+
+
+def review_row(record: Column, place: list[str], text: list[str]) -> Column:
+    """struct<place, review, review_id> of a JSON record under any of its source's names; null without a text. Who wrote it is not kept."""
+    v = F.try_parse_json(record)
+    first = lambda names: F.coalesce(*[blank_to_null(F.try_variant_get(v, f"$.{n}", "string")) for n in names])
+    row = F.struct(first(place).alias("place"), first(text).alias("review"), F.substring(F.sha1(F.concat_ws("|", first(place), first(text))), 1, 12).alias("review_id"))
+    return F.when(first(text).isNotNull(), row)
+
+
+def convert_each(df: DataFrame, column: str, convert: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(df with the converted record in `name`, rows that can't be converted with `error`): broken records are set apart,
+    those that convert to nothing are dropped."""
+    parsed = F.try_parse_json(F.col(column))
+    error = F.when(parsed.isNull(), "no JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
+    marked = df.withColumn("error", error)
+    return marked.where("error is null").withColumn(name, convert).where(F.col(name).isNotNull()).drop("error"), marked.where("error is not null")
+
+
+def label_aspects(label: Column) -> Column:
+    """The objects in the aspects of a label in JSON, each as JSON; a label or a list of another type counts as empty."""
+    listed = F.try_variant_get(F.try_parse_json(label), "$.aspects", "array<variant>")
+    objects = F.filter(F.coalesce(listed, F.array().cast("array<variant>")), lambda a: F.coalesce(F.schema_of_variant(a).startswith("OBJECT"), F.lit(False)))
+    return F.transform(objects, lambda a: F.to_json(a))
+
+
+def schema_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
+    """problem, n: how many aspects of the records break which rule of the schema first."""
+    rows = records.select("review_id", F.col("category").alias("kind"), "review", F.explode("aspects").alias("a")).select("review_id", "kind", "review", "a.*")
+    return labels.aspect_problem(rows, vocabulary_).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

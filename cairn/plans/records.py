@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from cairn import vocab
 from cairn.functions import exprs as X
 from cairn.functions import requirements
-from cairn.operators import curation, labels, ranking
+from cairn.operators import curation, labels, profile, ranking
 from cairn.operators import records as R
 from cairn.plans import analytics, star
 from cairn.plans.registry import query
 from cairn.session import scratch, table
 from cairn.sources import databases, files, rest, sinks
+from cairn.streaming import logs
 
 WISH = "CASE c_custkey % 4 WHEN 0 THEN '부모님과 조용한 곳, 주차는 상관없어요' WHEN 1 THEN '아이와 계단 없이' WHEN 2 THEN '웨이팅 없는 맛집' ELSE '주차는 필요 없고 바다' END"
 WISH_ROWS = """(0, 'noise_level', 3.5, '조용함'), (0, 'walking_burden', 2, '부모님'), (0, 'slope_stairs', 2, '부모님'), (0, 'rest_facilities', 2, '부모님'), (0, 'toilet_facilities', 1, '부모님'),
@@ -118,12 +119,12 @@ def name_parts(spark, d):
     return table(spark, d, "customer").select("c_custkey", name.alias("name"), path.alias("path"), place.alias("place"), label.alias("label"))
 
 
-@query("place_ids", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'kakao:' || c_custkey WHEN 1 THEN 'tourapi:' || c_custkey END AS place_id, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS rooms FROM customer")
+@query("place_ids", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'maps:' || c_custkey WHEN 1 THEN 'tour:' || c_custkey END AS place_id, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS rooms FROM customer")
 def place_ids(spark, d):
     key = F.col("c_custkey").cast("string")
-    own, other = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("kakao:"), key)).otherwise(F.lit(" ")), F.when(F.col("c_custkey") % 3 == 1, key)
+    own, other = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("maps:"), key)).otherwise(F.lit(" ")), F.when(F.col("c_custkey") % 3 == 1, key)
     rooms = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise(F.lit("12 rooms"))
-    return table(spark, d, "customer").select("c_custkey", R.prefixed_id([("place", own), ("tourapi", other)]).alias("place_id"), R.whole_number(rooms).alias("rooms"))
+    return table(spark, d, "customer").select("c_custkey", R.prefixed_id([("place", own), ("tour", other)]).alias("place_id"), R.whole_number(rooms).alias("rooms"))
 
 
 @query("metric_lookup", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN 1.0 END AS metric FROM events")
@@ -341,3 +342,64 @@ def cached_responses(spark, d):
     rest.write_cache(n.where("request < '5'"), path)
     rest.write_cache(n, path)
     return spark.read.parquet(path).groupBy(F.col("request").cast("int").alias("request")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---- records in JSON ----
+
+RECORD = """CASE conv_id % 5 WHEN 0 THEN to_json(named_struct('title', role, 'content', text, 'author', 'x')) WHEN 1 THEN to_json(named_struct('name', ' ', 'title', role, 'review', text)) WHEN 2 THEN '{"title": "no text"}' WHEN 3 THEN '[1, 2]' ELSE '{"title": ' END"""
+
+
+@query("review_rows", "SELECT conv_id, turn, role AS place, nullif(trim(text, E' \\n\\t'), '') AS review, substr(sha1(role || '|' || trim(text, E' \\n\\t')), 1, 12) AS review_id FROM conversations WHERE conv_id % 5 < 2 AND trim(text, E' \\n\\t') <> ''")
+def review_rows(spark, d):
+    """Reviews from records of two sources, without those that have no text, are no object or are broken."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.expr(RECORD).alias("js"))
+    good, _ = R.convert_each(c, "js", R.review_row(F.col("js"), ["name", "title"], ["review", "content"]), "r")
+    return good.select("conv_id", "turn", "r.place", "r.review", "r.review_id")
+
+
+@query("broken_records", "SELECT CASE conv_id % 5 WHEN 3 THEN 'no object' ELSE 'no JSON' END AS error, count(*) AS n FROM conversations WHERE conv_id % 5 > 2 GROUP BY 1")
+def broken_records(spark, d):
+    c = table(spark, d, "conversations").select(F.expr(RECORD).alias("js"))
+    _, bad = R.convert_each(c, "js", R.review_row(F.col("js"), ["name", "title"], ["review", "content"]), "r")
+    return bad.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("label_aspects", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"category":"a"};{"category":"b"}' ELSE '' END AS aspects FROM customer""")
+def label_aspects(spark, d):
+    js = F.expr("""CASE c_custkey % 4 WHEN 0 THEN '{"aspects": [{"category": "a"}, 3, "x", {"category": "b"}]}' WHEN 1 THEN '{"aspects": {"category": "a"}}' WHEN 2 THEN '"text"' ELSE 'broken {' END""")
+    return table(spark, d, "customer").select("c_custkey", F.array_join(R.label_aspects(js), ";").alias("aspects"))
+
+
+@query("schema_problem_counts", f"SELECT {FAULTS.format(five='')} AS problem, count(*) * CASE WHEN min(c_custkey % 6) = 4 THEN 2 ELSE 1 END AS n FROM customer WHERE c_custkey % 6 BETWEEN 1 AND 4 GROUP BY 1")
+def schema_problem_counts(spark, d):
+    return R.schema_problems(made_records(spark, d), labels.vocabulary(spark))
+
+
+@query("keyed_state", "SELECT user_id, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1")
+def keyed_state(spark, d):
+    """State of users in a versioned table, updated by two runs over what came in between."""
+    root = scratch(spark, "state")
+    e = table(spark, d, "events")
+    half = e.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    state = lambda rows: rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    logs.update_state(state(e.where(F.col("ts") <= F.lit(half))), root, "user_id")
+    return logs.update_state(state(e.where(F.col("ts") > F.lit(half))), root, "user_id")
+
+
+@query(
+    "detail_with_profile",
+    star.sql("SELECT c.place_id, place_name, category, district, coalesce(n, 0) AS reviews FROM candidates c LEFT JOIN (SELECT place_id, count(*) AS n FROM reviews GROUP BY 1) USING (place_id)"),
+)
+def detail_with_profile(spark, d):
+    """A place's detail and profile in one row."""
+    c = star.candidates(spark, d)
+    p = profile.place_profile(c.select("place_id"), star.reviews(spark, d), star.annotated(spark, d), star.companions(spark, d))
+    return c.join(p, "place_id", "left").select("place_id", "place_name", "category", "district", F.coalesce("reviews", F.lit(0)).alias("reviews"))
+
+
+@query("condition_payload", """SELECT c_custkey, '{"keywords":["' || CASE c_custkey % 4 WHEN 0 THEN '부모님","조용함' WHEN 1 THEN '아이","걷기 부담' WHEN 2 THEN '맛","웨이팅' ELSE '경치·전망' END || '"],"ignored":[' || CASE WHEN c_custkey % 4 IN (0, 3) THEN '"주차"' ELSE '' END || ']}' AS payload FROM customer""")
+def condition_payload(spark, d):
+    """What a wish asks for and waives, as JSON."""
+    states = requirements.keyword_states(F.expr(WISH))
+    names = lambda negated: F.transform(F.filter(states, lambda s: s.getField("negated") == negated), lambda s: s.getField("keyword"))
+    return table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(names(False).alias("keywords"), names(True).alias("ignored"))).alias("payload"))

@@ -51,3 +51,19 @@ def run_available(source: DataFrame, path: str, checkpoint: str, key: str, work:
         append_new(work(df.dropDuplicates([key])), path, key)
 
     source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def update_state(changes: DataFrame, root: str, key: str) -> DataFrame:
+    """Keyed state in numbered versions under root: the last version with the rows of changes over it, written as the next.
+
+    A version is complete or not there, and older ones stay, so a run that fails halfway is run again. Returns the new state.
+    """
+    spark = changes.sparkSession
+    version = 0
+    while exists(spark, f"{root}/v{version + 1:06d}/_SUCCESS"):
+        version += 1
+    if version:
+        old = spark.read.parquet(f"{root}/v{version:06d}").join(changes.select(key).distinct(), key, "left_anti")
+        changes = changes.unionByName(old)
+    changes.write.mode("overwrite").parquet(f"{root}/v{version + 1:06d}")
+    return spark.read.parquet(f"{root}/v{version + 1:06d}")
