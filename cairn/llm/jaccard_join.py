@@ -38,12 +38,13 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: The sample whose frequent shingles (of FREQUENT different sets in it) come last in the order, and a bound of their number.
 #: They are a matter of speed: any order gives the same links.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 5_000, 3, 200_000
-#: Shingles that one task counts at a time, and that it gathers before it sends them.
-BUCKET_TOKENS, FLUSH_TOKENS, MAX_PARTS = 1_000_000, 500_000, 32_768
+#: Shingles that one task counts at a time, and that it gathers before it sends them; more parts than MAX_PARTS share tasks.
+PART_TOKENS, FLUSH_TOKENS, MAX_PARTS = 1_000_000, 500_000, 32_768
 #: Sizes of sets in one band differ by less than this factor; it is a little above 1 / 0.75, so that linked sets are in the same band or the next.
 BAND = 1.34
-#: Shingles of a group that one task holds at a time; larger groups are joined block by block.
-GROUP_BLOCK = 1_500_000
+#: Shingles of a group that one task holds at a time; larger groups are joined block by block, and those above the second
+#: number in as many blocks as the root of what they hold of it.
+GROUP_BLOCK, ROOT_BLOCK = 1_500_000, 50_000
 #: Keys that a task keeps to leave out copies of what it has sent; copies that still come are left out later.
 SEEN_KEYS = 300_000
 #: Rows up to which a table of ids is broadcast; larger ones are shuffled.
@@ -174,9 +175,43 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", F.expr(REF).alias("ref"), F.xxhash64("text").alias("th")).mapInArrow(tidied(run), "doc_id long, ref long, th long, n long, key binary, cls long, low long, high long")
 
 
-def shared_tokens(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """cls, tokens, dfs: of every class those of its sent shingles that another class sends too, and how many do; frequent
-    ones have FAR for that. A class has several rows."""
+def _packed(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each part, with the bytes of its entries of every column."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]))
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), *(pa.array([c[order][a:b].tobytes() for a, b in pieces], pa.binary()) for c in columns.values())], names=["part", *columns])
+
+
+def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with a part each to one task, parts one after the other; a task has several where there are more than MAX_PARTS."""
+    tasks = min(parts, MAX_PARTS)
+    return rows.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
+
+
+def _parts(it: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
+    """The values of the columns of every part, from rows in the order of parts."""
+    current, held = None, [[] for _ in columns]
+    for b in it:
+        for part, *values in zip(*(b.column(c).to_pylist() for c in ("part", *columns))):
+            if part != current and held[0]:
+                yield held
+                held = [[] for _ in columns]
+            current = part
+            for h, v in zip(held, values):
+                h.append(v)
+    if held[0]:
+        yield held
+
+
+def _entries(rows: list[bytes | None], kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in rows if x), dtype=kind)
+
+
+def shared_tokens(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
+    """part, owners, tokens, dfs: packed entries, by a part of the classes: of every class those of its sent shingles that
+    another class sends too, and how many do; frequent ones have FAR for that."""
 
     def send(it: Iterator[pa.RecordBatch]):
         seen: set[bytes] = set()
@@ -184,16 +219,11 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
         size = 0
 
         def flush():
-            count = lambda k: np.repeat(np.array([c for c, *_ in held], dtype=np.int64), [len(x[k]) for x in held])
-            tokens, often = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, dtype=np.int64) for k in (1, 2))
-            for part, owners, where, flag in ((tokens, count(1), tokens >> 20, False), (often, count(2), count(2), True)):  # frequent ones go by class: no task gets all of one
-                bucket = (where % buckets).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]))
-                if pieces:
-                    part, owners = part[order], owners[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts], pa.int32()), pa.array([part[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([flag] * len(pieces))], names=["bucket", "tokens", "owners", "often"])
+            owner = lambda k: np.repeat(np.array([c for c, *_ in held], dtype=np.int64), [len(x[k]) for x in held])
+            rare, often = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            tokens, owners = np.concatenate([rare, often]), np.concatenate([owner(1), owner(2)])
+            where = np.concatenate([rare >> 20, owner(2)])  # frequent ones go by class: no task gets all of one
+            return _packed((where % parts).astype(np.int32), {"tokens": tokens, "owners": owners, "often": np.arange(len(tokens)) >= len(rare)})
 
         for b in it:
             for s in map(shingle_set, b.column("text").to_pylist()):
@@ -206,43 +236,28 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
                 held.append((class_of(key), rare, often))
                 size += len(rare) + len(often)
                 if size >= FLUSH_TOKENS:
-                    yield from flush()
+                    yield flush()
                     held, size = [], 0
-        yield from flush()
+        if held:
+            yield flush()
 
     def count(it: Iterator[pa.RecordBatch]):
-        current, parts = None, []
-
-        def finish():
-            tokens, owners, often = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        for tokens, owners, often in _parts(it, ["tokens", "owners", "often"]):
+            tokens, owners, often = _entries(tokens), _entries(owners), _entries(often, bool)
             order = np.lexsort((owners, tokens))
             tokens, owners, often = tokens[order], owners[order], often[order]
             new = np.ones(len(tokens), dtype=bool)  # copies of a class from several tasks go
             new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
             tokens, owners, often = tokens[new], owners[new], often[new]
-            starts = np.flatnonzero(np.diff(tokens, prepend=tokens[0] - 1 if len(tokens) else 0))
-            runs = np.diff(starts, append=len(tokens))
+            first = np.ones(len(tokens), dtype=bool)
+            first[1:] = tokens[1:] != tokens[:-1]
+            runs = np.diff(np.flatnonzero(first), append=len(tokens))
             dfs = np.where(often, FAR, np.repeat(runs, runs))
-            keep = np.flatnonzero(dfs > 1)
-            keep = keep[np.argsort(owners[keep], kind="stable")]
-            owners = owners[keep]
-            cuts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, dtype=np.int64)
-            offsets = pa.array(np.append(cuts, len(owners)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(owners[cuts]), pa.ListArray.from_arrays(offsets, pa.array(tokens[keep])), pa.ListArray.from_arrays(offsets, pa.array(dfs[keep].astype(np.int32)))], names=["cls", "tokens", "dfs"])
+            keep = dfs > 1
+            yield _packed((owners[keep] % parts).astype(np.int32), {"owners": owners[keep], "tokens": tokens[keep], "dfs": dfs[keep].astype(np.int32)})
 
-        for b in it:
-            for bucket, tokens, owners, often in zip(*(b.column(c).to_pylist() for c in ("bucket", "tokens", "owners", "often"))):
-                if bucket != current and parts:
-                    yield finish()
-                    parts = []
-                current = bucket
-                x = np.frombuffer(tokens, dtype=np.int64)
-                parts.append((x, np.frombuffer(owners, dtype=np.int64), np.full(len(x), often)))
-        if parts:
-            yield finish()
-
-    sent = docs.select("text").mapInArrow(tidied(send), "bucket int, tokens binary, owners binary, often boolean")
-    return sent.repartition(min(buckets, MAX_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(count), "cls long, tokens array<long>, dfs array<int>")
+    sent = docs.select("text").mapInArrow(tidied(send), "part int, tokens binary, owners binary, often binary")
+    return _by_part(sent, parts).mapInArrow(tidied(count), "part int, owners binary, tokens binary, dfs binary")
 
 
 #: Stands for the count of a frequent shingle.
@@ -275,37 +290,37 @@ def stars(tokens: np.ndarray, bands: np.ndarray, owners: np.ndarray) -> tuple[np
     return edges[0], edges[1], tokens[first], bands[first], owners[first]
 
 
-def candidates_of(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def candidates_of(shared: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """node, component: the connected groups of all classes that may link."""
-    whole = shared.groupBy("cls").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))  # no more than the class's own set
-    rows = whole.join(classes.select("cls", "n", "low", "high"), "cls")
+    none = F.lit(None)
+    facts = classes.select(F.pmod("cls", F.lit(parts)).cast("int").alias("part"), *[none.cast("binary").alias(c) for c in ("owners", "tokens", "dfs")], "cls", "n", "low", "high")
+    rows = _by_part(shared.select("*", *[none.cast("long").alias(c) for c in ("cls", "n", "low", "high")]).unionByName(facts), parts)
 
     def run(it: Iterator[pa.RecordBatch]):
-        held, size = [], 0
-
-        def flush():
-            tokens = np.concatenate([x for x, *_ in held])
+        for owners, tokens, dfs, *facts in _parts(it, ["owners", "tokens", "dfs", "cls", "n", "low", "high"]):
+            known = {c: (n, low, high) for c, n, low, high in zip(*facts) if c is not None}
+            owners, tokens, dfs = _entries(owners), _entries(tokens), _entries(dfs, np.int32)
+            order = np.argsort(owners, kind="stable")
+            owners, tokens, dfs = owners[order], tokens[order], dfs[order]
+            cuts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, dtype=np.int64)
+            held = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owners)]):
+                cls = int(owners[a])
+                n, low, high = known[cls]
+                kept = prefix_of(tokens[a:b], dfs[a:b], n, low, high)
+                if len(kept):
+                    held.append((kept, n, cls))
+            if not held:
+                continue
             length = [len(x) for x, *_ in held]
-            a, b, token, band, least = stars(tokens, np.repeat(band_of(np.array([n for _, n, _ in held])), length), np.repeat(np.array([c for *_, c in held], dtype=np.int64), length))
+            bands = np.repeat(band_of(np.array([n for _, n, _ in held])), length)
+            a, b, token, band, least = stars(np.concatenate([x for x, *_ in held]), bands, np.repeat(np.array([c for *_, c in held], dtype=np.int64), length))
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32())], names=["a", "b", "token", "band"])
             yield pa.RecordBatch.from_arrays([pa.array(least), pa.nulls(len(least), pa.int64()), pa.array(token), pa.array(band, pa.int32())], names=["a", "b", "token", "band"])
 
-        for b in it:
-            lists = [[x.values.to_numpy()[o:e] for o, e in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])] for x in (b.column("tokens"), b.column("dfs"))]
-            for tokens, dfs, cls, n, low, high in zip(*lists, *(b.column(c).to_pylist() for c in ("cls", "n", "low", "high"))):
-                kept = prefix_of(tokens, dfs, n, low, high)
-                if len(kept):
-                    held.append((kept, n, cls))
-                    size += len(kept)
-                if size >= FLUSH_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
     found = materialize(rows.mapInArrow(tidied(run), "a long, b long, token long, band int"), "stars")
-    heads = found.where("token is not null").select("a", "token", "band")  # one row a list and task
+    heads = found.where("token is not null").select("a", "token", "band")  # one row a list and part
     least = heads.groupBy("token", "band").agg(F.min("a").alias("b"))
     above = least.select("token", (F.col("band") - 1).alias("band"), F.col("b").alias("a"))
     edges = [found.where("token is null").select("a", "b"), heads.join(least, ["token", "band"]).select("a", "b"), least.join(above, ["token", "band"]).select("a", "b")]
@@ -373,7 +388,7 @@ def exact_links(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
 def links_in_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """a, b, n_links: a spanning forest of the exact links of each group, with the number of links of class a in a row (a, a)."""
     spark = docs.sparkSession
-    sums = groups.groupBy("gid").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / GROUP_BLOCK).cast("int"))
+    sums = groups.groupBy("gid").agg(F.sum("n").alias("total")).withColumn("blocks", F.greatest(F.ceil(F.col("total") / GROUP_BLOCK), F.ceil(F.sqrt(F.col("total") / ROOT_BLOCK))).cast("int"))
     members = groups.join(sums, "gid").select("ref", "key", "gid", "blocks")
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     rows = docs.select(F.expr(REF).alias("ref"), "text").join(side, "ref")
@@ -444,8 +459,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     facts = [F.first(c).alias(c) for c in ("n", "cls", "low", "high")]  # the same in all rows of a key
     classes = materialize(filled.groupBy("key").agg(*facts, F.min("ref").alias("ref"), F.min("doc_id").alias("least"), F.min(F.struct("ref", "th")).alias("row")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    shared = shared_tokens(docs, frequent, max(1, -(-int(total * 0.6) // BUCKET_TOKENS)))
-    candidates = candidates_of(shared, classes)
+    parts = max(1, -(-int(total * 0.6) // PART_TOKENS))
+    candidates = candidates_of(shared_tokens(docs, frequent, parts), classes, parts)
     groups = candidates.withColumnRenamed("node", "cls").withColumnRenamed("component", "gid").join(classes.select("cls", "key", "ref", "n"), "cls")
     links = materialize(links_in_groups(docs, groups), "links")
     joined = components(links.where("a <> b"), "a", "b").withColumnRenamed("node", "key")

@@ -121,7 +121,7 @@ def test_stars_connect_what_shares_a_list():
 @pytest.mark.parametrize("small", [False, True])
 def test_groups_chains_and_common_passages(spark, monkeypatch, small):
     if small:  # many buckets and blocks, copies from several tasks, hubs that are not broadcast
-        for name, value in (("GROUP_BLOCK", 60), ("BUCKET_TOKENS", 500), ("FLUSH_TOKENS", 300), ("SEEN_KEYS", 2), ("FREQUENT", 10**6)):
+        for name, value in (("GROUP_BLOCK", 60), ("PART_TOKENS", 500), ("FLUSH_TOKENS", 300), ("SEEN_KEYS", 2), ("FREQUENT", 10**6)):
             monkeypatch.setattr(J, name, value)
         for name, value in (("BROADCAST_ROWS", 3), ("HUB", 40)):
             monkeypatch.setattr(components, name, value)
