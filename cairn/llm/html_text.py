@@ -45,7 +45,11 @@ BOILERPLATE_NAMES = frozenset(
     "sidebar sidebars cookie cookies consent gdpr ccpa notice notices popup modal overlay newsletter subscribe subscription signup login signin paywall "
     "share sharing social related recommended recommendations comment comments commentlist commenters replies respond disqus skiplink".split()
 )
-PLACE_WORDS = frozenset("area bar bottom box block body button buttons col column container content group header icon icons inner item items left link links list main outer page panel post right row section site slot the title top unit widget widgets wrap wrapper".split())
+PLACE_WORDS = frozenset(
+    "area article articles bar big block blog body bottom box button buttons card cards col column component container content desktop email entry fixed floating footer form full global grid group header holder home icon icons image inline inner item items "
+    "large left link links list main mini mobile module news new outer page pages panel panels popular post posts primary reader readers region right row rows secondary section sections site slot small sticky stories story strip text the this thread title top "
+    "tower unit user users view web wide widget widgets wrap wrapper zone".split()
+)
 #: Words that only cost a point where they are part of another name.
 HINTS = BOILERPLATE_NAMES | frozenset("crumb crumbs paging foot rail widget widgets alert alerts register follow trending reply discussion search skip toc legal disclaimer".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
@@ -72,6 +76,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass
@@ -90,14 +95,15 @@ class Block:
 
 def _hints(tag: str, attrs: str) -> tuple[bool, int, bool]:
     """Whether the element is a boilerplate container, the points that its names cost, and whether it marks an article."""
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
+    given = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
+    found = {k: v.lower() for k, v in given.items()}
     role = found.get("role", "")
     article = tag in ("article", "main") or role in ("article", "main") or found.get("itemprop") == "articlebody"
     bad = tag in BOILERPLATE_TAGS or bool(set(role.split()) & BOILERPLATE_ROLES) or "hidden" in found or found.get("aria-hidden") == "true"
     hint = 0
     if not bad and tag not in ("html", "body", "article", "main", "p", *HEADINGS):
-        for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-            parts = {x for x in _SPLIT.split(name) if x and not x.isdigit()}
+        for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+            parts = {x.rstrip("0123456789") for x in _SPLIT.split(_CAMEL.sub("-", name).lower())} - {""}
             if not parts & HINTS or parts & {"with", "has", "no", "without"}:  # `with-sidebar` describes a layout that has one
                 continue
             bad = bad or bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | PLACE_WORDS

@@ -42,7 +42,7 @@ POOR = "Zorblat mendrivel quastony perwindle axmoor tilvane brocket sundrily vex
 def test_names_and_signs_only_lower_a_block():
     for name in ('class="legal-news"', 'id="search-engines"', 'class="follow-up"', 'class="notice-period"', 'id="related-work-in-the-field"'):
         assert main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} x</p></div></article>") == f"{LONG}\n{LONG} x", name
-    for name in ('class="cookie-notice"', 'id="comments"', 'class="ad"', 'class="share-buttons top"', 'class="footer-links"', 'role="complementary"'):
+    for name in ('class="cookie-notice"', 'id="comments"', 'class="ad"', 'class="share-buttons top"', 'class="footer-links"', 'role="complementary"', 'class="userComments"', 'class="reader-comments"', 'id="ad1"', 'class="newsletter-form"', 'class="related-articles"', 'class="x relatedStories"'):
         assert main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} x</p></div></article>") == LONG, name
     assert main_text(f"<article><p>{LONG}</p><p>The mark © is of 1909.</p><p>© sign first</p></article>") == f"{LONG}\nThe mark © is of 1909.\n© sign first"
     assert main_text(f"<body><p>{LONG}</p><div>© 2024 {LONG}</div></body>") == LONG
