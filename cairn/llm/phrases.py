@@ -4,7 +4,7 @@ Texts are lower-cased (A to Z), cut at `[.,;:!?\\x0A-\\x0D]` into pieces and tho
 their rows (two rows of cells, hashed with the language), the sketches are added up slab by slab, and what remains of a
 cell is one bit: whether its n-grams can be frequent. A sketch only overestimates, so every frequent n-gram passes. The
 first sketch is of words and pairs, the second of longer n-grams all of whose pairs passed the first; then the survivors
-alone are counted exactly, by their text, and what is not frequent is left out. Cells grow with the words of the table, up
+alone are counted exactly, by their text, in buckets of a fixed size, and what is not frequent is left out. Cells grow with the words of the table, up
 to 2 ** MAX_BITS a row, so the bits that tasks get are at most 4 * 2 ** MAX_BITS / 8 bytes; a table that needs more lets
 more rare n-grams through to the exact count, with the same result.
 
@@ -35,8 +35,12 @@ from cairn.session import discard, materialize
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 #: Cells of a row of the sketch, as a power of two; bytes of text for a cell; slabs of a row that are added up apart.
 MIN_BITS, MAX_BITS, BYTES_PER_CELL, SLAB_BITS, ROWS = 16, 28, 48, 8, 2
+#: A bucket of phrases is so many (a power of two) cells' worth of them, whatever the size of the table.
+BUCKET_BITS = 14
 #: Characters that are encoded at once, bytes that are split at once, words that are sorted at once.
 BLOCK, CHUNK, WINDOW = 8 << 20, 4 << 20, 1 << 20
+#: Hashes that a task holds before it sketches them, phrases that it holds with their counts.
+HELD, PHRASES = 4 << 20, 400_000
 #: Languages up to which their word counts are broadcast; more are shuffled.
 BROADCAST_ROWS = 100_000
 #: Odd multipliers of the hashes.
@@ -44,8 +48,9 @@ ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 BREAK = b"."  # no word, as a piece ends there
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
-SKETCH = pa.schema([("slab", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+SKETCH = pa.schema([("slab", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("counts", pa.binary())])
 COUNTED = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+PARTIAL = pa.schema([("bucket", pa.int32()), *((f.name, pa.list_(f.type)) for f in COUNTED)])
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
@@ -126,21 +131,26 @@ def _levels(part: np.ndarray, hashes: np.ndarray, tests: dict[int, Sketch], last
         yield length, ok, h
 
 
-def _sketch_rows(h: np.ndarray, bits: int, least: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(slab, cells, counts) of the hashes of one window; counts beyond `least` say no more than `least`."""
+def _sketch_rows(h: np.ndarray, bits: int, least: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(slab, steps, far, counts) of hashes: each cell as its distance from the one before it in the slab, a byte, with those
+    of 255 or more in `far`; counts beyond `least` say no more than `least`."""
     keys, n = np.unique(h, return_counts=True)
     low = bits - SLAB_BITS
     for row in range(ROWS if len(keys) else 0):
-        c = _cells(keys, row, bits)
+        c = _cells(keys, row, bits).astype(np.int64)
         order = np.argsort(c, kind="stable")
         c = c[order]
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        cell, total = c[starts], np.minimum(np.add.reduceat(n[order], starts), least).astype(np.uint16)
-        slab = (cell >> np.uint64(low)).astype(np.int64)
-        inner = (cell & np.uint64((1 << low) - 1)).astype(np.uint32 if low > 16 else np.uint16)
+        cell, total = c[starts], np.minimum(np.add.reduceat(n[order], starts), least).astype(_kind(least))
+        slab = cell >> low
         ends = np.flatnonzero(np.r_[slab[1:] != slab[:-1], True]) + 1
         for lo, hi in zip(np.r_[0, ends[:-1]], ends):
-            yield (row << SLAB_BITS) + int(slab[lo]), inner[lo:hi].tobytes(), total[lo:hi].tobytes()
+            steps = np.diff(cell[lo:hi], prepend=slab[lo] << low)
+            yield (row << SLAB_BITS) + int(slab[lo]), np.minimum(steps, 255).astype(np.uint8).tobytes(), steps[steps >= 255].astype("<u4").tobytes(), total[lo:hi].tobytes()
+
+
+def _kind(least: int) -> str:
+    return "<u1" if least < 256 else "<u2"
 
 
 def merged_sketch(docs: DataFrame, bits: int, lengths: range, tests: dict, least: int) -> Sketch:
@@ -148,50 +158,98 @@ def merged_sketch(docs: DataFrame, bits: int, lengths: range, tests: dict, least
 
     def sketch(it: Iterator[pa.RecordBatch]):
         known = {k: b.value for k, b in tests.items()}
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = list(_sketch_rows(np.concatenate(held), bits, least)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SKETCH)] if rows else [pa.array([], f.type) for f in SKETCH], schema=SKETCH)
+
         for _, part, starts, _, hashes in _windows(it):
-            found = [h[:starts][ok[:starts]] for length, ok, h in _levels(part, hashes, known, lengths[-1]) if length in lengths]
-            rows = list(_sketch_rows(np.concatenate(found), bits, least))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SKETCH)] if rows else [pa.array([], f.type) for f in SKETCH], schema=SKETCH)
+            held += [h[:starts][ok[:starts]] for length, ok, h in _levels(part, hashes, known, lengths[-1]) if length in lengths]
+            size += sum(map(len, held[-len(lengths) :]))
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
+        yield out()
 
     low = bits - SLAB_BITS
 
     def add(it: Iterator[pa.RecordBatch]):
         sums: dict[int, np.ndarray] = {}
         for b in it:
-            for slab, cells, counts in zip(*(c.to_pylist() for c in b.columns)):
-                total = sums.setdefault(slab, np.zeros(1 << low, np.uint32))
-                at = np.frombuffer(cells, np.uint32 if low > 16 else np.uint16)
-                total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint16), least)
+            for slab, steps, far, counts in zip(*(c.to_pylist() for c in b.columns)):
+                total = sums.setdefault(slab, np.zeros(1 << low, _kind(least)))
+                at = np.frombuffer(steps, np.uint8).astype(np.int64)
+                at[at == 255] = np.frombuffer(far, "<u4")
+                at = at.cumsum()
+                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(counts, _kind(least)), least)
         for slab, total in sums.items():
             yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
 
-    partial = docs.mapInArrow(tidied(sketch), "slab int, cells binary, counts binary")
+    partial = docs.mapInArrow(tidied(sketch), "slab int, steps binary, far binary, counts binary")
     got = {r.slab: bytes(r.bits) for r in partial.repartition("slab").mapInArrow(tidied(add), "slab int, bits binary").collect()}  # ROWS * 2 ** bits / 8 bytes
     empty = bytes((1 << low) // 8)
     return Sketch(bits, [b"".join(got.get((row << SLAB_BITS) + s, empty) for s in range(1 << SLAB_BITS)) for row in range(ROWS)])
 
 
-def _counter(tests: dict) -> Callable:
-    """The task that counts words (length 0, no phrase) and surviving n-grams of its rows exactly."""
+def _counts(it: Iterator[pa.RecordBatch], known: dict[int, Sketch]) -> Iterator[tuple[tuple[str, int, bytes], int]]:
+    """((lang, words, phrase), n) of the surviving n-grams of each window, and of its words with length 0 and no phrase."""
+    for lang, part, starts, names, hashes in _windows(it):
+        yield (lang, 0, b""), int((part[:starts] != 0).sum())
+        ids = part
+        for length, ok, _ in _levels(part, hashes, known, LONGEST):
+            at = np.flatnonzero(ok[:starts])
+            if not len(at):
+                break
+            # the number of the shorter n-gram here and that of the word that follows it tell n-grams apart exactly
+            keys = part[at] if length == 1 else (ids[at] << 32) | part[at + length - 1]
+            _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            ids = np.zeros(starts, np.int64)
+            ids[at] = inverse
+            for p, k in zip(at[first].tolist(), n.tolist()):
+                yield (lang, length, b" ".join([names[i] for i in part[p : p + length]])), k
+
+
+def _counter(tests: dict, buckets: int) -> Callable:
+    """The task that counts its rows exactly: one row for each bucket of phrases, whenever PHRASES are held and at the end."""
+
+    def out(held: dict) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for key, n in held.items():
+            by.setdefault(zlib.crc32(key[2]) % buckets, []).append((key[0], key[1], key[2].decode(), n))
+        for lo in range(0, len(by), 64):
+            some = list(by.items())[lo : lo + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), *(pa.array([[r[i] for r in rows] for _, rows in some], PARTIAL.field(i + 1).type) for i in range(4))], schema=PARTIAL)
 
     def run(it: Iterator[pa.RecordBatch]):
-        known = {k: b.value for k, b in tests.items()}
-        for lang, part, starts, names, hashes in _windows(it):
-            phrases, sizes, counts = [""], [0], [int((part[:starts] != 0).sum())]
-            ids = part
-            for length, ok, _ in _levels(part, hashes, known, LONGEST):
-                at = np.flatnonzero(ok[:starts])
-                if not len(at):
-                    break
-                # the number of the shorter n-gram here and that of the word that follows it tell n-grams apart exactly
-                keys = part[at] if length == 1 else (ids[at] << 32) | part[at + length - 1]
-                _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                ids = np.zeros(starts, np.int64)
-                ids[at] = inverse
-                phrases += [b" ".join([names[i] for i in part[p : p + length]]).decode() for p in at[first]]
-                sizes += [length] * len(n)
-                counts += n.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sizes)), pa.array(sizes, pa.int32()), pa.array(phrases), pa.array(counts, pa.int64())], schema=COUNTED)
+        held: dict = {}
+        for key, n in _counts(it, {k: b.value for k, b in tests.items()}):
+            held[key] = held.get(key, 0) + n
+            if len(held) >= PHRASES:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    return run
+
+
+def _summed(least: int) -> Callable:
+    """The task that adds up buckets, which come one after the other, and lets go of what is not frequent."""
+
+    def out(held: dict) -> pa.RecordBatch:
+        kept = [(*k, n) for k, n in held.items() if n >= least or k[1] == 0]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], f.type) for i, f in enumerate(COUNTED)], schema=COUNTED)
+
+    def run(it: Iterator[pa.RecordBatch]):
+        held, now = {}, None
+        for b in it:
+            for bucket, *lists in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != now:
+                    yield out(held)
+                    held, now = {}, bucket
+                for lang, words, phrase, n in zip(*lists):
+                    held[lang, words, phrase] = held.get((lang, words, phrase), 0) + n
+        yield out(held)
 
     return run
 
@@ -211,9 +269,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for lengths in (range(1, 3), range(3, LONGEST + 1)):
             held.append(sc.broadcast(merged_sketch(rows, bits, lengths, tests, least)))
             tests = tests | dict.fromkeys(lengths, held[-1])
-        counted = rows.mapInArrow(tidied(_counter(tests)), "lang string, words int, phrase string, n long")
-        total = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-        return materialize(total.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        kind = "bucket int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
+        partial = rows.mapInArrow(tidied(_counter(tests, 1 << max(0, bits - BUCKET_BITS))), kind)
+        total = partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_summed(least)), "lang string, words int, phrase string, n long")
+        return materialize(total, "phrases")
     finally:
         for b in held:
             b.destroy()

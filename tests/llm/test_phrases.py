@@ -62,9 +62,8 @@ def test_windows_and_chunks_lose_nothing(rows, sizes, monkeypatch):
     def counts():
         batch = pa.RecordBatch.from_pydict({"lang": [x or "und" for x, _ in rows], "text": [t or "" for _, t in rows]})
         got = Counter()
-        for b in phrases._counter({})(iter([batch])):
-            for r in b.to_pylist():
-                got[r["lang"], r["words"], r["phrase"]] += r["n"]
+        for key, n in phrases._counts(iter([batch]), {}):
+            got[key] += n
         return got
 
     want = counts()
@@ -73,6 +72,42 @@ def test_windows_and_chunks_lose_nothing(rows, sizes, monkeypatch):
     assert counts() == want
 
 
+def test_partial_counts_add_up(rows, monkeypatch):
+    """Many small buckets and flushes, in one process."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "PHRASES", 50)
+    batch = pa.RecordBatch.from_pydict({"lang": [x or "und" for x, _ in rows], "text": [t or "" for _, t in rows]})
+    want = Counter()
+    for key, n in phrases._counts(iter([batch]), {}):
+        want[key] += n
+    partial = sorted((r for b in phrases._counter({}, 7)(iter([batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    assert len(partial) > 100 and {r["bucket"] for r in partial} == set(range(7))
+    got = [r for b in phrases._summed(6)(iter([pa.RecordBatch.from_pylist(partial, schema=phrases.PARTIAL)])) for r in b.to_pylist()]
+    assert {(r["lang"], r["words"], r["phrase"].encode()): r["n"] for r in got} == {k: n for k, n in want.items() if n >= 6 or k[1] == 0}
+
+
+@pytest.mark.parametrize("least", [3, 300])
+def test_sketch_rows(least):
+    """Cells and counts of hashes as steps, near and far, against plain counts."""
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 2**63, 400).astype(np.uint64)
+    h = np.concatenate([h, np.repeat(h[:3], 500)])
+    for bits in (10, 26):
+        got = Counter()
+        for slab, steps, far, counts in phrases._sketch_rows(h, bits, least):
+            at = np.frombuffer(steps, np.uint8).astype(int)
+            at[at == 255] = np.frombuffer(far, "<u4")
+            for cell, n in zip(at.cumsum(), np.frombuffer(counts, phrases._kind(least))):
+                got[slab, int(cell)] += int(n)
+        want = Counter()
+        for row in range(phrases.ROWS):
+            for c in phrases._cells(h, row, bits).astype(int):
+                want[(row << phrases.SLAB_BITS) + (c >> (bits - phrases.SLAB_BITS)), int(c) & ((1 << (bits - phrases.SLAB_BITS)) - 1)] += 1
+        assert got == {k: min(n, least) for k, n in want.items()}
+
+
 def test_sketch_never_underestimates(spark, rows):
     docs = spark.createDataFrame([(x or "und", t or "") for x, t in rows], "lang string, text string").repartition(3)
     few = phrases.merged_sketch(docs, phrases.MIN_BITS, range(1, 3), {}, 12)
