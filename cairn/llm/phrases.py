@@ -41,6 +41,8 @@ BUCKET_BITS = 14
 BLOCK, CHUNK, WINDOW = 8 << 20, 4 << 20, 1 << 20
 #: Hashes that a task holds before it sketches them, phrases that it holds with their counts.
 HELD, PHRASES = 4 << 20, 400_000
+#: Parts of a language's phrases that are ranked apart first.
+PARTS = 64
 #: Languages up to which their word counts are broadcast; more are shuffled.
 BROADCAST_ROWS = 100_000
 #: Odd multipliers of the hashes.
@@ -304,9 +306,11 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def ranked(counts: DataFrame, top: int = TOP) -> DataFrame:
-    left = scored(counts).join(subsumed(counts), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    """The best of each language: the best of each of its parts first, so that no task gets a language whole."""
+    left = scored(counts).join(subsumed(counts), ["lang", "phrase"], "left_anti").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    some = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
