@@ -6,18 +6,23 @@ says how many bytes go from where to where; blocks are then dealt to these trans
 
 A block of more than LARGE of a shard's capacity is cut finer. Its large texts (there are few: their bytes bound their
 number) become units of their own, the rest is cut by another hash of the text, so every group of equal texts still moves
-as one. Only a text whose copies in an old shard exceed a whole shard is cut by a hash of doc_id.
+as one. Only a text whose copies in an old shard exceed a whole shard is spread, by a hash of the row's place in the table, so
+copies with the same doc_id, or none, are spread like any others. Slots are counted in the written files, so they are
+gapless even if the table's rows come in another order when they are placed than when they were measured.
 Only shards that give or take rows are rewritten; the others keep their files.
 
 What reaches the driver is one row per block, at most old shards times MAX_BLOCKS, and those of the large blocks' cuts.
-The number of blocks grows with the rows, so that slots are numbered within blocks of a few thousand rows.
+The number of blocks grows with the rows, so that slots are numbered within blocks of a few thousand rows; beyond 3e9 rows
+(MAX_BLOCKS a shard) the blocks themselves grow.
 
 Law `bytes`: the shards' sizes are near equal, up to about one unit (a unit is about LARGE of a shard at most, but never
-less than one group of equal texts, and that never more than a shard).
+less than one group of equal texts, and that never more than a shard; pieces of a text beyond a shard are even but for
+chance, and dealt by their measured sizes).
 
 Edge cases: null text has size 1 and the crc of no bytes, and counts as the empty text where groups are concerned; null or
-repeated doc_ids are placed like any other; an empty table gives no row; columns named like the operator's own are
-replaced by them.
+repeated doc_ids are placed like any other; rows that tie in doc_id, text and size share out their slots in any order; very
+long texts are one row of their size, alone in a unit if need be; an empty table gives no row; columns named like the
+operator's own are replaced by them, others are kept in the files.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ from cairn.session import scratch
 LEAST_BLOCKS, MAX_BLOCKS, ROWS_A_BLOCK = 1_024, 65_536, 4_096
 #: A block of more than LARGE of a shard's capacity is cut into units of about PART of it.
 LARGE, PART = 1 / 16, 1 / 64
-OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block", "part")
+AT = "place_in_the_table"
+OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block", "part", AT)
 
 
 @dataclass
@@ -42,7 +48,7 @@ class Cuts:
     """How an old shard is cut: blocks by a hash of the text, and what is cut finer."""
 
     blocks: int
-    texts: dict[tuple[int, int, int], int]  # (old shard, block, text hash) of large texts -> pieces by doc_id
+    texts: dict[tuple[int, int, int], int]  # (old shard, block, text hash) of large texts -> pieces by place
     parts: dict[tuple[int, int], int]  # (old shard, block) -> parts by another hash of the text
 
     def pieces(self, o: int, b: int) -> list[tuple[int, int, int]]:
@@ -60,7 +66,6 @@ class Plan:
     capacity: list[int]
     flow: np.ndarray  # bytes from old shard to new
     target: dict[tuple[int, int, int], int]  # (old shard, block, part) -> new shard
-    base: dict[tuple[int, int, int], int]  # first slot of the block, part or piece in its new shard
     cuts: Cuts
     moved: int
 
@@ -126,13 +131,15 @@ def place_in_blocks(docs: DataFrame, old_shard: Column, cuts: Cuts) -> DataFrame
         .withColumn("old_shard", old_shard.cast("int"))
         .withColumn("block", F.pmod(F.shiftrightunsigned(text_hash(), 24), F.lit(cuts.blocks)).cast("int"))
     )
+    if cuts.texts:
+        placed = placed.withColumn(AT, F.monotonically_increasing_id())
     part = F.lit(0)
     for (o, b), k in sorted(cuts.parts.items()):  # few: each is LARGE of a shard
         inner = F.pmod(F.xxhash64(text_hash()), F.lit(k)) + 1
         for h, first, n in cuts.pieces(o, b):
-            inner = F.when(text_hash() == h, F.lit(first) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).otherwise(inner)
+            inner = F.when(text_hash() == h, F.lit(first) + F.pmod(F.xxhash64(AT), F.lit(n))).otherwise(inner)
         part = F.when((F.col("old_shard") == o) & (F.col("block") == b), inner).otherwise(part)
-    return placed.withColumn("part", part.cast("int"))
+    return placed.withColumn("part", part.cast("int")).drop(AT)
 
 
 def _measure(placed: DataFrame) -> list[tuple[int, int, int, int, int]]:
@@ -174,18 +181,17 @@ def plan_transfers(docs: DataFrame, old_shard: Column, old_shards: int, new_shar
     for r in rows:
         u = together.get(r[:3], r[:3])
         weight[u] = weight.get(u, 0) + r[3]
+    pieces = {(o, b, first + j) for o, b in large for _, first, n in cuts.pieces(o, b) for j in range(n)}
+    for u in pieces:
+        weight.setdefault(together.get(u, u), 0)  # one that chance left empty has a place, too
     owed = flow.astype(np.float64)
     goes = {}
     for u in sorted(weight, key=lambda u: (-weight[u], u)):
         goes[u] = int(owed[u[0]].argmax())
         owed[u[0], goes[u]] -= weight[u]
     _even_out(weight, goes, capacity)
-    target = {r[:3]: goes[together.get(r[:3], r[:3])] for r in rows}
-    base, next_slot = {}, [0] * new_shards
-    for o, b, p, _, n in sorted(rows):
-        base[o, b, p] = next_slot[target[o, b, p]]
-        next_slot[target[o, b, p]] += n
-    return Plan(capacity, flow, target, base, cuts, sum(r[3] for r in rows if target[r[:3]] != r[0]))
+    target = {u: goes[together.get(u, u)] for u in {r[:3] for r in rows} | pieces}
+    return Plan(capacity, flow, target, cuts, sum(r[3] for r in rows if target[r[:3]] != r[0]))
 
 
 def _even_out(weight: dict, goes: dict, capacity: list[int]) -> None:
@@ -217,7 +223,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     """
     spark = docs.sparkSession
     plan = plan_transfers(docs, old_shard, old_shards, new_shards)
-    where = spark.createDataFrame([(*k, n, plan.base[k]) for k, n in plan.target.items()], "old_shard int, block int, part int, shard int, base long")
+    where = spark.createDataFrame([(*k, n) for k, n in plan.target.items()], "old_shard int, block int, part int, shard int")
     placed = place_in_blocks(docs, old_shard, plan.cuts).join(F.broadcast(where), ["old_shard", "block", "part"])  # old shards times MAX_BLOCKS rows and few cuts
     affected = plan.affected() if in_place else list(range(new_shards))
     placed.where(F.col("shard").isin(affected)).write.partitionBy("shard").parquet(out)
@@ -230,10 +236,12 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
 def with_slots(stored: DataFrame) -> DataFrame:
     """The place of each row in its shard: blocks, parts and pieces one after the other, rows of one by doc_id."""
-    light = stored.select(
-        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "old_shard", "block", "part", "base",
-    )
-    of_block = Window.partitionBy("old_shard", "block", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    unit = ["old_shard", "block", "part"]
+    light = stored.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", *unit)
+    counts = stored.groupBy("shard", *unit).agg(F.count(F.lit(1)).alias("n"))  # old shards times MAX_BLOCKS rows and few cuts
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1))
+    light = light.join(F.broadcast(counts.select(*unit, F.coalesce(before, F.lit(0)).alias("base"))), unit)
+    of_block = Window.partitionBy(*unit).orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     return light.withColumn("slot", F.col("base") + F.row_number().over(of_block) - 1)
 
 

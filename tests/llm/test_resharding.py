@@ -107,3 +107,16 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     got = resharding.with_slots(stored).collect()
     check([r[:2] for r in rows], got, 4)
     assert [sum(r.shard == n for r in got) for n in range(4)] == [400] * 4
+
+
+def test_law_bytes_under_null_and_repeated_ids(spark, tmp_path):
+    """Copies of one text, without an id or with one and the same, beyond a shard's capacity."""
+    for k, hot in enumerate(([None] * 3000, [7] * 3000, [None] * 1500 + [7] * 1500)):
+        rows = [(i, "hot " * 50) for i in hot] + [(10_000 + i, f"text {i} " * (1 + i % 9)) for i in range(1500)]
+        path = f"file://{tmp_path}/t{k}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+        stored, plan = resharding.reshard(spark.read.parquet(path), F.pmod(resharding.text_hash(), F.lit(12)), 12, 16, scratch(spark, "s"))
+        got = resharding.with_slots(stored).collect()
+        check(rows, got, 16)
+        sizes = [sum(r.size for r in got if r.shard == n) for n in range(16)]
+        assert max(sizes) < 1.05 * sum(sizes) / 16 and min(sizes) > 0.95 * sum(sizes) / 16, sizes
