@@ -14,7 +14,8 @@ again; whole documents are compared as well where a checksum of the text says so
 say for each document whether all of it agreed. Where it did not, the ids are those of the sentencepiece library.
 
 Edge cases: null text counts as empty and has no ids; a null id array decodes to null; repeated rows are encoded alike;
-an empty table gives no row; columns named like the operator's own are replaced.
+texts may hold any character, U+0000 too; very long texts are encoded whole, piece by piece where the model allows it; there
+are no ties; an empty table gives no row; columns named like the operator's own are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -135,6 +136,10 @@ def build_tokenizer(spec: Spec):
     return tok
 
 
+def _whole(part) -> bool:
+    return type(part) is tuple
+
+
 class Codec:
     """Encodes and decodes as the model does; the dummy prefix is written into the text before normalising."""
 
@@ -153,8 +158,8 @@ class Codec:
         self.prefix = " " if self.spec.add_dummy_prefix else ""
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.wrong: set[str] = set()  # parts without parity
-        self.lossy: set[str] = set()  # parts that do not come back
+        self.wrong: set = set()  # parts without parity
+        self.lossy: set = set()  # parts that do not come back
         said = {CONTROL: lambda p: b"", UNKNOWN: lambda p: " \u2047 ".encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.bytes_of = [said.get(kind, lambda p: p.replace(SPACE, " ").encode())(p) for p, _, kind in self.spec.pieces]
         byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.spec.pieces) if kind == BYTE}
@@ -163,19 +168,19 @@ class Codec:
         # what comes before a part that no space leads: a line feed; the reference gets it so, and its ids are cut off
         self.front = len(self.reference.encode("\n", num_threads=1)) if self.by_part else 0
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[str] | list[tuple[str]]:
         """The text in parts: a word for the word after one space (or the dummy prefix), a line feed and what follows it
-        up to a space; texts with runs of spaces or markers, and all texts of other models, as one part that holds the prefix."""
+        up to a space; texts with runs of spaces or markers, and all texts of other models, whole, as a tuple of one."""
         if not text:
             return []
         if not self.by_part or text[0] == " " or "  " in text or SPACE in text:
-            return ["\0" + text]
+            return [(text,)]
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+    def _learn(self, parts: list) -> dict:
         # as the tokenizer gets them, and as the reference does, which puts the prefix itself
-        own = [self.prefix + p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in parts]
-        ref = [p[1:] if p[:1] == "\0" else p for p in parts]
+        own = [self.prefix + p[0] if _whole(p) else p if p[:1] == "\n" else " " + p for p in parts]
+        ref = [p[0] if _whole(p) else p for p in parts]
         batch = self.tok.encode_batch if self.spelled else self.tok.encode_batch_fast  # the fast one leaves out the tokens' texts
         ids = [self._ids(e) for e in batch(own, add_special_tokens=False)]
         theirs = self.reference.encode(ref, num_threads=1)
@@ -184,7 +189,7 @@ class Codec:
         for p, text, mine, other in zip(parts, own, ids, theirs):
             if p == "":
                 other = [lone]
-            elif p[:1] == "\n":
+            elif not _whole(p) and p[:1] == "\n":
                 other = other[self.front - 1 :]
             new[p] = np.array(other, dtype="<i4").tobytes()
             if mine != other:
@@ -219,16 +224,16 @@ class Codec:
             for c, f, h in zip(cut, found, holes):
                 for i in h:
                     f[i] = new[c[i]]
-            self.cache.update((p, x) for p, x in new.items() if p[:1] != "\0")
+            self.cache.update((p, x) for p, x in new.items() if not _whole(p))
             if len(self.cache) > self.keep:
                 self.older, self.cache = self.cache, {}
         out = [(np.frombuffer(b"".join(f), dtype="<i4"), not self.wrong or self.wrong.isdisjoint(c), not self.lossy or self.lossy.isdisjoint(c)) for c, f in zip(cut, found)]
-        heard = [k for k, (t, c) in enumerate(zip(texts, cut)) if c and c[0][:1] != "\0" and zlib.crc32(t.encode()) % AUDIT == 0]
+        heard = [k for k, (t, c) in enumerate(zip(texts, cut)) if c and not _whole(c[0]) and zlib.crc32(t.encode()) % AUDIT == 0]
         for k, other in zip(heard, self.reference.encode([texts[k] for k in heard], num_threads=1) if heard else []):
             if out[k][0].tolist() != other:
                 out[k] = (np.array(other, dtype="<i4"), False, out[k][2])
         for p in missing:  # whole texts are not worth keeping
-            if p[:1] == "\0":
+            if _whole(p):
                 self.wrong.discard(p)
                 self.lossy.discard(p)
         return out

@@ -22,7 +22,7 @@ def test_whole_table_has_parity(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abT.,é漢👍 \n\t<0x>▁ñ")), max_size=40))
+@given(st.text(alphabet=st.sampled_from(list("abT.,é漢👍 \n\t\0\x07<0x>▁ñ")), max_size=40))
 def test_any_text_matches_the_reference(text):
     c = S.codec(PATH)
     (ids, parity, _), = c.encode([text])
@@ -31,6 +31,14 @@ def test_any_text_matches_the_reference(text):
     assert c.decode([ids])[0] == REF.decode(ids.tolist())
 
 
+def test_nul_at_the_start_of_texts_words_and_lines():
+    c = S.codec(PATH)
+    texts = ["\0", "\0\x07", "\0a b", "a \0b", "\n\0", "a\n\0b \0", " \0", "  \0x", "\0  y", "▁\0", "\0▁", "\0\0 \0"]
+    for text, (ids, parity, back) in zip(texts, c.encode(texts)):
+        assert ids.tolist() == REF.encode(text) and parity, repr(text)
+        assert c.decode([ids])[0] == text.replace("▁", " ")
+
+
 def test_decode_of_broken_bytes_and_columns(spark):
     c = S.codec(PATH)
     lone = c.tok.token_to_id("<0xE6>")
