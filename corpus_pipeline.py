@@ -7,12 +7,15 @@ costs tasks of one stage; the input of a stage is deleted once its result stands
 Null texts count as empty and pass every filter. Repeated rows are judged alike; of rows of equal or near-equal texts the
 Jaccard stage keeps one. Rows are told apart by doc_id (or, where that is null, a hash of the text) and a hash of the
 text, so a clean row stays where another row of its doc_id goes. Very long texts are read whole; ties go to the least
-doc_id. An empty table stays empty. Further columns are kept, whatever their names, save those named like what the last
-stage adds (ids, parity, round_trip), which it replaces, and the names _ref and _th.
+doc_id. An empty table stays empty. Further columns are kept, whatever their names: while a stage works they go by names
+that no operator uses. The last stage replaces columns named like what it adds (ids, parity, round_trip).
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,20 @@ from cairn.session import discard, materialize, ship, table
 BROADCAST_ROWS = 1_000_000
 
 
+def kept_apart(stage: Callable) -> Callable:
+    """The stage, with all columns but doc_id and text under names of no operator; further ones that it returns stay last."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in ("doc_id", "text") else f"kept_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        added = [c for c in out.columns if c not in names]
+        kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns) if c not in added]
+        return out.select(*kept, *added)
+
+    return run
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """docs with _ref and _th, by which the operators' results find a row again."""
     return docs.withColumns({"_ref": F.expr(jaccard_join.REF), "_th": F.xxhash64("text")})
@@ -40,16 +57,24 @@ def _begin(spark: SparkSession) -> None:
     give_back()
 
 
+@kept_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, does not reject. Without labels, all stay."""
+    """Documents that the classifier, fitted on the labelled ones among them, does not reject. Without labels, all stay.
+
+    Null and empty texts have no toxic word and stay; very long ones are scored whole, repeated rows alike; an empty table
+    stays empty."""
     _begin(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+@kept_apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of every connected group of 75 % alike ones; all without a word stay."""
+    """One document, that of the least doc_id, of every connected group of 75 % alike ones; all without a word stay.
+
+    Null texts have no word. Ties (rows of one doc_id and text, or without doc_id and of one text) go to any one row; very
+    long texts are compared whole; an empty table stays empty."""
     _begin(spark)
     joined = materialize(jaccard_join.jaccard_join(docs).select(F.col("ref").alias("_ref"), F.col("th").alias("_th"), "first", "n_shingles"), "groups")
     kept = _without(docs, joined.where("not first").select("_ref", "_th").distinct(), ["_ref", "_th"])
@@ -60,8 +85,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _without(kept, repeated, ["_ref", "_th"]).union(once.select(*docs.columns))
 
 
+@kept_apart
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark; an empty benchmark drops none."""
+    """Rows without a passage of the benchmark; an empty benchmark drops none.
+
+    Null and empty texts hold none; very long ones are searched whole; repeated rows go together; an empty table stays
+    empty."""
     _begin(spark)
     row = F.xxhash64("_ref", "_th")
     rows = _marked(docs).select(row.alias("doc_id"), "text")
@@ -71,19 +100,27 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _marked(docs).withColumn("_row", row).join(leaking, "_row", "left_anti").select(*docs.columns)
 
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced; n_chars, where there is one, follows the text."""
-    _begin(spark)
+@kept_apart
+def _redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratios = secret_scan.train(secret_scan.default_samples(docs))
     clean = secret_scan.redact(F.col("text"), F.col("found"))
-    out = secret_scan.scan(docs, ratios).withColumn("text", F.when(F.col("text").isNotNull(), clean))
-    kind = dict(docs.dtypes)
-    size = {"n_chars": F.length("text").cast(kind["n_chars"])} if "n_chars" in kind else {}
-    return out.withColumns(size).select(*docs.columns) if size else out.select(*docs.columns)
+    return secret_scan.scan(docs, ratios).withColumn("text", F.when(F.col("text").isNotNull(), clean)).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the secrets in its text replaced; n_chars, where there is one, follows the text.
+
+    Null texts stay null, very long ones are scanned whole, repeated rows are redacted alike; overlapping finds are replaced
+    as one; an empty table stays empty."""
+    _begin(spark)
+    out, kind = _redacted(spark, docs, sf_dir), dict(docs.dtypes)
+    return out.withColumn("n_chars", F.length("text").cast(kind["n_chars"])).select(*docs.columns) if "n_chars" in kind else out
 
 
+@kept_apart
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its SentencePiece ids (none for a null text)."""
+    """Every document with its SentencePiece ids (none for a null or empty text); very long texts are encoded whole, repeated
+    rows alike; an empty table stays empty."""
     _begin(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
 

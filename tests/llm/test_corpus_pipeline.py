@@ -64,3 +64,26 @@ def test_a_clean_row_stays_beside_a_leaking_one(spark, tmp_path):
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "decontamination", "secrets", "sentencepiece"]
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Names that operators use themselves, through each stage and the whole run."""
+    names = "score predicted found _text _runs _base _row _ref _th first n_shingles key part fold kept_0 item_id th ref".split() + ["a.b", "back`tick"]
+    text = "one two three four five six seven eight nine ten eleven twelve number"
+    item = "which of the nine rivers of the old kingdom of varn flows north past the tower of salt"
+    rows = [(i, f"{text} {i}" if i % 2 else f"{chr(97 + i)} token=abcdef123", *[f"{n}{i}" for n in names]) for i in range(6)] + [(None, item, *names)]
+    quoted = [f"`{n.replace('`', '``')}`" for n in ("doc_id", "text", *names)]
+    docs = spark.createDataFrame(rows, f"{quoted[0]} long, {', '.join(q + ' string' for q in quoted[1:])}")
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs.write.parquet(f"{d}/documents.parquet")
+    of = {r[0]: r[2:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert len(got) >= 4 and all(tuple(r)[2:] == of[r.doc_id] for r in got), name
+    got = corpus_pipeline.run(spark, d).collect()
+    assert [r.asDict().keys() for r in got][0] == {*docs.columns, "ids", "parity", "round_trip"} and {r.doc_id for r in got} == {0, 1, 2, 4}
+    assert all(tuple(r)[2 : 2 + len(names)] == of[r.doc_id] for r in got)
