@@ -10,6 +10,14 @@ from cairn.operators.components import components
 from cairn.operators.numbering import number_by_hash, number_by_value
 from cairn.session import materialize
 
+#: Rows up to which a counted list is broadcast; key words that a plan may name; items of two words or fewer in one search.
+BROADCAST_ROWS, KEYS, SHORT_ITEMS = 1_000_000, 10_000, 10_000
+
+
+def short(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where a count says that it is short."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
 
 def first_wins(df: DataFrame, keys: list, pos: list) -> DataFrame:
     """The first row, by pos, of every key; null keys equal each other."""
@@ -89,39 +97,70 @@ def interleaved(df: DataFrame, group: str, value: str, tie: str, group_order: Co
     return number_by_value(df, [group], value, tie, "turn").orderBy("turn", group_order)
 
 
-def round_robin(items: DataFrame, item: str, places: DataFrame, place: str, group: str, seed: str) -> DataFrame:
-    """items with a place of their group: the k-th item by seeded hash gets place k modulo their number, places in order."""
-    slots = places.groupBy(group).agg(F.sort_array(F.collect_list(place)).alias("_places"))  # the places of one group
+def round_robin(items: DataFrame, item: str, places: DataFrame, place: str, group: str, seed: str, most: int | None = None) -> DataFrame:
+    """items with a place of their group: the k-th item gets place k modulo their number, both in the order of a seeded hash.
+
+    Places are numbered too, so neither side of a group is ever in one row or task. Groups in which every place would get
+    more than `most` items are an error.
+    """
+    slots = number_by_hash(places.select(group, place), [group], hash_rank_key(seed, F.col(place)), place, "_slot")
     numbered = number_by_hash(items, [group], hash_rank_key(seed, F.col(item)), item, "_i")
-    return numbered.join(slots, group).withColumn(place, F.get("_places", F.pmod(F.col("_i") - 1, F.size("_places")).cast("int"))).drop("_i", "_places")
+    if most is not None:
+        sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(places.groupBy(group).agg(F.count(F.lit(1)).alias("p")), group)
+        if over := sizes.where(F.col("n") > F.col("p") * most).limit(1).collect():
+            raise ValueError(f"{over[0].n} items of {over[0][group]!r} are too many for {over[0].p} places, {most} each")
+    counts = short(places.groupBy(group).agg(F.count(F.lit(1)).alias("_places")))
+    met = numbered.join(counts, group).withColumn("_slot", F.pmod(F.col("_i") - 1, F.col("_places")) + 1)
+    return met.join(slots, [group, "_slot"]).drop("_i", "_slot", "_places")
 
 
 def quota_pick(df: DataFrame, quotas: dict[str, int], long_budget: int, empty_share: float, seed: str, long_chars: int = 400) -> DataFrame:
     """Rows of each category up to its quota, in the order of quotas.
 
     df has review_id, category, review, is_empty. At most bround(quota * empty_share) empty rows of a category, and
-    long_budget reviews beyond long_chars over all of them; the order within a category is that of a seeded hash. The
-    budget makes this sequential over categories: each takes the first rows of a kind, and hands on what it left.
+    long_budget reviews beyond long_chars over all of them; the order within a category is that of a seeded hash. Each
+    category takes the first rows of a kind and hands on what it left of the budget.
+
+    Whatever the budget, a category takes the first rows of each of its four kinds (long or not, empty or not), no more than
+    its quota of each, so these are the candidates: ids and flags, four quotas at most, over which one fold goes.
     """
-    out, left = None, long_budget
-    first = lambda rows, n: rows.orderBy("_k", "review_id").limit(n)
-    for category, quota in quotas.items():
-        own = df.where(F.col("category") == category).withColumn("_k", hash_rank_key(seed, F.col("review_id"))).withColumn("_long", F.coalesce(F.length("review") > long_chars, F.lit(False)))
-        one = own.where("not _long").unionByName(first(own.where("_long"), left))
-        two = one.where("not is_empty").unionByName(first(one.where("is_empty"), int(round(quota * empty_share))))
-        picked = materialize(first(two, quota).select(*df.columns, "_long"), "quota")  # a quota's rows
-        left -= picked.where("_long").count()
-        out = picked if out is None else out.union(picked)
-    return out.drop("_long")
+    order = F.array(*map(F.lit, quotas))
+    key = F.struct("_by", "review_id")
+    own = df.where(F.col("category").isin(list(quotas))).withColumn("_by", hash_rank_key(seed, F.col("review_id"))).withColumn("_long", F.coalesce(F.length("review") > long_chars, F.lit(False)))
+    light = own.select("review_id", "category", F.coalesce("is_empty", F.lit(False)).alias("_empty"), "_long", "_by")
+    numbered = number_by_hash(light, ["category", "_long"], hash_rank_key(seed, F.col("review_id")), "review_id", "_nth")  # of the long ones of a category, the number
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col("category"))
+    first = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("category", "_long", "_empty").orderBy("_by", "review_id"))).where((F.col("_i") <= max(quotas.values())) & (F.col("_i") <= most))
+    row = F.struct(key.alias("key"), F.col("_empty").alias("empty"), F.when(F.col("_long"), F.col("_nth")).alias("nth"))
+    kinds = first.groupBy("category").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first(most).alias("quota"))
+    listed = kinds.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.array_position(order, F.col("category")).alias("at"), "quota", "rows"))).alias("all"))
+
+    def picked(left: Column, c: Column) -> Column:
+        may = F.filter(c.getField("rows"), lambda x: x.getField("nth").isNull() | (x.getField("nth") <= left))
+        empty = F.filter(may, lambda x: x.getField("empty"))
+        end = F.get(empty, F.bround(c.getField("quota") * F.lit(empty_share)).cast("int")).getField("key")  # the first empty one too many
+        return F.slice(F.filter(may, lambda x: ~x.getField("empty") | end.isNull() | (x.getField("key") < end)), F.lit(1), c.getField("quota"))
+
+    kind = "struct<left: bigint, ids: array<struct<id: %s>>>" % df.schema["review_id"].dataType.simpleString()
+    start = F.struct(F.lit(long_budget).cast("long").alias("left"), F.array().alias("ids")).cast(kind)
+    took = lambda acc, c: F.transform(F.array(picked(acc.getField("left"), c)), lambda p: F.struct((acc.getField("left") - F.size(F.filter(p, lambda x: x.getField("nth").isNotNull()))).cast("long").alias("left"), F.concat(acc.getField("ids"), F.transform(p, lambda x: F.struct(x.getField("key").getField("review_id").alias("id")))).alias("ids")))[0]
+    ids = listed.select(F.explode(F.aggregate("all", start, took).getField("ids")).alias("x")).select(F.col("x.id").alias("review_id"))
+    return own.select(*df.columns).join(F.broadcast(ids), "review_id", "left_semi")  # the sum of quotas at most
 
 
 def drop_reasons(reviews: DataFrame, template_repeats: int = 3) -> DataFrame:
-    """reviews (category, review, pos) with `reason`: the first rule that drops the row, null if kept."""
-    whole = Window.partitionBy("review")
-    first = F.when(F.col("category").isNull(), "category").when((F.length("review") < 10) | ~F.col("review").rlike("[가-힣a-z]"), "short").when(F.count(F.lit(1)).over(whole) >= template_repeats, "template")
-    marked = reviews.withColumn("_first", first)
-    again = F.row_number().over(Window.partitionBy("review", F.col("_first").isNull()).orderBy("pos")) > 1
-    return marked.withColumn("reason", F.coalesce("_first", F.when(again, "duplicate"))).drop("_first")
+    """reviews (category, review, pos) with `reason`: the first rule that drops the row, null if kept.
+
+    Copies of a review are counted by hashes of its text before anything is shuffled; templates go by their count, so the
+    window that finds later copies has fewer than template_repeats rows of a text.
+    """
+    plain = F.when(F.col("category").isNull(), "category").when((F.length("review") < 10) | ~F.col("review").rlike("[가-힣a-z]"), "short")
+    marked = reviews.withColumns({"_plain": plain, "_h": F.xxhash64("review"), "_h2": F.crc32(F.coalesce("review", F.lit("")).cast("binary"))})
+    often = marked.groupBy("_h", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= template_repeats).drop("_n").withColumn("_often", F.lit(True))
+    first = marked.join(short(often), ["_h", "_h2"], "left").withColumn("_first", F.coalesce("_plain", F.when(F.col("_often"), "template")))
+    alone = F.when(F.col("_first").isNotNull(), F.monotonically_increasing_id())  # rows that are out already meet nothing
+    again = F.row_number().over(Window.partitionBy("_h", "_h2", "_alone").orderBy("pos")) > 1
+    return first.withColumn("_alone", alone).withColumn("reason", F.coalesce("_first", F.when(again, "duplicate"))).drop("_plain", "_h", "_h2", "_often", "_first", "_alone")
 
 
 def merge_duplicates(places: DataFrame, keys: list[str], pos: str, scalars: list[str]) -> DataFrame:
@@ -205,9 +244,19 @@ def texts_holding(texts: DataFrame, items: DataFrame, item_id: str, item: str) -
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1).getField("w")
     keyed = items.select(item_id, item, F.when(F.size(inner) > 0, longest).alias("_key")).where(F.col(item).isNotNull())
-    numbered = texts.withColumn("_row", F.struct(*texts.columns))
-    found = numbered.select("_row", F.col("text").alias("_t"), F.explode(F.array_distinct(F.split("text", " "))).alias("_key")).join(keyed.where("_key is not null"), "_key").where(F.contains("_t", F.col(item))).select("_row.*", item_id)
-    rest = keyed.where("_key is null").select(item_id, item).collect() if keyed.where("_key is null").limit(1).count() else []  # short strings, a list that a person keeps
+    own = F.split("text", " ")
+    keys = [r[0] for r in keyed.where("_key is not null").select("_key").distinct().limit(KEYS + 1).collect()]
+    long_items = keyed.where("_key is not null")
+    if len(keys) <= KEYS:  # the few key words of a text are found before it is copied for each of them
+        hits = F.array_intersect(own, F.lit(keys).cast("array<string>"))
+        found = texts.select("*", F.explode(hits).alias("_key")).join(short(long_items), "_key").where(F.contains("text", F.col(item))).select(*texts.columns, item_id)
+    else:  # words go without their texts, which are met again by number
+        numbered = materialize(texts.withColumn("_id", F.monotonically_increasing_id()), "texts")
+        met = numbered.select("_id", F.explode(F.array_distinct(own)).alias("_key")).join(long_items, "_key").select("_id", item_id, item)
+        found = numbered.join(met, "_id").where(F.contains("text", F.col(item))).select(*texts.columns, item_id)
+    rest = keyed.where("_key is null").select(item_id, item).limit(SHORT_ITEMS + 1).collect()
+    if len(rest) > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of two words or fewer")
     for lo in range(0, len(rest), 200):
         hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(r[item])), F.lit(r[item_id])) for r in rest[lo : lo + 200]]))
         found = found.union(texts.select("*", F.explode(hits).alias(item_id)))

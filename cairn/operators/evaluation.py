@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import overlaps
 from cairn.operators.numbering import paired
+from cairn.operators.selection import values_at
 
 
 def multiset_counts(gold: DataFrame, predicted: DataFrame, record: str, keys: list[str]) -> DataFrame:
@@ -29,48 +27,47 @@ def prf(counts: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     return scored.select(*keys, "tp", "fp", "fn", F.bround("p", digits).alias("precision"), F.bround("r", digits).alias("recall"), F.bround(f1, digits).alias("f1"))
 
 
-def iou(a: str, b: str, text: str) -> float:
-    if not a or not b:
-        return 0.0
-    s, t = text.find(a), text.find(b)
-    if s < 0 or t < 0:
-        return float(a == b)
-    e, f = s + len(a), t + len(b)
-    return max(min(e, f) - max(s, t), 0) / (max(e, f) - min(s, t))
+KEY = ("category", "attribute", "sentiment")
+
+
+def _spans(aspects: Column, text: Column) -> Column:
+    """The aspects with the first place of their evidence in the text (0 where it is not there), its length, and their own place."""
+    evidence = lambda x: x.getField("evidence")
+    listed = F.coalesce(aspects, F.array())
+    return F.transform(listed, lambda x, i: F.struct(*[x.getField(k).alias(k) for k in KEY], evidence(x).alias("evidence"), F.coalesce(F.instr(text, evidence(x)), F.lit(0)).alias("s"), F.coalesce(F.length(evidence(x)), F.lit(0)).alias("n"), i.alias("i")))
+
+
+def _span_iou(a: Column, b: Column) -> Column:
+    """exprs.char_iou of two evidences whose places are known."""
+    s1, n1, s2, n2 = (x.getField(k) for x in (a, b) for k in ("s", "n"))
+    shared = F.greatest(F.least(s1 + n1, s2 + n2) - F.greatest(s1, s2), F.lit(0))
+    placed = shared / (F.greatest(s1 + n1, s2 + n2) - F.least(s1, s2))
+    return F.when((n1 == 0) | (n2 == 0), 0.0).when((s1 == 0) | (s2 == 0), (a.getField("evidence") == b.getField("evidence")).cast("double")).otherwise(placed)
 
 
-def _greedy(gold: list, predicted: list, text: str, least: float) -> int:
-    """Predictions take, in their order, the best free Gold evidence of their key (of equal ones the last)."""
-    free, hits = list(range(len(gold))), 0
-    for key, evidence in predicted:
-        best, place = least, None
-        for i in free:
-            if gold[i][0] == key and (v := iou(evidence, gold[i][1], text)) >= best:
-                best, place = v, i
-        if place is not None:
-            free.remove(place)
-            hits += 1
-    return hits
+def _same_key(a: Column, b: Column) -> Column:
+    return F.transform(F.array(a, b), lambda x: F.struct(*[x.getField(k) for k in KEY]))[0].eqNullSafe(F.struct(*[b.getField(k) for k in KEY]))
 
 
-def greedy_overlap(records: DataFrame, least: float = 0.5) -> DataFrame:
-    """review_id, tp, fp, fn of one-to-one span matching.
+def greedy_overlap(records: DataFrame, least: float = 0.5, raw: str | None = None) -> DataFrame:
+    """review_id, tp, fp, fn of one-to-one span matching, folded within the row: no Python, no shuffle.
 
-    records: review_id, review, gold and predicted as array<struct<category, attribute, sentiment, evidence>>. The match
-    depends on the order of predictions, so each record is folded in Python, batch by batch, without a shuffle.
+    records: review_id, review, gold and predicted as array<struct<category, attribute, sentiment, evidence>>. Gold aspects
+    take, in their order, the free prediction of their key whose evidence overlaps theirs most (of equal ones the last), if
+    that is `least` or more. With `raw`, an array of the same kind, any evidence that gold or raw has for a key will do.
     """
+    text = F.coalesce("review", F.lit(""))
+    marked = records.select("review_id", _spans(F.col("gold"), text).alias("g"), _spans(F.col("predicted"), text).alias("p"), (_spans(F.col(raw), text) if raw else F.array()).alias("r"))
+    said = lambda g: F.filter(F.concat("g", "r"), lambda x: _same_key(x, g) & (x.getField("n") > 0)) if raw else F.array(g)
 
-    def run(it: Iterator[pd.DataFrame]):
-        for pdf in it:
-            out = []
-            for review_id, text, gold, predicted in zip(pdf["review_id"], pdf["review"], pdf["gold"], pdf["predicted"]):
-                g, p = ([((x["category"], x["attribute"], x["sentiment"]), x["evidence"] or "") for x in (rows if rows is not None else [])] for rows in (gold, predicted))
-                hits = _greedy(g, p, text or "", least)
-                out.append((review_id, hits, len(p) - hits, len(g) - hits))
-            yield pd.DataFrame(out, columns=["review_id", "tp", "fp", "fn"])
+    def best(used: Column, g: Column) -> Column:
+        free = F.filter("p", lambda x: ~F.array_contains(used, x.getField("i")) & _same_key(x, g))
+        scored = F.transform(free, lambda x: F.struct(F.coalesce(F.array_max(F.transform(said(g), lambda y: _span_iou(y, x))), F.lit(0.0)).alias("v"), x.getField("i").alias("i")))
+        return F.array_max(F.filter(scored, lambda x: x.getField("v") >= least))
 
-    kind = records.schema["review_id"].dataType.simpleString()
-    return records.select("review_id", "review", "gold", "predicted").mapInPandas(run, f"review_id {kind}, tp long, fp long, fn long")
+    used = F.aggregate("g", F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.transform(F.array_compact(F.array(best(acc, g))), lambda x: x.getField("i"))))
+    tp = F.col("tp")
+    return marked.select("review_id", F.size(used).cast("long").alias("tp"), F.size("p").cast("long").alias("n_p"), F.size("g").cast("long").alias("n_g")).select("review_id", "tp", (F.col("n_p") - tp).alias("fp"), (F.col("n_g") - tp).alias("fn"))
 
 
 def unmatched(gold: DataFrame, predicted: DataFrame, record: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -115,15 +112,6 @@ def cross_minus_done(left: DataFrame, right: DataFrame, done: DataFrame, on: lis
     return paired(left, right).join(done.select(*on), on, "left_anti")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The value at index round-half-even(share * (n - 1)) of each group; equal values are counted, not gathered."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value))
-    index = F.bround((F.sum("_n").over(w) - 1) * share).cast("long")
-    return counted.withColumn("_upto", upto).withColumn("_i", index).where((F.col("_i") < F.col("_upto")) & (F.col("_i") >= F.col("_upto") - F.col("_n"))).select(*keys, F.col(value).alias(f"p{round(share * 100)}"))
-
-
 def latency_stats(rows: DataFrame, keys: list[str], order: list[str], warmup: int) -> DataFrame:
     """Requests, mean, p50, p95, min, max by key, without the first warmup rows; order tells a key's rows apart."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -131,16 +119,28 @@ def latency_stats(rows: DataFrame, keys: list[str], order: list[str], warmup: in
     until = first.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_until"))
     kept = rows.join(until, keys, "left").where(F.col("_until").isNull() | (F.struct(*order) > F.col("_until"))).drop("_until")
     base = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.bround(F.sum(F.col("latency").cast("decimal(20,6)")).cast("double") / F.count(F.lit(1)), 4).alias("mean"), F.min("latency").alias("min"), F.max("latency").alias("max"))
-    for share in (0.5, 0.95):
-        base = base.join(nearest_rank(kept, keys, "latency", share), keys)
-    return base
+    rank = lambda share: lambda n: F.bround((n - 1) * share)
+    found = values_at(kept, keys, "latency", {"p50": rank(0.5), "p95": rank(0.95)})
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return base.alias("l").join(found.alias("r"), same, "left").select("l.*", "p50", "p95")
 
 
 def gap_audit(rows: DataFrame, keys: list[str], ts: str, tie: list[str], slow: float) -> DataFrame:
-    """Median gap in seconds between successive rows, and how many gaps are longer than slow."""
-    w = Window.partitionBy(*keys).orderBy(ts, *tie)
-    gaps = rows.withColumn("gap", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6).where("gap is not null")
-    return gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.bround(F.median("gap"), 3).alias("median_gap"), F.count_if(F.col("gap") > slow).alias("slow"))
+    """Median gap in seconds between successive rows, and how many gaps are longer than slow.
+
+    Rows follow each other within an hour of a key; the first of an hour follows the last of the hour before that has any,
+    so no task sorts a key's rows.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    marked = rows.select(*keys, at.alias("_t"), F.floor(at / 3_600_000_000).alias("_hour"), *tie).where("_t is not null")
+    hours = marked.groupBy(*keys, "_hour").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    between = hours.select(*keys, (F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hour"))).alias("_gap"))
+    within = marked.select(*keys, (F.col("_t") - F.lag("_t").over(Window.partitionBy(*keys, "_hour").orderBy("_t"))).alias("_gap"))
+    gaps = within.unionByName(between).where("_gap is not null").select(*keys, (F.col("_gap") / 1e6).alias("gap"))
+    counts = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.count_if(F.col("gap") > slow).alias("slow"))
+    middle = values_at(gaps, keys, "gap", {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)})
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return counts.alias("l").join(middle.alias("r"), same).select(*[F.col(f"l.{k}") for k in keys], "gaps", F.bround((F.col("_lo") + F.col("_hi")) / 2, 3).alias("median_gap"), "slow")
 
 
 def metrics_pivot(metrics: DataFrame, models: list[str]) -> DataFrame:

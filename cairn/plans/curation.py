@@ -78,11 +78,25 @@ def interleave_round_robin(spark, d):
     return C.interleaved(docs(spark, d), "lang", "n_chars", "doc_id", order).select("doc_id", "lang", F.col("turn").cast("long").alias("turn"))
 
 
-@query("quota_pick")
+def _quota_sql(quotas: dict, budget: int, share: float) -> str:
+    """One step a category, each with what the ones before it left of the budget."""
+    steps, left = [], str(budget)
+    for i, (lang, quota) in enumerate(quotas.items()):
+        steps.append(f"may{i} AS (SELECT *, row_number() OVER (PARTITION BY empty ORDER BY k, id) AS e FROM r WHERE lang = '{lang}' AND (NOT long OR nth <= {left}))")
+        steps.append(f"pick{i} AS (SELECT * FROM may{i} WHERE NOT empty OR e <= {round(quota * share)} QUALIFY row_number() OVER (ORDER BY k, id) <= {quota})")
+        left += f" - (SELECT count(*) FROM pick{i} WHERE long)"
+    rows = "r AS (SELECT doc_id AS id, lang, coalesce(length(text) < 200, false) AS empty, coalesce(length(text) > 400, false) AS long, sha256('q:' || doc_id) AS k, row_number() OVER (PARTITION BY lang, coalesce(length(text) > 400, false) ORDER BY sha256('q:' || doc_id), doc_id) AS nth FROM documents)"
+    return f"WITH {rows}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT id AS review_id, lang AS category FROM pick{i}" for i in range(len(quotas)))
+
+
+QUOTAS = {"en": 60, "de": 40, "fr": 40}
+
+
+@query("quota_pick", _quota_sql(QUOTAS, 50, 0.2))
 def quota_pick(spark, d):
     """Quotas by language under one budget of long documents, spent in the order of languages."""
     r = docs(spark, d).select(F.col("doc_id").alias("review_id"), F.col("lang").alias("category"), F.col("text").alias("review"), (F.length("text") < 200).alias("is_empty"))
-    return C.quota_pick(r, {"en": 60, "de": 40, "fr": 40}, 50, 0.2, "q").select("review_id", "category")
+    return C.quota_pick(r, QUOTAS, 50, 0.2, "q").select("review_id", "category")
 
 
 CUE = "CASE WHEN regexp_matches(text, 'anon|clown') THEN 'not_positive' WHEN regexp_matches(text, 'the ') AND regexp_matches(text, 'ing') THEN 'rich' ELSE 'plain' END"

@@ -164,7 +164,7 @@ def review_plans(spark, d):
     return R.review_plans(places, aspects, 2, "g").withColumn("aspects", F.array_join("aspects", ","))
 
 
-@query("round_robin_places", "WITH p AS (SELECT c_nationkey % 5 AS g, c_custkey AS place_id, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey % 5) AS n FROM customer), o AS (SELECT o_orderkey, o_custkey % 5 AS g, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY sha256('w:' || o_orderkey), o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, place_id FROM o JOIN p ON o.g = p.g AND k = i % n")
+@query("round_robin_places", "WITH p AS (SELECT c_nationkey % 5 AS g, c_custkey AS place_id, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY sha256('w:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey % 5) AS n FROM customer), o AS (SELECT o_orderkey, o_custkey % 5 AS g, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY sha256('w:' || o_orderkey), o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, place_id FROM o JOIN p ON o.g = p.g AND k = i % n")
 def round_robin_places(spark, d):
     places = table(spark, d, "customer").selectExpr("c_nationkey % 5 AS g", "c_custkey AS place_id")
     items = table(spark, d, "orders").selectExpr("CAST(o_custkey % 5 AS INT) AS g", "o_orderkey")

@@ -55,14 +55,42 @@ def char_iou_query(spark, d):
     return s.select("doc_id", F.bround(char_iou(F.col("a"), F.col("b"), F.col("text")), 6).alias("iou"), overlaps(F.col("a"), F.col("b"), F.col("text")).alias("overlapping"))
 
 
-@query("greedy_overlap")
-def greedy_overlap(spark, d):
-    """One-to-one span matches between labels of even and odd lines, in the text of the order's parts."""
+GREEDY = """WITH RECURSIVE r AS (SELECT l_orderkey AS id, l_linenumber % 2 AS side, l_partkey AS pos, p_type AS category, l_returnflag AS sentiment, p_brand AS attribute, p_name AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey),
+  n AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY pos, category, attribute, sentiment, evidence) AS k FROM r),
+  t AS (SELECT id, string_agg(DISTINCT evidence, ' ' ORDER BY evidence) AS text FROM r GROUP BY 1),
+  s AS (SELECT n.*, instr(text, evidence) AS s, length(evidence) AS len FROM n JOIN t USING (id)),
+  refs AS (SELECT g.id, g.k, {same} FROM s g {join} WHERE g.side = 0),
+  pairs AS (SELECT g.id, g.k, p.k AS i, max(CASE WHEN g.len = 0 OR p.len = 0 THEN 0 WHEN g.s = 0 OR p.s = 0 THEN (g.evidence = p.evidence)::INT
+      ELSE greatest(least(g.s + g.len, p.s + p.len) - greatest(g.s, p.s), 0) / (greatest(g.s + g.len, p.s + p.len) - least(g.s, p.s)) END) AS v
+    FROM refs g JOIN s p ON p.side = 1 AND p.id = g.id AND p.category = g.category AND p.sentiment = g.sentiment GROUP BY ALL),
+  gold AS (SELECT g.id, g.k, coalesce(list(pairs.i ORDER BY v DESC, pairs.i DESC) FILTER (v >= 0.5), []) AS choices FROM n g LEFT JOIN pairs ON pairs.id = g.id AND pairs.k = g.k WHERE g.side = 0 GROUP BY ALL),
+  fold(id, k, used) AS (SELECT DISTINCT id, 0::BIGINT, []::BIGINT[] FROM r UNION ALL
+    SELECT f.id, g.k, CASE WHEN len(list_filter(g.choices, lambda c: NOT list_contains(f.used, c))) > 0 THEN list_append(f.used, list_filter(g.choices, lambda c: NOT list_contains(f.used, c))[1]) ELSE f.used END FROM fold f JOIN gold g ON g.id = f.id AND g.k = f.k + 1),
+  tp AS (SELECT id, max(len(used)) AS tp FROM fold GROUP BY 1)
+  SELECT id AS review_id, tp::BIGINT AS tp, count(*) FILTER (side = 1) - tp AS fp, count(*) FILTER (side = 0) - tp AS fn FROM n JOIN tp USING (id) GROUP BY id, tp"""
+
+
+def span_records(spark, d):
+    """Labels of even lines as Gold, of odd lines as predictions, in the text of the order's parts."""
     gold, predicted = sides(spark, d)
     pack = lambda df, name: df.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "category", "attribute", "sentiment", "evidence"))), lambda x: F.struct(x.category.alias("category"), F.lit("any").alias("attribute"), x.sentiment.alias("sentiment"), x.evidence.alias("evidence"))).alias(name))
     text = gold.union(predicted).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("evidence")), " ").alias("review"))
-    records = text.join(pack(gold, "gold"), "id", "left").join(pack(predicted, "predicted"), "id", "left").withColumnRenamed("id", "review_id")
-    return E.greedy_overlap(records)
+    return text.join(pack(gold, "gold"), "id", "left").join(pack(predicted, "predicted"), "id", "left").withColumnRenamed("id", "review_id")
+
+
+@query("greedy_overlap", GREEDY.format(same="g.category, g.sentiment, g.evidence, g.s, g.len", join=""))
+def greedy_overlap(spark, d):
+    """One-to-one span matches: every Gold label takes the free prediction that overlaps it most."""
+    return E.greedy_overlap(span_records(spark, d))
+
+
+@query("greedy_references", GREEDY.format(same="g.category, g.sentiment, x.evidence, x.s, x.len", join="JOIN s x ON x.id = g.id AND x.category = g.category AND x.sentiment = g.sentiment AND (x.side = 0 OR x.pos % 3 = 0)"))
+def greedy_references(spark, d):
+    """The same where any evidence that the Gold labels, or raw ones beside them, have for a key will do."""
+    records = span_records(spark, d)
+    gold, predicted = sides(spark, d)
+    raw = predicted.where("pos % 3 = 0").groupBy("id").agg(F.collect_list(F.struct("category", F.lit("any").alias("attribute"), "sentiment", "evidence")).alias("raw"))
+    return E.greedy_overlap(records.join(raw, records.review_id == raw.id, "left"), raw="raw")
 
 
 UNMATCHED = """WITH r AS (SELECT l_orderkey AS id, l_linenumber % 2 AS side, l_partkey AS pos, p_type AS category, p_brand AS attribute, l_returnflag AS sentiment, p_name AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey),

@@ -6,13 +6,15 @@ import io
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cairn.streaming.logs import exists
 
 CORRUPT = "_corrupt_record"
+#: Splits of files up to which their line offsets are broadcast.
+BROADCAST_SPLITS = 100_000
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing_ok: bool = False) -> DataFrame:
@@ -22,13 +24,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line, of files of any size: their splits are read by many tasks.
+
+    Rows of a task are numbered as they come; the first number of a split and the lines of the splits before it, one row a
+    split, make line numbers of these.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "_start", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    offsets = F.broadcast(offsets) if offsets.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS else offsets
+    return rows.join(offsets, ["file", "_start"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+
+
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As read_jsonl, and the error names file and line, also of lines that are JSON but no object."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = text.where(F.trim("value") != "")
+    """As read_jsonl, and the error names file and line, also of lines that are JSON but no object. Blank lines count as lines only."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = F.try_parse_json("value")
     bad = F.coalesce(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(True))
-    checked = F.when(bad, F.raise_error(F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(" JSON error"))).cast("string")).otherwise(F.col("value"))
+    checked = F.when(bad, F.raise_error(F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" JSON error"))).cast("string")).otherwise(F.col("value"))
     return rows.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
