@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import vocab
-from cairn.functions.exprs import first_match, json_object, map_lookup, py_strip, strip_filler, strip_trailing
+from cairn.functions.exprs import first_match, map_lookup, py_strip, strip_filler, strip_trailing
 from cairn.operators.curation import shortest_evidence
 
 ASPECT = "category string, attribute string, sentiment string, evidence string"
@@ -93,7 +91,7 @@ def positive_only(aspects: Column) -> Column:
 
 def place_fact_holds(evidence: Column, facts: Column) -> Column:
     """Whether evidence of the form place:<field>=<value> is what the map says."""
-    body = F.substring(evidence, 7, 1_000_000)
+    body = F.substring(evidence, F.lit(7), F.length(evidence))
     return F.coalesce(F.try_element_at(facts, F.substring_index(body, "=", 1)) == F.regexp_extract(body, "(?s)=(.*)$", 1), F.lit(False))
 
 
@@ -129,57 +127,67 @@ def clean_split(aspects: DataFrame) -> DataFrame:
     return shortest_evidence(step, "record")
 
 
-def salvage(text: str | None) -> str | None:
-    """The label as JSON: a whole object, or what a cut-off one has in complete aspects; null if there is nothing."""
-    try:
-        whole = json.loads(text or "")
-        return json.dumps(whole, ensure_ascii=False) if isinstance(whole, dict) else None
-    except ValueError:
-        pass
-    head = re.search(r'"aspects"\s*:\s*\[', text or "")
-    if not head:
-        return None
-    decoder, at, out = json.JSONDecoder(), head.end(), []
-    while True:
-        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n,"))
-        try:
-            item, at = decoder.raw_decode(text, at)
-        except ValueError:
-            break
-        if not isinstance(item, dict):
-            break
-        out.append(item)
-    context = re.search(r'"traveler_context"\s*:\s*(\[[^\]]*\])', text[: head.start()])
-    return json.dumps({"traveler_context": json.loads(context[1]) if context else [], "aspects": out}, ensure_ascii=False) if out else None
-
-
-def decode_bytes(text: str | None) -> str | None:
-    """Runs of <0xNN> tokens as the UTF-8 they spell; runs that spell none stay."""
+# Fixed patterns of JSON: a string, and an object with up to four levels of brackets within it.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _object_pattern(levels: int) -> str:
+    inner = "(?!)"
+    for _ in range(levels):
+        inner = rf"[\[{{](?:[^\[\]{{}}\"]++|{STRING}|{inner})*+[\]}}]"
+    return rf"\{{(?:[^\[\]{{}}\"]++|{STRING}|{inner})*+\}}"
+
 
-    def run(m: re.Match) -> str:
-        try:
-            return bytes(int(x, 16) for x in re.findall("<0x([0-9A-F]{2})>", m[0])).decode()
-        except UnicodeDecodeError:
-            return m[0]
+OBJECT = _object_pattern(4)
 
-    return None if text is None else re.sub("(?:<0x[0-9A-F]{2}>)+", run, text)
 
+def _is_object(c: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
 
-def _by_row(df: DataFrame, column: str, out: str, fn) -> DataFrame:
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(fn, na_action=None)
 
-    return df.withColumn(out, apply(F.col(column)))
+def whole_object(text: Column) -> Column:
+    """text without white space around it where that is one JSON object, else null."""
+    stripped = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.when(_is_object(stripped), stripped)
+
+
+def salvaged_label(text: Column) -> Column:
+    """A label as JSON from the aspects that a cut-off text holds whole; null where its list of aspects never begins.
+
+    Objects are read one after the other from the first bracket behind "aspects"; what is no object is passed over, and the
+    first that does not end, or is no JSON, ends the reading. Contexts are those of the first list of that name, none where
+    that is no JSON. Aspects may hold up to four levels of brackets.
+    """
+    at = F.instr(text, F.lit('"aspects"'))
+    rest = F.substring(text, at, F.length(text))
+    bracket = F.instr(rest, F.lit("["))
+    body = F.substring(rest, bracket + 1, F.length(rest))
+    found = F.regexp_extract_all(body, F.lit(rf"(?s)\G[^{{]*+({OBJECT})"), F.lit(1))
+    bad = F.array_position(F.transform(found, _is_object), F.lit(False))  # the first object that is none
+    kept = F.when(bad > 0, F.slice(found, F.lit(1), F.greatest(bad - 1, F.lit(0)).cast("int"))).otherwise(found)
+    listed = F.nullif(F.regexp_extract(text, r'"traveler_context"\s*:\s*(\[[^\]]*\])', 1), F.lit(""))
+    contexts = F.when(F.try_parse_json(listed).isNotNull(), listed).otherwise(F.lit("[]"))
+    label = F.concat(F.lit('{"traveler_context": '), contexts, F.lit(', "aspects": ['), F.array_join(kept, ", "), F.lit("]}"))
+    return F.when((at > 0) & (bracket > 0), label)
 
 
 def with_salvaged(df: DataFrame, column: str = "raw_output") -> DataFrame:
-    """df with json_valid, salvaged (whether a broken output gave something) and label as JSON."""
-    return _by_row(df, column, "label_json", salvage).withColumn("json_valid", json_object(F.col(column)).isNotNull()).withColumn("salvaged", ~F.col("json_valid") & F.col("label_json").isNotNull())
+    """df with json_valid, salvaged (whether a broken output gave a label) and label_json; a null output gives none."""
+    whole = whole_object(F.col(column))
+    label = F.coalesce(whole, salvaged_label(F.col(column)))
+    return df.withColumns({"json_valid": whole.isNotNull(), "salvaged": whole.isNull() & label.isNotNull(), "label_json": label})
+
+
+def decoded_bytes(text: Column) -> Column:
+    """Runs of <0xNN> tokens as the UTF-8 they spell; runs that spell none stay."""
+    spelled = lambda p: F.try_validate_utf8(F.unhex(F.regexp_replace(p, "<0x|>", "")).cast("string"))
+    pieces = F.regexp_extract_all(text, F.lit(r"((?:<0x[0-9A-F]{2}>)+|[^<]+|<)"), F.lit(1))
+    joined = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("<0x"), F.coalesce(spelled(p), p)).otherwise(p)), "")
+    return F.when(text.rlike("<0x[0-9A-F]{2}>"), joined).otherwise(text)
 
 
 def with_decoded_bytes(df: DataFrame, column: str, out: str) -> DataFrame:
-    return _by_row(df, column, out, decode_bytes)
+    return df.withColumn(out, decoded_bytes(F.col(column)))
 
 
 def map_rows(df: DataFrame, client, columns: list[str], out: str, attempts: int = 1, accept=None) -> DataFrame:
@@ -209,48 +217,3 @@ def map_rows(df: DataFrame, client, columns: list[str], out: str, attempts: int
             yield pdf.assign(**{out: [g for g, _ in got], f"{out}_error": [e for _, e in got]})
 
     return df.mapInPandas(run, f"{kind}, `{out}` string, `{out}_error` string")
-
-
-def gold_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """review_id, problems of Gold records (review_id, category, review, traveler_context, aspects): every rule that is broken, each once, in order.
-
-    Gold has known contexts, no aspect twice with different sentiments, and evidence word for word from the review.
-    """
-    whole = records.select("review_id", F.col("category").alias("kind"), "review", "traveler_context", F.posexplode_outer("aspects").alias("pos", "a"))
-    rows = whole.where("a is not null").select("review_id", "kind", "review", "pos", "a.*")
-    each = aspect_problem(rows, vocabulary_).where("problem is not null").select("review_id", "problem")
-    split = rows.groupBy("review_id", "category", "attribute").agg(F.countDistinct("sentiment").alias("n")).where("n > 1").select("review_id", F.lit("conflicting sentiments").alias("problem"))
-    known = F.forall(F.coalesce("traveler_context", F.array().cast("array<string>")), lambda c: c.isin(vocab.TRAVELER_CONTEXTS))
-    context = records.where(~known).select("review_id", F.lit("unknown context").alias("problem"))
-    found = each.union(split).union(context).groupBy("review_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
-    return records.select("review_id").join(found, "review_id", "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
-
-
-def draft_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """The same for drafts: evidence also has to be on its aspect's topic, and an aspect may not stand twice."""
-    rows = records.select("review_id", F.col("category").alias("kind"), "review", F.posexplode("aspects").alias("pos", "a")).select("review_id", "kind", "review", "pos", "a.*")
-    each = aspect_problem(rows, vocabulary_, topic=True).where("problem is not null").select("review_id", "problem")
-    twice = rows.groupBy("review_id", "category", "attribute", "sentiment").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("review_id", F.lit("repeated").alias("problem"))
-    found = each.union(twice).groupBy("review_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
-    return records.select("review_id").join(found, "review_id", "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
-
-
-def vocabulary_problems(vocabulary_: DataFrame, topics: list[str]) -> DataFrame:
-    """problem, name: aspects with fewer than two attributes, attributes with unusual letters, topics of no aspect."""
-    sizes = vocabulary_.groupBy("category", "aspect").agg(F.countDistinct("attribute").alias("n"))
-    few = sizes.where("n < 2").select(F.lit("too few attributes").alias("problem"), F.concat_ws("/", "category", "aspect").alias("name"))
-    odd = vocabulary_.where(~F.col("attribute").rlike("^[a-z]+(_[a-z]+)*$")).select(F.lit("odd name").alias("problem"), F.concat_ws("/", "category", "aspect", "attribute").alias("name"))
-    rules = vocabulary_.sparkSession.createDataFrame([(t,) for t in topics], "aspect string")
-    loose = rules.join(vocabulary_.select("aspect").distinct(), "aspect", "left_anti").select(F.lit("topic of no aspect").alias("problem"), F.col("aspect").alias("name"))
-    return few.union(odd).union(loose).distinct()
-
-
-def label_schema(vocabulary_: DataFrame) -> DataFrame:
-    """category, schema: the JSON schema of a category's label, made from the vocabulary."""
-    string = F.lit("string")
-    of_aspect = vocabulary_.groupBy("category", "aspect").agg(F.sort_array(F.collect_set("attribute")).alias("allowed"))
-    aspect = F.struct(F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.col("aspect").alias("const")).alias("category"), F.struct(string.alias("type"), F.col("allowed").alias("enum")).alias("attribute"), F.struct(string.alias("type"), F.array(*map(F.lit, vocab.SENTIMENTS)).alias("enum")).alias("sentiment"), F.struct(string.alias("type"), F.lit(1).alias("minLength")).alias("evidence")).alias("properties"), F.array(*map(F.lit, ("category", "attribute", "sentiment", "evidence"))).alias("required")).alias("one"))
-    lists = of_aspect.select("category", "aspect", aspect.getField("one").alias("one")).groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("aspect", "one"))), lambda x: x.getField("one")).alias("any"))
-    contexts = F.struct(F.lit("array").alias("type"), F.struct(string.alias("type"), F.array(*map(F.lit, vocab.TRAVELER_CONTEXTS)).alias("enum")).alias("items"))
-    whole = F.struct(F.lit("object").alias("type"), F.struct(contexts.alias("traveler_context"), F.struct(F.lit("array").alias("type"), F.struct(F.col("any").alias("anyOf")).alias("items")).alias("aspects")).alias("properties"), F.array(F.lit("traveler_context"), F.lit("aspects")).alias("required"))
-    return lists.select("category", F.to_json(whole).alias("schema"))

@@ -31,11 +31,11 @@ def scored_aspects(counts: DataFrame) -> DataFrame:
 
 
 def condition_weights(conditions: dict[str, list[str]]) -> dict[str, float]:
-    """Aspect weights of conditions such as {"with": ["parents"], "avoid": ["stairs"]}; each rule counts once."""
-    rules = dict.fromkeys(vocab.CONDITION_RULES[k][v] for k in ("with", "walk", "pri", "avoid") for v in conditions.get(k, []) if v in vocab.CONDITION_RULES[k])
+    """Aspect weights of conditions such as {"with": ["parents"], "avoid": ["stairs"]}; each keyword counts once."""
+    named = [vocab.CONDITION_KEYWORDS[kind].get(c) for kind in ("with", "walk", "pri", "avoid") for c in conditions.get(kind, [])]
     out: dict[str, float] = {}
-    for r in rules:
-        for aspect, w in vocab.RULE_WEIGHTS[r].items():
+    for keyword in dict.fromkeys(k for k in named if k):
+        for aspect, w in vocab.KEYWORDS[keyword][1].items():
             out[aspect] = out.get(aspect, 0.0) + w
     return out
 

@@ -1,4 +1,4 @@
-"""Mappers from source records to rows, small parsers, and plans of generated reviews (PF14-PF16, PF28, F10, F11, F34, X1, X2, X7, X9, X11-X13, X22, X24, V8)."""
+"""Mappers from source records to rows, small parsers (PF14-PF16, PF28, F10, F11, F34, X2, X11-X13, X22, X24)."""
 
 from __future__ import annotations
 
@@ -56,49 +56,12 @@ def service_error(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.lit(None)).when(text.rlike("(?s)<returnAuthMsg>.*</returnAuthMsg>"), F.concat(F.lit("stop: "), said)).otherwise(F.lit("no JSON"))
 
 
-def synthetic_record(place_id: Column, review: Column, category: Column, model: Column, seed: Column, number: Column) -> Column:
-    """A generated review as a record, with how it was made."""
-    generation = F.struct(model.alias("model"), seed.cast("long").alias("seed"))
-    return F.struct(synthetic_id(category, seed, number).alias("review_id"), place_id.alias("place_id"), category.alias("category"), review.alias("review"), F.lit(True).alias("synthetic"), generation.alias("generation"))
-
-
-def synthetic_id(category: Column, seed: Column, number: Column) -> Column:
-    return F.format_string("syn_%s_%d_%05d", category, seed.cast("long"), number.cast("long"))
-
-
-def review_plans(places: DataFrame, aspects: DataFrame, per_place: int, seed: str) -> DataFrame:
-    """place_id, category, number, aspects: for every place plans of reviews, each with one to three aspects of its
-    category, picked by seeded hashes. aspects: category, aspect."""
-    known = aspects.groupBy("category").agg(F.sort_array(F.collect_set("aspect")).alias("_all"))  # the vocabulary of one category
-    plans = places.select("place_id", "category", F.explode(F.sequence(F.lit(1), F.lit(per_place))).alias("number")).join(F.broadcast(known), "category")  # one row a category
-    plan = F.concat_ws("/", "place_id", "number")
-    take = F.conv(F.substring(hash_rank_key(f"{seed}:n", plan), 1, 4), 16, 10).cast("int") % 3 + 1
-    shuffled = F.transform(F.array_sort(F.transform("_all", lambda a: F.struct(hash_rank_key(seed, F.concat_ws("/", plan, a)).alias("k"), a.alias("a")))), lambda x: x.getField("a"))
-    return plans.select("place_id", "category", "number", F.slice(shuffled, F.lit(1), take).alias("aspects"))
-
-
-def finalized(aspects: DataFrame) -> DataFrame:
-    """Cleaned aspects of Gold records (as clean_split), with `changed`: whether the record's label differs from what it was."""
-    label = lambda df, name: df.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("category", "attribute", "sentiment", "evidence"))).alias(name))  # noqa: E731  aspects of one record
-    clean = labels.clean_split(aspects)
-    both = label(aspects, "_raw").join(label(clean, "_new"), "record", "left")
-    return clean.join(both.select("record", (~F.col("_raw").eqNullSafe(F.col("_new"))).alias("changed")), "record")
-
-
 def normalized_test(aspects: DataFrame) -> DataFrame:
     """Aspects of test records with their evidence normalised only, and `pending_approval` where that changed it."""
     step = aspects.withColumn("_e", labels.normalize_evidence(F.col("evidence"), F.col("review")))
     return step.withColumn("normalization", F.when(~F.col("evidence").eqNullSafe(F.col("_e")), "pending_approval")).withColumn("evidence", F.col("_e")).drop("_e")
 
 
-def schema_valid(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """review_id, schema_valid: whether every aspect of a record (review_id, category, aspects) is of the vocabulary, with a known sentiment and evidence that is text."""
-    values = vocabulary_.select(F.col("category").alias("kind"), F.col("aspect").alias("category"), "attribute").distinct().withColumn("_v", F.lit(True))
-    rows = records.select("review_id", F.col("category").alias("kind"), F.explode("aspects").alias("a")).select("review_id", "kind", "a.*")
-    bad = rows.join(values, ["kind", "category", "attribute"], "left").where(F.col("_v").isNull() | ~F.coalesce(F.col("sentiment").isin(vocab.SENTIMENTS), F.lit(False)) | F.col("evidence").isNull())
-    return records.select("review_id").join(bad.select("review_id").distinct().withColumn("_b", F.lit(True)), "review_id", "left").select("review_id", F.col("_b").isNull().alias("schema_valid"))
-
-
 def preference_counts(choices: DataFrame, column: str, default: str) -> DataFrame:
     """How often each choice was made; a missing one counts as the default."""
     return choices.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default)).alias("choice")).agg(F.count(F.lit(1)).alias("n"))
@@ -139,9 +102,3 @@ def label_aspects(label: Column) -> Column:
     listed = F.try_variant_get(F.try_parse_json(label), "$.aspects", "array<variant>")
     objects = F.filter(F.coalesce(listed, F.array().cast("array<variant>")), lambda a: F.coalesce(F.schema_of_variant(a).startswith("OBJECT"), F.lit(False)))
     return F.transform(objects, lambda a: F.to_json(a))
-
-
-def schema_problems(records: DataFrame, vocabulary_: DataFrame) -> DataFrame:
-    """problem, n: how many aspects of the records break which rule of the schema first."""
-    rows = records.select("review_id", F.col("category").alias("kind"), "review", F.explode("aspects").alias("a")).select("review_id", "kind", "review", "a.*")
-    return labels.aspect_problem(rows, vocabulary_).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

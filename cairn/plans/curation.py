@@ -177,7 +177,20 @@ def _columns(sql: str) -> list[str]:
     return sql[len("SELECT ") : sql.index(" FROM ")].split(", ")
 
 
-@query("split_places")
+REACH = f"""p AS ({PLACES}), k AS (SELECT place_id, district, 'r' || address AS k FROM p WHERE address <> '' UNION ALL SELECT place_id, district, 'n' || name FROM p),
+  e AS (SELECT DISTINCT a.place_id AS a, b.place_id AS b FROM k a JOIN k b ON a.k = b.k AND a.district IS NOT DISTINCT FROM b.district),
+  reach AS (SELECT place_id AS a, place_id AS b FROM p UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), g AS (SELECT a AS place_id, min(b) AS grp FROM reach GROUP BY 1)"""
+
+
+@query(
+    "split_places",
+    f"""WITH RECURSIVE {REACH}, old AS (SELECT c_custkey AS place_id, CASE WHEN c_nationkey < 12 THEN 'train' ELSE 'test' END AS split FROM customer WHERE c_acctbal > 8000),
+      votes AS (SELECT grp, split, count(*) AS n, min(place_id) AS least FROM g JOIN old USING (place_id) GROUP BY ALL), inherited AS (SELECT grp, split FROM votes QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, least) = 1),
+      heads AS (SELECT DISTINCT grp, category, coalesce(district, 'unknown') AS district FROM g JOIN p ON p.place_id = grp WHERE grp NOT IN (SELECT grp FROM inherited)),
+      i AS (SELECT *, row_number() OVER (PARTITION BY category, district ORDER BY sha256('g:' || grp), grp) AS i, count(*) OVER (PARTITION BY category, district) AS n FROM heads),
+      decided AS (FROM inherited UNION ALL SELECT grp, CASE WHEN i <= round_even(n * 0.1::DOUBLE, 0) THEN 'test' WHEN i <= 2 * round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END FROM i)
+      SELECT place_id, coalesce(old.split, d.split) AS split FROM g JOIN decided d USING (grp) FULL JOIN old USING (place_id)""",
+)
 def split_places(spark, d):
     """Leak-free splits: entities share one, assigned ones keep theirs."""
     p = table(spark, d, "customer").selectExpr(*[x.strip() for x in _columns(PLACES)])

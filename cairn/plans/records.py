@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn import vocab
 from cairn.functions import exprs as X
 from cairn.functions import requirements
-from cairn.operators import curation, labels, profile, ranking
+from cairn.operators import checks, curation, labels, profile, ranking
 from cairn.operators import records as R
 from cairn.plans import analytics, star
 from cairn.plans.registry import query
@@ -51,59 +51,88 @@ def wish_ranking(spark, d):
     return fits.select("c_custkey", "place_id", F.bround("fit", 1).alias("fit"))
 
 
-ASPECT = "named_struct('category', {c}, 'attribute', {a}, 'sentiment', {s}, 'evidence', {e})"
-MADE = [
-    [("cleanliness", "clean", "positive", "깨끗")], [("x", "clean", "positive", "깨끗")], [("cleanliness", "dirtyy", "positive", "깨끗")], [("cleanliness", "clean", "odd", "깨끗")],
-    [("cleanliness", "clean", "positive", "zzz")] * 2, [("cleanliness", "clean", "positive", "깨끗"), ("cleanliness", "clean", "negative", "깨끗"), ("parking_availability", "available", "neutral", "방이")],
-]
+def label_records(spark, d, aspect: str = "p_brand", attribute: str = "concat('s', p_size % 10)"):
+    """A record per order: its lines as labels, the names of its smaller lines as the review."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "l_orderkey AS o_orderkey", "p_type", "p_name", "l_quantity",
+        f"named_struct('line', l_linenumber, 'category', {aspect}, 'attribute', {attribute}, 'sentiment', CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'A' THEN 'negative' ELSE CASE WHEN l_quantity > 25 THEN 'neutral' ELSE 'mixed' END END, 'evidence', CASE WHEN l_quantity > 40 THEN concat(p_name, '!') ELSE p_name END) AS a",
+    )
+    made = li.groupBy("o_orderkey").agg(F.max("p_type").alias("category"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("l_quantity") <= 45, F.col("p_name")))), " ").alias("review"), F.sort_array(F.collect_list("a")).alias("aspects"))
+    context = F.expr("CASE WHEN o_orderstatus <> 'P' THEN array('solo', CASE o_orderpriority WHEN '1-URGENT' THEN 'parents' WHEN '2-HIGH' THEN 'couple' ELSE lower(o_orderpriority) END) END")
+    return made.join(table(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("review_id"), "category", "review", context.alias("traveler_context"), F.transform("aspects", lambda a: a.dropFields("line")).alias("aspects"))
 
 
-def made_records(spark, d):
-    """A record per customer with one kind of fault each."""
-    quoted = lambda rows: "array(" + ", ".join(ASPECT.format(c=f"'{c}'", a=f"'{a}'", s=f"'{s}'", e=f"'{e}'") for c, a, s, e in rows) + ")"
-    aspects = "CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {quoted(rows)}" for k, rows in enumerate(MADE)) + " END"
-    return table(spark, d, "customer").selectExpr("c_custkey AS review_id", "'hotel' AS category", "'방이 깨끗해요 주차' AS review", "CASE WHEN c_custkey % 7 = 0 THEN array('aliens') ELSE array('solo') END AS traveler_context", f"{aspects} AS aspects")
+def label_sql(aspect: str = "p_brand", attribute: str = "'s' || (p_size % 10)") -> str:
+    return f"""l AS (SELECT l_orderkey AS review_id, l_linenumber AS line, p_type, p_name, l_quantity, {aspect} AS category, {attribute} AS attribute, CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'A' THEN 'negative' ELSE CASE WHEN l_quantity > 25 THEN 'neutral' ELSE 'mixed' END END AS sentiment, CASE WHEN l_quantity > 40 THEN p_name || '!' ELSE p_name END AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey),
+  made AS (SELECT review_id, max(p_type) AS kind, coalesce(string_agg(DISTINCT p_name, ' ' ORDER BY p_name) FILTER (l_quantity <= 45), '') AS review FROM l GROUP BY 1),
+  records AS (SELECT review_id, kind, review, CASE WHEN o_orderstatus <> 'P' THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'parents' WHEN '2-HIGH' THEN 'couple' ELSE lower(o_orderpriority) END END AS context FROM made JOIN orders ON o_orderkey = review_id),
+  a AS (SELECT l.*, kind, review, row_number() OVER (PARTITION BY review_id ORDER BY line, category, attribute, sentiment, evidence) AS pos FROM l JOIN records USING (review_id)),
+  v AS (SELECT DISTINCT p_type AS kind, p_brand AS category, 's' || (p_size % 10) AS attribute FROM part WHERE p_retailprice < 1000),
+  j AS (SELECT a.*, EXISTS (FROM v WHERE v.kind = a.kind AND v.category = a.category) AS known, EXISTS (FROM v WHERE v.kind = a.kind AND v.category = a.category AND v.attribute = a.attribute) AS allowed FROM a)"""
 
 
-FAULTS = "CASE c_custkey % 6 WHEN 1 THEN 'aspect' WHEN 2 THEN 'attribute' WHEN 3 THEN 'sentiment' WHEN 4 THEN 'evidence not in review' WHEN 5 THEN '{five}' END"
+def part_vocabulary(spark, d):
+    return checks.Vocabulary.of(table(spark, d, "part").where("p_retailprice < 1000").selectExpr("p_type AS category", "p_brand AS aspect", "concat('s', p_size % 10) AS attribute"))
+
 
+FAULTS = """SELECT review_id, 0 AS pos, 0 AS k, 'context not allowed: ' || context AS m FROM records WHERE context NOT IN ('parents', 'couple') UNION ALL {aspect}
+  UNION ALL SELECT review_id, pos, 3, 'sentiment not allowed: ' || sentiment FROM j WHERE sentiment = 'mixed' UNION ALL SELECT review_id, pos, 4, 'evidence not in review: ' || evidence FROM j WHERE NOT contains(review, evidence)"""
+PROBLEMS = "WITH {labels}, f AS ({faults}) SELECT r.review_id, coalesce(string_agg(m, '; ' ORDER BY pos, k), '') AS problems FROM records r LEFT JOIN f USING (review_id) GROUP BY 1"
+GOLD_ASPECT = "SELECT review_id, pos, 1, 'aspect or attribute not allowed: ' || category || '/' || attribute FROM j WHERE NOT allowed"
+DRAFT_ASPECT = "SELECT review_id, pos, 1, 'aspect of another category: ' || kind || '/' || category FROM j WHERE NOT known UNION ALL SELECT review_id, pos, 2, 'attribute not allowed: ' || category || '/' || attribute FROM j WHERE known AND NOT allowed"
 
-@query("gold_problems", f"SELECT c_custkey AS review_id, concat_ws(',', {FAULTS.format(five='conflicting sentiments')}, CASE WHEN c_custkey % 7 = 0 THEN 'unknown context' END) AS problems FROM customer")
+
+@query("gold_problems", PROBLEMS.format(labels=label_sql(), faults=FAULTS.format(aspect=GOLD_ASPECT)))
 def gold_problems(spark, d):
-    return labels.gold_problems(made_records(spark, d), labels.vocabulary(spark)).select("review_id", F.array_join("problems", ",").alias("problems"))
+    return checks.gold_problems(label_records(spark, d), part_vocabulary(spark, d)).select("review_id", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("draft_problems", f"SELECT c_custkey AS review_id, coalesce(CASE WHEN c_custkey % 6 = 4 THEN 'evidence not in review,repeated' END, {FAULTS.format(five='off topic')}, '') AS problems FROM customer")
+@query("draft_problems", PROBLEMS.format(labels=label_sql(), faults=FAULTS.format(aspect=DRAFT_ASPECT)))
 def draft_problems(spark, d):
-    return labels.draft_problems(made_records(spark, d), labels.vocabulary(spark)).select("review_id", F.array_join("problems", ",").alias("problems"))
+    return checks.draft_problems(label_records(spark, d), part_vocabulary(spark, d)).select("review_id", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("schema_validity", "SELECT c_custkey AS review_id, c_custkey % 6 NOT IN (1, 2, 3) AS schema_valid FROM customer")
-def schema_validity(spark, d):
-    return R.schema_valid(made_records(spark, d), labels.vocabulary(spark))
+@query("missing_drafts", "SELECT coalesce(o_orderkey, l_orderkey) AS number, CASE WHEN o_orderkey IS NULL THEN 'no review' ELSE 'no draft' END AS side FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_orderkey IS NULL")
+def missing_drafts(spark, d):
+    return checks.missing_drafts(table(spark, d, "orders").where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS number"), table(spark, d, "lineitem").selectExpr("l_orderkey AS number").distinct(), "number")
 
 
-VOCABULARY = "SELECT DISTINCT p_type AS category, p_brand AS aspect, CASE p_size % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'very_high' WHEN 2 THEN 'Odd!' ELSE 'low' END AS attribute FROM part"
+@query("schema_validity", f"WITH {label_sql()}, bad AS (SELECT DISTINCT review_id FROM j WHERE NOT allowed OR sentiment = 'mixed') SELECT review_id, coalesce(context IN ('parents', 'couple'), false) AND NOT EXISTS (FROM bad WHERE bad.review_id = records.review_id) AS schema_valid FROM records")
+def schema_validity(spark, d):
+    return checks.schema_valid(label_records(spark, d), part_vocabulary(spark, d))
 
 
-def part_vocabulary(spark, d):
-    return table(spark, d, "part").selectExpr("p_type AS category", "p_brand AS aspect", "CASE p_size % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'very_high' WHEN 2 THEN 'Odd!' ELSE 'low' END AS attribute").distinct()
+@query(
+    "schema_problem_counts",
+    f"""WITH {label_sql()} SELECT 'context not allowed' AS problem, count(*) AS n FROM records WHERE context NOT IN ('parents', 'couple') HAVING count(*) > 0 UNION ALL SELECT 'aspect not of category: ' || kind, count(*) FROM j WHERE NOT known GROUP BY kind
+      UNION ALL SELECT 'attribute not of aspect', count(*) FROM j WHERE known AND NOT allowed HAVING count(*) > 0 UNION ALL SELECT 'sentiment not allowed', count(*) FROM j WHERE sentiment = 'mixed' HAVING count(*) > 0""",
+)
+def schema_problem_counts(spark, d):
+    return checks.schema_problems(label_records(spark, d), part_vocabulary(spark, d))
 
 
-@query("vocabulary_problems", f"WITH v AS ({VOCABULARY}) SELECT 'too few attributes' AS problem, category || '/' || aspect AS name FROM v GROUP BY category, aspect HAVING count(*) < 2 UNION ALL SELECT 'odd name', category || '/' || aspect || '/' || attribute FROM v WHERE attribute = 'Odd!' UNION ALL SELECT 'topic of no aspect', 'nowhere'")
+@query(
+    "vocabulary_problems",
+    """WITH t AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size % 9 <> 0), u AS (SELECT DISTINCT p_type, p_brand, 's' || (p_size % 10) AS v FROM part WHERE p_size > 12)
+      SELECT DISTINCT 'aspect without an entry' AS problem, p_type || '/' || p_brand AS name FROM u WHERE NOT EXISTS (FROM t WHERE t.p_type = u.p_type AND t.p_brand = u.p_brand) UNION ALL SELECT 'aspect without attributes', p_type || '/' || p_brand FROM t WHERE NOT EXISTS (FROM u WHERE t.p_type = u.p_type AND t.p_brand = u.p_brand)
+      UNION ALL SELECT 'aspect without a name', p_type || '/' || p_brand FROM t WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_retailprice < 901) UNION ALL SELECT DISTINCT 'attribute without a name', v FROM u WHERE v NOT IN (SELECT 's' || (p_size % 10) FROM part WHERE p_retailprice < 901)""",
+)
 def vocabulary_problems(spark, d):
-    return labels.vocabulary_problems(part_vocabulary(spark, d), ["nowhere", table(spark, d, "part").agg(F.min("p_brand")).first()[0]])
+    part = table(spark, d, "part")
+    aspects = part.where("p_size % 9 <> 0").selectExpr("p_type AS category", "p_brand AS aspect").distinct()
+    attributes = part.where("p_size > 12").selectExpr("p_type AS category", "p_brand AS aspect", "concat('s', p_size % 10) AS attribute")
+    named = part.where("p_retailprice < 901")
+    return checks.vocabulary_problems(aspects, attributes, named.selectExpr("p_brand AS aspect"), named.selectExpr("concat('s', p_size % 10) AS attribute"))
 
 
 @query(
     "label_schema",
-    f"""WITH v AS ({VOCABULARY}), a AS (SELECT category, aspect, string_agg('"' || attribute || '"', ',' ORDER BY attribute) AS allowed FROM v GROUP BY ALL)
-      SELECT category, '{{"type":"object","properties":{{"traveler_context":{{"type":"array","items":{{"type":"string","enum":["solo","couple","friends","family_with_kids","parents"]}}}},"aspects":{{"type":"array","items":{{"anyOf":['
-        || string_agg('{{"type":"object","properties":{{"category":{{"const":"' || aspect || '"}},"attribute":{{"type":"string","enum":[' || allowed || ']}},"sentiment":{{"type":"string","enum":["positive","negative","neutral"]}},"evidence":{{"type":"string","minLength":1}}}},"required":["category","attribute","sentiment","evidence"]}}', ',' ORDER BY aspect)
-        || ']}}}}}},"required":["traveler_context","aspects"]}}' AS schema FROM a GROUP BY 1""",
+    """WITH a AS (SELECT p_type AS category, string_agg(DISTINCT '"' || p_brand || '"', ',' ORDER BY '"' || p_brand || '"') AS names, string_agg(DISTINCT '"s' || (p_size % 10) || '"', ',' ORDER BY '"s' || (p_size % 10) || '"') AS vals FROM part GROUP BY 1)
+      SELECT category, '{"type":"object","properties":{"traveler_context":{"type":"array","items":{"type":"string","enum":["couple","family_with_kids","friends","parents","solo"]}},"aspects":{"type":"array","items":{"type":"object","properties":{"category":{"type":"string","enum":[' || names || ']},"attribute":{"type":"string","enum":[' || vals
+        || ']},"sentiment":{"type":"string","enum":["negative","neutral","positive"]},"evidence":{"type":"string"}},"required":["category","attribute","sentiment","evidence"]}}},"required":["traveler_context","aspects"]}' AS schema FROM a""",
 )
 def label_schema(spark, d):
-    return labels.label_schema(part_vocabulary(spark, d))
+    return checks.label_schema(table(spark, d, "part").selectExpr("p_type AS category", "p_brand AS aspect", "concat('s', p_size % 10) AS attribute"))
 
 
 @query("pairs_map", "SELECT c_custkey, c_custkey % 9 AS hotel, c_nationkey AS food FROM customer")
@@ -145,23 +174,43 @@ def service_errors(spark, d):
     return table(spark, d, "customer").select("c_custkey", R.service_error(text).alias("error"))
 
 
-@query("synthetic_records", """SELECT 'syn_' || c_mktsegment || '_7_' || lpad(c_custkey::VARCHAR, 5, '0') AS review_id, c_nationkey AS place_id, '{"model":"m","seed":7}' AS generation, true AS synthetic FROM customer""")
-def synthetic_records(spark, d):
-    r = R.synthetic_record(F.col("c_nationkey"), F.col("c_name"), F.col("c_mktsegment"), F.lit("m"), F.lit(7), F.col("c_custkey"))
-    return table(spark, d, "customer").select(r.alias("r")).select("r.review_id", "r.place_id", F.to_json("r.generation").alias("generation"), "r.synthetic")
+def plans_sql() -> str:
+    """Plans of reviews for two kinds of places, two for each place, as checks.review_plans makes them with seed 7."""
+    h = lambda text: f"('0x' || substr(sha256({text}), 1, 8))::BIGINT"
+    draw = lambda what, values: f"[{values}][1 + {h(f"'7:{what}:' || item")} % {values.count(',') + 1}]"
+    quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+    return f"""places AS (SELECT c_custkey AS place_id, CASE WHEN c_custkey % 3 = 0 THEN 'ECONOMY' ELSE 'PROMO' END AS category FROM customer),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('7:' || place_id), place_id) - 1 AS slot, count(*) OVER (PARTITION BY category) AS n FROM places),
+  i0 AS (SELECT category, i, 'syn_' || category || '_7_' || lpad(i::VARCHAR, 5, '0') AS item FROM (SELECT category, unnest(range(2 * count(*))) AS i FROM places GROUP BY 1)),
+  i1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('7:' || item), item) - 1 AS k FROM i0),
+  v AS (SELECT p_type AS category, p_brand AS a, list_sort(list(DISTINCT 's' || (p_size % 10))) AS vals FROM part WHERE p_retailprice < 1000 GROUP BY ALL),
+  n AS (SELECT item, a, vals, sha256('7:' || item || ':' || a) AS k, row_number() OVER (PARTITION BY item ORDER BY sha256('7:' || item || ':' || a), a) AS r FROM i1 JOIN v USING (category)),
+  asp AS (SELECT item, string_agg(a || '=' || vals[1 + ('0x' || substr(k, 1, 8))::BIGINT % len(vals)], ',' ORDER BY r) AS aspects FROM n WHERE r <= {draw('n', '1, 2, 2, 3, 3, 4')} GROUP BY 1),
+  plans AS (SELECT item AS review_id, pl.place_id, i1.category, {draw('traveler', "'couple', 'family_with_kids', 'friends', 'parents', 'solo', NULL, NULL")} AS traveler, coalesce(aspects, '') AS aspects, {draw('length', quoted(checks.LENGTHS))} AS length, {draw('tone', quoted(checks.TONES))} AS tone, 700000 + i AS seed
+    FROM i1 JOIN pl ON pl.category = i1.category AND pl.slot = i1.k % pl.n LEFT JOIN asp USING (item))"""
 
 
-@query(
-    "review_plans",
-    """WITH v AS (SELECT DISTINCT p_type AS category, p_brand AS aspect FROM part), p AS (SELECT c_custkey AS place_id, t.category, n AS number FROM customer, unnest([1, 2]) AS u(n), (SELECT DISTINCT category, dense_rank() OVER (ORDER BY category) AS r FROM v) t WHERE c_custkey % 3 = t.r - 1),
-      r AS (SELECT p.*, v.aspect, row_number() OVER (PARTITION BY place_id, number ORDER BY sha256('g:' || place_id || '/' || number || '/' || aspect), aspect) AS i, ('0x' || substr(sha256('g:n:' || place_id || '/' || number), 1, 4))::INT % 3 + 1 AS k FROM p JOIN v USING (category))
-      SELECT place_id, category, number, string_agg(aspect, ',' ORDER BY i) AS aspects FROM r WHERE i <= k GROUP BY ALL""",
-)
+def made_plans(spark, d):
+    places = table(spark, d, "customer").selectExpr("c_custkey AS place_id", "CASE WHEN c_custkey % 3 = 0 THEN 'ECONOMY' ELSE 'PROMO' END AS category")
+    counts = {r.category: 2 * r.n for r in places.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}  # of two categories
+    return checks.review_plans(places, part_vocabulary(spark, d), counts, 2, 7)
+
+
+def pairs(aspects: str):
+    return F.array_join(F.transform(aspects, lambda a: F.concat(a.category, F.lit("="), a.attribute)), ",")
+
+
+@query("review_plans", f"WITH {plans_sql()} FROM plans")
 def review_plans(spark, d):
-    aspects = table(spark, d, "part").selectExpr("p_type AS category", "p_brand AS aspect").distinct()
-    kinds = [r.category for r in aspects.select("category").distinct().orderBy("category").limit(3).collect()]
-    places = table(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), F.get(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % 3).cast("int")).alias("category")).where("category is not null")
-    return R.review_plans(places, aspects, 2, "g").withColumn("aspects", F.array_join("aspects", ","))
+    return made_plans(spark, d).withColumn("aspects", pairs("aspects"))
+
+
+@query("synthetic_records", f"WITH {plans_sql()} SELECT review_id, place_id, category, true AS synthetic, 'review of ' || place_id AS review, 'm' AS model, seed + 1000000000 * (place_id % 3) AS seed, traveler, aspects, length, tone FROM plans")
+def synthetic_records(spark, d):
+    """Generated reviews with all that their generation went by; some were written in a second or third attempt."""
+    written = made_plans(spark, d).withColumns({"review": F.concat(F.lit("review of "), F.col("place_id").cast("string")), "used_seed": F.col("seed") + F.lit(1_000_000_000) * (F.col("place_id") % 3)})
+    r = checks.synthetic_records(written, "m")
+    return r.select("review_id", "place_id", "category", "synthetic", "review", "generation.model", "generation.seed", F.col("generation.traveler_context").alias("traveler"), pairs("generation.aspects").alias("aspects"), "generation.length", "generation.tone")
 
 
 @query("round_robin_places", "WITH p AS (SELECT c_nationkey % 5 AS g, c_custkey AS place_id, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY sha256('w:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey % 5) AS n FROM customer), o AS (SELECT o_orderkey, o_custkey % 5 AS g, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY sha256('w:' || o_orderkey), o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, place_id FROM o JOIN p ON o.g = p.g AND k = i % n")
@@ -199,7 +248,7 @@ def first_evidence(spark, d):
 @query("candidate_categories", "WITH r AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'lodging' ELSE 'food' END ELSE '' END AS label FROM customer), k AS (SELECT c_nationkey, arg_min(label, c_custkey) FILTER (label <> '') AS known FROM r GROUP BY 1) SELECT c_custkey, CASE coalesce(nullif(label, ''), known) WHEN 'lodging' THEN 'hotel' WHEN 'food' THEN 'restaurant' END AS category FROM r JOIN k USING (c_nationkey)")
 def candidate_categories(spark, d):
     rows = table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", "CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'lodging' ELSE 'food' END ELSE '' END AS label")
-    words = {w: c for c, ws in vocab.CATEGORY_WORDS.items() for w in ws.split()}
+    words = {w: c for c, ws in vocab.CATEGORY_WORDS.items() for w in ws}
     return R.candidate_categories(rows, "c_nationkey", "label", "c_custkey", X.map_lookup(words, F.col("_label"))).select("c_custkey", "category")
 
 
@@ -239,10 +288,17 @@ def guarded_division(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.safe_div(F.col("l_discount"), F.col("l_tax")).alias("ratio"), X.percent(F.col("l_linenumber"), F.col("l_quantity")).alias("percent"))
 
 
-@query("finalized_records", "SELECT c_custkey AS record, 1::BIGINT AS aspects, c_custkey % 2 = 0 AS changed FROM customer")
+@query(
+    "finalized_records",
+    f"""WITH {label_sql("'Brand' || (l_partkey % 2)", "'any'")}, n AS (SELECT *, CASE WHEN length(regexp_replace(evidence, '!$', '')) >= 3 AND contains(review, regexp_replace(evidence, '!$', '')) THEN regexp_replace(evidence, '!$', '') ELSE evidence END AS e FROM a),
+      u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY review_id, category, attribute, sentiment ORDER BY length(e), pos) = 1), b AS (SELECT review_id, count(*) AS lines, bool_or(e <> evidence) AS cut, string_agg(evidence, '; ' ORDER BY pos) AS raw FROM n GROUP BY 1)
+      SELECT review_id, string_agg(category || '/' || sentiment || '/' || e, '; ' ORDER BY pos) AS aspects, 'test_real_gold' AS split, CASE WHEN any_value(cut) OR count(*) < any_value(lines) THEN any_value(raw) END AS raw FROM u JOIN b USING (review_id) GROUP BY 1""",
+)
 def finalized_records(spark, d):
-    a = table(spark, d, "customer").selectExpr("c_custkey AS record", "'hotel' AS kind", "0 AS pos", "'cleanliness' AS category", "'clean' AS attribute", "'positive' AS sentiment", "CASE WHEN c_custkey % 2 = 0 THEN '전체적으로 깨끗해요.' ELSE '깨끗해요' END AS evidence", "'전체적으로 깨끗해요.' AS review")
-    return R.finalized(a).groupBy("record").agg(F.count(F.lit(1)).alias("aspects"), F.max("changed").alias("changed"))
+    """Approved labels with evidence normalised and repeats left out; what was approved stays beside them where that changed it."""
+    r = checks.finalized(label_records(spark, d, "concat('Brand', l_partkey % 2)", "'any'"))
+    listed = F.array_join(F.transform("aspects", lambda a: F.concat_ws("/", a.category, a.sentiment, a.evidence)), "; ")
+    return r.select("review_id", listed.alias("aspects"), "split", F.array_join(F.transform("label_raw.aspects", lambda a: a.evidence), "; ").alias("raw"))
 
 
 @query("normalized_tests", "SELECT c_custkey AS record, '깨끗해요' AS evidence, CASE WHEN c_custkey % 2 = 0 THEN 'pending_approval' END AS normalization FROM customer")
@@ -370,11 +426,6 @@ def label_aspects(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(R.label_aspects(js), ";").alias("aspects"))
 
 
-@query("schema_problem_counts", f"SELECT {FAULTS.format(five='')} AS problem, count(*) * CASE WHEN min(c_custkey % 6) = 4 THEN 2 ELSE 1 END AS n FROM customer WHERE c_custkey % 6 BETWEEN 1 AND 4 GROUP BY 1")
-def schema_problem_counts(spark, d):
-    return R.schema_problems(made_records(spark, d), labels.vocabulary(spark))
-
-
 @query("keyed_state", "SELECT user_id, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1")
 def keyed_state(spark, d):
     """State of users in a versioned table, updated by two runs over what came in between."""
@@ -397,9 +448,14 @@ def detail_with_profile(spark, d):
     return c.join(p, "place_id", "left").select("place_id", "place_name", "category", "district", F.coalesce("reviews", F.lit(0)).alias("reviews"))
 
 
-@query("condition_payload", """SELECT c_custkey, '{"keywords":["' || CASE c_custkey % 4 WHEN 0 THEN '부모님","조용함' WHEN 1 THEN '아이","걷기 부담' WHEN 2 THEN '맛","웨이팅' ELSE '경치·전망' END || '"],"ignored":[' || CASE WHEN c_custkey % 4 IN (0, 3) THEN '"주차"' ELSE '' END || ']}' AS payload FROM customer""")
+@query(
+    "condition_payload",
+    """WITH c AS (SELECT c_custkey, lower(nullif(c_mktsegment, 'HOUSEHOLD')) AS w, CASE WHEN c_acctbal < 0 THEN 'low' END AS walk, CASE WHEN c_nationkey % 2 = 0 THEN '"n' || c_nationkey || '","' || c_mktsegment || '"' ELSE '' END AS pri, CASE WHEN c_acctbal > 5000 THEN '"stairs"' ELSE '' END AS avoid, nullif(c_mktsegment, 'MACHINERY') AS category FROM customer)
+      SELECT c_custkey, '{"with":' || coalesce('"' || w || '"', 'null') || ',"walk":' || coalesce('"' || walk || '"', 'null') || ',"pri":[' || pri || '],"avoid":[' || avoid || '],"category":' || coalesce('"' || category || '"', 'null') || '}' AS payload FROM c""",
+)
 def condition_payload(spark, d):
-    """What a wish asks for and waives, as JSON."""
-    states = requirements.keyword_states(F.expr(WISH))
-    names = lambda negated: F.transform(F.filter(states, lambda s: s.getField("negated") == negated), lambda s: s.getField("keyword"))
-    return table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(names(False).alias("keywords"), names(True).alias("ignored"))).alias("payload"))
+    """The conditions of a search as JSON, with what is not asked for."""
+    c = table(spark, d, "customer")
+    pri, avoid = F.expr("CASE WHEN c_nationkey % 2 = 0 THEN array(concat('n', c_nationkey), c_mktsegment) ELSE CAST(array() AS array<string>) END"), F.expr("CASE WHEN c_acctbal > 5000 THEN array('stairs') ELSE CAST(array() AS array<string>) END")
+    payload = checks.condition_payload(F.expr("lower(nullif(c_mktsegment, 'HOUSEHOLD'))"), F.expr("CASE WHEN c_acctbal < 0 THEN 'low' END"), pri, avoid, F.expr("nullif(c_mktsegment, 'MACHINERY')"))
+    return c.select("c_custkey", payload.alias("payload"))

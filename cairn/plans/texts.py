@@ -175,11 +175,20 @@ def place_rule_labels(spark, d):
     return labels.with_place_aspects(p).select("p_partkey", F.array_join(F.transform("aspects", lambda a: F.concat(a.category, F.lit("="), a.attribute)), ";").alias("made"))
 
 
-@query("json_salvage")
+SALVAGE = """WITH p AS (SELECT conv_id, turn, text, '{"traveler_context": ["solo"], "aspects": [' AS head, '{"category":"scenery","evidence":' || to_json(text) || '}' AS a, '{"category":"portion","evidence":"}{]","more":{"n":[' || turn || ',{"k":"[2"}]}}' AS b FROM conversations),
+  w AS (SELECT *, head || a || ', 3, ' || b || ']}' AS whole, length(head) AS h, length(head) + length(a) AS ea, length(head) + length(a) + 5 + length(b) AS eb FROM p),
+  c AS (SELECT *, 1 + (conv_id * 7919 + turn * 104729) % length(whole) AS cut FROM w)
+  SELECT conv_id, turn, turn % 3 = 0 OR (turn % 3 = 1 AND cut = length(whole)) AS json_valid, turn % 3 = 1 AND cut >= h AND cut < length(whole) AS salvaged,
+    CASE WHEN turn % 3 = 0 OR (turn % 3 = 1 AND cut = length(whole)) THEN whole WHEN turn % 3 = 1 AND cut >= h THEN head || CASE WHEN cut >= eb THEN a || ', ' || b WHEN cut >= ea THEN a ELSE '' END || ']}' END AS label_json FROM c"""
+
+
+@query("json_salvage", SALVAGE)
 def json_salvage(spark, d):
-    """Labels from model outputs that are whole, cut off or no JSON at all."""
-    whole = F.to_json(F.struct(F.array(F.col("role")).alias("traveler_context"), F.array(F.struct(F.lit("scenery").alias("category"), F.substring("text", 1, 20).alias("evidence")), F.struct(F.lit("portion").alias("category"), F.lit("x").alias("evidence"))).alias("aspects")))
-    c = table(spark, d, "conversations").withColumn("raw_output", F.when(F.col("turn") == 0, whole).when(F.col("turn") == 1, F.substring(whole, F.lit(1), F.length(whole) - 9)).otherwise(F.col("text")))
+    """Labels from model outputs that are whole, cut off anywhere or no JSON at all."""
+    quoted = F.regexp_replace(F.to_json(F.array("text")), r"(?s)^\[|\]$", "")
+    whole = F.concat(F.lit('{"traveler_context": ["solo"], "aspects": [{"category":"scenery","evidence":'), quoted, F.lit('}, 3, {"category":"portion","evidence":"}{]","more":{"n":['), F.col("turn").cast("string"), F.lit(',{"k":"[2"}]}}]}'))
+    cut = F.substring(whole, F.lit(1), (F.lit(1) + F.pmod(F.col("conv_id") * 7919 + F.col("turn") * 104729, F.length(whole))).cast("int"))
+    c = table(spark, d, "conversations").withColumn("raw_output", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), whole, F.lit("\n"))).when(F.col("turn") % 3 == 1, cut).otherwise(F.col("text")))
     return labels.with_salvaged(c).select("conv_id", "turn", "json_valid", "salvaged", "label_json")
 
 

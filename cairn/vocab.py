@@ -53,17 +53,12 @@ KEYWORDS = {
 }
 COMPANION_KEYWORDS = ["부모님", "아이", "연인", "친구", "혼자"]
 
-# rule of a condition -> keyword whose weights it has; two conditions that name one rule count it once
-RULE_KEYWORDS = {
-    "parents": "부모님", "kids": "아이", "couple": "연인", "friends": "친구", "solo": "혼자", "walking": "걷기 부담", "sea": "경치·전망", "food": "맛", "photo": "사진", "rest": "휴식",
-    "quiet": "조용함", "waiting": "웨이팅", "parking": "주차", "crowd": "혼잡",
-}
-RULE_WEIGHTS = {rule: {aspect: float(w) for aspect, w in KEYWORDS[k][1].items()} for rule, k in RULE_KEYWORDS.items()}
-CONDITION_RULES = {
-    "with": {"parents": "parents", "kids": "kids", "couple": "couple", "friends": "friends", "solo": "solo"},
-    "walk": {"low": "walking"},
-    "pri": {"sea": "sea", "food": "food", "photo": "photo", "rest": "rest", "quiet": "quiet"},
-    "avoid": {"waiting": "waiting", "stairs": "walking", "noise": "quiet", "parking": "parking", "crowd": "crowd"},
+# Condition of a search -> keyword whose weights it has; two conditions of one keyword count it once
+CONDITION_KEYWORDS = {
+    "with": {"parents": "부모님", "kids": "아이", "couple": "연인", "friends": "친구", "solo": "혼자"},
+    "walk": {"low": "걷기 부담"},
+    "pri": {"sea": "경치·전망", "food": "맛", "photo": "사진", "rest": "휴식", "quiet": "조용함"},
+    "avoid": {"waiting": "웨이팅", "stairs": "걷기 부담", "noise": "조용함", "parking": "주차", "crowd": "혼잡"},
 }
 
 # district id -> name, in the order of listing
@@ -78,10 +73,11 @@ NEIGHBORHOODS = {
     "영도": "yeongdo", "태종대": "yeongdo", "송도": "seo", "암남": "seo", "다대포": "saha", "감천": "saha", "동래": "dongnae", "온천장": "dongnae", "부산역": "dong", "초량": "dong",
     "용호": "nam", "이기대": "nam", "대연": "nam", "경성대": "nam", "연산": "yeonje", "사상": "sasang", "금정": "geumjeong", "범어사": "geumjeong", "강서": "gangseo", "화명": "buk",
 }
+# Words and codes of sources for a category
 CATEGORY_WORDS = {
-    "hotel": "hotel hotels 숙박 숙소 호텔 32 accommodation lodging",
-    "restaurant": "restaurant restaurants 음식점 식당 맛집 39 food",
-    "attraction": "attraction attractions 관광지 명소 12 14 28",
+    "hotel": ["hotel", "hotels", "숙박", "숙소", "호텔", "32", "accommodation", "lodging"],
+    "restaurant": ["restaurant", "restaurants", "음식점", "식당", "맛집", "39", "food"],
+    "attraction": ["attraction", "attractions", "관광지", "명소", "12", "14", "28"],
 }
 CATEGORY_BY_PREFIX = [("맛집", "restaurant"), ("카페", "restaurant"), ("관광", "attraction"), ("체험", "attraction"), ("숙소", "hotel")]
 

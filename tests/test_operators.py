@@ -14,6 +14,7 @@ from cairn.functions import requirements
 from cairn.operators import curation, evaluation, labels, numbering, ranking
 from cairn.sources import files, rest, sinks
 from cairn.streaming import logs
+from tests.test_scale import span_iou
 
 
 @pytest.fixture(scope="module")
@@ -79,41 +80,11 @@ def test_wish_weights(spark):
     assert {r.aspect for r in only} == set(vocab.KEYWORDS["아이"][1])
 
 
-def test_salvage_and_bytes():
-    whole = {"traveler_context": ["solo"], "aspects": [{"category": "a"}, {"category": "b", "x": [1, {"y": "}"}]}]}
-    text = json.dumps(whole)
-    assert json.loads(labels.salvage(text)) == whole
-    for cut in range(len(text)):
-        got = labels.salvage(text[:cut])
-        if got is not None:
-            assert json.loads(got)["aspects"] == whole["aspects"][: len(json.loads(got)["aspects"])] and json.loads(got)["traveler_context"] == ["solo"]
-    assert labels.salvage(text[:-2]) is not None and labels.salvage("no") is None and labels.salvage(None) is None and labels.salvage("[1]") is None
-    assert labels.decode_bytes("x<0xEA><0xB0><0x80>y<0xFF>") == "x가y<0xFF>" and labels.decode_bytes(None) is None
-
-
-def test_greedy_matching(spark):
-    rng = random.Random(3)
-    text = "abcdefghij klmnopqrst uvwxyz abc"
-    span = lambda: (lambda s: text[s : s + rng.randrange(1, 12)])(rng.randrange(20))
-    rows = [(i, text, [("c", "a", "p", span()) for _ in range(rng.randrange(4))], [("c", "a", rng.choice("pn"), span()) for _ in range(rng.randrange(4))]) for i in range(60)] + [(60, None, None, None)]
-    aspect = "array<struct<category:string,attribute:string,sentiment:string,evidence:string>>"
-    got = evaluation.greedy_overlap(spark.createDataFrame(rows, f"review_id long, review string, gold {aspect}, predicted {aspect}")).collect()
-    for r, (_, t, gold, predicted) in zip(sorted(got, key=lambda r: r.review_id), rows):
-        free, hits = list(gold or []), 0
-        for p in predicted or []:
-            scored = [(evaluation.iou(p[3], g[3], t), k) for k, g in enumerate(free) if g[:3] == p[:3]]
-            scored = [s for s in scored if s[0] >= 0.5]
-            if scored:
-                free.pop(max(scored)[1])
-                hits += 1
-        assert (r.tp, r.fp, r.fn) == (hits, len(predicted or []) - hits, len(gold or []) - hits)
-
-
 def test_char_iou_matches_python(spark):
     rows = [("abcdef", a, b) for a in ("abc", "cde", "x", "", None) for b in ("bcd", "abc", "x", "")]
     df = spark.createDataFrame(rows, "t string, a string, b string")
     for r in df.select("*", X.char_iou(F.col("a"), F.col("b"), F.col("t")).alias("v")).collect():
-        assert r.v == pytest.approx(evaluation.iou(r.a, r.b, r.t))
+        assert r.v == pytest.approx(span_iou(r.a, r.b, r.t))
 
 
 def test_quota_pick_is_sequential(spark):
@@ -224,16 +195,6 @@ def test_numbering_by_brute_force(spark):
         numbering.paired(df, df, most=10)
 
 
-def test_nearest_rank_by_brute_force(spark):
-    rng = random.Random(7)
-    rows = [(rng.choice("xyz"), rng.randrange(12) / 4) for _ in range(200)]
-    for share in (0.0, 0.5, 0.95, 1.0):
-        got = {r[0]: r[1] for r in evaluation.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", share).collect()}
-        for k in "xyz":
-            v = sorted(x for q, x in rows if q == k)
-            assert got[k] == v[round(share * (len(v) - 1))]
-
-
 def test_paged_source_and_logs(spark, tmp_path):
     df = rest.paged(spark, fetch_pages, [{"n": 250}, {"n": 0}, {"n": 5000}])
     with pytest.raises(Exception, match="5000 items, of which 20 pages hold 2000"):
