@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import vocab
-from cairn.functions.exprs import blank_to_null, first_match, hash_rank_key
+from cairn.functions.exprs import blank_to_null, first_match, py_strip
 from cairn.operators import labels
 from cairn.operators.datasets import first_labels
 
@@ -102,3 +102,30 @@ def label_aspects(label: Column) -> Column:
     listed = F.try_variant_get(F.try_parse_json(label), "$.aspects", "array<variant>")
     objects = F.filter(F.coalesce(listed, F.array().cast("array<variant>")), lambda a: F.coalesce(F.schema_of_variant(a).startswith("OBJECT"), F.lit(False)))
     return F.transform(objects, lambda a: F.to_json(a))
+
+
+# Names under which sources have a review's text.
+REVIEW_TEXT_FIELDS = ["text", "review", "content", "body"]
+
+
+def review_records(places: DataFrame, reviews: str = "reviews", text: list[str] = REVIEW_TEXT_FIELDS) -> DataFrame:
+    """The reviews within places as records of one form, whatever their source calls things.
+
+    places: place_id, category, sources (array), and a JSON array of reviews. A review has the id `source_id`, or
+    `place#index` with its place in the array where it has none. What is no object, or has no text, is left out; the rating
+    and the like stay as JSON values of any type. Arrays are taken apart within their row, so the index needs no shuffle.
+    """
+    listed = F.try_variant_get(F.try_parse_json(reviews), "$", "array<variant>")
+    rows = places.select("place_id", "category", F.get("sources", F.lit(0)).alias("source"), F.posexplode(listed).alias("_i", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    get = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "string")
+    given = lambda *names: F.coalesce(*[F.nullif(get(n), F.lit("")) for n in names])
+    is_text = lambda name: F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{name}", "variant")) == "STRING"
+    # the first name with a value counts, even if that is no text
+    said = first_match([(F.nullif(get(n), F.lit("")).isNotNull() & (get(n) != "[]"), F.when(is_text(n), get(n))) for n in text])
+    own_id, language, original = given("review_id", "id"), get("language"), get("source_language")
+    return rows.select(
+        F.coalesce(F.when(own_id.isNotNull(), F.concat(F.coalesce("source", F.lit("")), F.lit("_"), own_id)), F.concat("place_id", F.lit("#"), F.col("_i").cast("string"))).alias("review_id"),
+        "place_id", "category", F.lit(False).alias("synthetic"), "source", py_strip(said).alias("review"), get("title").alias("title"), get("rating").alias("rating"), get("trip_type").alias("trip_type"),
+        given("published_date", "publish_ts", "date").alias("published"), language.alias("language"),
+        (F.coalesce(F.contains(get("translation_status"), F.lit("translat")), F.lit(False)) | (original.isNotNull() & ~original.eqNullSafe(language))).alias("translated"),
+    ).where(F.col("review") != "")

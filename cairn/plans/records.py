@@ -13,7 +13,7 @@ from cairn.plans import analytics, star
 from cairn.plans.registry import query
 from cairn.session import scratch, table
 from cairn.sources import databases, files, rest, sinks
-from cairn.streaming import logs
+from cairn.streaming import decisions, logs
 
 WISH = "CASE c_custkey % 4 WHEN 0 THEN '부모님과 조용한 곳, 주차는 상관없어요' WHEN 1 THEN '아이와 계단 없이' WHEN 2 THEN '웨이팅 없는 맛집' ELSE '주차는 필요 없고 바다' END"
 WISH_ROWS = """(0, 'noise_level', 3.5, '조용함'), (0, 'walking_burden', 2, '부모님'), (0, 'slope_stairs', 2, '부모님'), (0, 'rest_facilities', 2, '부모님'), (0, 'toilet_facilities', 1, '부모님'),
@@ -459,3 +459,79 @@ def condition_payload(spark, d):
     pri, avoid = F.expr("CASE WHEN c_nationkey % 2 = 0 THEN array(concat('n', c_nationkey), c_mktsegment) ELSE CAST(array() AS array<string>) END"), F.expr("CASE WHEN c_acctbal > 5000 THEN array('stairs') ELSE CAST(array() AS array<string>) END")
     payload = checks.condition_payload(F.expr("lower(nullif(c_mktsegment, 'HOUSEHOLD'))"), F.expr("CASE WHEN c_acctbal < 0 THEN 'low' END"), pri, avoid, F.expr("nullif(c_mktsegment, 'MACHINERY')"))
     return c.select("c_custkey", payload.alias("payload"))
+
+
+# ---- decisions, guarded calls, details, sheets, reviews of all sources ----
+
+DECISIONS_SQL = f"""{label_sql()}, log AS (SELECT event_id, user_id * 13 AS review_id, ts, event_type, value FROM events),
+  ok AS (SELECT log.*, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'click' THEN 'discard' ELSE 'reset' END AS action FROM log JOIN records USING (review_id) WHERE event_type <> 'purchase' OR value <= 60),
+  state AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+def decision_log(spark, d):
+    """Events as decisions on every 13th order: a purchase approves the draft's label without its aspects, or with a made-up one."""
+    return table(spark, d, "events").selectExpr(
+        "event_id", "user_id * 13 AS review_id", "ts AS at", "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'click' THEN 'discard' ELSE 'reset' END AS action", "concat('r', event_id % 3) AS reviewer", "props AS note",
+        "CASE WHEN event_type = 'purchase' THEN array('solo') END AS traveler_context",
+        "CASE WHEN event_type = 'purchase' THEN IF(value > 60, array(named_struct('category', 'none', 'attribute', 'none', 'sentiment', 'positive', 'evidence', '')), CAST(array() AS array<struct<category: string, attribute: string, sentiment: string, evidence: string>>)) END AS aspects",
+    )
+
+
+@query("decision_states", f"WITH {DECISIONS_SQL} SELECT r.review_id, CASE action WHEN 'approve' THEN 'gold' WHEN 'discard' THEN 'discarded' ELSE 'pending' END AS status, CASE WHEN action IN ('approve', 'discard') THEN event_id END AS event_id FROM records r LEFT JOIN state USING (review_id)")
+def decision_states(spark, d):
+    """Status of every draft after all decisions; approvals of labels with faults count for nothing."""
+    silver = label_records(spark, d)
+    state = decisions.latest(decisions.judged(decision_log(spark, d), silver, part_vocabulary(spark, d)))
+    return decisions.statuses(state, silver).join(state.where("action <> 'reset'").select("review_id", "event_id"), "review_id", "left")
+
+
+@query("decided_gold", f"WITH {DECISIONS_SQL} SELECT review_id, 'gold' AS tier, 'r' || (event_id % 3) AS reviewer, true AS edited FROM state WHERE action = 'approve'")
+def decided_gold(spark, d):
+    silver = label_records(spark, d)
+    state = decisions.latest(decisions.judged(decision_log(spark, d), silver, part_vocabulary(spark, d)))
+    return decisions.gold(state, silver).select("review_id", "tier", "decision.reviewer", "decision.edited")
+
+
+@query(
+    "guarded_calls",
+    """WITH n AS (SELECT *, value < 20 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT *, bad AND coalesce(lag(bad, 1) OVER w, false) AND coalesce(lag(bad, 2) OVER w, false) AS third FROM n WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+      s AS (SELECT user_id, min(i) FILTER (third) AS stop FROM r GROUP BY 1)
+      SELECT event_id, CASE WHEN i > least(coalesce(stop, 60), 60) THEN 'stopped' WHEN bad THEN 'failed' ELSE 'ok' END AS status, CASE WHEN i > least(coalesce(stop, 60), 60) THEN CASE WHEN stop < 60 THEN '3 failures in a row' ELSE 'budget of 60 calls' END WHEN bad THEN 'no answer' END AS error FROM r JOIN s USING (user_id)""",
+)
+def guarded_calls(spark, d):
+    """Calls of every source until its budget is spent or three in a row have failed."""
+
+    def answer(request: dict) -> str:
+        if request["value"] < 20:
+            raise ValueError("no answer")
+        return f"value {request['value']}"
+
+    requests = table(spark, d, "events").select("event_id", "user_id", "value")
+    return rest.guarded(requests, answer, "user_id", ["event_id"], budget=60)[0].select("event_id", "status", "error")
+
+
+@query("enriched_places", "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN 'parking ' || (o_custkey % 3) END AS detail FROM orders")
+def enriched_places(spark, d):
+    """Orders with what a lookup says of their customer; half of the keys are in the cache from a run before."""
+
+    def fetch(keys: list) -> dict:
+        return {k: f"parking {k % 3}" for k in keys if k % 7}
+
+    path, orders = scratch(spark, "details"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rest.with_details(orders.where("o_custkey % 2 = 0"), "o_custkey", fetch, path, "long")
+    return rest.with_details(orders, "o_custkey", fetch, path, "long").select("o_orderkey", "detail")
+
+
+@query(
+    "review_records",
+    """SELECT CASE WHEN turn % 2 = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'maps' ELSE 'tour' END || '_' || (conv_id * 100 + turn) ELSE 'p' || conv_id || '#' || turn END AS review_id, 'p' || conv_id AS place_id, CASE WHEN conv_id % 2 = 0 THEN 'maps' ELSE 'tour' END AS source, trim(text, E' \n\t') AS review, CASE WHEN turn % 3 = 0 THEN turn::VARCHAR END AS rating, role AS trip_type, CASE WHEN turn % 3 = 1 THEN 'd' || turn END AS published, turn % 5 = 0 AS translated
+      FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at FROM conversations) WHERE trim(text, E' \n\t') <> ''""",
+)
+def review_records(spark, d):
+    """Reviews within places, under the names of several sources, as records of one form."""
+    c = table(spark, d, "conversations")
+    text = [F.when(F.pmod(F.col("turn"), F.lit(4)) == i, F.col("text")).alias(n) for i, n in enumerate(R.REVIEW_TEXT_FIELDS)]
+    review = F.to_json(F.struct(*text, F.when(F.col("turn") % 2 == 0, F.col("conv_id") * 100 + F.col("turn")).alias("review_id"), F.when(F.col("turn") % 3 == 0, F.col("turn")).alias("rating"), F.col("role").alias("trip_type"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("d"), F.col("turn").cast("string"))).alias("publish_ts"), F.lit("ko").alias("language"), F.when(F.col("turn") % 5 == 0, "en").alias("source_language")))
+    listed = c.select("conv_id", "turn", review.alias("r")).groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "r"))), lambda x: x.getField("r")), ","), F.lit("]")).alias("reviews"))
+    places = listed.select(F.concat(F.lit("p"), F.col("conv_id").cast("string")).alias("place_id"), F.lit("hotel").alias("category"), F.array(F.when(F.col("conv_id") % 2 == 0, "maps").otherwise("tour"), F.lit("other")).alias("sources"), "reviews")
+    return R.review_records(places).select("review_id", "place_id", "source", "review", "rating", "trip_type", "published", "translated")

@@ -38,10 +38,10 @@ def manifest_counts(spark, d):
     return sinks.manifest(table(spark, d, "documents"), ["lang", "source"])
 
 
-@query("records_discovery", "SELECT event_id, CAST(CASE event_id % 3 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS records FROM events")
+@query("records_discovery", "SELECT event_id, CAST(CASE event_id % 4 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS records FROM events")
 def records_discovery(spark, d):
     """Records in arrays, in arrays within objects, and single objects."""
-    js = F.expr("CASE event_id % 3 WHEN 0 THEN concat('[', props, ']') WHEN 1 THEN concat('{\"a\": 1, \"items\": [', props, ', ', props, ']}') ELSE props END")
+    js = F.expr("CASE event_id % 4 WHEN 0 THEN concat('[3, ', props, ', [1]]') WHEN 1 THEN concat('{\"a\": 1, \"items\": [', props, ', ', props, ']}') WHEN 3 THEN concat('{\"none\": [3, ', props, '], \"items\": [', props, ', 3, ', props, ']}') ELSE props END")
     e = table(spark, d, "events").select("event_id", F.concat(F.lit(" "), js).alias("js"))
     return files.records_in(e, "js").groupBy("event_id").agg(F.count(F.lit(1)).alias("records"))
 

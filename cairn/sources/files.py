@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import unicodedata
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,20 +69,16 @@ def read_places(spark: SparkSession, glob: str, schema: str, key: str = "place_i
 
 
 def records_in(df: DataFrame, column: str) -> DataFrame:
-    """Every record in JSON texts: the elements of an array, or of the arrays of objects that an object holds, else the object."""
-    v = df.select("*", F.try_parse_json(column).alias("_v"))
+    """df with `record`, as JSON: the objects in an array, or in those arrays of an object whose first element is an object;
+    of an object without such an array, the object itself. Rows that hold none are left out."""
+    objects = lambda items: F.filter(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    listed = F.try_variant_get(F.col("_v"), "$", "array<variant>")
+    held = F.map_values(F.coalesce(F.try_variant_get(F.col("_v"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    lists = F.filter(F.transform(F.filter(held, lambda x: F.coalesce(F.schema_of_variant(x).startswith("ARRAY"), F.lit(False))), lambda x: F.try_variant_get(x, "$", "array<variant>")), lambda x: F.coalesce(F.schema_of_variant(F.get(x, F.lit(0))).startswith("OBJECT"), F.lit(False)))
     kind = F.schema_of_variant("_v")
-    lists = v.where(kind.startswith("ARRAY"))
-    objects = v.where(kind.startswith("OBJECT"))
-    explode = lambda d: d.lateralJoin(d.sparkSession.tvf.variant_explode(F.col("_v").outer()), how="inner")
-    inner = explode(objects)
-    held = F.schema_of_variant("value").startswith("ARRAY<OBJECT")
-    nested = inner.where(held).select(*df.columns, F.col("value").alias("_v"))
-    deep = explode(nested).select(*df.columns, F.to_json("value").alias("record"))
-    with_lists = inner.where(held).select(column).distinct()
-    flat = objects.join(with_lists, column, "left_anti").select(*df.columns, F.to_json("_v").alias("record"))
-    direct = explode(lists).where(F.schema_of_variant("value").startswith("OBJECT")).select(*df.columns, F.to_json("value").alias("record"))
-    return direct.union(deep).union(flat)
+    inner = F.when(F.size(lists) > 0, F.flatten(F.transform(lists, objects))).otherwise(F.array("_v"))
+    found = F.when(kind.startswith("ARRAY"), objects(listed)).when(kind.startswith("OBJECT"), inner)
+    return df.select("*", F.try_parse_json(column).alias("_v")).select(*df.columns, F.explode(found).alias("_r")).select(*df.columns, F.to_json("_r").alias("record"))
 
 
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "cp949")) -> DataFrame:
@@ -126,13 +126,80 @@ def file_with_prefix(names: list[str], prefix: str) -> str | None:
     return next((n for n in sorted(names) if nfc(n).startswith(nfc(prefix))), None)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet's rows under its header, all as strings; read whole on the driver, as one workbook of a person's size is.
-
-    Needs openpyxl, which this package does not require.
+# Namespaces of workbook files.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _elements(book: zipfile.ZipFile, name: str, tag: str) -> Iterator:
+    """Elements of that tag of one part of the workbook, each let go of once it was used."""
+    with book.open(name) as part:
+        for _, e in ElementTree.iterparse(part):
+            if e.tag.endswith("}" + tag):
+                yield e
+                e.clear()
+
+
+def _sheet_rows(content: bytes, sheet: str) -> Iterator[list[str | None]]:
+    """Rows of the sheet as it stores them: text as it is, numbers (dates too) as digits, True and False."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        relation = next((e.get(f"{RELATION}id") for e in _elements(book, "xl/workbook.xml", "sheet") if e.get("name") == sheet), None)
+        if relation is None:
+            raise ValueError(f"a workbook has no sheet {sheet!r}")
+        target = next(e.get("Target") for e in _elements(book, "xl/_rels/workbook.xml.rels", "Relationship") if e.get("Id") == relation)
+        shared = ["".join(t.text or "" for t in e.iter(f"{MAIN}t")) for e in _elements(book, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        for row in _elements(book, target.lstrip("/") if target.startswith("/") else f"xl/{target}", "row"):
+            out: list[str | None] = []
+            for cell in row.findall(f"{MAIN}c"):
+                if place := re.match("[A-Z]+", cell.get("r", "")):
+                    column = 0
+                    for letter in place[0]:
+                        column = 26 * column + ord(letter) - 64
+                    out += [None] * (column - 1 - len(out))
+                value, kind = cell.findtext(f"{MAIN}v"), cell.get("t")
+                if kind == "s":
+                    value = shared[int(value)]
+                elif kind == "inlineStr":
+                    value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+                elif kind == "b":
+                    value = str(value == "1")
+                out.append(value)
+            yield out
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, batch: int = 1000) -> DataFrame:
+    """Rows of a sheet of all workbooks that path names, under the header that is their first row, all as strings.
+
+    Executors read the workbooks, a task each, and their rows as they come: a task holds the compressed file, its table of
+    shared texts and `batch` rows. Rows without a value are left out; files may have their columns in other orders, and
+    columns that a file lacks are null in its rows.
     """
-    pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    return spark.createDataFrame(pdf.where(pdf.notna(), None))
+    raw = spark.read.format("binaryFile").load(path).select("content")
+
+    def headers(it):
+        for pdf in it:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"name": [n for n in next(_sheet_rows(content, sheet), []) if n], "at": [i for i, n in enumerate(next(_sheet_rows(content, sheet), [])) if n]})
+
+    names = [r.name for r in raw.mapInPandas(headers, "name string, at int").groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]  # column names
+    if not names:
+        return spark.createDataFrame([], "`_` string").drop("_")
+
+    def rows(it):
+        for pdf in it:
+            for content in pdf["content"]:
+                found = _sheet_rows(content, sheet)
+                header = next(found, [])
+                held: list[dict] = []
+                for r in found:
+                    if any(v is not None and v != "" for v in r):
+                        held.append({n: v for n, v in zip(header, r) if n})
+                    if len(held) >= batch:
+                        yield pd.DataFrame(held, columns=names).astype(object).where(lambda x: x.notna(), None)
+                        held = []
+                yield pd.DataFrame(held, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return raw.mapInPandas(rows, ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
 
 
 def aliased(columns: list[str], aliases: list[str]) -> tuple[Column, Column]:

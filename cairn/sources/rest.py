@@ -1,17 +1,20 @@
-"""Paged lookups as a Python data source, with a read-through cache and a plan of calls (SRC11-SRC17)."""
+"""Paged lookups as a Python data source, calls under a source-wide budget and breaker, read-through details, and a plan of
+calls (SRC11-SRC17, ST5)."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.operators.numbering import paired
-from cairn.streaming.logs import append_new
+from cairn.session import materialize
+from cairn.streaming.logs import append_new, exists
 
 PAGE_ROWS, MAX_PAGES = 100, 20
 
@@ -43,14 +46,14 @@ def scrubbed(message: str, secrets: list[str]) -> str:
 
 
 class PagedReader(DataSourceReader):
-    """One partition per request; pages are fetched until the total is reached or a page is empty.
+    """One partition per request; pages of `rows` items are fetched until the total is reached or a page is empty.
 
     More items than max_pages hold are an error, never cut off. A failing page is tried again, up to `failures` times in
     a row; then the request fails (the breaker), with a message without keys.
     """
 
-    def __init__(self, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int, failures: int):
-        self.fetch, self.requests, self.max_pages, self.failures = fetch, requests, max_pages, failures
+    def __init__(self, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int, failures: int, rows: int = PAGE_ROWS):
+        self.fetch, self.requests, self.max_pages, self.failures, self.rows = fetch, requests, max_pages, failures, rows
 
     def partitions(self):
         return [PagedRequest(r) for r in self.requests]
@@ -73,12 +76,12 @@ class PagedReader(DataSourceReader):
             seen += len(items)
             for item in items:
                 yield key, page, json.dumps(item, ensure_ascii=False, sort_keys=True)
-            if not items or page * PAGE_ROWS >= (got.get("total") or 0):
+            if not items or page * self.rows >= (got.get("total") or 0):
                 return
         raise Truncated(f"{key}: {got.get('total')} items, of which {self.max_pages} pages hold {seen}")
 
 
-def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int = MAX_PAGES, failures: int = 1) -> DataFrame:
+def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: list[dict], max_pages: int = MAX_PAGES, failures: int = 1, rows: int = PAGE_ROWS) -> DataFrame:
     """request, page, item (JSON) of every request; fetch(request, page) returns {"items": [...], "total": n}.
 
     With max_pages 1 it is a single-shot source: an answer that does not hold all its items is an error.
@@ -93,15 +96,15 @@ def paged(spark: SparkSession, fetch: Callable[[dict, int], dict], requests: lis
             return "request string, page int, item string"
 
         def reader(self, schema):
-            return PagedReader(fetch, requests, max_pages, failures)
+            return PagedReader(fetch, requests, max_pages, failures, rows)
 
     spark.dataSource.register(Paged)
     return spark.read.format("cairn_paged").load()
 
 
-def pages_needed(total) -> F.Column:
+def pages_needed(total, rows: int = PAGE_ROWS) -> F.Column:
     """Calls that a request of so many items takes."""
-    return F.greatest(F.lit(1), F.ceil(total / PAGE_ROWS))
+    return F.greatest(F.lit(1), F.ceil(total / rows))
 
 
 def planned_calls(left: DataFrame, right: DataFrame, cached: DataFrame, on: list[str]) -> DataFrame:
@@ -127,3 +130,70 @@ def search_steps(places: DataFrame, searched: DataFrame, found: DataFrame, budge
 def within_budget(requests: DataFrame, order: list[str], budget: int) -> DataFrame:
     """The first requests of an order that a budget of calls allows."""
     return requests.orderBy(*order).limit(budget)
+
+
+CALLS, FAILURES = 900, 3
+
+
+def guarded(requests: DataFrame, call: Callable[[dict], str], source: str, order: list[str], state: DataFrame | None = None, budget: int = CALLS, failures: int = FAILURES) -> tuple[DataFrame, DataFrame]:
+    """(requests with status, answer and error; the state of every source after them).
+
+    The calls of a source go one after the other, in their order, and stop for good when its budget is spent or `failures`
+    calls in a row have failed, whichever partitions its requests came from: its first `budget` requests are one group, so
+    a group is bounded, and the rest is stopped without being gathered. Sources run side by side. state (source, calls, run)
+    holds what earlier runs spent and their last run of failures. status is ok, failed or stopped; an order tells requests
+    apart. The answer is text; call gets the request as a dict.
+    """
+    number = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    none = requests.sparkSession.createDataFrame([], f"{source} {requests.schema[source].dataType.simpleString()}, calls long, run long")
+    before = (none if state is None else state.select(source, "calls", "run")).withColumnsRenamed({"calls": "_calls", "run": "_run"})
+    first = requests.withColumn("_i", number).where(F.col("_i") <= budget).join(before, source, "left").na.fill(0, ["_calls", "_run"])
+    names = requests.columns
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i")
+        calls, failed, out = int(group["_calls"].iloc[0]), int(group["_run"].iloc[0]), []
+        for request in group[names].to_dict("records"):
+            if calls >= budget or failed >= failures:
+                out.append(("stopped", None, f"budget of {budget} calls" if calls >= budget else f"{failures} failures in a row"))
+                continue
+            calls += 1
+            try:
+                out.append(("ok", call(request), None))
+                failed = 0
+            except Exception as e:  # noqa: BLE001  call is foreign code
+                out.append(("failed", None, scrubbed(str(e), [str(v) for k, v in request.items() if "key" in k.lower()])))
+                failed += 1
+        return group.drop(columns=["_calls", "_run"]).assign(status=[o[0] for o in out], answer=[o[1] for o in out], error=[o[2] for o in out], calls=calls, run=failed)
+
+    tried = first.groupBy(source).applyInPandas(run, f"{kind}, _i int, status string, answer string, error string, calls long, run long")
+    tried = materialize(tried, "calls")  # calls are made once, whatever reads the result
+    after = tried.groupBy(source).agg(F.max("calls").alias("calls"), F.max("run").alias("run"))
+    reason = F.when(F.col("calls") >= budget, F.lit(f"budget of {budget} calls")).otherwise(F.lit(f"{failures} failures in a row"))
+    rest = requests.withColumn("_i", number).where(F.col("_i") > budget).join(after, source).select(*names, F.lit("stopped").alias("status"), F.lit(None).cast("string").alias("answer"), reason.alias("error"))
+    kept = after if state is None else after.unionByName(state.select(source, "calls", "run").join(after, source, "left_anti"))
+    return tried.select(*names, "status", "answer", "error").unionByName(rest), kept
+
+
+def with_details(rows: DataFrame, key: str, fetch: Callable[[list], dict], cache: str, kind: str, batch: int = 100) -> DataFrame:
+    """rows with `detail`, what a lookup says for their key, as text; null where it has nothing for it, or the key is null.
+
+    Distinct keys that the cache (a Parquet folder of key and detail) does not hold are fetched, `batch` at a time in each
+    partition, and appended to it, with a null detail where there is none; so a key is looked up once, and a run that was
+    cut off goes on where it stopped. kind is the SQL type of the key.
+    """
+    spark = rows.sparkSession
+    keys = rows.select(F.col(key).cast(kind).alias("key")).where("key is not null").distinct()
+    missing = keys.join(spark.read.parquet(cache).select("key"), "key", "left_anti") if exists(spark, cache) else keys
+
+    def run(it: Iterator[pd.DataFrame]):
+        for pdf in it:
+            wanted = pdf["key"].tolist()
+            for lo in range(0, len(wanted), batch):
+                some = wanted[lo : lo + batch]
+                got = fetch(some)
+                yield pd.DataFrame({"key": some, "detail": [got.get(k) for k in some]})
+
+    missing.mapInPandas(run, f"key {kind}, detail string").write.mode("append").parquet(cache)
+    return rows.join(spark.read.parquet(cache).withColumnRenamed("key", "_key"), F.col(key).cast(kind) == F.col("_key"), "left").drop("_key")
