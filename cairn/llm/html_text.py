@@ -2,9 +2,11 @@
 
 A page is cut into blocks at block-level tags. Pass one scores each block: stop-word density, length and link density
 speak for or against it, a mark of the article (`article`, `main`, those roles) around it is worth one point, a class or
-id name that hints at boilerplate costs one. A block with enough points is good, one with too few bad, a short one mostly
+id name that hints at boilerplate costs one (headings apart, which go with what follows). A text of middle length needs a
+good neighbour or a mark beside its stop words, unless the page has no longer one. A block with enough points is good, one with too few bad, a short one mostly
 open. Pass two gives every open block the label of its nearest decided neighbour, where leaving a container counts as
-distance; two sweeps do that. Menus, footers, asides, forms and containers named as such are decided as they stand.
+distance, and so does going past the beginning of a heading, which opens a part of the page; two sweeps do that. Menus,
+footers, asides, forms (but for one that frames the page) and containers named as such are decided as they stand.
 
 Marks of articles are believed as far as the densities bear them out: teasers with a fraction of the largest one's text
 are not the article, and a mark is ignored where the text found by densities outside is far longer. Where it is believed,
@@ -12,7 +14,8 @@ blocks outside are bad, and open blocks inside hear only neighbours inside, and
 are English, German, French and Spanish ones; on pages that hardly have any, long blocks with few links count as text.
 
 Edge cases: null or empty html gives an empty text; unclosed comments and scripts run to the end of the page; a tag with
-an unclosed quote ends at its first `>`; repeated rows each get their own result; an empty table gives no row; further
+an unclosed quote ends at its first `>`; very long pages are read whole, in time that grows with their length; an open block
+as far from a good as from a bad neighbour is good; repeated rows each get their own result; an empty table gives no row; further
 columns of the input are kept out of the result, save url. White space is what Python's str.split() splits at, character
 references are those of HTML 5.
 """
@@ -36,7 +39,7 @@ BLOCK_TAGS = frozenset(
 )
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table tbody td tr ul li p span a button select svg object iframe canvas video audio map noscript label".split())
 RAW_TAGS = ("script", "style", "textarea", "template", "noscript", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes")
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog select button fieldset object canvas video audio map".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog select button fieldset object canvas video audio map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names of containers that are boilerplate where the whole name says so, alone or with words of place and form.
 BOILERPLATE_NAMES = frozenset(
@@ -50,6 +53,8 @@ PLACE_WORDS = frozenset(
     "large left link links list main mini mobile module news new outer page pages panel panels popular post posts primary reader readers region right row rows secondary section sections site slot small sticky stories story strip text the this thread title top "
     "tower unit user users view web wide widget widgets wrap wrapper zone".split()
 )
+#: Of these, words of what a page is about: names that begin and end with such are not decided by a word between them.
+CONTENT_WORDS = frozenset("article articles blog body content entry news page pages post posts stories story text thread".split())
 #: Words that only cost a point where they are part of another name.
 HINTS = BOILERPLATE_NAMES | frozenset("crumb crumbs paging foot rail widget widgets alert alerts register follow trending reply discussion search skip toc legal disclaimer".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
@@ -61,13 +66,15 @@ STOP_WORDS = frozenset(
 )
 EDGES = ".,;:!?|&%#*$\"'()[]{}<>-_=+~/\\…“”„«»’"
 #: Thresholds of pass one, in characters and shares; below NO_STOPS a long block, or a page, hardly has stop words.
-SHORT, STOPS_GOOD, STOPS_NEAR, NO_STOPS, LINKS_MOST, LINKS_IN_ARTICLE = 70, 0.20, 0.08, 0.03, 0.34, 0.66
+SHORT, LONG, STOPS_GOOD, STOPS_NEAR, NO_STOPS, LINKS_MOST, LINKS_IN_ARTICLE = 70, 140, 0.20, 0.08, 0.03, 0.34, 0.66
 #: Points from which a block is good, and up to which it is bad.
 GOOD, BAD = 2, -1
-#: Distance of leaving or entering a container in pass two, and of a heading to what comes before it.
-BOUNDARY, BEFORE_HEADING = 2, 3
+#: Distance of leaving or entering a container in pass two, and of a heading from what comes before it.
+BOUNDARY, BEFORE_HEADING = 2, 8
 #: An article of less than this share of the largest one's text is a teaser; marks with less than the other of the text outside are ignored.
 TEASER, BELIEVED = 0.2, 0.25
+#: A form with this share of the page's text and an article or a heading in it is the page's frame, not a form to fill in.
+FRAME = 0.5
 
 # a tag: with quoted values without `<`; with any quoted values that something proper follows; or up to the first `>`
 _TOKEN = re.compile(
@@ -86,6 +93,7 @@ class Block:
     boilerplate: bool  # by the container that it stands in
     hints: int  # names of containers around it that cost a point
     article: int  # number of the marked article that it stands in, 0 outside
+    form: int  # number of the form that it stands in, 0 outside
     heading: bool = False
     listed: bool = False
     gap: int = 0  # containers left and entered since the block before
@@ -103,10 +111,12 @@ def _hints(tag: str, attrs: str) -> tuple[bool, int, bool]:
     hint = 0
     if not bad and tag not in ("html", "body", "article", "main", "p", *HEADINGS):
         for name in f"{given.get('class', '')} {given.get('id', '')}".split():
-            parts = {x.rstrip("0123456789") for x in _SPLIT.split(_CAMEL.sub("-", name).lower())} - {""}
+            words = [w for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if (w := x.rstrip("0123456789"))]
+            parts = set(words)
             if not parts & HINTS or parts & {"with", "has", "no", "without"}:  # `with-sidebar` describes a layout that has one
                 continue
-            bad = bad or bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | PLACE_WORDS
+            told = [w for w in words if w in BOILERPLATE_NAMES or w in CONTENT_WORDS]
+            bad = bad or parts <= BOILERPLATE_NAMES | PLACE_WORDS and bool({*told[:1], *told[-1:]} & BOILERPLATE_NAMES)
             hint = 1
     return bad, hint, article
 
@@ -114,11 +124,11 @@ def _hints(tag: str, attrs: str) -> tuple[bool, int, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, hints, article: each with what encloses it
+    stack: list[tuple[str, bool, int, int, int]] = []  # tag, boilerplate, hints, article, form: each with what encloses it
     parts: list[str] = []
-    linked = links = breaks = gap = articles = 0
-    outside = (False, 0, 0)
-    now = outside  # boilerplate, hints, article
+    linked = links = breaks = gap = articles = forms = 0
+    outside = (False, 0, 0, 0)
+    now = outside  # boilerplate, hints, article, form
     inside = ""  # the block-level tag that the text is in
 
     def close():
@@ -187,7 +197,8 @@ def blocks_of(page: str) -> list[Block]:
                     hint, article = hint + (tag == "article"), tag == "article" and any(t[0] == "main" for t in stack) and not any(t[0] == "article" for t in stack)
                     hint -= article  # an article in an article may be a reader's comment, one in `main` is the article
                 articles += article
-                now = (around[0] or bad, around[1] + hint, articles if article else around[2])
+                forms += tag == "form"
+                now = (around[0] or bad, around[1] + hint, articles if article else around[2], forms if tag == "form" else around[3])
                 stack.append((tag, *now))
         else:
             if tag == "a":
@@ -223,32 +234,46 @@ def classify(blocks: list[Block]) -> None:
         if len(b.text) < SHORT:
             return 0
         if not telling or share >= STOPS_GOOD:
-            return 2
+            return 2 if len(b.text) >= LONG else 1
         return 1 if share >= STOPS_NEAR else 0 if share >= NO_STOPS else -1
 
-    own = [-4 if b.boilerplate else points(b, n / m) - min(b.hints, 2) - 3 * (not b.article and b.text.lower().startswith(("©", "copyright "))) for b, (n, m) in zip(blocks, stops)]
+    _forms(blocks, [points(b, n / m) + bool(b.article) for b, (n, m) in zip(blocks, stops)])
+    own = [-4 if b.boilerplate else points(b, n / m) - min(b.hints, 2) * (not b.heading) - 3 * (not b.article and b.text.lower().startswith(("©", "copyright "))) for b, (n, m) in zip(blocks, stops)]
     size: dict[int, int] = {}  # text of each marked article, and of what densities find outside
     for b, p in zip(blocks, own):
         if not b.boilerplate and (b.article or p >= GOOD):
             size[b.article] = size.get(b.article, 0) + len(b.text)
     away = size.pop(0, 0)
     marked = {k for k, n in size.items() if n >= TEASER * max(size.values()) and max(size.values()) >= BELIEVED * away}
+    open_to = [(b, p + (b.article in marked)) for b, p in zip(blocks, own) if not b.boilerplate and (not marked or b.article in marked)]
+    good = GOOD if any(p >= GOOD for _, p in open_to) else GOOD - 1  # a page of short texts has its best ones
     for b, p in zip(blocks, own):
         if b.boilerplate or marked and b.article not in marked:
             b.label, b.why = "bad", "container"
             continue
         p += b.article in marked
-        b.label, b.why = "good" if p >= GOOD else "bad" if p <= BAD else "", "density"
+        b.label, b.why = "good" if p >= good else "bad" if p <= BAD else "", "density"
     left, right = _nearest(blocks, range(len(blocks))), _nearest(blocks, range(len(blocks) - 1, -1, -1))
     for b, (n, x), (m, y) in zip(blocks, left, right):
         if b.label:
             continue
-        n += BEFORE_HEADING * b.heading
         b.why = "neighbour"
         found = {x, y} - {""} if n == m else {x if n < m else y} - {""}
         b.label = "good" if "good" in found or not found and b.article in marked else "bad"
 
 
+def _forms(blocks: list[Block], points: list[int]) -> None:
+    """Forms are boilerplate, unless one is the frame of the whole page."""
+    text: dict[int, int] = {}
+    for b, p in zip(blocks, points):
+        if not b.boilerplate and (b.article or p >= GOOD):
+            text[b.form] = text.get(b.form, 0) + len(b.text)
+    telling = {b.form for b in blocks if b.article or b.heading}
+    frames = {0} | {f for f, n in text.items() if f in telling and n >= FRAME * sum(text.values())}
+    for b in blocks:
+        b.boilerplate = b.boilerplate or b.form not in frames
+
+
 def _nearest(blocks: list[Block], order: range) -> list[tuple[float, str]]:
     """Distance and label of the decided block before each one, in the order of the sweep; in an article, of one by densities inside."""
     out: list[tuple[float, str]] = [(float("inf"), "")] * len(blocks)
@@ -257,7 +282,8 @@ def _nearest(blocks: list[Block], order: range) -> list[tuple[float, str]]:
     for i in order:
         b = blocks[i]
         if last is not None:
-            away += 1 + BOUNDARY * blocks[max(i, last)].gap
+            later = blocks[max(i, last)]
+            away += 1 + BOUNDARY * later.gap + BEFORE_HEADING * later.heading
         last = i
         if b.article != article:
             article = b.article

@@ -131,3 +131,35 @@ def test_tables(spark):
     rows = [(1, None, None, "clash"), (1, "u", "<main>a</main>", None), (None, "u", "<main>a</main>", None)]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, None, "", 0), (1, "u", "a", 1), (None, "u", "a", 1)], key=str)
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = '<body><form id="aspnetForm" action="x"><nav><a href="/">Home</a></nav><article><h1>Head</h1><p>{}</p></article><footer>Foot</footer></form></body>'
+    assert main_text(page.format(LONG)) == f"Head\n{LONG}" and main_text(page.format("Sh is.")) == "Head\nSh is."
+    assert main_text(f"<body><form><h1>Head</h1><p>{LONG} {LONG}</p><form class=search>Look for it in the shop</form></form></body>") == f"Head\n{LONG} {LONG}"
+    assert main_text(f"<article><p>{LONG}</p><form>Write to us of the thing that you are to buy and when it is, as we have been there for you</form></article>") == LONG
+    assert main_text(f"<body><p>{LONG} {LONG}</p><form><p>{LONG} x</p></form></body>") == f"{LONG} {LONG}"
+
+
+def test_names_decide_by_their_head():
+    for name in ("post-share-story", "article-ad-body", "content-social-text"):
+        assert main_text(f'<body><div class="{name}"><h1>Head</h1><p>{LONG} {LONG}</p></div></body>') == f"Head\n{LONG} {LONG}", name
+    for name in ("article-comments", "comment-body", "related-articles", "main-nav-wrapper", "share-buttons", "post-comments-list", "ad-content"):
+        assert main_text(f'<body><p>{LONG} {LONG}</p><div class="{name}"><p>{LONG} {LONG} x</p></div></body>') == f"{LONG} {LONG}", name
+
+
+def test_densities_carry_the_result(spark, monkeypatch):
+    """Without the marks of articles and all lists of names, then without the elements for menus and footers too."""
+    pages = list(pages_with_article(spark, "sf0.01"))
+    bare = lambda h: re.sub("</?article>", "", h)
+    barer = lambda h: re.sub(r"<(/?)(?:nav|footer)\b", r"<\1div", bare(h))
+    share = lambda f: sum(main_text(f(h)) == want for h, want in pages) / len(pages)
+    assert share(lambda h: h) == 1
+    monkeypatch.setattr(html_text, "BOILERPLATE_NAMES", frozenset())
+    monkeypatch.setattr(html_text, "HINTS", frozenset())
+    assert share(bare) >= 0.88 and share(barer) >= 0.88
+    for off in ({"LINKS_MOST": 9}, {"SHORT": 0, "LONG": 0}, {"BOUNDARY": 0, "BEFORE_HEADING": 0}):
+        with monkeypatch.context() as m:
+            for k, v in off.items():
+                m.setattr(html_text, k, v)
+            assert share(barer) < 0.7, off
