@@ -52,8 +52,9 @@ def _without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _begin(spark: SparkSession) -> None:
-    """What the driver still holds of the stage before goes first."""
+    """What the driver still holds of the stage before goes first: plans and broadcasts in the JVM, too, whose heap shrinks."""
     ship(spark)
+    spark.sparkContext._jvm.System.gc()
     give_back()
 
 
