@@ -36,19 +36,22 @@ def wish_ignored(spark, d):
 @query(
     "wish_ranking",
     star.sql(
-        f"SELECT c_custkey, place_id, round_even({analytics.FIT_SQL}, 1) AS fit FROM scored JOIN w ON w.rank = aspect_rank GROUP BY ALL HAVING count(*) = 2",
-        star.SCORES[0], "scored AS (SELECT *, round_even(50 + (100 * (pos + 0.5::DOUBLE * neu) / (pos + neg + neu) - 50) * (pos + neg + neu) / (pos + neg + neu + 2), 1) AS goodness, dense_rank() OVER (ORDER BY aspect) AS aspect_rank FROM counts)",
-        "w AS (SELECT c_custkey, rank, weight::DOUBLE AS weight FROM customer JOIN (VALUES (1, 2, 1), (2, 2, 1), (1, 3, 2), (2, 3, 2)) v(rank, k, weight) ON c_custkey % 4 = k WHERE c_custkey % 50 = k)",
+        f"SELECT c_custkey, place_id, round_even(fit, 1) AS fit FROM customer JOIN best ON a = 1 + c_custkey % 3 AND b = 1 + c_custkey % 2",
+        star.SCORES[0], "scored AS (SELECT *, round_even(50 + (100 * (pos + 0.5::DOUBLE * neu) / (pos + neg + neu) - 50) * (pos + neg + neu) / (pos + neg + neu + 2), 1) AS goodness FROM counts)",
+        "w AS (SELECT a, b, CASE WHEN aspect = (SELECT min(aspect) FROM counts) THEN a ELSE b END::DOUBLE AS weight, aspect FROM (SELECT DISTINCT 1 + c_custkey % 3 AS a, 1 + c_custkey % 2 AS b FROM customer), (SELECT unnest([min(aspect), max(aspect)]) AS aspect FROM counts))",
+        f"fits AS (SELECT a, b, place_id, {analytics.FIT_SQL} AS fit FROM scored JOIN w USING (aspect) GROUP BY ALL)", "best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY fit DESC, place_id) = 1)",
     ),
 )
 def wish_ranking(spark, d):
-    """Fit of places for several travellers at once, each with weights of their own (two aspects of the table stand for theirs)."""
+    """The best place of every traveller, who weighs two aspects in a way of their own; those who weigh alike share a ranking."""
     counts = ranking.scored_aspects(ranking.sentiment_pivot(star.annotated(spark, d), ["place_id", "aspect"]))
-    names = counts.select("aspect").distinct().orderBy("aspect").limit(2).collect()  # aspects of the vocabulary
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.aspect).alias("aspect")) for r in names]))
-    who = table(spark, d, "customer").where("c_custkey % 4 >= 2 AND c_custkey % 50 = c_custkey % 4").select("c_custkey", (F.col("c_custkey") % 4 - 1).cast("double").alias("weight"), pairs.alias("p")).select("c_custkey", "weight", "p.aspect")
-    fits = counts.join(who, "aspect").groupBy("c_custkey", "place_id").agg(ranking.fit_column().alias("fit"), F.count(F.lit(1)).alias("n")).where("n = 2")
-    return fits.select("c_custkey", "place_id", F.bround("fit", 1).alias("fit"))
+    who = table(spark, d, "customer").selectExpr("c_custkey", "1 + c_custkey % 3 AS a", "1 + c_custkey % 2 AS b")
+    ends = counts.agg(F.min("aspect"), F.max("aspect")).first()
+    pairs = F.explode(F.array(F.struct(F.lit(ends[0]).alias("aspect"), F.col("a").cast("double").alias("weight")), F.struct(F.lit(ends[1]).alias("aspect"), F.col("b").cast("double").alias("weight")))).alias("p")
+    ways = F.broadcast(who.select("a", "b").distinct().select("a", "b", pairs).select("a", "b", "p.*"))  # six ways, two aspects
+    fits = counts.join(ways, "aspect").groupBy("a", "b", "place_id").agg(ranking.fit_column().alias("fit"))
+    best = curation.first_wins(fits, ["a", "b"], [F.desc("fit"), "place_id"])
+    return who.join(F.broadcast(best), ["a", "b"]).select("c_custkey", "place_id", F.bround("fit", 1).alias("fit"))
 
 
 ASPECT = "named_struct('category', {c}, 'attribute', {a}, 'sentiment', {s}, 'evidence', {e})"
