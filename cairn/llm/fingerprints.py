@@ -8,7 +8,8 @@ kept, packed as hexadecimal digits. Bins agree by chance once in 2^BITS, so the
 
 Words are what a split at white space (\\x09-\\x0d and space) gives after A-Z are lower-cased; a text of fewer than five
 words is one shingle. Null text counts as empty; a text without words has the empty fingerprint, alike (1.0) to another
-empty one and unlike (0.0) any other. Repeated rows each get a result; an empty table gives no row.
+empty one and unlike (0.0) any other. Repeated rows each get a result; an empty table gives no row; very long texts are
+shingled whole; rows that tie in doc_id follow each other in any order; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@
 Edge cases: null text counts as empty; a text without words has no shingle, links with nothing and is its own
 component; fewer than five words are one shingle; equal texts share a class; repeated rows are kept; a null doc_id
 links as any other but never names a component, unless no other does (then null); further columns are ignored.
+Very long texts are shingled whole; ties of the least doc_id are rows of one id, which share their component.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ log-likelihood ratio (random over ordinary) exceeds THRESHOLD and no base span o
 
 Spans are [start, end) in code points. Edge cases: null text counts as empty; a document without findings gets counts of
 0, the digest of no bytes and an empty string; repeated rows each get their result; an empty table gives no row; an
-empty sample of a label leaves a flat model for it.
+empty sample of a label leaves a flat model for it; very long texts are scanned whole; of spans that begin together the
+kind listed first comes first. Further columns are kept, save those named found, _text, _runs or _base, which are dropped
+(the pipeline gives columns of such names others while it works). Strings of fewer than RUN_LEAST characters that no base
+pattern finds are not judged, as a few characters do not tell the two models apart.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ DOCS_A_FILE documents; where one doc_id (or null) fills several ranges, a hash o
 
 Edge cases: null text counts as empty (only the end id is stored); strings of added tokens in a text are these tokens, as
 the library has it; a null doc_id sorts first; repeated doc_ids are all kept, in an order of their range, then their
-token checksum; an empty table gives no file and no row; further columns are ignored.
+token checksum; an empty table gives no file and no row; very long texts are
+encoded whole and are one frame each; rows that tie in doc_id and checksum hold the same ids; further columns are ignored.
 Tasks write under a name of their own and rename, so a task that runs twice leaves the same files.
 """
 

@@ -14,7 +14,9 @@ nothing but its text.
 
 Edge cases: null text counts as empty and gets the score of a text without features; rows without a label, or with a
 null doc_id, are never training examples; repeated rows are scored alike, and count once in the fit; without a toxic
-example every score is 0; an empty table gives no row; further columns are ignored.
+example every score is 0; an empty table gives no row; very long texts are
+scored whole, by the presence of features; texts of the same features tie; further columns stay as they are, save score
+and predicted, which are replaced (the query returns its own columns only).
 """
 
 from __future__ import annotations

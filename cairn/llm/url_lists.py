@@ -16,6 +16,7 @@ broadcast and the rest is shuffled.
 Edge cases: a url that is null or has no host, or a capture without a time, matches nothing and is not blocked; events
 without list, kind, key, action or time are left out; on one day, remove comes after add; repeated events count once; an
 empty list blocks nothing; an empty table of captures gives no row; further columns of captures are not kept.
+Urls of any length are parsed whole; captures that tie in host and time each get the answer.
 """
 
 from __future__ import annotations
