@@ -156,15 +156,17 @@ def listed(spans: Column) -> Column:
 
 
 def default_samples(docs: DataFrame) -> DataFrame:
-    """Labelled samples: random strings are encoded SHA-256 digests of a counter, ordinary identifiers are words of the
-    corpus, alone and joined in pairs as identifiers are (snake, kebab, camel, path), with numbers, and numbers, dates and
-    rules of one sign. At most MAX_SAMPLES of each."""
+    """Labelled samples: random strings are SHA-256 digests of a counter as hex, base 64, base 36, letters of either case
+    and UUIDs; ordinary identifiers are words of the corpus, alone and joined in pairs as identifiers are (snake, kebab,
+    camel, path), with numbers, and numbers, dates and rules of one sign. At most MAX_SAMPLES of each."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
-    raw = F.unhex(digest)
-    random = spark.range(MAX_SAMPLES).select(
-        F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 3 == 1, F.rtrim(F.base64(raw), F.lit("="))).otherwise(F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))).alias("word"), F.lit(True).alias("random")
-    )
+    base64, base36 = F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))
+    letter = lambda i: F.char(F.lit(97) + F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 26)
+    lower = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), letter), "")
+    uuid = F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    strings = F.array(F.substring(digest, 1, 40), base64, base36, lower, F.upper(lower), uuid)
+    random = spark.range(MAX_SAMPLES).select(F.get(strings, (F.col("id") % 6).cast("int")).alias("word"), F.lit(True).alias("random"))
     few = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     picked = few.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLES // 20)
     words = few.join(F.broadcast(picked.distinct()), "doc_id").select("doc_id", F.array_distinct(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) > 1)).alias("w")).where(F.size("w") > 3)
