@@ -20,6 +20,7 @@ are no ties; an empty table gives no row; columns named like the operator's own
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,10 @@ CACHE_PIECES = 300_000
 AUDIT = 32
 #: The same where ids are a stage of a pipeline, whose workers hold what other stages left, too.
 PIPELINE_PIECES = 60_000
+#: Documents that are encoded at once; the library's objects of a batch, which are large, go before the next.
+BATCH_DOCS = 64
+#: Threads of the tokenizers library in a worker: each holds memory of its own, and a worker has the cores of one task.
+THREADS = 2
 
 _codecs: dict[str, "Codec"] = {}
 
@@ -252,6 +257,7 @@ class Codec:
 
 def codec(path: str, keep: int = CACHE_PIECES) -> Codec:
     if path not in _codecs:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library first makes a batch
         _codecs[path] = Codec(path)
     _codecs[path].keep = keep
     return _codecs[path]
@@ -269,8 +275,8 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]):
         c = codec(model, PIPELINE_PIECES)
         for whole in it:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, BATCH_DOCS):
+                b = whole.slice(lo, BATCH_DOCS)
                 got = c.encode(b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([x for x, _, _ in got], pa.list_(pa.int32())), pa.array([p for _, p, _ in got]), pa.array([r for _, _, r in got])], names=[*b.schema.names, *OWN]
@@ -289,8 +295,8 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]):
         c = codec(model)
         for whole in it:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, BATCH_DOCS):
+                b = whole.slice(lo, BATCH_DOCS)
                 got = b.column(ids).to_pylist()
                 texts = iter(c.decode([x for x in got if x is not None]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else next(texts) for x in got], pa.string())], names=[*b.schema.names, "decoded"])
@@ -305,8 +311,8 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
         c = codec(model)
         byte_ids = np.array([kind == BYTE for _, _, kind in c.spec.pieces])
         for whole in it:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, BATCH_DOCS):
+                b = whole.slice(lo, BATCH_DOCS)
                 texts = ["" if t is None else t for t in b.column("text").to_pylist()]
                 got = c.encode(texts)
                 back = c.decode([x for x, _, _ in got])
