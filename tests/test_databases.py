@@ -7,6 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.plans import registry
 from cairn.sources import databases
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -45,3 +46,18 @@ print("DIFFERENT", got.exceptAll(want).count() + want.exceptAll(got).count(), go
 """
     r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240, cwd=tmp_path)
     assert "DIFFERENT 0 150" in r.stdout, r.stderr[-2000:]
+
+
+def test_place_arrays_has_every_place_whatever_the_shuffle(spark, tmp_path):
+    """Each array has a file of its own: of two in one file a reader of whole files would take the first."""
+    spark.range(40_000).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 2, 3, 4, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = registry.QUERIES["place_arrays"](spark, str(tmp_path))
+            assert tuple(got.agg(F.count("*"), F.count_if(F.col("source") == "late"), F.countDistinct("place_id")).first()) == (40_000, 20_000, 40_000), parts
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
