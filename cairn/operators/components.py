@@ -14,7 +14,8 @@ BROADCAST_ROWS, HUB = 200_000, 100_000
 def _met(near: DataFrame, least: DataFrame, small: bool, tables: list[DataFrame]) -> DataFrame:
     """near with m, the least node that u sees; no task gets all neighbours of a hub. small: least may be broadcast.
 
-    What it writes, it adds to tables.
+    What it writes, it adds to tables. Files of ids are so short that Spark would send the rows of millions of nodes to the
+    driver, round by round: beyond the counted sizes joins are told to sort.
     """
     if small:
         return near.join(F.broadcast(least.select("u", "m")), "u")
@@ -22,9 +23,9 @@ def _met(near: DataFrame, least: DataFrame, small: bool, tables: list[DataFrame]
     tables.append(least)
     hubs = least.where(F.col("degree") > HUB).select("u", F.col("m").alias("of_hub"))
     if hubs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:  # more than 2e10 edges
-        return near.join(least.select("u", "m"), "u")
+        return near.join(least.select("u", "m").hint("merge"), "u")
     marked = near.join(F.broadcast(hubs), "u", "left")
-    others = marked.where("of_hub is null").join(least.where(F.col("degree") <= HUB).select("u", "m"), "u").select("u", "v", "m")
+    others = marked.where("of_hub is null").join(least.where(F.col("degree") <= HUB).select("u", "m").hint("merge"), "u").select("u", "v", "m")
     return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).union(others)
 
 

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from cairn.operators import components as components_module
 from cairn.operators import curation
 
 
@@ -14,3 +15,23 @@ def test_nearest_of_rows_that_share_spots(spark):
     got = curation.nearest_within(at(40_000, 3), at(40_000, 0).where("id > 6"), 1.5)
     assert tuple(got.agg(F.count("*"), F.min("right_id"), F.max("right_id"), F.count_if(F.col("km") > 0)).first()) == (40_000, 7, 7, 3)
     assert time.time() - began < 60
+
+
+def test_rounds_of_components_send_no_table_to_the_driver(spark, monkeypatch):
+    """Beyond the counted sizes no join of a round is a broadcast, however short the files are."""
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", 10)
+    plans = []
+    written = components_module.materialize
+    monkeypatch.setattr(components_module, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    edges = spark.range(1, 2000).select(F.col("id").alias("a"), F.col("id").bitwiseAND(-16).alias("b"))
+    got = components_module.components(edges, "a", "b")
+    assert got.where(F.col("component") != F.greatest(F.col("node").bitwiseAND(-16), F.lit(0))).count() == 0
+    rounds = [p for p in plans if "Join" in p]
+    assert rounds and all(0 < p.count("BroadcastHashJoin") <= 2 * p.count("SortMergeJoin") for p in rounds)  # hubs meet both sides of a star
+
+
+def test_entities_are_joined_without_broadcasts(spark):
+    p = spark.range(50).selectExpr("id AS place_id", "'x' AS category", "CAST(NULL AS STRING) AS district", "'' AS address", "concat('n', id % 7) AS name")
+    assert "Broadcast" not in curation.entity_edges(p)._jdf.queryExecution().executedPlan().toString()
+    got = {r.place_id: r.group for r in curation.connected_groups(p, curation.entity_edges(p), "place_id").collect()}
+    assert got == {k: k % 7 for k in range(50)}
