@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from cairn.operators import components as components_module
-from cairn.operators import curation
+from cairn.operators import curation, profile
 
 
 def test_nearest_of_rows_that_share_spots(spark):
@@ -35,3 +35,11 @@ def test_entities_are_joined_without_broadcasts(spark):
     assert "Broadcast" not in curation.entity_edges(p)._jdf.queryExecution().executedPlan().toString()
     got = {r.place_id: r.group for r in curation.connected_groups(p, curation.entity_edges(p), "place_id").collect()}
     assert got == {k: k % 7 for k in range(50)}
+
+
+def test_merged_spans_of_equal_spans(spark):
+    """Equal spans are ties of the windows; whatever their order, the merged spans are the same."""
+    rows = [(1, 0, 10)] * 50 + [(1, 10, 20)] * 50 + [(1, 21, 30)] * 50 + [(1, 21, 25)] * 50
+    df = spark.createDataFrame(rows, "u int, start long, stop long")
+    for parts in (1, 3, 17):
+        assert {tuple(r) for r in profile.merged_spans(df.repartition(parts), ["u"]).collect()} == {(1, 0, 20), (1, 21, 30)}
