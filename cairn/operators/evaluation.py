@@ -10,9 +10,10 @@ from cairn.operators.numbering import paired
 from cairn.operators.selection import values_at
 
 
-def multiset_counts(gold: DataFrame, predicted: DataFrame, record: str, keys: list[str]) -> DataFrame:
-    """tp, fp, fn by record of two multisets of keys; null keys equal each other."""
+def multiset_counts(gold: DataFrame, predicted: DataFrame, record: str, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """tp, fp, fn by record of two multisets of keys; null keys equal each other. tasks: into how many records are dealt."""
     both = gold.select(record, *keys, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select(record, *keys, F.lit(0).alias("g"), F.lit(1).alias("p")))
+    both = both.repartition(tasks, record) if tasks else both
     by_key = both.groupBy(record, *keys).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     return by_key.groupBy(record).agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"))
 

@@ -9,7 +9,7 @@ from cairn.operators import curation
 from cairn.operators import evaluation as E
 from cairn.operators.curation import pending
 from cairn.plans.registry import query
-from cairn.session import table
+from cairn.session import table, tasks_for
 from cairn.streaming import logs
 
 GP = "WITH r AS (SELECT l_orderkey AS id, l_linenumber % 2 AS side, p_type AS category, l_returnflag AS sentiment FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT id, category, sentiment, count(*) FILTER (side = 0) AS g, count(*) FILTER (side = 1) AS p FROM r GROUP BY ALL)"
@@ -24,21 +24,22 @@ def sides(spark, d):
 @query("multiset_prf", f"{GP}, c AS (SELECT sum(least(g, p))::BIGINT AS tp, sum(greatest(p - g, 0))::BIGINT AS fp, sum(greatest(g - p, 0))::BIGINT AS fn FROM k) SELECT tp, fp, fn, {PRF} FROM c")
 def multiset_prf(spark, d):
     gold, predicted = sides(spark, d)
-    return E.prf(E.multiset_counts(gold, predicted, "id", ["category", "sentiment"]), [])
+    return E.prf(E.multiset_counts(gold, predicted, "id", ["category", "sentiment"], tasks_for(table(spark, d, "lineitem"))), [])
 
 
 @query("context_prf", f"{GP}, s AS (SELECT DISTINCT id, category, side FROM r), x AS (SELECT category, id, max(side = 0) AS g, max(side = 1) AS p FROM s GROUP BY ALL), c AS (SELECT category, count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM x GROUP BY 1) SELECT category, tp, fp, fn, {PRF} FROM c")
 def context_prf(spark, d):
     """The same by category, for sets instead of multisets."""
-    gold, predicted = (x.select("id", "category").distinct() for x in sides(spark, d))
-    by = E.multiset_counts(gold.withColumn("key", F.concat_ws("|", "id", "category")), predicted.withColumn("key", F.concat_ws("|", "id", "category")), "key", ["category"])
+    tasks = tasks_for(table(spark, d, "lineitem"))
+    gold, predicted = (x.select("id", "category").repartition(tasks, "id").distinct() for x in sides(spark, d))
+    by = E.multiset_counts(gold.withColumn("key", F.concat_ws("|", "id", "category")), predicted.withColumn("key", F.concat_ws("|", "id", "category")), "key", ["category"], tasks)
     return E.prf(by.withColumn("category", F.split_part("key", F.lit("|"), F.lit(2))), ["category"])
 
 
 @query("record_exact_match", f"{GP} SELECT id, bool_and(g = p) AS exact FROM k GROUP BY 1")
 def record_exact_match(spark, d):
     gold, predicted = sides(spark, d)
-    return E.multiset_counts(gold, predicted, "id", ["category", "sentiment"]).select("id", (F.col("fp") + F.col("fn") == 0).alias("exact"))
+    return E.multiset_counts(gold, predicted, "id", ["category", "sentiment"], tasks_for(table(spark, d, "lineitem"))).select("id", (F.col("fp") + F.col("fn") == 0).alias("exact"))
 
 
 @query(
