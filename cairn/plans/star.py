@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import table
+from cairn.session import table, tasks_for
 
 SENTIMENT = "CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'N' THEN 'neutral' ELSE 'negative' END"
 TIER = "CASE l_linestatus WHEN 'F' THEN 'gold' ELSE 'silver' END"
@@ -29,14 +29,14 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations with the place of their review."""
-    return annotations(spark, d).join(reviews(spark, d).select("review_id", "place_id"), "review_id")
+    """Annotations with the place of their review, dealt by review."""
+    return annotations(spark, d).repartition(tasks_for(table(spark, d, "lineitem")), "review_id").join(reviews(spark, d).select("review_id", "place_id").hint("merge"), "review_id")
 
 
 def companions(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     supplier = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("companion"))
-    return table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("review_id"), "companion").distinct()
+    return table(spark, d, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("review_id"), "companion").repartition(tasks_for(table(spark, d, "lineitem")), "review_id").distinct()
 
 
 SQL = f"""

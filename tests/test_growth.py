@@ -43,3 +43,22 @@ def test_merged_spans_of_equal_spans(spark):
     df = spark.createDataFrame(rows, "u int, start long, stop long")
     for parts in (1, 3, 17):
         assert {tuple(r) for r in profile.merged_spans(df.repartition(parts), ["u"]).collect()} == {(1, 0, 20), (1, 21, 30)}
+
+
+def test_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A task gets so many rows, not a share of the table that grows with it."""
+    from cairn import session
+    from cairn.operators import evaluation
+    from cairn.plans import star
+
+    d = "/root/testdata/sf0.001"
+    rows = session.table(spark, d, "lineitem").count()
+    monkeypatch.setattr(session, "ROWS_A_TASK", rows // 40)
+    tasks = session.tasks_for(session.table(spark, d, "lineitem"))
+    assert tasks in (40, 41)
+    assert star.companions(spark, d).rdd.getNumPartitions() == tasks
+    assert star.annotated(spark, d).rdd.getNumPartitions() == tasks
+    one = spark.range(200).selectExpr("id % 50 AS id", "'a' AS k")
+    counts = evaluation.multiset_counts(one, one.where("id < 7"), "id", ["k"], tasks)
+    assert counts.rdd.getNumPartitions() == tasks
+    assert tuple(counts.agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).first()) == (28, 0, 172)
