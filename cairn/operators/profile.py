@@ -25,7 +25,7 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 def counts_with_zero(places: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:
     """Reviews by place, places without any at 0."""
-    return places.join(reviews.select("place_id", "review_id"), "place_id", "left").groupBy("place_id", *keys).agg(F.count("review_id").alias("reviews"))
+    return places.join(reviews.select("place_id", "review_id").hint("merge"), "place_id", "left").groupBy("place_id", *keys).agg(F.count("review_id").alias("reviews"))
 
 
 def aspect_mentions(annotated: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,12 +34,12 @@ def aspect_mentions(annotated: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_counts(reviews: DataFrame, companions: DataFrame, keys: list[str]) -> DataFrame:
-    return reviews.join(companions, "review_id").groupBy(*keys, "companion").agg(F.countDistinct("review_id").alias("mentions"))
+    return reviews.join(companions.hint("merge"), "review_id").groupBy(*keys, "companion").agg(F.countDistinct("review_id").alias("mentions"))
 
 
 def context_sentiments(annotated: DataFrame, companions: DataFrame, keys: list[str]) -> DataFrame:
     """Annotations by companion and sentiment; an annotation counts once for each companion of its review."""
-    return annotated.join(companions, "review_id").groupBy(*keys, "companion", "sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return annotated.join(companions.hint("merge"), "review_id").groupBy(*keys, "companion", "sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_satisfaction(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +50,12 @@ def context_satisfaction(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def place_profile(places: DataFrame, reviews: DataFrame, annotated: DataFrame, companions: DataFrame) -> DataFrame:
-    """One row per place: review count, aspects with share, contexts with share, satisfaction by context."""
+    """One row per place: review count, aspects with share, contexts with share, satisfaction by context.
+
+    Joins are told to sort: by the size of their compressed files Spark would broadcast rows of all places or reviews.
+    """
     total = counts_with_zero(places, reviews, [])
-    with_total = lambda df: df.join(total, "place_id")
+    with_total = lambda df: df.join(total.hint("merge"), "place_id")
     aspects = with_total(aspect_mentions(annotated, ["place_id"])).groupBy("place_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("mentions")).alias("o"), "aspect", "sentiment", percent(F.col("mentions"), F.col("reviews")).alias("share")))).alias("aspects")
     )
@@ -60,7 +63,7 @@ def place_profile(places: DataFrame, reviews: DataFrame, annotated: DataFrame, c
     contexts = contexts.groupBy("place_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("o"), "companion", "share"))).alias("contexts"))
     sat = context_satisfaction(context_sentiments(annotated, companions, ["place_id"]), ["place_id"])
     sat = sat.groupBy("place_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("companion", "satisfaction")))).alias("context_satisfaction"))
-    out = total.join(aspects, "place_id", "left").join(contexts, "place_id", "left").join(sat, "place_id", "left")
+    out = total.join(aspects.hint("merge"), "place_id", "left").join(contexts.hint("merge"), "place_id", "left").join(sat.hint("merge"), "place_id", "left")
     return out.withColumn("aspects", F.transform("aspects", lambda x: F.struct(x.aspect.alias("aspect"), x.sentiment.alias("sentiment"), x.share.alias("share")))).withColumn(
         "contexts", F.transform("contexts", lambda x: F.struct(x.companion.alias("companion"), x.share.alias("share")))
     )
