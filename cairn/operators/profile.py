@@ -109,8 +109,8 @@ def resolve_scraps(scraps: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Da
 
 
 def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching [start, stop) spans of a key as one."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    """Overlapping or touching [start, stop) spans of a key as one; spans without bounds add none where the key has others."""
+    w = Window.partitionBy(*keys).orderBy(F.col("start").asc_nulls_last(), F.col("stop").asc_nulls_last())
     far = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = spans.withColumn("new", F.coalesce((F.col("start") > far).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = spans.withColumn("new", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")

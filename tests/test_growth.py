@@ -45,6 +45,12 @@ def test_merged_spans_of_equal_spans(spark):
         assert {tuple(r) for r in profile.merged_spans(df.repartition(parts), ["u"]).collect()} == {(1, 0, 20), (1, 21, 30)}
 
 
+def test_merged_spans_without_bounds(spark):
+    """Missing bounds come last, as in the SQL, and make no row of their own beside a key's other spans."""
+    df = spark.createDataFrame([(1, None, None), (1, None, None), (1, 0, 10), (1, 10, 20), (1, 21, 30), (2, None, None)], "u int, start long, stop long")
+    assert sorted(map(tuple, profile.merged_spans(df, ["u"]).collect()), key=str) == [(1, 0, 20), (1, 21, 30), (2, None, None)]
+
+
 def test_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     """A task gets so many rows, not a share of the table that grows with it."""
     from cairn import session
